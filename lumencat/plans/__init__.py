@@ -1 +1 @@
-"""lumencat.plans"""
+"""Queries over the shared tables, registered by operator id."""
