@@ -35,8 +35,10 @@ LENGTH = 1024
 SENTENCE_PENALTY = 4
 INNER_PENALTY = 12
 WINDOW_COST = 20
+#: Windows of a power of two are looked up from 2**5 ids on.
+LEAST_EXACT_BITS = 5
 RUN_TOKENS = 4_000_000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 24 << 20
 
 
 def best_cuts(position: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
@@ -48,10 +50,13 @@ def best_cuts(position: np.ndarray, penalty: np.ndarray, length: int) -> list[in
     pen = penalty.tolist()
     n = len(pos)
     exact: dict[int, list[int]] = {}
-    for k in range(length.bit_length() - (length & (length - 1) == 0)):
-        at = np.searchsorted(position, position - (1 << k))
-        hit = np.flatnonzero((position[np.minimum(at, n - 1)] == position - (1 << k)) & (at < np.arange(n)))
-        for i, j in zip(hit.tolist(), at[hit].tolist(), strict=True):
+    number = np.full(pos[-1] + 1, -1, np.int32)  # of the candidate at each position
+    number[position] = np.arange(n)
+    for k in range(LEAST_EXACT_BITS, length.bit_length() - (length & (length - 1) == 0)):
+        far = np.searchsorted(position, position[0] + (1 << k))
+        at = number[position[far:] - (1 << k)]
+        hit = np.flatnonzero(at >= 0)
+        for i, j in zip((hit + far).tolist(), at[hit].tolist(), strict=True):
             exact.setdefault(i, []).append(j)
     cost = [0] * n
     back = [0] * n
@@ -138,7 +143,7 @@ def pack(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str =
         held = 0
         for whole in batches:
             for b in pieces(iter([whole]), BATCH_BYTES, "text"):
-                for k, ids in zip(b.column("doc_id").to_pylist(), e.encode(b.column("text").to_pylist()), strict=True):
+                for k, ids in zip(b.column("doc_id").to_pylist(), e.encode(b.column("text")), strict=True):
                     waiting.append((k, np.append(ids, e.dtype.type(END_ID))))
                     held += len(ids) + 1
                     if held >= RUN_TOKENS:

@@ -1,8 +1,10 @@
 """Token ids of texts with the tokenizers library, for the operators that store or pack ids.
 
 A space that stands between two other characters always begins a pre-token of the byte-level pattern, so a text may be
-encoded part by part between such spaces. Parts repeat (they are mostly words); each distinct part is encoded once by the
-library and its ids are kept as bytes, so that a text is a lookup for each part and one join.
+encoded part by part between such spaces. Parts repeat (they are mostly words). The distinct parts of a batch are found
+with Arrow's kernels and encoded by the library as one long text, which is cut again by the tokens' byte lengths; the ids
+of all texts are then gathered from them. A larger batch has relatively fewer distinct parts. Nothing is kept between
+batches.
 """
 
 from __future__ import annotations
@@ -10,13 +12,15 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from lumencat.llm.common import single_threaded
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-KEEP_PARTS = 800_000
-LEARN_PARTS = 4000
+JOINED_PARTS = 4000
+_SPACE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -39,47 +43,52 @@ class Encoder:
         self.dtype = np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
         # a byte-level token has one character for each byte of text
         self.n_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)], np.int64)
-        #: ids of a part with a space before it; None for what must not be cut off there
-        self.parts: dict[str, bytes | None] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> dict[str, bytes | None]:
-        """Encodes many parts as one text and cuts the ids where the parts end."""
-        known: dict[str, bytes | None] = {p: None for p in new}
-        good = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        groups = [good[lo : lo + LEARN_PARTS] for lo in range(0, len(good), LEARN_PARTS)]
-        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
-            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in group])
-            at = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends)
-            raw, width, lo = ids.tobytes(), self.dtype.itemsize, 0
-            for p, hi in zip(group, ((at + 1) * width).tolist(), strict=True):
-                known[p] = raw[lo:hi]
-                lo = hi
-        return known
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(distinct := dict.fromkeys(texts)) < len(texts):  # copies are encoded once
-            ids = dict(zip(distinct, self.encode(list(distinct)), strict=True))
-            return [ids[t] for t in texts]
-        cut = [t.split(" ") for t in texts]
-        new = list(set().union(*cut).difference(self.parts))
-        parts = self.parts
-        if new:
-            learnt = self._learn(new)
-            if len(parts) + len(learnt) <= KEEP_PARTS:
-                parts.update(learnt)
-            else:  # full: frequent parts came early and stay
-                parts = _Both(self.parts, learnt)
-        get = parts.__getitem__
-        first = self._ids([c[0] for c in cut])
-        out = []
-        for text, head, c in zip(texts, first, cut, strict=True):
-            try:
-                out.append(np.concatenate([head, np.frombuffer(b"".join(map(get, c[1:])), self.dtype)]))
-            except TypeError:  # a run of white space: cut elsewhere only
-                out.append(np.concatenate([np.empty(0, self.dtype), *self._ids(self.split(text))]))
+    def _spaced(self, parts: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, each with a space before it, and where each part's ids end. size: the parts' bytes."""
+        texts = [" " + " ".join(parts[lo : lo + JOINED_PARTS]) for lo in range(0, len(parts), JOINED_PARTS)]
+        ids = np.concatenate([np.empty(0, self.dtype), *self._ids(texts)])
+        return ids, np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(size + 1)) + 1
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not len(column):
+            return []
+        lists = pc.split_pattern(column, " ")
+        parts, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        first = offsets[:-1]
+        table = parts.dictionary_encode()
+        entry = table.indices.to_numpy().astype(np.int64)
+        distinct = table.dictionary.to_pylist()
+        # an empty part or one that ends in white space is next to a run of white space, which must not be cut
+        whole = np.array([p != "" and p[0] not in _SPACE and p[-1] not in _SPACE for p in distinct])
+        good = np.flatnonzero(whole)
+        size = pc.binary_length(table.dictionary).to_numpy().astype(np.int64)
+        pool, ends = self._spaced([p for p, w in zip(distinct, whole, strict=True) if w], size[good])
+        begin, count = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        begin[good] = np.concatenate([[0], ends])[:-1]
+        count[good] = ends - begin[good]
+        # a text's first part has no space before it
+        heads = parts.take(pa.array(first)).dictionary_encode()
+        head_ids = self._ids(heads.dictionary.to_pylist())
+        head_count = np.array([len(h) for h in head_ids], np.int64)
+        begin = np.concatenate([begin, len(pool) + np.cumsum(head_count) - head_count])
+        count = np.concatenate([count, head_count])
+        odd = ~whole[entry]
+        odd[first] = False
+        entry[first] = len(distinct) + heads.indices.to_numpy()
+        pool = np.concatenate([pool, *head_ids])
+        n = count[entry]
+        stop = np.cumsum(n)
+        flat = pool[np.repeat(begin[entry] - (stop - n), n) + np.arange(stop[-1])]
+        bounds = np.concatenate([[0], stop])[offsets].tolist()
+        out = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for d in np.unique(np.searchsorted(offsets, np.flatnonzero(odd), side="right") - 1).tolist():
+            out[d] = np.concatenate([np.empty(0, self.dtype), *self._ids(self.split(column[d].as_py()))])
         return out
 
     @staticmethod
@@ -88,19 +97,6 @@ class Encoder:
         return [p if k == 0 else " " + p for k, p in enumerate(_BETWEEN.split(text))]
 
 
-class _Both(dict):
-    """Looks into a second dictionary for what the first has not."""
-
-    def __init__(self, kept: dict, more: dict):
-        self.kept, self.more = kept, more
-
-    def __getitem__(self, part):
-        try:
-            return self.kept[part]
-        except KeyError:
-            return self.more[part]
-
-
 _encoders: dict[str, Encoder] = {}
 
 
