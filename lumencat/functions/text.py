@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 # Stop words, synonym groups (the first word stands for its group) and accented letters of the search rules.
 STOP_WORDS = ("a an the find me some any please sound sounds effect effects sfx audio for of that is like something need i want with and").split()
@@ -82,7 +83,7 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(column: pd.Series) -> pd.Series:
     """Unicode normal form C, which Spark SQL lacks."""
     return column.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
@@ -119,7 +120,7 @@ def damerau_levenshtein(a: str, b: str) -> int:
     return row[-1][-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def distance(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Damerau-Levenshtein distance of two words. For distinct words only: never on a column of whole documents."""
     for a, b in pairs:

@@ -1,0 +1,18 @@
+"""Rules over rows and references."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def broken(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(rule, broken): how many rows break each rule, in one pass."""
+    counts = df.agg(*[F.count_if(c).alias(n) for n, c in rules.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("broken")) for n in rules])).alias("r")).select("r.*")
+
+
+def dangling(df: DataFrame, reference: str, target: DataFrame, key: str, rule: str = "dangling") -> DataFrame:
+    """(rule, broken): rows whose reference has no target."""
+    lost = df.where(F.col(reference).isNotNull()).join(target.select(F.col(key).alias(reference)).distinct(), reference, "left_anti")
+    return lost.agg(F.count("*").alias("broken")).select(F.lit(rule).alias("rule"), "broken")
