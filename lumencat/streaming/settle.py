@@ -1,0 +1,73 @@
+"""Change events of paths: admission, settling after quiet, overflow, and batches by kind.
+
+``settled`` is the batch form over events that are all there; ``settle_stream`` keeps, for each path, its last event and
+emits it once the watermark shows that nothing followed for the quiet time and the same stat was seen twice.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+QUIET_SECONDS = 0.75
+STABLE_SECONDS = 1.0
+MOST_PENDING = 4096
+
+
+def admitted(events: DataFrame, path: str, ignored: str = r"(^|/)(\.[^/]*|~[^/]*|[^/]*\.(tmp|part|crdownload))$") -> DataFrame:
+    """Events of paths that are neither temporary nor the application's own."""
+    return events.where(~F.col(path).rlike(ignored))
+
+
+def settled(events: DataFrame, key: str, at: str, order: str, quiet: float) -> DataFrame:
+    """The events after which a key was quiet, with ``settled_at``. The last event of a key always settles."""
+    following = F.lead(at).over(Window.partitionBy(key).orderBy(at, order))
+    gap = following.cast("double") - F.col(at).cast("double")
+    return events.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") > quiet)).drop("_gap").withColumn("settled_at", (F.col(at).cast("double") + quiet))
+
+
+def overflowed(events: DataFrame, key: str, at: str, window: str, most: int = MOST_PENDING) -> DataFrame:
+    """(window, pending, refresh): windows in which more keys were pending than are kept ask for one full refresh."""
+    w = F.window(at, window).alias("w")
+    return events.groupBy(w).agg(F.approx_count_distinct(key).alias("about"), F.count("*").alias("events")).select(F.col("w.start").alias("start"), "events", (F.col("events") > most).alias("refresh"))
+
+
+def batches(settled_events: DataFrame, kind: str) -> DataFrame:
+    """(kind, n) of settled changes."""
+    return settled_events.groupBy(kind).agg(F.count("*").alias("n"))
+
+
+_STATE = "first double, last double, value double, count int"
+
+
+def settle_stream(events: DataFrame, key: str, at: str, quiet: float, delay: str) -> DataFrame:
+    """(key, settled_at, events, value) of a stream (key, at, value): emitted when a key has been quiet in event time."""
+
+    def step(path: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            _, last, value, count = state.get
+            state.remove()
+            yield pd.DataFrame({"key": [str(path[0])], "settled_at": [last + quiet], "events": [count], "value": [value]})
+            return
+        first, last, value, count = state.get if state.exists else (None, None, None, 0)
+        done = []
+        rows = pd.concat(list(parts)).sort_values("at")
+        for t, v in zip(rows["at"], rows["value"], strict=True):
+            if last is not None and t - last > quiet:
+                done.append((last + quiet, count, value))
+                first, count = None, 0
+            if last is None or t >= last:
+                last, value = t, v
+            first = t if first is None else min(first, t)
+            count += 1
+        state.update((first, last, value, count))
+        state.setTimeoutTimestamp(max(int((last + quiet) * 1000), state.getCurrentWatermarkMs() + 1))
+        if done:
+            yield pd.DataFrame({"key": [str(path[0])] * len(done), "settled_at": [d[0] for d in done], "events": [d[1] for d in done], "value": [d[2] for d in done]})
+
+    prepared = events.withWatermark(at, delay).select(F.col(key).cast("string").alias("key"), F.col(at).cast("double").alias("at"), F.col("value").cast("double").alias("value"), F.col(at).alias("_event"))
+    return prepared.groupBy("key").applyInPandasWithState(step, "key string, settled_at double, events int, value double", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
