@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumencat.operators import dedup, merge, tags
+from lumencat.operators import dedup, merge, tags, timeseries
 from lumencat.plans.registry import Tables, query
 from lumencat.plans.relational import ASSETS, assets
-from lumencat.sources import files, generation, images, portable
+from lumencat.sources import files, generation, images, pcm, portable
 from lumencat.streaming import settle
 
 # -- scans -----------------------------------------------------------------------------------------------------
@@ -88,6 +90,47 @@ def portable_preview(spark: SparkSession, d: str) -> DataFrame:
     return p.select("new", "known", F.col("invalid").cast("int").alias("invalid"))
 
 
+@query("SRC-08", "select doc_id, n_chars as size, md5(text) as digest from documents")
+def snapshot_read(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots written as JSON lines and read with their schema."""
+    path = _scratch(spark, "snapshot")
+    entry = F.struct(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), F.lit(0).cast("long").alias("modified"), F.md5("text").alias("digest"))
+    Tables(spark, d).documents.select(F.to_json(F.struct(F.lit("snapshot/1").alias("schema"), F.lit(1).alias("revision"), F.array(entry).alias("entries"))).alias("value")).write.text(path)
+    return portable.snapshot(spark, path, multi_line=False).select(F.col("path").cast("long").alias("doc_id"), "size", "digest")
+
+
+@query("SRC-10", f"select id, relative_path, title, 'pending' as status from {_CATALOG} c where cast(id as integer) % 10 <> 0")
+def legacy_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """Legacy documents; those whose stated total is not theirs are left out."""
+    path = _scratch(spark, "legacy")
+    c = catalog(Tables(spark, d))
+    sound = F.struct("id", "source_id", "relative_path", "title", F.lit("").alias("description"), "user_tags", "comment", "favorite")
+    total = F.when(F.col("id").cast("int") % 10 == 0, 2).otherwise(1)
+    c.select(F.to_json(F.struct(F.lit(portable.LEGACY_NAME).alias("schema"), total.alias("total_sounds"), F.array(sound).alias("sounds"))).alias("value")).write.text(path)
+    return portable.legacy(spark, path, multi_line=False).select("id", "relative_path", "title", "status")
+
+
+@query("SRC-11", "select vec_id, generate_subscripts(embedding, 1) - 1 as frame, cast(unnest(embedding) as double) as value from embeddings")
+def decode_pcm(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors laid out as WAVE files and decoded to frames."""
+
+    def lay_out(batches):
+        for b in batches:
+            content = [pcm.wav_bytes(np.array(v), 48_000) for v in b.column("embedding").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.string()), pa.array(content, pa.binary())], ["path", "content"])
+
+    wavs = Tables(spark, d).embeddings.select("vec_id", "embedding").mapInArrow(lay_out, "path string, content binary")
+    return pcm.frames(wavs).select(F.col("path").cast("long").alias("vec_id"), "frame", "value")
+
+
+@query("SRC-16", "select user_id, frame // 8 as bucket, min(value) as low, max(value) as high from (select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as frame from events) f group by 1, 2")
+def waveform_cache(spark: SparkSession, d: str) -> DataFrame:
+    """A level of buckets kept as Parquet and read back."""
+    path = _scratch(spark, "waveform")
+    timeseries.buckets(timeseries.numbered_frames(Tables(spark, d).events, "user_id", ["ts", "event_id"]), ["user_id"], 8).write.parquet(path)
+    return spark.read.parquet(path).select("user_id", "bucket", "low", "high")
+
+
 @query("SRC-12", "select p_partkey, 'png' as format, p_size + 1 as width, p_size * 2 + 3 as height, p_size % 2 = 0 as alpha from part")
 def image_headers(spark: SparkSession, d: str) -> DataFrame:
     """PNG headers made of part sizes, decoded again."""

@@ -39,6 +39,13 @@ def wav(b: bytes) -> tuple[int, np.ndarray]:
     raise ValueError("no samples")
 
 
+def wav_bytes(values: np.ndarray, rate: int, channels: int = 1) -> bytes:
+    """A RIFF file of 32-bit floating samples."""
+    data = np.ascontiguousarray(values, "<f4").tobytes()
+    head = struct.pack("<HHIIHH", 3, channels, rate, rate * channels * 4, channels * 4, 32)
+    return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<I", 16) + head + b"data" + struct.pack("<I", len(data)) + data
+
+
 def frames(files: DataFrame) -> DataFrame:
     """(path, rate, channel, frame, value) of files (path, content); a file leaves its task in bounded batches."""
 

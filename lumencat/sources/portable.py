@@ -42,15 +42,15 @@ def imported(incoming: DataFrame, existing: DataFrame, roots: dict[str, str]) ->
     return existing.unionByName(new.join(existing.select("source_id", "relative_path"), ["source_id", "relative_path"], "left_anti").dropDuplicates(["source_id", "relative_path"]).select(*existing.columns))
 
 
-def legacy(spark: SparkSession, path: str) -> DataFrame:
-    """Sounds of a legacy document, whose stated total must be theirs."""
-    d = spark.read.schema(LEGACY).option("multiLine", True).json(path).where((F.col("schema") == LEGACY_NAME) & (F.col("total_sounds") == F.size("sounds")))
+def legacy(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Sounds of legacy documents (a file each, or a line each), whose stated total must be theirs."""
+    d = spark.read.schema(LEGACY).option("multiLine", multi_line).json(path).where((F.col("schema") == LEGACY_NAME) & (F.col("total_sounds") == F.size("sounds")))
     return d.select(F.explode("sounds").alias("s")).select("s.id", "s.source_id", "s.relative_path", "s.title", F.lit("pending").alias("status"), F.coalesce("s.user_tags", F.array().cast("array<string>")).alias("user_tags"), F.coalesce("s.comment", F.lit("")).alias("comment"), F.coalesce("s.favorite", F.lit(False)).alias("favorite"))
 
 
-def snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a folder's snapshot."""
-    d = spark.read.schema(SNAPSHOT).option("multiLine", True).json(path)
+def snapshot(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Entries of folder snapshots (a file each, or a line each)."""
+    d = spark.read.schema(SNAPSHOT).option("multiLine", multi_line).json(path)
     return d.select("revision", F.explode("entries").alias("e")).select("revision", "e.*")
 
 
