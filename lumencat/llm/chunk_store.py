@@ -41,32 +41,34 @@ from lumencat.llm.tokens import END_ID, encoder, vocabulary_path
 WINDOW_IDS = 16
 MASK = (1 << 9) - 1
 LEAST, MOST = 64, 4096
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 24 << 20
 
 _U = np.uint64
 _GEAR = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the rolling hash of the WINDOW_IDS ids before has its masked bits 0, LEAST to MOST ids apart."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    g = _GEAR[ids.astype(np.int64) & 0xFFFF]
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Positions in a stream of ids where the rolling hash of the WINDOW_IDS ids before has its masked bits 0."""
+    h = _GEAR[ids.astype(np.int64) & 0xFFFF]
     # sum over the window of gear << age, by doubling: each step joins two halves of the window
     span = 1
     while span < WINDOW_IDS:
-        shifted = np.zeros_like(g)
-        shifted[span:] = g[:-span] << _U(span)
-        g = g + shifted
+        h[span:] += h[:-span] << _U(span)
         span *= 2
-    marks = np.flatnonzero((g >> _U(20)) & _U(MASK) == 0) + 1
+    return np.flatnonzero((h >> _U(20)) & _U(MASK) == 0) + 1
+
+
+def cut_points(found: list[int], n: int) -> list[int]:
+    """Ends of a document's chunks: at its marks, LEAST to MOST ids apart, and at n.
+
+    A mark before LEAST is never taken, so ids of another document ahead in the stream have no influence.
+    """
     ends, last = [], 0
-    for m in [*marks.tolist(), n]:
+    for m in [*found, n]:
         while m - last > MOST:
             last += MOST
             ends.append(last)
-        if m - last >= LEAST or m == n:
+        if m - last >= LEAST or m == n and m > last:
             ends.append(m)
             last = m
     return ends
@@ -105,11 +107,18 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
         for whole in batches:
             for b in pieces(iter([whole]), BATCH_BYTES, "text"):
                 rows: list[tuple] = []
-                for doc, ids in zip(b.column("doc_id").to_pylist(), e.encode(b.column("text").to_pylist()), strict=True):
-                    ids = np.append(ids, e.dtype.type(END_ID))
-                    raw, at, digests, lengths = ids.tobytes(), 0, [], []
-                    for end in cut_points(ids):
-                        content = raw[at * ids.itemsize : end * ids.itemsize]
+                end_id = np.array([END_ID], e.dtype)
+                encoded = [part for ids in e.encode(b.column("text")) for part in (ids, end_id)]
+                sizes = np.array([len(p) for p in encoded], np.int64).reshape(-1, 2).sum(axis=1)
+                stream = np.concatenate(encoded)
+                raw, width = stream.tobytes(), e.dtype.itemsize
+                cuts = marks(stream)
+                opens = np.cumsum(sizes) - sizes
+                lo, hi = np.searchsorted(cuts, opens, side="right").tolist(), np.searchsorted(cuts, opens + sizes).tolist()
+                for k, (doc, n, base) in enumerate(zip(b.column("doc_id").to_pylist(), sizes.tolist(), opens.tolist(), strict=True)):
+                    at, digests, lengths = 0, [], []
+                    for end in cut_points((cuts[lo[k] : hi[k]] - base).tolist(), n):
+                        content = raw[(base + at) * width : (base + end) * width]
                         d = digest(content)
                         digests.append(d)
                         lengths.append(end - at)
@@ -120,24 +129,16 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
                             sent.add(d)
                             rows.append(("chunk", int.from_bytes(d[:8], "little", signed=True), None, None, None, None, d, content))
                     number += 1
-                    rows.append(("recipe", (task * 0x9E3779B1 + number * 0x85EBCA77) & 0x7FFFFFFF, doc, len(ids), digests, lengths, None, None))
+                    rows.append(("recipe", (task * 0x9E3779B1 + number * 0x85EBCA77) & 0x7FFFFFFF, doc, n, digests, lengths, None, None))
                 yield _rows(rows)
 
-    def keep_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by digest, so equal chunks are neighbours."""
-        last = None
-        for b in batches:
-            same = []
-            for d in b.column("digest").to_pylist():
-                same.append(d is None or d != last)
-                last = d
-            yield b.filter(pa.array(same, pa.bool_()))
-
     spark = docs.sparkSession
     staged = texts(docs, key, text).mapInArrow(chunk, _ROW)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    one = staged.repartition(n, "place").sortWithinPartitions("kind", "digest").mapInArrow(keep_one, _ROW)
-    one.drop("place").write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/staged")
+    # a chunk's place is part of its digest: equal chunks are neighbours in the window
+    before = F.lag("digest").over(Window.partitionBy("place").orderBy("digest"))
+    one = staged.repartition(n, "place").withColumn("before", before).where("kind = 'recipe' or before is null or before <> digest")
+    one.drop("place", "before").write.partitionBy("kind").parquet(f"{path}/staged")
     _publish(spark, path)
 
 
