@@ -157,7 +157,9 @@ def captures(spark: SparkSession, path: str, with_payload: bool = False) -> Data
     page = F.regexp_extract(F.col("metadata.fields"), r"(?:^|\n)page_id: *(-?\d+)", 1)
     one = main.join(asked, main.record_id == asked.asked, "left").join(told, main.record_id == told.told, "left").withColumn("page_id", F.when(page != "", page.cast("long"))).drop("asked", "told")
     origin = one.where("kind = 'response'").groupBy(F.col("record_id").alias("origin")).agg(F.min("page_id").alias("refers_to_page"), F.min("payload_bytes").alias("origin_bytes"), F.min("payload_digest").alias("origin_digest"), F.bool_and("sound").alias("origin_sound"))
-    whole = one.join(origin, one.refers_to == origin.origin, "left")
+    # records that refer to nothing get a key of their own: nulls would all meet in one task
+    key = F.coalesce("refers_to", F.concat(F.lit("-"), F.col("record_id")))
+    whole = one.withColumn("key", key).join(origin, F.col("key") == F.col("origin"), "left")
     revisit = F.col("kind") == "revisit"
     return whole.select(
         "page_id", F.col("uri").alias("url"), "record_id", F.col("kind").alias("record_type"),
