@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumencat.functions.text import plain_words, words
+from lumencat.operators.storage import stored
 
 
 def lexical_rank(docs: DataFrame, text: str, key: str, column: str) -> DataFrame:
@@ -23,12 +24,17 @@ def percentile(values: Column, p: int) -> Column:
 
 
 def ranked_percentiles(df: DataFrame, value: str, group: list[str], ps: list[int]) -> DataFrame:
-    """The same percentiles of groups of any size: by row numbers, so that no group is gathered into one value."""
-    n = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*group).orderBy(value)
-    r = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(order)).join(n, group)
+    """The same percentiles of groups of any size. Rows are dealt out by ranges of (group, value), so no task holds a whole group;
+    a row's place is its place in its range plus the sizes of the group's ranges before."""
+    ranged = df.where(F.col(value).isNotNull()).select(*group, value).repartitionByRange(*group, value).withColumn("_part", F.spark_partition_id())
+    ranged = stored(ranged, "ranges")
+    sizes = ranged.groupBy(*group, "_part").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(before), F.lit(0)), "_n": F.sum("_size").over(Window.partitionBy(*group))})
+    local = ranged.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(value)))
+    placed = local.join(sizes, [*group, "_part"]).withColumn("_r", F.col("_r") + F.col("_before"))
     at = lambda p: F.ceil((F.col("_n") - 1) * p / 100) + 1
-    return r.groupBy(*group).agg(*[F.max(F.when(F.col("_r") == at(p), F.col(value))).alias(f"p{p}") for p in ps])
+    return placed.groupBy(*group).agg(*[F.max(F.when(F.col("_r") == at(p), F.col(value))).alias(f"p{p}") for p in ps])
 
 
 def mentions(text_words: Column, phrase: Column) -> Column:

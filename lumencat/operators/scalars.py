@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumencat.operators.storage import stored
+
 
 def _div(a: Column, b: Column | int) -> Column:
     return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
@@ -51,6 +53,7 @@ def layout_class(channels: Column) -> Column:
 def evenly_spaced(df: DataFrame, key: str, most: int) -> DataFrame:
     """Every ceil(n / most)-th row in the key's order, with ``total``. Positions come from counts of key ranges, not from one sorted task."""
     ranged = df.repartitionByRange(key).sortWithinPartitions(key).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    ranged = stored(ranged, "ranges")
     local = ranged.withColumn("_row", F.col("_id").bitwiseAND((1 << 33) - 1))
     sizes = [(r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()]  # one row for each partition
     total = sum(n for _, n in sizes)

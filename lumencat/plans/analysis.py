@@ -130,13 +130,13 @@ def caption_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NEAR = """(select q.vec_id as query, v.vec_id as item, q.label as ql, v.label as vl, row_number() over (partition by q.vec_id order by list_inner_product(q.embedding, v.embedding) desc, v.vec_id) as rank
-  from (select * from embeddings where vec_id < 20) q, embeddings v where v.vec_id <> q.vec_id)"""
+  from (select * from embeddings where vec_id % 20 = 0) q, embeddings v where v.vec_id <> q.vec_id)"""
 
 
 @query("AGG-23", f"select count(*) as queries, round(avg(found / least(size, 5)), 6) as recall, round(avg(1.0 / first), 6) as mrr from (select query, count(*) filter (rank <= 5 and ql = vl) as found, count(*) filter (ql = vl) as size, min(case when ql = vl then rank end) as first from {_NEAR} n group by query) x")
 def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
     e = Tables(spark, d).embeddings
-    asked = e.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
     ranking = vectors.ranking(asked, e.select(F.col("vec_id").alias("item"), "embedding"), own=False)
     relevant = asked.join(e, F.col("ql") == F.col("label")).where("query <> vec_id").select("query", F.col("vec_id").alias("item"))
     s = E.retrieval_scores(ranking, relevant, asked.select("query", F.lit(True).alias("in_domain")))
@@ -203,17 +203,17 @@ def normalise(spark: SparkSession, d: str) -> DataFrame:
     return Tables(spark, d).embeddings.select("vec_id", F.round(vectors.norm(n), 5).alias("norm"))
 
 
-@query("VEC-02", f"select query, item, rank from (select query, item, cast(rank as integer) as rank, similarity from (select q.vec_id as query, v.vec_id as item, list_inner_product(q.embedding, v.embedding) as similarity, row_number() over (partition by q.vec_id order by list_inner_product(q.embedding, v.embedding) desc, v.vec_id) as rank from (select * from embeddings where vec_id < 20) q, embeddings v) n) x where rank <= 10 and similarity >= 0.2")
+@query("VEC-02", f"select query, item, rank from (select query, item, cast(rank as integer) as rank, similarity from (select q.vec_id as query, v.vec_id as item, list_inner_product(q.embedding, v.embedding) as similarity, row_number() over (partition by q.vec_id order by list_inner_product(q.embedding, v.embedding) desc, v.vec_id) as rank from (select * from embeddings where vec_id % 20 = 0) q, embeddings v) n) x where rank <= 10 and similarity >= 0.2")
 def cosine_top_k(spark: SparkSession, d: str) -> DataFrame:
     e = Tables(spark, d).embeddings
-    asked = e.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
     return vectors.top_k(asked, e.select(F.col("vec_id").alias("item"), "embedding"), 10, 0.2).select("query", "item", "rank")
 
 
-@query("VEC-03", f"with n as (select * from (select query, ql, vl, rank, similarity from (select q.vec_id as query, q.label as ql, v.label as vl, list_inner_product(q.embedding, v.embedding) as similarity, row_number() over (partition by q.vec_id order by list_inner_product(q.embedding, v.embedding) desc, v.vec_id) as rank from (select * from embeddings where vec_id < 20) q, embeddings v where v.vec_id <> q.vec_id) y) z where rank <= 5), c as (select c / 100.0 as cutoff, count(*) filter (ql = vl and similarity >= c / 100.0) as kept, count(*) filter (ql = vl) as uncut from n, range(0, 100) r(c) group by c) select cast(max(cutoff) as double) as cutoff from c where kept >= 0.95 * uncut")
+@query("VEC-03", f"with n as (select * from (select query, ql, vl, rank, similarity from (select q.vec_id as query, q.label as ql, v.label as vl, list_inner_product(q.embedding, v.embedding) as similarity, row_number() over (partition by q.vec_id order by list_inner_product(q.embedding, v.embedding) desc, v.vec_id) as rank from (select * from embeddings where vec_id % 20 = 0) q, embeddings v where v.vec_id <> q.vec_id) y) z where rank <= 5), c as (select c / 100.0 as cutoff, count(*) filter (ql = vl and similarity >= c / 100.0) as kept, count(*) filter (ql = vl) as uncut from n, range(0, 100) r(c) group by c) select cast(max(cutoff) as double) as cutoff from c where kept >= 0.95 * uncut")
 def tuned_cutoff(spark: SparkSession, d: str) -> DataFrame:
     e = Tables(spark, d).embeddings
-    asked = e.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
     near = vectors.ranking(asked, e.select(F.col("vec_id").alias("item"), "embedding", "label"), own=False, k=5)
     return vectors.cutoff(near.withColumn("hit", F.col("ql") == F.col("label")), 0.95)
 
@@ -226,9 +226,9 @@ def embedding_text(spark: SparkSession, d: str) -> DataFrame:
 # -- scalar functions ------------------------------------------------------------------------------------------
 
 
-@query("SCL-01", "select page_id, trim(regexp_replace(replace(url, '_', ' '), '\\s+', ' ', 'g')) as tag, lower(url) as key, octet_length(encode(url)) as bytes, regexp_matches(url, '^https?://') as web from pages where length(url) <= 64")
+@query("SCL-01", "select page_id, case when length(trim(regexp_replace(replace(url, '_', ' '), '\\s+', ' ', 'g'))) <= 64 then trim(regexp_replace(replace(url, '_', ' '), '\\s+', ' ', 'g')) end as tag, lower(url) as key, octet_length(encode(url)) as bytes, regexp_matches(url, '^https?://') as web from pages")
 def strings(spark: SparkSession, d: str) -> DataFrame:
-    return Tables(spark, d).pages.where(F.length("url") <= 64).select("page_id", T.display_tag(F.col("url")).alias("tag"), T.tag_key(F.col("url")).alias("key"), F.octet_length("url").cast("long").alias("bytes"), F.col("url").rlike("^https?://").alias("web"))
+    return Tables(spark, d).pages.select("page_id", T.display_tag(F.col("url")).alias("tag"), T.tag_key(F.col("url")).alias("key"), F.octet_length("url").cast("long").alias("bytes"), F.col("url").rlike("^https?://").alias("web"))
 
 
 @query("SCL-02", "select vec_id, len(list_distinct(list_transform(embedding, lambda x: round(x, 1)))) as distinct_values, round(list_sum(list_transform(embedding, lambda x: cast(x as double) * x)), 4) as dot from embeddings")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumencat.operators import dedup, merge, tags, timeseries
+from lumencat.operators.storage import scratch
 from lumencat.plans.registry import Tables, query
 from lumencat.plans.relational import ASSETS, assets
 from lumencat.sources import files, generation, images, pcm, portable
@@ -63,22 +64,10 @@ def catalog(t: Tables) -> DataFrame:
     return t.documents.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("relative_path"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.lit("ready").alias("status"), F.array("lang").alias("user_tags"), F.md5("text").alias("comment"), (F.col("doc_id") % 50 == 0).alias("favorite"))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lumencat-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lumencat-{name}-{uuid.uuid4().hex}"
-
-
 @query("SNK-14", f"select id, source_id, relative_path, title, tags from {_CATALOG} c")
 def portable_export(spark: SparkSession, d: str) -> DataFrame:
     """Written as portable JSON and read back."""
-    path = _scratch(spark, "portable")
+    path = scratch(spark, "portable")
     portable.write_catalog(catalog(Tables(spark, d)), path)
     return portable.read_catalog(spark, path).where("problem is null").select("id", "source_id", "relative_path", "title", F.array_join("user_tags", ",").alias("tags"))
 
@@ -93,7 +82,7 @@ def portable_preview(spark: SparkSession, d: str) -> DataFrame:
 @query("SRC-08", "select doc_id, n_chars as size, md5(text) as digest from documents")
 def snapshot_read(spark: SparkSession, d: str) -> DataFrame:
     """Snapshots written as JSON lines and read with their schema."""
-    path = _scratch(spark, "snapshot")
+    path = scratch(spark, "snapshot")
     entry = F.struct(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), F.lit(0).cast("long").alias("modified"), F.md5("text").alias("digest"))
     Tables(spark, d).documents.select(F.to_json(F.struct(F.lit("snapshot/1").alias("schema"), F.lit(1).alias("revision"), F.array(entry).alias("entries"))).alias("value")).write.text(path)
     return portable.snapshot(spark, path, multi_line=False).select(F.col("path").cast("long").alias("doc_id"), "size", "digest")
@@ -102,7 +91,7 @@ def snapshot_read(spark: SparkSession, d: str) -> DataFrame:
 @query("SRC-10", f"select id, relative_path, title, 'pending' as status from {_CATALOG} c where cast(id as integer) % 10 <> 0")
 def legacy_catalogue(spark: SparkSession, d: str) -> DataFrame:
     """Legacy documents; those whose stated total is not theirs are left out."""
-    path = _scratch(spark, "legacy")
+    path = scratch(spark, "legacy")
     c = catalog(Tables(spark, d))
     sound = F.struct("id", "source_id", "relative_path", "title", F.lit("").alias("description"), "user_tags", "comment", "favorite")
     total = F.when(F.col("id").cast("int") % 10 == 0, 2).otherwise(1)
@@ -126,7 +115,7 @@ def decode_pcm(spark: SparkSession, d: str) -> DataFrame:
 @query("SRC-16", "select user_id, frame // 8 as bucket, min(value) as low, max(value) as high from (select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as frame from events) f group by 1, 2")
 def waveform_cache(spark: SparkSession, d: str) -> DataFrame:
     """A level of buckets kept as Parquet and read back."""
-    path = _scratch(spark, "waveform")
+    path = scratch(spark, "waveform")
     timeseries.buckets(timeseries.numbered_frames(Tables(spark, d).events, "user_id", ["ts", "event_id"]), ["user_id"], 8).write.parquet(path)
     return spark.read.parquet(path).select("user_id", "bucket", "low", "high")
 
@@ -305,7 +294,7 @@ def dirty_counts(spark: SparkSession, d: str) -> DataFrame:
 def folder_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """Snapshots of the folders with changes: written by folder, read back."""
     docs = Tables(spark, d).documents.select("source", "doc_id", "n_chars")
-    path = _scratch(spark, "snapshots")
+    path = scratch(spark, "snapshots")
     docs.join(docs.where("doc_id % 3 = 0").select("source").distinct(), "source", "left_semi").repartition("source").write.partitionBy("source").parquet(path)
     return spark.read.parquet(path).groupBy(F.col("source").cast("string").alias("source")).agg(F.max("doc_id").alias("revision"), F.count("*").alias("entries"))
 
@@ -313,7 +302,7 @@ def folder_snapshots(spark: SparkSession, d: str) -> DataFrame:
 @query("SNK-18", "select count(*) as n, cast(sum(n_chars) as bigint) as total from documents")
 def backup(spark: SparkSession, d: str) -> DataFrame:
     """A table copied and the copy counted."""
-    path = _scratch(spark, "backup")
+    path = scratch(spark, "backup")
     Tables(spark, d).documents.write.parquet(path)
     return spark.read.parquet(path).agg(F.count("*").alias("n"), F.sum("n_chars").alias("total"))
 
@@ -386,7 +375,7 @@ def settle_streaming(spark: SparkSession, d: str) -> DataFrame:
     """The same by a stateful stream over the events table, run until its input is used up."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*events*.parquet").parquet(d if not d.endswith(".parquet") else d)
-    out, state = _scratch(spark, "settled"), _scratch(spark, "state")
+    out, state = scratch(spark, "settled"), scratch(spark, "state")
     s = settle.settle_stream(source.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 43_200, "1 hour")
     run = s.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
