@@ -1,10 +1,11 @@
 """Operator 2: substring deduplication by hashing the units of a text.
 
-A text is cut into lines and each line into sentences. A unit is normalised (case and punctuation at word edges are
-ignored, white space is one space) and hashed to 128 bits. Digests are grouped globally and the earliest occurrence, by
-(document id, unit number), is kept. Every later occurrence is a repeat. Repeats that follow one another, with units of
-under MIN_UNIT_WORDS words between them, form a run; runs of at least ``min_words`` words are removed. So long passages
-go even when other text surrounds them, while a lone "Yes." stays.
+A text is cut into lines and each line into sentences. A unit is normalised (case and punctuation at its edges are
+ignored, white space is one space) and hashed to 128 bits; a unit of under MIN_UNIT_WORDS words is hashed with the units
+after it until they have CONTEXT_WORDS words, so that "Yes." alone is never a repeat. Digests are grouped globally and the
+earliest occurrence, by (document id, unit number), is kept. Every later occurrence is a repeat. Repeats that follow one
+another, with units without a digest between them, form a run; runs of at least ``min_words`` words are removed. So long
+passages go even when other text surrounds them.
 
 The result keeps the offsets of what was removed and of what was kept, counted in characters of the original text.
 
@@ -33,13 +34,14 @@ from pyspark.sql.types import StructType
 from lumencat.llm.common import stored, table
 
 MIN_UNIT_WORDS = 3
+CONTEXT_WORDS = 6
 MIN_RUN_WORDS = 10
 _END = re.compile(r"(?<=[.!?…])[ \t]+|[ \t]*\n\s*")
 _EDGE = " \t\r\f\v.,;:!?…\"'()[]{}«»“”‘’*#-"
 
 
 def units(text: str) -> list[tuple[int, int, int, str]]:
-    """(start, end, words, normalised form) of each line's sentences, blank ones left out."""
+    """(start, end, words, what is hashed) of each line's sentences, blank ones left out; too little text at the end has no form."""
     out, start = [], 0
     for m in _END.finditer(text):
         if m.start() > start:
@@ -52,6 +54,13 @@ def units(text: str) -> list[tuple[int, int, int, str]]:
         words = text[a:b].lower().split()
         if words:
             found.append((a, b, len(words), " ".join(words).strip(_EDGE)))
+    for k, (a, b, n, form) in enumerate(found):
+        if n < MIN_UNIT_WORDS:
+            j = k + 1
+            while n < CONTEXT_WORDS and j < len(found):
+                n, form = n + found[j][2], f"{form} {found[j][3]}"  # later units still have their own forms
+                j += 1
+            found[k] = (a, b, found[k][2], form if n >= CONTEXT_WORDS else "")
     return found
 
 
@@ -69,8 +78,8 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hi, lo, doc, no = [], [], [], []
         for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             seen: set[str] = set()
-            for k, (_, _, n, form) in enumerate(units(text or "")):
-                if n >= MIN_UNIT_WORDS and form not in seen:
+            for k, (_, _, _, form) in enumerate(units(text or "")):
+                if form and form not in seen:
                     seen.add(form)
                     x, y = _digest(form)
                     hi.append(x)
@@ -85,7 +94,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def runs(found: list[tuple[int, int, int, str]], repeat: list[bool], min_words: int) -> list[tuple[int, int]]:
-    """Spans of the runs of repeats that hold min_words words; short units inside a run belong to it."""
+    """Spans of the runs of repeats that hold min_words words; units without a form inside a run belong to it."""
     spans = []
     k, n = 0, len(found)
     while k < n:
@@ -93,7 +102,7 @@ def runs(found: list[tuple[int, int, int, str]], repeat: list[bool], min_words:
             k += 1
             continue
         last, words, j = k, 0, k
-        while j < n and (repeat[j] or found[j][2] < MIN_UNIT_WORDS):
+        while j < n and (repeat[j] or not found[j][3]):
             if repeat[j]:
                 last = j
             j += 1
@@ -112,12 +121,9 @@ def cut(text: str | None, seen_before: np.ndarray | None, min_words: int) -> tup
     before = set() if seen_before is None else set(seen_before)
     own: dict[str, bool] = {}
     repeat = []
-    for k, (_, _, n, form) in enumerate(found):
-        if n < MIN_UNIT_WORDS:
-            repeat.append(False)
-        else:
-            repeat.append(form in own or k in before)
-            own[form] = True
+    for k, (_, _, _, form) in enumerate(found):
+        repeat.append(form != "" and (form in own or k in before))
+        own[form] = True
     gone = runs(found, repeat, min_words)
     kept, at = [], 0
     for a, b in gone:

@@ -101,11 +101,9 @@ def brute_cut(rows, min_words):
             continue
         found = line_dedup.units(text)
         repeat, own = [], set()
-        for _, _, n, form in found:
-            again = n >= line_dedup.MIN_UNIT_WORDS and (form in seen or form in own)
-            repeat.append(again)
-            if n >= line_dedup.MIN_UNIT_WORDS:
-                own.add(form)
+        for _, _, _, form in found:
+            repeat.append(form != "" and (form in seen or form in own))
+            own.add(form)
         seen |= own
         gone = line_dedup.runs(found, repeat, min_words)
         left, at = "", 0
