@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumencat.operators import dedup, merge, tags, timeseries
+from lumencat.operators import dedup, merge, moves, tags, timeseries
 from lumencat.operators.storage import scratch
 from lumencat.plans.registry import Tables, query
 from lumencat.plans.relational import ASSETS, assets
@@ -260,8 +260,7 @@ _MOVES = f"(select m.id as missing, p.id as present from {ASSETS} m join {ASSETS
 @query("SNK-11", f"select missing, min(present) as present from {_MOVES} x group by missing")
 def reconcile_moves(spark: SparkSession, d: str) -> DataFrame:
     a = assets(Tables(spark, d)).select("id", "digest", "quality")
-    present = a.where("id % 2 = 1 and quality is null").select("digest", F.col("id").alias("present"))
-    return a.where("id % 2 = 0").select("digest", F.col("id").alias("missing")).join(present, "digest").groupBy("missing").agg(F.min("present").alias("present"))
+    return moves.candidates(a.where("id % 2 = 0"), a.where("id % 2 = 1 and quality is null")).select(F.col("id").alias("missing"), F.col("first").alias("present"))
 
 
 @query("SNK-12", "select c_custkey, case when c_custkey in (select o_custkey from orders) then c_mktsegment else 'missing' end as status from customer")
@@ -327,11 +326,10 @@ def retention(spark: SparkSession, d: str) -> DataFrame:
     return merge.retained(Tables(spark, d).events, [F.desc("ts"), F.desc("event_id")], 5, ["user_id"]).select("user_id", "event_id")
 
 
-@query("SNK-22", f"select a.id, b.id as relinked from {ASSETS} a join {ASSETS} b on b.digest = a.digest and b.source <> a.source where a.source = 'src1'")
+@query("SNK-22", f"select a.id, min(b.id) as relinked, count(*) as n from {ASSETS} a join {ASSETS} b on b.digest = a.digest and b.source <> a.source where a.source = 'src1' group by a.id")
 def relink(spark: SparkSession, d: str) -> DataFrame:
     a = assets(Tables(spark, d)).select("id", "digest", "source")
-    other = a.where("source <> 'src1'").select("digest", F.col("id").alias("relinked"))
-    return a.where("source = 'src1'").join(other, "digest").select("id", "relinked")
+    return moves.candidates(a.where("source = 'src1'"), a.where("source <> 'src1'")).select("id", F.col("first").alias("relinked"), "n")
 
 
 @query("SNK-23", f"select min(id) as id, 'old/' || min(id) as old_path, 'new/' || min(id) as new_path from {ASSETS} a where id % 2 = 0 group by digest having count(*) = 1")

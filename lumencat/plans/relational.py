@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumencat.functions.text import ascii_lower
-from lumencat.operators import paging
+from lumencat.operators import moves, paging
 from lumencat.plans.registry import Tables, query
 
 
@@ -176,11 +176,10 @@ def driven_by_matches(spark: SparkSession, d: str) -> DataFrame:
     return t.part.where("p_brand = 'Brand#7' and p_size < 10").join(t.lineitem, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "l_linenumber", "p_name")
 
 
-@query("JN-08", f"select m.id as missing, p.id as present from {ASSETS} m join {ASSETS} p on p.digest = m.digest and p.id <> m.id where m.id % 2 = 0 and p.id % 2 = 1")
+@query("JN-08", f"select m.id as missing, count(*) as n, min(p.id) as first from {ASSETS} m join {ASSETS} p on p.digest = m.digest and p.id <> m.id where m.id % 2 = 0 and p.id % 2 = 1 group by m.id")
 def move_candidates(spark: SparkSession, d: str) -> DataFrame:
     a = assets(Tables(spark, d)).select("id", "digest")
-    missing, present = a.where("id % 2 = 0").withColumnRenamed("id", "missing"), a.where("id % 2 = 1").withColumnRenamed("id", "present")
-    return missing.join(present, "digest").where("missing <> present").select("missing", "present")
+    return moves.candidates(a.where("id % 2 = 0"), a.where("id % 2 = 1")).select(F.col("id").alias("missing"), "n", "first")
 
 
 @query("JN-09", f"select a.id, exists (select 1 from {ASSETS} b where b.digest = a.digest and b.source = a.source and b.id <> a.id) as same_file from {ASSETS} a")
