@@ -70,9 +70,11 @@ def interpret(q: TextQuery) -> Interpretation:
         minus, quoted = bool(m[1]), m[2] if m[2] is not None else m[3]
         if quoted is not None:
             phrase = quoted.strip()
-            if phrase:
-                _add(out.excluded if minus or negate else out.phrases, phrase)
-                negate = negate and not minus and phrase in out.phrases
+            if phrase and (minus or negate):
+                _add(out.excluded, phrase)
+                negate = False
+            elif phrase:
+                _add(out.phrases, phrase)
             continue
         for word in plain_words(_INNER_APOSTROPHE.sub("", m[4])):
             term = CANONICAL.get(word, word)

@@ -12,6 +12,12 @@ def test_durations_phrases_negations_and_stop_words():
     assert (i.min_duration, i.max_duration) == (0.5, 3.0)
 
 
+def test_a_negation_reaches_one_phrase():
+    i = interpret(TextQuery(text='"old gate" not "old gate" "new door"'))
+    assert (i.phrases, i.excluded) == (["old gate", "new door"], ["old gate"])
+    assert interpret(TextQuery(text='- rain "" \'open')).terms == ["rain"]
+
+
 def test_minutes_tightest_bound_and_short():
     i = interpret(TextQuery(text="under 2 minutes below 90 seconds", max_duration=100.0))
     assert i.max_duration == 90.0
