@@ -29,7 +29,7 @@ from lumencat.llm.common import pieces, stored, table, texts
 ROW_PIXELS = 16
 ROW_BYTES = 4 * ROW_PIXELS
 STRIP_ROWS = 256
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 5 << 20
 
 
 def padded(payload: bytes) -> bytes:

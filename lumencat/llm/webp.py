@@ -75,7 +75,6 @@ class Codes:
     def of(lengths: np.ndarray) -> Codes:
         """From a row of code lengths for each code. A code of one symbol has length 0; one of none gives symbol 0."""
         used = (lengths > 0).sum(axis=1)
-        bits = int(lengths.max(initial=0))
         rows, symbols = np.nonzero(lengths)
         size = lengths[rows, symbols].astype(np.int64)
         size[used[rows] == 1] = 0
@@ -179,8 +178,7 @@ def _read_image(b: Bits, at: np.ndarray, width: np.ndarray, height: np.ndarray,
         many = np.flatnonzero(b.read(at, 1) == 1)
         if len(many):
             tile[many] = b.read(at[many], 3) + 2
-            w, h = -(-width[many] >> 0), height[many]
-            w, h = (width[many] + (1 << tile[many]) - 1) >> tile[many], (h + (1 << tile[many]) - 1) >> tile[many]
+            w, h = (width[many] + (1 << tile[many]) - 1) >> tile[many], (height[many] + (1 << tile[many]) - 1) >> tile[many]
             map_px, map_start = _read_image(b, at[many], w, h, False)
             map_px = (map_px >> 8) & 0xFFFF
             for i, m in enumerate(many.tolist()):
@@ -190,7 +188,6 @@ def _read_image(b: Bits, at: np.ndarray, width: np.ndarray, height: np.ndarray,
     codes_of = np.repeat(np.arange(n), groups)
     total = len(codes_of)
     rank = np.arange(total) - first[codes_of]
-    lengths = []
     cache_size = np.where(cache_bits > 0, 1 << cache_bits, 0)
     alphabets = [256 + LENGTH_CODES + cache_size, 256, 256, 256, DISTANCE_CODES]
     lengths = [np.zeros((total, int(np.max(a))), np.int8) for a in alphabets]
@@ -713,8 +710,10 @@ def choose(px: np.ndarray) -> tuple[str, ...]:
     if h > 1 and 2 * int((px[1:] == px[:-1]).sum()) > px.size:
         return ("predictor",)
     flat = px.reshape(-1)
-    if px.size >= 64 and len(np.unique(flat[: 256])) * 8 <= min(256, px.size) and 8 * len(np.unique(flat)) <= px.size and len(np.unique(flat)) <= 256:
-        return ("palette",)
+    if px.size >= 64 and len(np.unique(flat[:256])) * 8 <= min(256, px.size):  # else many colours are certain
+        colours = len(np.unique(flat))
+        if colours <= 256 and 8 * colours <= px.size:
+            return ("palette",)
     return ()
 
 
