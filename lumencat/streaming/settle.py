@@ -23,11 +23,14 @@ def admitted(events: DataFrame, path: str, ignored: str = r"(^|/)(\.[^/]*|~[^/]*
     return events.where(~F.col(path).rlike(ignored))
 
 
-def settled(events: DataFrame, key: str, at: str, order: str, quiet: float) -> DataFrame:
-    """The events after which a key was quiet, with ``settled_at``. The last event of a key always settles."""
+def settled(events: DataFrame, key: str, at: str, order: str, quiet: float, stable: float = 0.0) -> DataFrame:
+    """The events after which a key was quiet, with ``settled_at``. The last event of a key always settles.
+
+    After the quiet time a path is looked at, and again ``stable`` seconds later; an event in between starts anew.
+    """
     following = F.lead(at).over(Window.partitionBy(key).orderBy(at, order))
     gap = following.cast("double") - F.col(at).cast("double")
-    return events.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") > quiet)).drop("_gap").withColumn("settled_at", (F.col(at).cast("double") + quiet))
+    return events.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") > quiet + stable)).drop("_gap").withColumn("settled_at", (F.col(at).cast("double") + quiet + stable))
 
 
 def overflowed(events: DataFrame, key: str, at: str, window: str, most: int = MOST_PENDING) -> DataFrame:

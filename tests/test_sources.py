@@ -85,6 +85,10 @@ def test_settling_timeline(spark):
     df = spark.createDataFrame(rows, "path string, ts timestamp, n int")
     got = {(r["path"], r["n"]) for r in settle.settled(df, "path", "ts", "n", settle.QUIET_SECONDS).collect()}
     assert got == {("a", 19), ("a", 99), ("b", 0)}
+    again = df.unionByName(spark.createDataFrame([("b", t0 + timedelta(seconds=1), 5), ("b", t0 + timedelta(seconds=2), 6)], df.schema))
+    stable = settle.settled(again, "path", "ts", "n", settle.QUIET_SECONDS, settle.STABLE_SECONDS).where("path = 'b'").collect()
+    start = again.agg(F.min(F.col("ts").cast("double")).alias("t")).first()["t"]
+    assert [(r["n"], r["settled_at"] - start) for r in stable] == [(6, 3.75)]
 
 
 def test_settling_stream(spark, tmp_path):
