@@ -26,17 +26,30 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
+def _joined() -> dict[str, Column]:
+    return {"title": F.col("title"), "user_tags": F.array_join("user_tags", " "), "profile_tags": F.array_join("profile_tags", " "), "comment": F.col("comment"), "description": F.col("description")}
+
+
+def with_text(sounds: DataFrame) -> DataFrame:
+    """Nulls of the searched fields as empty ones, and the joined lower-case text."""
+    arrays = {c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("user_tags", "profile_tags")}
+    s = sounds.withColumns(arrays | {c: F.coalesce(F.col(c), F.lit("")) for c in ("title", "comment", "description")})
+    j = _joined()
+    return s.withColumn("full", F.lower(F.concat_ws(" ", j["title"], j["user_tags"], j["comment"], j["profile_tags"], j["description"])))
+
+
 def with_tokens(sounds: DataFrame) -> DataFrame:
     """Adds the token arrays of the five searched fields, their union and the joined text; nulls are empty."""
-    s = sounds
-    for c in ("user_tags", "profile_tags"):
-        s = s.withColumn(c, F.coalesce(F.col(c), F.array().cast("array<string>")))
-    for c in ("title", "comment", "description"):
-        s = s.withColumn(c, F.coalesce(F.col(c), F.lit("")))
-    joined = {"title": F.col("title"), "user_tags": F.array_join("user_tags", " "), "profile_tags": F.array_join("profile_tags", " "), "comment": F.col("comment"), "description": F.col("description")}
-    s = s.withColumns({f"{k}_tokens": T.tokens(c) for k, c in joined.items()})
-    full = F.lower(F.concat_ws(" ", joined["title"], joined["user_tags"], joined["comment"], joined["profile_tags"], joined["description"]))
-    return s.withColumns({"document": F.flatten(F.array(*[F.col(f"{k}_tokens") for k in SEARCHED])), "full": full, "title_lower": F.lower("title"), "tags_lower": F.lower(joined["user_tags"])})
+    s = sounds if "full" in sounds.columns else with_text(sounds)
+    # one generated row a sound: conditions on tokens stay above it, so that a text is cut into tokens once
+    s = s.withColumn("_t", F.explode(F.array(F.struct(*[T.tokens(c).alias(f"{k}_tokens") for k, c in _joined().items()])))).select("*", "_t.*").drop("_t")
+    return s.withColumns({"document": F.flatten(F.array(*[F.col(f"{k}_tokens") for k in SEARCHED])), "title_lower": F.lower("title"), "tags_lower": F.lower(F.array_join("user_tags", " "))})
+
+
+def may_match(term: str) -> Column:
+    """Necessary for the term to be a token: a word of its synonym group is in the text. Inner apostrophes may hide one."""
+    group = [w for w, first in T.CANONICAL.items() if first == term] or [term]
+    return any_of([phrase_in(F.col("full"), w) for w in group]) | F.col("full").rlike("['’]")
 
 
 def vocabulary(tokenised: DataFrame) -> DataFrame:
@@ -50,6 +63,7 @@ def corrections(tokenised: DataFrame, terms: list[str]) -> dict[str, str]:
     The query's few terms meet the distinct vocabulary, of which the length difference leaves a fraction for the distance.
     """
     odd = [t for t in terms if len(t) >= 4 and t not in T.CANONICAL]
+    odd = [t for t in odd if tokenised.where(may_match(t) & F.array_contains("document", t)).isEmpty()]  # most terms are known
     if not odd:
         return {}
     words = vocabulary(tokenised).select("word")
@@ -108,23 +122,26 @@ def ranked_matches(sounds: DataFrame, q: TextQuery, correct: bool = True) -> tup
     scope = sounds.where((F.col("status") == "ready") & F.col("duration").isNotNull() & F.col("online"))
     if q.source_ids:
         scope = scope.where(F.col("source_id").isin(q.source_ids))
-    s = with_tokens(scope)
+    scope = with_text(scope)
     if correct:
-        for term, word in corrections(s, parsed.terms).items():
+        for term, word in corrections(with_tokens(scope), parsed.terms).items():
             parsed.corrected.append(f"{term} -> {word}")
             parsed.terms[parsed.terms.index(term)] = word
-    keep = []
+    early = []
     if q.favorites_only:
-        keep.append(F.col("favorite"))
+        early.append(F.col("favorite"))
     if parsed.min_duration is not None:
-        keep.append(F.col("duration") > parsed.min_duration)
+        early.append(F.col("duration") > parsed.min_duration)
     if parsed.max_duration is not None:
-        keep.append(F.col("duration") < parsed.max_duration)
+        early.append(F.col("duration") < parsed.max_duration)
     if q.tags:
         own = F.transform(F.concat("user_tags", "profile_tags"), lambda t: F.lower(F.translate(t, "_", " ")))
-        keep += [F.array_contains(own, t.replace("_", " ").strip().lower()) for t in q.tags]
-    keep += [term_matches(t) for t in parsed.terms] + [~excluded_matches(t) for t in parsed.excluded] + [phrase_in(F.col("full"), p) for p in parsed.phrases]
-    return s.where(all_of(keep)).withColumn("score", score(parsed, q.text).cast("int")), parsed
+        early += [F.array_contains(own, t.replace("_", " ").strip().lower()) for t in q.tags]
+    # substring searches cost little: what they rule out is never cut into tokens
+    early += [may_match(t) for t in parsed.terms] + [~phrase_in(F.col("full"), t) for t in parsed.excluded] + [phrase_in(F.col("full"), p) for p in parsed.phrases]
+    s = with_tokens(scope.where(all_of(early)))
+    late = [term_matches(t) for t in parsed.terms] + [~excluded_matches(t) for t in parsed.excluded]
+    return s.where(all_of(late)).withColumn("score", score(parsed, q.text).cast("int")), parsed
 
 
 def rank_order() -> list[Column]:
