@@ -8,8 +8,9 @@ Candidates are confirmed on their full sets, and linked documents form component
 Scale: whole texts are read in the tasks, once for the signatures and once more for documents that have a candidate.
 Equal sets are collapsed before any comparing, so copies cost one row each. A band's documents all point at its smallest
 one (an aggregate with map-side combining, then a join that adaptive execution may split), which gives coarse groups
-without listing pairs. A coarse group is dealt out by hash into blocks of about BLOCK_SHINGLES shingles and BLOCK_DOCS
-documents; each pair of blocks is one task's work, so no task holds a whole group. Inside a block candidates come from the
+without listing pairs. A coarse group of over BLOCK_SHINGLES shingles or BLOCK_DOCS documents is cut into classes of set size, of
+which only neighbours can hold linked sets, and each class is dealt out by hash into blocks; each pair of blocks is one
+task's work, so no task holds a whole group. Inside a block candidates come from the
 rarest shingles (exact for the threshold), and only links between parts not yet joined are checked. Nothing is capped,
 sampled or collected to the driver.
 
@@ -21,6 +22,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -208,13 +210,29 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85, text: str = "text", key
     coarse = components(bands.join(first, "key").where("head <> low").select(F.col("head").alias("a"), F.col("low").alias("b")), "coarse")
 
     members = coarse.join(heads.select(F.col("head").alias("node"), "n_shingles"), "node")
-    weight = members.groupBy("component").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks"))
-    members = stored(members.join(weight, "component").select(F.col("node").alias("doc_id"), "component", "blocks"), "members")
-
-    chosen = read.join(members, "doc_id").mapInArrow(_sets, "doc_id long, component long, blocks int, shingles binary")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = chosen.select("doc_id", "component", "shingles", block.alias("own"), other).select("doc_id", "shingles", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    blocks = F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int")
+    # a large group is cut by size first: linked sets are in one class or in neighbouring ones
+    width = math.log(100 / per_cent) * 1.0001 if per_cent < 100 else 1e-9
+    by_size = F.when(F.col("blocks") > 1, F.floor(F.log("n_shingles") / width)).otherwise(0).cast("long")
+    members = members.join(members.groupBy("component").agg(blocks.alias("blocks")), "component").select(F.col("node").alias("doc_id"), "component", "n_shingles", by_size.alias("class"))
+    members = stored(members, "members")
+    classes = members.groupBy("component", "class").agg(blocks.alias("blocks"))
+    near = lambda step, name: classes.select("component", (F.col("class") - step).alias("class"), F.col("blocks").alias(name))
+    placed = members.drop("n_shingles").join(near(0, "own"), ["component", "class"]).join(near(1, "above"), ["component", "class"], "left").join(near(-1, "below"), ["component", "class"], "left")
+
+    block = F.pmod(F.xxhash64("doc_id"), F.col("own")).cast("int")
+    c = F.col("class")
+    pair = lambda low, i, high, j: F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    none = F.array().cast("array<struct<low:bigint,i:int,high:bigint,j:int>>")
+    pairs = F.concat(
+        F.transform(every("own"), lambda o: pair(c, F.least(block, o), c, F.greatest(block, o))),
+        F.coalesce(F.transform(every("above"), lambda o: pair(c, block, c + 1, o)), none),
+        F.coalesce(F.transform(every("below"), lambda o: pair(c - 1, o, c, block)), none),
+    )
+    chosen = read.join(placed.select("doc_id", "component", pairs.alias("pairs")), "doc_id")
+    with_sets = chosen.mapInArrow(_sets, "doc_id long, component long, pairs array<struct<low:bigint,i:int,high:bigint,j:int>>, shingles binary")
+    dealt = with_sets.select("doc_id", "component", "shingles", F.explode("pairs").alias("p")).select("doc_id", "shingles", "component", "p.*")
 
     def confirm(group: pa.Table) -> pa.Table:
         group = group.sort_by("doc_id")
@@ -223,7 +241,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85, text: str = "text", key
         at = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(ids[at[:, 0]], pa.int64()), "b": pa.array(ids[at[:, 1]], pa.int64())})
 
-    links = dealt.groupBy("component", "i", "j").applyInArrow(confirm, "a long, b long")
+    links = dealt.groupBy("component", "low", "i", "high", "j").applyInArrow(confirm, "a long, b long")
     found = components(links.unionByName(copies), "links")
     sizes = signed.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     label = F.coalesce("component", "doc_id")
@@ -234,7 +252,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in pieces(iter([whole]), BATCH_BYTES, "text"):
             shingles = pa.array([shingle_set(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("component"), b.column("blocks"), shingles], ["doc_id", "component", "blocks", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("component"), b.column("pairs"), shingles], ["doc_id", "component", "pairs", "shingles"])
 
 
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
