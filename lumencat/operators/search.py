@@ -31,11 +31,13 @@ def _joined() -> dict[str, Column]:
 
 
 def with_text(sounds: DataFrame) -> DataFrame:
-    """Nulls of the searched fields as empty ones, and the joined lower-case text."""
+    """Nulls of the searched fields as empty ones, the joined lower-case text (``full``) and its form without accents (``flat``)."""
     arrays = {c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("user_tags", "profile_tags")}
     s = sounds.withColumns(arrays | {c: F.coalesce(F.col(c), F.lit("")) for c in ("title", "comment", "description")})
     j = _joined()
-    return s.withColumn("full", F.lower(F.concat_ws(" ", j["title"], j["user_tags"], j["comment"], j["profile_tags"], j["description"])))
+    full = F.lower(F.concat_ws(" ", j["title"], j["user_tags"], j["comment"], j["profile_tags"], j["description"]))
+    # generated, so that conditions do not fold the text again and again
+    return s.withColumn("_x", F.explode(F.array(F.struct(full.alias("full"), T.deaccent(full).alias("flat"))))).select("*", "_x.*").drop("_x")
 
 
 def with_tokens(sounds: DataFrame) -> DataFrame:
@@ -49,7 +51,11 @@ def with_tokens(sounds: DataFrame) -> DataFrame:
 def may_match(term: str) -> Column:
     """Necessary for the term to be a token: a word of its synonym group is in the text. Inner apostrophes may hide one."""
     group = [w for w, first in T.CANONICAL.items() if first == term] or [term]
-    return any_of([phrase_in(F.col("full"), w) for w in group]) | F.col("full").rlike("['’]")
+    return any_of([phrase_in_text(w) for w in group]) | F.contains("full", F.lit("'")) | F.contains("full", F.lit("’"))
+
+
+def phrase_in_text(phrase: str) -> Column:
+    return F.contains("full", F.lit(phrase)) | F.contains("flat", F.lit(phrase.translate(str.maketrans(T.ACCENTED, T.PLAIN))))
 
 
 def vocabulary(tokenised: DataFrame) -> DataFrame:
@@ -89,7 +95,7 @@ def phrase_in(c: Column, phrase: str) -> Column:
 
 def excluded_matches(term: str) -> Column:
     """An exclusion hits a token or any substring of the whole text."""
-    return F.array_contains("document", term) | phrase_in(F.col("full"), term)
+    return F.array_contains("document", term) | phrase_in_text(term)
 
 
 def score(parsed: Interpretation, raw: str) -> Column:
@@ -138,7 +144,7 @@ def ranked_matches(sounds: DataFrame, q: TextQuery, correct: bool = True) -> tup
         own = F.transform(F.concat("user_tags", "profile_tags"), lambda t: F.lower(F.translate(t, "_", " ")))
         early += [F.array_contains(own, t.replace("_", " ").strip().lower()) for t in q.tags]
     # substring searches cost little: what they rule out is never cut into tokens
-    early += [may_match(t) for t in parsed.terms] + [~phrase_in(F.col("full"), t) for t in parsed.excluded] + [phrase_in(F.col("full"), p) for p in parsed.phrases]
+    early += [may_match(t) for t in parsed.terms] + [~phrase_in_text(t) for t in parsed.excluded] + [phrase_in_text(p) for p in parsed.phrases]
     s = with_tokens(scope.where(all_of(early)))
     late = [term_matches(t) for t in parsed.terms] + [~excluded_matches(t) for t in parsed.excluded]
     return s.where(all_of(late)).withColumn("score", score(parsed, q.text).cast("int")), parsed

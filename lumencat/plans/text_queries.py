@@ -65,7 +65,7 @@ def exclusions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("FLT-06", f"select id from {SOUNDS} s where contains(full_text, 'de la') or contains({_FOLD.format('full_text')}, 'de la')")
 def phrases(spark: SparkSession, d: str) -> DataFrame:
-    return S.with_tokens(sounds(Tables(spark, d))).where(S.phrase_in(F.col("full"), "de la")).select("id")
+    return S.with_tokens(sounds(Tables(spark, d))).where(S.phrase_in_text("de la")).select("id")
 
 
 @query("AGG-01", f"select count(*) as total from {MATCHES} m")
