@@ -1,11 +1,13 @@
 """Operator 2: substring deduplication by hashing the units of a text.
 
-A text is cut into lines and each line into sentences. A unit is normalised (case and punctuation at its edges are
-ignored, white space is one space) and hashed to 128 bits; a unit of under MIN_UNIT_WORDS words is hashed with the units
-after it until they have CONTEXT_WORDS words, so that "Yes." alone is never a repeat. Digests are grouped globally and the
-earliest occurrence, by (document id, unit number), is kept. Every later occurrence is a repeat. Repeats that follow one
-another, with units without a digest between them, form a run; runs of at least ``min_words`` words are removed. So long
-passages go even when other text surrounds them.
+A text is cut into lines and each line into sentences; units are the sentences and, after them, the lines of several
+sentences. A unit is normalised (case and punctuation at its edges are ignored, white space is one space) and hashed to
+128 bits; a sentence of under MIN_UNIT_WORDS words is hashed with those after it until they have CONTEXT_WORDS words, so
+that "Yes." alone is never a repeat. In scripts without spaces a character counts as a word. Digests are grouped globally
+and the earliest occurrence, by (document id, unit number), is kept. Every later occurrence is a repeat. A line that is a
+repeat is removed whatever its length. Repeated sentences that follow one another, with sentences without a digest between
+them, form a run; runs of at least ``min_words`` words are removed, so long passages go even when other text surrounds
+them, and a short sentence stays where the rest of its line is new.
 
 The result keeps the offsets of what was removed and of what was kept, counted in characters of the original text.
 
@@ -36,24 +38,52 @@ from lumencat.llm.common import stored, table
 MIN_UNIT_WORDS = 3
 CONTEXT_WORDS = 6
 MIN_RUN_WORDS = 10
-_END = re.compile(r"(?<=[.!?…])[ \t]+|[ \t]*\n\s*")
-_EDGE = " \t\r\f\v.,;:!?…\"'()[]{}«»“”‘’*#-"
+_END = re.compile(r"(?<=[.!?…])[ \t]+|(?<=[。！？])(?=[^\s。！？])|[ \t]*\n\s*")
+#: Letters of scripts that set no space between words.
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af]")
+_EDGE = " \t\r\f\v.,;:!?…。！？、，\"'()[]{}«»“”‘’*#-"
+
+
+class Line(str):
+    """What is hashed of a whole line."""
+
+
+def _unit(text: str, a: int, b: int, whole: bool) -> tuple[int, int, int, str] | None:
+    words = text[a:b].lower().split()
+    if not words:
+        return None
+    form = " ".join(words)
+    n = len(words)
+    if not form.isascii():
+        spaced, dense = _DENSE.subn(" ", form)
+        n = len(spaced.split()) + dense if dense else n
+    form = form.strip(_EDGE)
+    return a, b, n, Line(form) if whole and n >= MIN_UNIT_WORDS else form
 
 
 def units(text: str) -> list[tuple[int, int, int, str]]:
-    """(start, end, words, what is hashed) of each line's sentences, blank ones left out; too little text at the end has no form."""
-    out, start = [], 0
+    """(start, end, words, what is hashed) of each line's sentences, then of each line of several; blank ones are left out.
+
+    The form of a whole line of MIN_UNIT_WORDS words is a Line. Too little text at the end has no form.
+    """
+    lines: list[list[tuple[int, int]]] = [[]]
+    start = 0
     for m in _END.finditer(text):
         if m.start() > start:
-            out.append((start, m.start()))
+            lines[-1].append((start, m.start()))
         start = m.end()
+        if "\n" in m[0]:
+            lines.append([])
     if start < len(text):
-        out.append((start, len(text)))
-    found = []
-    for a, b in out:
-        words = text[a:b].lower().split()
-        if words:
-            found.append((a, b, len(words), " ".join(words).strip(_EDGE)))
+        lines[-1].append((start, len(text)))
+    found, whole = [], []
+    for line in lines:
+        own = [u for a, b in line if (u := _unit(text, a, b, len(line) == 1))]
+        found += own
+        if len(line) > 1 and own:
+            u = _unit(text, own[0][0], own[-1][1], True)
+            if isinstance(u[3], Line):
+                whole.append(u)
     for k, (a, b, n, form) in enumerate(found):
         if n < MIN_UNIT_WORDS:
             j = k + 1
@@ -61,7 +91,7 @@ def units(text: str) -> list[tuple[int, int, int, str]]:
                 n, form = n + found[j][2], f"{form} {found[j][3]}"  # later units still have their own forms
                 j += 1
             found[k] = (a, b, found[k][2], form if n >= CONTEXT_WORDS else "")
-    return found
+    return found + whole
 
 
 def _digest(form: str) -> tuple[int, int]:
@@ -94,9 +124,10 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def runs(found: list[tuple[int, int, int, str]], repeat: list[bool], min_words: int) -> list[tuple[int, int]]:
-    """Spans of the runs of repeats that hold min_words words; units without a form inside a run belong to it."""
-    spans = []
-    k, n = 0, len(found)
+    """Spans of repeated lines and of the runs of repeats that hold min_words words; sentences without a form inside a run belong to it."""
+    spans = [u[:2] for u, again in zip(found, repeat, strict=True) if again and isinstance(u[3], Line)]
+    # lines of several sentences follow the sentences
+    k, n = 0, next((i for i in range(1, len(found)) if found[i][0] < found[i - 1][1]), len(found))
     while k < n:
         if not repeat[k]:
             k += 1
@@ -110,7 +141,13 @@ def runs(found: list[tuple[int, int, int, str]], repeat: list[bool], min_words:
         if words >= min_words:
             spans.append((found[k][0], found[last][1]))
         k = last + 1
-    return spans
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def cut(text: str | None, seen_before: np.ndarray | None, min_words: int) -> tuple[str | None, list[tuple[int, int]], list[tuple[int, int]], int, int]:

@@ -143,3 +143,14 @@ def test_substring_dedup_carries_columns_and_takes_nothing(spark):
     d = frame(spark, [(1, "a")]).withColumn("unit", F.lit(3)).withColumn("hi", F.lit(4))
     assert line_dedup.dedup_units(d, carry=["unit", "hi"]).first()["hi"] == 4
     assert line_dedup.dedup_units(frame(spark, [])).count() == 0
+
+
+def test_short_lines_go_whole_and_dense_scripts_count_by_characters(spark):
+    planted = "Seven made up words stand in here, the. end there"
+    rows = [(1, f"{planted}\nFirst text of its own."), (2, f"Second text of its own.\n{planted}\nAnother end"), (3, f"{planted}\nLicensed under the licence."), (4, "New.\nLicensed under the licence.\nYes.")]
+    rows += [(5, "Yes.\n今日はとても良い天気ですね。\n一つ目の文章です"), (6, "二つ目は違う。\n今日はとても良い天気ですね。"), (7, f"Kept since new. {planted}")]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_units(frame(spark, rows)).collect()}
+    assert out[1] == rows[0][1] and out[2] == "Second text of its own.\n\nAnother end"
+    assert out[3] == "\nLicensed under the licence." and out[4] == "New.\n\nYes."
+    assert out[5] == rows[4][1] and out[6] == "二つ目は違う。\n"
+    assert out[7] == rows[6][1]
