@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lumencat.llm import language_id, line_dedup, near_dedup, packing
 from lumencat.llm.common import scratch, table
 
+#: Similarity of five-word shingles from which on documents are near-duplicates here.
+NEAR_PER_CENT = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -25,7 +27,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each component."""
-    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
+    gone = near_dedup.near_duplicates(docs, NEAR_PER_CENT).where("not kept").select("doc_id")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
 
 

@@ -2,7 +2,8 @@
 
 Each document becomes the set of its distinct five-word shingles. Under each of PERMUTATIONS hash functions both the
 minimum and the maximum over the set are kept, so that one evaluation of a function yields two independent signature
-values, each equal in two sets with probability J. ROWS values make a band; documents with an equal band are candidates.
+values, each equal in two sets with probability J. Some values make a band, as many as the threshold allows when at most
+MISS of the pairs at it may share none; documents with an equal band are candidates.
 Candidates are confirmed on their full sets, and linked documents form components.
 
 Scale: whole texts are read in the tasks, once for the signatures and once more for documents that have a candidate.
@@ -35,8 +36,7 @@ from lumencat.llm.common import components, pieces, stored, table, texts
 
 WORDS = 5
 PERMUTATIONS = 84
-ROWS = 6
-BANDS = 2 * PERMUTATIONS // ROWS
+MISS = 1e-5
 BLOCK_SHINGLES = 600_000
 BLOCK_DOCS = 1500
 BATCH_BYTES = 8 << 20
@@ -50,7 +50,7 @@ def _odd(n: int, seed: int) -> np.ndarray:
 
 _PLACE = _odd(WORDS, 5)
 _A, _B = _odd(PERMUTATIONS, 11), _odd(PERMUTATIONS, 12)
-_FOLD = _odd(ROWS, 13)
+_FOLD = _odd(2 * PERMUTATIONS, 13)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -113,24 +113,33 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """Folds each band of ROWS signature values to one 64-bit key that also tells the band."""
-    bands = sig[:, : BANDS * ROWS].reshape(len(sig), BANDS, ROWS)
-    key = (bands * _FOLD).sum(axis=2, dtype=_U) + np.arange(1, BANDS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)
+def layout(per_cent: int) -> tuple[int, int]:
+    """(bands, rows) with the most rows for which a pair of that similarity shares no band with probability MISS at most."""
+    for rows in range(2 * PERMUTATIONS, 0, -1):
+        bands = 2 * PERMUTATIONS // rows
+        if (1 - (per_cent / 100) ** rows) ** bands <= MISS:
+            return bands, rows
+    raise ValueError(f"{PERMUTATIONS} functions miss too many pairs at {per_cent} per cent")
+
+
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Folds each band of signature values to one 64-bit key that also tells the band."""
+    values = sig[:, : bands * rows].reshape(len(sig), bands, rows)
+    key = (values * _FOLD[:rows]).sum(axis=2, dtype=_U) + np.arange(1, bands + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)
     return _mix(key)
 
 
 _SIGNED = "doc_id long, n_shingles long, digest binary, keys array<long>"
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], n_bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in pieces(iter([whole]), BATCH_BYTES, "text"):
             sets = [shingle_set(t) for t in b.column("text").to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
-            keys = band_keys(signatures([sets[i] for i in full])).view(np.int64) if full else np.empty((0, BANDS), np.int64)
+            keys = band_keys(signatures([sets[i] for i in full]), n_bands, rows).view(np.int64) if full else np.empty((0, n_bands), np.int64)
             lengths = np.zeros(len(sets), np.int32)
-            lengths[full] = BANDS
+            lengths[full] = n_bands
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -200,7 +209,8 @@ def links_within(sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]
 def near_duplicates(docs: DataFrame, per_cent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Returns (doc_id, n_shingles, component_id, kept), one row per distinct document id."""
     read = texts(docs, key, text)
-    signed = stored(read.mapInArrow(_sign, _SIGNED), "signed")
+    n_bands, rows = layout(per_cent)
+    signed = stored(read.mapInArrow(lambda batches: _sign(batches, n_bands, rows), _SIGNED), "signed")
     heads = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("head"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     heads = stored(heads, "heads")
     copies = signed.where("n_shingles > 0").select("doc_id", "digest").join(heads.select("digest", "head"), "digest").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))

@@ -4,7 +4,7 @@ import random
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from lumencat.llm import language_id, queries
+from lumencat.llm import language_id, near_dedup, queries
 
 
 def test_stages(spark, tmp_path):
@@ -35,3 +35,21 @@ def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_near_stage_takes_similarities_of_eighty_per_cent(spark, tmp_path):
+    rows = []
+    for k, changed in enumerate([2, 3, 4, 5, 6] * 4):
+        words = [f"w{k}x{i}" for i in range(204)]
+        other = [f"new{i}" if i % 30 == 7 and i // 30 < changed else w for i, w in enumerate(words)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    sets = {k: set(near_dedup.shingle_set(t).tolist()) for k, t in rows}
+    share = {k: len(sets[k] & sets[k - 1]) / len(sets[k] | sets[k - 1]) for k in sets if k % 2}
+    assert any(0.8 <= j < 0.85 for j in share.values()) and any(j < 0.8 for j in share.values())
+    d = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, d, str(tmp_path)).collect()}
+    assert left == set(sets) - {k for k, j in share.items() if j >= 0.8}
+    assert near_dedup.layout(85) == (28, 6) and near_dedup.layout(80) == (33, 5)
+    for p in range(10, 100, 5):
+        bands, n = near_dedup.layout(p)
+        assert (1 - (p / 100) ** n) ** bands <= 1e-5
