@@ -21,8 +21,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or text, and those that read like none of the languages."""
-    found = language_id.identify(docs, language_id.training_samples(docs), carry=COLUMNS)
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("phrase_rate") <= language_id.REJECT_RATE)).select(*COLUMNS)
+    samples = language_id.training_samples(docs)
+    found = language_id.identify(docs, samples, carry=COLUMNS)
+    most = F.lit(language_id.REJECT_RATE)
+    for lang, rate in language_id.reject_rates(samples).items():
+        most = F.when(F.col("lang_pred") == lang, rate).otherwise(most)
+    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("phrase_rate") <= most)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

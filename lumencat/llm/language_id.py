@@ -7,7 +7,8 @@ language that needs fewest wins.
 
 The automata are fitted on a bounded sample: of the training rows of each language the SAMPLE_ROWS first by a hash of the
 id, SAMPLE_ROW_CHARS characters of each at most, SAMPLE_CHARS in all. Their tables, whose size follows from these
-parameters and the number of languages alone, are broadcast. Every text is parsed as a whole, in segments of
+parameters and the number of languages alone, are broadcast: a dense table for the SYMBOLS - 1 most frequent letters and,
+for every other letter of a sample, its transitions in a sorted array. Every text is parsed as a whole, in segments of
 SEGMENT characters that advance in step (a segment's end closes a phrase), and only text takes part in a prediction.
 
 Defined cases: null text, empty text and text without a letter give ``und`` and score 0, as does everything when there
@@ -103,7 +104,11 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """Step tables of all languages. An entry holds four times the next row's start plus the phrases that the step closes."""
+    """Step tables of all languages. An entry holds four times the next row's start plus the phrases that the step closes.
+
+    Letters have a class each: 0 between letters, then the frequent ones, width - 1 for letters of no sample, and from width
+    on the other letters, whose steps are looked up by (row's start, class) in ``keys``.
+    """
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
@@ -111,9 +116,14 @@ class CrossParser:
         every = np.concatenate([*folds.values(), np.zeros(1, np.uint32)])
         seen, count = np.unique(every[every != 0], return_counts=True)
         top = seen[np.lexsort((seen, -count))][: SYMBOLS - 1]
-        # class 0: between letters; 1..: frequent letters; the last: letters that no sample has often
-        self.symbols = np.sort(top)
+        self.symbols = seen
         self.width = len(top) + 2
+        rare = ~np.isin(seen, top)
+        self.numbers = np.empty(len(seen), np.int32)
+        self.numbers[~rare] = np.arange(1, len(top) + 1)
+        self.numbers[rare] = np.arange(self.width, self.width + rare.sum())
+        self.n_classes = self.width + int(rare.sum())
+        keys, nexts = [], []
         tables, self.roots, self.log = [], [], []
         base = 0
         for k in self.languages:
@@ -127,8 +137,11 @@ class CrossParser:
             for s, edges in enumerate(nxt):
                 row = (restart * self.width + base) * 4 + (~known).astype(np.int64) + (s != 0)
                 for c, to in edges.items():
-                    if c != self.width - 1:
+                    if c < self.width:
                         row[c] = (to * self.width + base) * 4
+                    else:
+                        keys.append((s * self.width + base) * self.n_classes + c)
+                        nexts.append((to * self.width + base) * 4)
                 t[s] = row
             tables.append(t.reshape(-1))
             self.roots.append(base)
@@ -136,13 +149,21 @@ class CrossParser:
             self.log.append(math.log(max(2, len(cls))))
         if base * 4 >= 1 << 31:
             raise ValueError("too much sample text for the step table")
+        by_key = np.argsort(np.array(keys, np.int64))
+        self.keys, self.nexts = np.array(keys, np.int64)[by_key], np.array(nexts, np.int32)[by_key]
         self.steps = np.concatenate(tables).astype(np.int32) if tables else np.empty(0, np.int32)
 
     def classes(self, folds: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.symbols, folds)
         at[at == len(self.symbols)] = 0
         known = self.symbols[at] == folds if len(self.symbols) else np.zeros(len(folds), bool)
-        return np.where(folds == 0, 0, np.where(known, at + 1, self.width - 1)).astype(np.int32)
+        return np.where(folds == 0, 0, np.where(known, self.numbers[at] if len(self.symbols) else 0, self.width - 1)).astype(np.int32)
+
+    def _looked_up(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The transition from each state by its letter, -1 where there is none."""
+        key = state.astype(np.int64) * self.n_classes + c
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.nexts[at], -1)
 
     def phrases(self, cls: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each text (row) in each language (column)."""
@@ -160,9 +181,19 @@ class CrossParser:
         began = np.zeros((n_lang, len(doc)), np.int32)
         roots = np.array(self.roots, np.int32)[:, None]
         live = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")
+        dense = np.minimum(cls, self.width - 1)
+        other = (cls >= self.width).any()
         for k, n in enumerate(live):
-            c = cls[start[:n] + k]
-            e = self.steps[state[:, :n] + c]
+            e = self.steps[state[:, :n] + dense[start[:n] + k]]
+            if other:
+                c = cls[start[:n] + k]
+                cols = np.flatnonzero(c >= self.width)
+                if len(cols):
+                    c, held = c[cols], state[:, cols]
+                    to = self._looked_up(held, c)
+                    anew = self._looked_up(np.broadcast_to(roots, held.shape), c)
+                    # as the dense table has it: go on, or close the phrase and begin anew
+                    e[:, cols] = np.where(to >= 0, to, np.where(anew >= 0, anew + (held != roots), e[:, cols]))
             closed = e & 3
             count[:, :n] += closed
             state[:, :n] = e >> 2
@@ -218,8 +249,22 @@ def training_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     return {k: "\n".join(v)[:SAMPLE_CHARS] for k, v in own.items()}
 
 
-#: Phrases a character above which a text looks like none of the languages; running text stays below 0.4.
+#: Phrases a character above which a text looks like none of the languages; running text of small alphabets stays below 0.4.
 REJECT_RATE = 0.55
+#: A language whose own text needs more may need so many times what the last quarter of its sample needs against the rest.
+OWN_RATE = 1.25
+#: But no more than this; a text that matches nothing needs 1.
+MOST_RATE = 0.95
+
+
+def reject_rates(samples: dict[str, str]) -> dict[str, float]:
+    """Of each language the phrases a character above which a text is none of it: REJECT_RATE, or more for large alphabets."""
+    out = {}
+    for k, v in samples.items():
+        at = len(v) * 3 // 4
+        rate = CrossParser({k: v[:at]}).predict([v[at:]])[2][0]
+        out[k] = max(REJECT_RATE, min(MOST_RATE, OWN_RATE * float(rate)))
+    return out
 
 
 def identify(docs: DataFrame, samples: dict[str, str], key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lumencat.llm import hamming_search, language_id, media, transcripts, warc, webp
 
 
@@ -251,6 +252,28 @@ def test_languages_held_out(spark):
     assert language_id.identify(d.limit(0), language_id.training_samples(d.limit(0))).count() == 0
 
 
+def test_letters_of_large_alphabets_match(spark):
+    r = random.Random(12)
+    han = [chr(0x4E00 + i) for i in range(600)]
+    words = ["".join(r.choice(han) for _ in range(r.choice([1, 2, 2, 3]))) for _ in range(300)]
+    weight = [1 / (i + 1) for i in range(len(words))]
+    say = lambda n: "".join(r.choices(words, weight, k=n))
+    samples = {"zh": say(3000), "en": "the and of thin rest wash " * 30}
+    p = language_id.CrossParser(samples)
+    texts = [say(400), samples["zh"][:200], "the thin " + say(30), "龘" + say(5), say(3000)]
+    folds, lengths, _ = language_id.folded("".join(texts), np.array([len(t) for t in texts]))
+    got = p.phrases(p.classes(folds), lengths)
+    for i, t in enumerate(texts):
+        for j, lang in enumerate(p.languages):
+            assert got[i, j] == slow_phrases(t, samples[lang])
+    rows = [(k, say(150), "zh") for k in range(60)] + [(100 + k, " ".join(r.choice(samples["en"].split()) for _ in range(60)), "en") for k in range(60)]
+    rows += [(200, "".join(chr(0x3400 + r.randrange(6000)) for _ in range(300)), "zh")]
+    d = spark.createDataFrame([(*x, "s", len(x[1])) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert zlib.crc32(b"200") % 3 == 1
+    kept = {x["doc_id"] for x in corpus_pipeline.keep_known_language(spark, d, "").collect()}
+    assert kept == {k for k, _, _ in rows[:120]}
+
+
 def test_viterbi_equals_enumeration():
     r = random.Random(11)
     counts = {("start", 0, s): r.randrange(9) for s in range(6)} | {("step", a, b): r.randrange(9) for a in range(6) for b in range(6)} | {(f, s, v): r.randrange(9) for f in transcripts.FEATURES for s in range(6) for v in range(5)}
