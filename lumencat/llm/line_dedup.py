@@ -4,7 +4,7 @@ A text is cut into lines and each line into sentences; units are the sentences a
 sentences. A unit is normalised (case and punctuation at its edges are ignored, white space is one space) and hashed to
 128 bits; a sentence of under MIN_UNIT_WORDS words is hashed with those after it until they have CONTEXT_WORDS words, so
 that "Yes." alone is never a repeat. In scripts without spaces a character counts as a word. Digests are grouped globally
-and the earliest occurrence, by (document id, unit number), is kept. Every later occurrence is a repeat. A line that is a
+and the earliest occurrence, by (document id, hash of the row's text, unit number), is kept. Every later occurrence is a repeat. A line that is a
 repeat is removed whatever its length. Repeated sentences that follow one another, with sentences without a digest between
 them, form a run; runs of at least ``min_words`` words are removed, so long passages go even when other text surrounds
 them, and a short sentence stays where the rest of its line is new.
@@ -14,11 +14,12 @@ The result keeps the offsets of what was removed and of what was kept, counted i
 Scale: units leave the tasks as a digest and two numbers, never as text, and once per document. The earliest occurrence is
 an aggregate with map-side combining; the join back has the small aggregate on one side and is one adaptive execution may
 split, so a unit that a third of all documents share is not one task's work. The repeats of a document come back to its
-text by one join on the document id.
+text by one join on the document id and the text's hash. Tasks work on BATCH_BYTES of text at a time.
 
-Defined cases: null text gives null text and no spans; empty text stays empty; repeated rows of one document id
-are one document, and each row comes out; within a document the first occurrence stays; an empty table gives an empty result. Columns
-beside key and text are not read.
+Defined cases: null text gives null text and no spans; empty text stays empty; equal rows of one document id are one
+document, and each row comes out; rows of one id with differing texts are documents of their own, in the order of their
+texts' hashes; a row without an id is left as it is, but for repeats within it; within a document the first occurrence
+stays; an empty table gives an empty result. Columns beside key and text are not read.
 """
 
 from __future__ import annotations
@@ -33,11 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lumencat.llm.common import stored, table
+from lumencat.llm.common import pieces, stored, table
 
 MIN_UNIT_WORDS = 3
 CONTEXT_WORDS = 6
 MIN_RUN_WORDS = 10
+BATCH_BYTES = 16 << 20
+BATCH_ROWS = 5000
 _END = re.compile(r"(?<=[.!?…])[ \t]+|(?<=[。！？])(?=[^\s。！？])|[ \t]*\n\s*")
 #: Letters of scripts that set no space between words.
 _DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af]")
@@ -99,28 +102,30 @@ def _digest(form: str) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
-_UNIT = "hi long, lo long, doc_id long, unit int"
+_UNIT = "hi long, lo long, doc_id long, row long, unit int"
+
+
+def _units(rows: list[list[int | None]]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 4 + [pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], [f.split()[0] for f in _UNIT.split(", ")])
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """First occurrence in its document of each digest; later ones are repeats whatever other documents hold."""
-    for b in batches:
-        hi, lo, doc, no = [], [], [], []
-        for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+    for b in pieces(batches, BATCH_BYTES, "text"):
+        out: list[list[int | None]] = [[], [], [], [], []]
+        for key, row, text in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), b.column("text").to_pylist(), strict=True):
             seen: set[str] = set()
             for k, (_, _, _, form) in enumerate(units(text or "")):
                 if form and form not in seen:
                     seen.add(form)
-                    x, y = _digest(form)
-                    hi.append(x)
-                    lo.append(y)
-                    doc.append(key)
-                    no.append(k)
-            if len(hi) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(doc, pa.int64()), pa.array(no, pa.int32())], ["hi", "lo", "doc_id", "unit"])
-                hi, lo, doc, no = [], [], [], []
-        if hi:
-            yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(doc, pa.int64()), pa.array(no, pa.int32())], ["hi", "lo", "doc_id", "unit"])
+                    for column, value in zip(out, (*_digest(form), key, row, k), strict=True):
+                        column.append(value)
+            if len(out[0]) > 200_000:
+                yield _units(out)
+                out = [[], [], [], [], []]
+        if out[0]:
+            yield _units(out)
 
 
 def runs(found: list[tuple[int, int, int, str]], repeat: list[bool], min_words: int) -> list[tuple[int, int]]:
@@ -178,25 +183,34 @@ _CUT = f"doc_id long, text string, removed {_SPAN}, kept {_SPAN}, n_units int, r
 
 def dedup_units(docs: DataFrame, min_words: int = MIN_RUN_WORDS, text: str = "text", key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
     """Returns (doc_id, text, removed, kept, n_units, removed_chars), one row for each row of docs, then the carried columns."""
-    read = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = read.mapInArrow(_emit, _UNIT)
-    found = stored(found, "units")
+    read = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("row"), F.col(text).cast("string").alias("text"))
+    found = stored(read.mapInArrow(_emit, _UNIT), "units")
     first = found.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("hi", "lo", "first")
-    later = found.join(first, ["hi", "lo"]).where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("unit").alias("again"))
+    later = found.join(first, ["hi", "lo"]).where("doc_id <> first").select("doc_id", "row", "unit")
+    # ids with several texts: within an id the text of the smallest hash comes first
+    several = stored(read.groupBy("doc_id").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("doc_id"), "several")
+    if not several.isEmpty():
+        among = found.join(several, "doc_id", "left_semi")
+        before = among.groupBy("hi", "lo", "doc_id").agg(F.min("row").alias("before"))
+        later = later.unionByName(among.join(before, ["hi", "lo", "doc_id"]).where("row <> before").select("doc_id", "row", "unit"))
+    later = later.groupBy("doc_id", "row").agg(F.collect_set("unit").alias("again"))
 
     def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [cut(t, again, min_words) for t, again in zip(b.column("text").to_pylist(), b.column("again").to_pylist(), strict=True)]
-            spans = lambda i: pa.array([[{"start": x, "end": y} for x, y in r[i]] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), spans(1), spans(2), pa.array([r[3] for r in rows], pa.int32()), pa.array([r[4] for r in rows], pa.int64()), *(b.column(c) for c in own)],
-                ["doc_id", "text", "removed", "kept", "n_units", "removed_chars", *own],
-            )
+        for whole in pieces(batches, BATCH_BYTES, "text"):
+            for lo in range(0, whole.num_rows, BATCH_ROWS):
+                b = whole.slice(lo, BATCH_ROWS)
+                rows = [cut(t, again, min_words) for t, again in zip(b.column("text").to_pylist(), b.column("again").to_pylist(), strict=True)]
+                spans = lambda i: pa.array([[{"start": x, "end": y} for x, y in r[i]] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), spans(1), spans(2), pa.array([r[3] for r in rows], pa.int32()), pa.array([r[4] for r in rows], pa.int64()), *(b.column(c) for c in own)],
+                    ["doc_id", "text", "removed", "kept", "n_units", "removed_chars", *own],
+                )
 
     own = {f"_carried_{k}": c for k, c in enumerate(carry)}
     whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(k) for k, c in own.items()))
     schema = StructType([*StructType.fromDDL(_CUT), *(f for f in whole.schema.fields if f.name in own)])
-    return whole.join(later, "doc_id", "left").mapInArrow(cut_all, schema).withColumnsRenamed(own)
+    met = whole.withColumn("row", F.xxhash64("text")).join(later, ["doc_id", "row"], "left").drop("row")
+    return met.mapInArrow(cut_all, schema).withColumnsRenamed(own)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

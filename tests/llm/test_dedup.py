@@ -154,3 +154,26 @@ def test_short_lines_go_whole_and_dense_scripts_count_by_characters(spark):
     assert out[3] == "\nLicensed under the licence." and out[4] == "New.\n\nYes."
     assert out[5] == rows[4][1] and out[6] == "二つ目は違う。\n"
     assert out[7] == rows[6][1]
+
+
+def test_repeated_ids_are_cut_by_their_own_text(spark):
+    shared = "This sentence of more than ten words stands in many documents of the table."
+    rows = [(1, shared), (5, f"Here stands some text that nobody else has. {shared}"), (5, "Another text under the same id begins here. It has a last sentence of its own that must stay."), (5, f"Here stands some text that nobody else has. {shared}"), (None, f"No id at all. {shared}")]
+    out = line_dedup.dedup_units(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out) == sorted([(1, shared), (5, "Here stands some text that nobody else has. "), (5, rows[2][1]), (5, "Here stands some text that nobody else has. "), (0, rows[4][1])])
+    both = [(7, f"{shared}\nOne."), (7, f"{shared}\nTwo.")]
+    out = [r["text"] for r in line_dedup.dedup_units(frame(spark, both)).collect()]
+    assert sum(shared in t for t in out) == 1 and sorted(t.strip()[-4:] for t in out) == ["One.", "Two."]
+    mixed = [(k, f"{t} {k % 3}") for k, t in unit_rows(4) if t]
+    mixed = [(k % 30, t) for k, t in mixed]
+    first: dict[str, tuple] = {}
+    row = {t: r for t, r in spark.createDataFrame([(t,) for _, t in mixed], "t string").select("t", F.xxhash64("t")).collect()}
+    for k, t in sorted(set(mixed), key=lambda x: (x[0], row[x[1]])):
+        for u in line_dedup.units(t):
+            first.setdefault(u[3], (k, t))
+    got = {(r["doc_id"], r["removed_chars"], r["text"]) for r in line_dedup.dedup_units(frame(spark, mixed)).collect()}
+    want = set()
+    for k, t in mixed:
+        left, _, _, _, gone = line_dedup.cut(t, [i for i, u in enumerate(line_dedup.units(t)) if u[3] and first[u[3]] != (k, t)], line_dedup.MIN_RUN_WORDS)
+        want.add((k, gone, left))
+    assert got == want
