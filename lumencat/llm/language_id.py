@@ -1,15 +1,21 @@
 """Operator 9: language identification by cross-parsing against suffix automata.
 
 For each language a suffix automaton is built from labelled text. A text is parsed against it from left to right: each
-phrase is the longest string at that place, of at most MAX_PHRASE characters, which occurs in the language's sample, and
-a character that never occurs is a phrase of its own. (Without the bound a passage copied into a sample would decide.) Phrases times the logarithm of the sample's size, per character, estimate the cross entropy; the
+phrase is the longest string at that place which occurs in the language's sample, and a character that never occurs is a
+phrase of its own. Phrases times the logarithm of the sample's size, per character, estimate the cross entropy; the
 language that needs fewest wins.
 
-The automata are fitted on a bounded sample: of the training rows of each language the SAMPLE_ROWS first by a hash of the
-id, SAMPLE_ROW_CHARS characters of each at most, SAMPLE_CHARS in all. Their tables, whose size follows from these
-parameters and the number of languages alone, are broadcast: a dense table for the SYMBOLS - 1 most frequent letters and,
-for every other letter of a sample, its transitions in a sorted array. Every text is parsed as a whole, in segments of
-SEGMENT characters that advance in step (a segment's end closes a phrase), and only text takes part in a prediction.
+The automata are fitted on a bounded sample. The labelled texts are cut into passages of PASSAGE_CHARS characters, all of
+which can be drawn; of each language those first by a hash of id and place are taken, at most SAMPLE_PASSAGES of them and
+SAMPLE_TOTAL over all languages together (one a language at least). Passages that several rows or languages share are left
+out, so that text copied into a sample does not decide. The automata are broadcast: a dense table for the most frequent
+letters, of TABLE_ENTRIES at most (64 MB), and for every other letter of a sample its transitions in a sorted array of 12
+bytes a character of sample (15 MB at SAMPLE_TOTAL).
+
+Every text is parsed as a whole. Segments of SEGMENT characters advance in step, each begun as if a phrase opened there.
+Then the phrase that is open at a segment's end is carried on into the next one, until it ends a phrase where that one's own
+parse does: from there on both agree. So the counts are those of one parse from the text's start. Only text takes part in a
+prediction.
 
 Defined cases: null text, empty text and text without a letter give ``und`` and score 0, as does everything when there
 is no labelled row; ties go to the language that sorts first; extra columns are not read; repeated rows repeat their
@@ -32,12 +38,12 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 
 from lumencat.llm.common import pieces, table
 
-SAMPLE_ROWS = 64
-SAMPLE_ROW_CHARS = 2000
-SAMPLE_CHARS = 20_000
+PASSAGE_CHARS = 400
+SAMPLE_PASSAGES = 64
+SAMPLE_TOTAL = 4096
+TABLE_ENTRIES = 16 << 20
 SYMBOLS = 63
 SEGMENT = 2048
-MAX_PHRASE = 12
 BATCH_BYTES = 6 << 20
 UNDETERMINED = "und"
 
@@ -115,7 +121,9 @@ class CrossParser:
         folds = {k: folded(v, np.array([len(v)]))[0] for k, v in samples.items()}
         every = np.concatenate([*folds.values(), np.zeros(1, np.uint32)])
         seen, count = np.unique(every[every != 0], return_counts=True)
-        top = seen[np.lexsort((seen, -count))][: SYMBOLS - 1]
+        # an automaton has under twice as many states as its sample characters
+        dense = min(SYMBOLS, max(2, TABLE_ENTRIES // (2 * len(every)) - 1))
+        top = seen[np.lexsort((seen, -count))][: dense - 1]
         self.symbols = seen
         self.width = len(top) + 2
         rare = ~np.isin(seen, top)
@@ -124,7 +132,7 @@ class CrossParser:
         self.numbers[rare] = np.arange(self.width, self.width + rare.sum())
         self.n_classes = self.width + int(rare.sum())
         keys, nexts = [], []
-        tables, self.roots, self.log = [], [], []
+        tables, roots, self.log = [], [], []
         base = 0
         for k in self.languages:
             cls = self.classes(folds[k])
@@ -144,14 +152,15 @@ class CrossParser:
                         nexts.append((to * self.width + base) * 4)
                 t[s] = row
             tables.append(t.reshape(-1))
-            self.roots.append(base)
+            roots.append(base)
             base += t.size
             self.log.append(math.log(max(2, len(cls))))
         if base * 4 >= 1 << 31:
-            raise ValueError("too much sample text for the step table")
+            raise ValueError("too much sample text for the step table")  # far above what training_samples draws
         by_key = np.argsort(np.array(keys, np.int64))
         self.keys, self.nexts = np.array(keys, np.int64)[by_key], np.array(nexts, np.int32)[by_key]
         self.steps = np.concatenate(tables).astype(np.int32) if tables else np.empty(0, np.int32)
+        self.roots = np.array(roots, np.int32)
 
     def classes(self, folds: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.symbols, folds)
@@ -165,52 +174,96 @@ class CrossParser:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.nexts[at], -1)
 
+    def _step(self, state: np.ndarray, roots: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Entries of the step tables for states, the roots of their languages and the letters' classes, all of one shape."""
+        if not len(self.keys):
+            return self.steps[state + c]
+        e = self.steps[state + np.minimum(c, self.width - 1)]
+        rare = np.nonzero(c >= self.width)
+        if len(rare[0]):
+            # as the dense table has it: go on, or close the phrase and begin anew
+            held, root, cls = state[rare], roots[rare], c[rare]
+            to, anew = self._looked_up(held, cls), self._looked_up(root, cls)
+            e[rare] = np.where(to >= 0, to, np.where(anew >= 0, anew + (held != root), e[rare]))
+        return e
+
     def phrases(self, cls: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each text (row) in each language (column)."""
         n_docs, n_lang = len(lengths), len(self.languages)
+        out = np.zeros((n_docs, n_lang), np.int64)
         per = -(-lengths // SEGMENT)
         doc = np.repeat(np.arange(n_docs), per)
-        first = np.repeat(np.cumsum(lengths) - lengths, per)
+        if not len(doc):
+            return out
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-        start = first + nth * SEGMENT
         size = np.minimum(SEGMENT, lengths[doc] - nth * SEGMENT)
-        order = np.argsort(-size, kind="stable")
+        start = np.repeat(np.cumsum(lengths) - lengths, per) + nth * SEGMENT
+        order = np.argsort(-size, kind="stable")  # the longest segments first
+        rank = np.empty(len(doc), np.int64)
+        rank[order] = np.arange(len(doc))
+        after = np.full(len(doc), -1)  # of each segment the one that follows it
+        same = np.flatnonzero(doc[1:] == doc[:-1])
+        after[rank[same]] = rank[same + 1]
         doc, start, size = doc[order], start[order], size[order]
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(doc), axis=1)
-        count = np.zeros((n_lang, len(doc)), np.int32)
-        began = np.zeros((n_lang, len(doc)), np.int32)
-        roots = np.array(self.roots, np.int32)[:, None]
-        live = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")
-        dense = np.minimum(cls, self.width - 1)
-        other = (cls >= self.width).any()
-        for k, n in enumerate(live):
-            e = self.steps[state[:, :n] + dense[start[:n] + k]]
-            if other:
-                c = cls[start[:n] + k]
-                cols = np.flatnonzero(c >= self.width)
-                if len(cols):
-                    c, held = c[cols], state[:, cols]
-                    to = self._looked_up(held, c)
-                    anew = self._looked_up(np.broadcast_to(roots, held.shape), c)
-                    # as the dense table has it: go on, or close the phrase and begin anew
-                    e[:, cols] = np.where(to >= 0, to, np.where(anew >= 0, anew + (held != roots), e[:, cols]))
-            closed = e & 3
-            count[:, :n] += closed
-            state[:, :n] = e >> 2
-            b = began[:, :n]
-            np.putmask(b, closed, k)
-            if k + 1 >= MAX_PHRASE:
-                full = (b == k + 1 - MAX_PHRASE) & (state[:, :n] != roots)
-                if full.any():
-                    count[:, :n] += full
-                    np.copyto(state[:, :n], np.broadcast_to(roots, full.shape), where=full)
-                    np.putmask(b, full, k + 1)
-        count += state != roots
-        out = np.zeros((n_docs, n_lang), np.int64)
+        roots = np.repeat(self.roots[:, None], len(doc), axis=1)
+        state, count = roots.copy(), np.zeros((n_lang, len(doc)), np.int64)
+        closes = []  # of each step: how many phrases each parse closes before its letter, or with it if no sample has it
+        live = np.searchsorted(-size, -np.arange(size[0]), side="left")
+        for k, m in enumerate(live):
+            c = np.broadcast_to(cls[start[:m] + k], (n_lang, m))
+            e = self._step(state[:, :m], roots[:, :m], c)
+            state[:, :m] = e >> 2
+            e &= 3
+            closes.append(e.astype(np.int8))
+            count[:, :m] += e
+        self._carry_on(cls, closes, count, state, start, size, after)
+        count += (state != roots) & (after < 0)
         for i in range(n_lang):
             out[:, i] = np.bincount(doc, weights=count[i], minlength=n_docs)
         return out
 
+    def _carry_on(self, cls: np.ndarray, closes: list[np.ndarray], count: np.ndarray, ends: np.ndarray, start: np.ndarray, size: np.ndarray, after: np.ndarray) -> None:
+        """Puts closes, count and ends right where a segment does not open with a phrase of the whole parse.
+
+        Segments are mended side by side, each until a phrase opens at the same letter in both parses. If that never
+        happens the segment's end may have changed, and then the one after it is mended again, until none is left.
+        """
+        before = np.flatnonzero(after >= 0)
+        lang, prev = (x.reshape(-1) for x in np.meshgrid(np.arange(len(self.languages)), before, indexing="ij"))
+        own_opens = np.ones(ends.shape, bool)  # the segment's parse opens a phrase at its first letter
+        while len(prev):
+            seg = after[prev]
+            state, root = ends[lang, prev], self.roots[lang]
+            opens = state == root
+            live = np.flatnonzero(~opens | ~own_opens[lang, seg])
+            state, k = state[live], 0
+            changed = []
+            while len(live):
+                lv, sg, rt = lang[live], seg[live], root[live]
+                e = self._step(state, rt, cls[start[sg] + k])
+                state, now = e >> 2, (e & 3).astype(np.int8)
+                own = closes[k][lv, sg]
+                closes[k][lv, sg] = now
+                count[lv, sg] += now.astype(np.int64) - own
+                if k == 0:
+                    both = (opens[live] | (now > 0)) & (own_opens[lv, sg] | (own > 0))
+                    own_opens[lv, sg] = opens[live]
+                else:
+                    both = (now > 0) & (own > 0)
+                k += 1
+                going = ~(both | (state == rt))  # a letter of no sample ends any phrase
+                over = going & (k >= size[sg])
+                if over.any():
+                    x, y = lv[over], sg[over]
+                    new = ends[x, y] != state[over]
+                    ends[x, y] = state[over]
+                    changed.append(live[over][new])
+                going &= ~over
+                live, state = live[going], state[going]
+            moved = np.concatenate([np.empty(0, np.int64), *changed])
+            lang, prev = lang[moved], seg[moved]
+            lang, prev = lang[after[prev] >= 0], prev[after[prev] >= 0]
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and phrases a character of each text."""
         none = np.zeros(len(texts))
@@ -236,17 +289,20 @@ def is_held_out(key: str = "doc_id") -> F.Column:
 
 
 def training_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, str]:
-    """The bounded sample: collected, for it has SAMPLE_ROWS rows of SAMPLE_ROW_CHARS characters a language at most."""
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(~is_held_out("k") & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    order = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k", F.xxhash64("t"))
-    head = rows.select("l", "k", F.substring("t", 1, SAMPLE_ROW_CHARS).alias("t")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_ROWS)
+    """The bounded sample: collected, for it has SAMPLE_PASSAGES passages of PASSAGE_CHARS characters a language at most."""
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).alias("l")).where(~is_held_out("k") & F.col("l").isNotNull())
+    most = max(1, min(SAMPLE_PASSAGES, SAMPLE_TOTAL // max(1, rows.select("l").distinct().count())))
+    cut = rows.select("k", "l", F.posexplode(F.regexp_extract_all("t", F.lit(rf"(?s).{{1,{PASSAGE_CHARS}}}"), F.lit(0))).alias("no", "t")).where(F.col("t").rlike(r"\p{L}"))
+    # longer passages first: a text's last one may be a few characters
+    short = F.length("t") < PASSAGE_CHARS // 4
+    order = Window.partitionBy("l").orderBy(short, F.xxhash64("k", "no"), "k", "no", F.xxhash64("t"))
     parts: dict[str, list[str]] = {}
-    for r in head.orderBy("l", "n").collect():
-        parts.setdefault(r["l"], []).extend(r["t"].split("\n"))
-    # a line of several rows or languages is boilerplate, which says nothing of either
-    count = Counter(line for lines in parts.values() for line in lines)
-    own = {k: [line for line in v if count[line] == 1] or v for k, v in parts.items()}
-    return {k: "\n".join(v)[:SAMPLE_CHARS] for k, v in own.items()}
+    for r in cut.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).orderBy("l", "n").collect():
+        parts.setdefault(r["l"], []).append(r["t"])
+    # a line or passage of several rows or languages is boilerplate, which says nothing of either
+    count = Counter(line for v in parts.values() for t in v for line in dict.fromkeys(t.split("\n")))
+    own = {k: ["\n".join(line for line in t.split("\n") if count[line] == 1) for t in v] for k, v in parts.items()}
+    return {k: "\n".join(v) if any(map(str.strip, v)) else "\n".join(parts[k]) for k, v in own.items()}
 
 
 #: Phrases a character above which a text looks like none of the languages; running text of small alphabets stays below 0.4.

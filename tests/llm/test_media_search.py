@@ -213,21 +213,23 @@ def test_search_shards_agree(spark, monkeypatch):
 
 
 def slow_phrases(text, sample):
-    """Longest matches from left to right, in segments."""
-    n = 0
-    for lo in range(0, len(text), language_id.SEGMENT):
-        part = text[lo : lo + language_id.SEGMENT]
-        while part:
-            k = max((m for m in range(1, min(language_id.MAX_PHRASE, len(part)) + 1) if part[:m] in sample), default=1)
-            n, part = n + 1, part[k:]
+    """Longest matches from left to right."""
+    n = at = 0
+    while at < len(text):
+        k = 1
+        while at + k < len(text) and text[at : at + k + 1] in sample:
+            k += 1
+        n, at = n + 1, at + k
     return n
 
 
-def test_phrases_equal_longest_matches():
+@pytest.mark.parametrize("segment", [2048, 64, 7, 1])
+def test_phrases_equal_longest_matches(monkeypatch, segment):
+    monkeypatch.setattr(language_id, "SEGMENT", segment)
     r = random.Random(9)
     samples = {"x": "".join(r.choice("abcd ") for _ in range(400)), "y": "".join(r.choice("cdefg ") for _ in range(300))}
     p = language_id.CrossParser(samples)
-    texts = ["".join(r.choice("abcdefgz ") for _ in range(n)) for n in (1, 7, 90, 5000)] + [samples["x"][:90], "   ", "q"]
+    texts = ["".join(r.choice("abcdefgz ") for _ in range(n)) for n in (1, 7, 90, 5000)] + [samples["x"][:90], samples["x"] * 3, samples["y"][5:] + samples["x"], "   ", "q", ""]
     folds, lengths, _ = language_id.folded("".join(texts), np.array([len(t) for t in texts]))
     got = p.phrases(p.classes(folds), lengths)
     squeeze = lambda s: "".join(" " if k == " " else "".join(g) for k, g in itertools.groupby(s, lambda c: c if c == " " else "x"))
@@ -310,3 +312,42 @@ def test_transcripts(spark):
     assert len(out) == 83
     assert transcripts.parse(spark.createDataFrame([(1, 0, "")], "conv_id long, part long, transcript string"), transcripts.fit(raw)).first()["rendered"] == ""
     assert transcripts.parse(raw.limit(0), transcripts.fit(raw.limit(0))).count() == 0
+
+
+def spoken(r, alphabet, sizes, n_words):
+    words = ["".join(r.choice(alphabet) for _ in range(r.choice(sizes))) for _ in range(n_words)]
+    weight = [1 / (i + 1) for i in range(n_words)]
+    return lambda n, sep: sep.join(r.choices(words, weight, k=n))
+
+
+def test_languages_of_several_scripts_are_told_apart(spark):
+    r = random.Random(21)
+    span = lambda a, n: [chr(a + i) for i in range(n)]
+    kinds = {
+        "zh": (spoken(r, span(0x4E00, 1500), [1, 2, 2], 500), ""),
+        "ja": (spoken(r, span(0x3042, 80) + span(0x4E00, 700), [2, 3, 4], 500), ""),
+        "ko": (spoken(r, span(0xAC00, 1200), [2, 3], 500), " "),
+        "en": (spoken(r, list("abcdefghijklmnopqrstuvwxyz"), [2, 3, 5, 7], 400), " "),
+        "fi": (spoken(r, list("aeioukltnsämpy"), [3, 5, 8], 400), " "),
+    }
+    rows = [(k, kinds[lang][0](120, kinds[lang][1]), lang) for k, lang in enumerate(list(kinds) * 60)]
+    d = spark.createDataFrame([(*x, "s", len(x[1])) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {x["doc_id"]: x for x in language_id.identify(d, language_id.training_samples(d)).collect()}
+    held = [(lang, out[k]["lang_pred"]) for k, _, lang in rows if out[k]["held_out"]]
+    assert len(held) > 50 and sum(a == b for a, b in held) >= 0.95 * len(held)
+    kept = corpus_pipeline.keep_known_language(spark, d, "").groupBy("lang").count().collect()
+    assert {x["lang"] for x in kept} == set(kinds) and sum(x["count"] for x in kept) >= 0.95 * len(rows)
+
+
+def test_a_thousand_languages_and_ties(spark):
+    r = random.Random(22)
+    rows = [(k, "".join(chr(0x4E00 + r.randrange(20_000)) for _ in range(30)), f"l{k:04}") for k in range(1500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = language_id.training_samples(d)
+    assert len(samples) == sum(zlib.crc32(str(k).encode()) % 3 != 1 for k, _, _ in rows) > 900
+    asked = d.where("doc_id < 40")
+    out = {x["doc_id"]: x for x in language_id.identify(asked.unionByName(asked), samples).collect()}
+    assert all(x["held_out"] or x["lang_pred"] == f"l{k:04}" for k, x in out.items())
+    assert language_id.identify(asked.unionByName(asked), samples).count() == 80
+    same = language_id.CrossParser({"b": "one two three", "a": "one two three"})
+    assert same.predict(["two three", "xyz"])[0] == ["a", "a"]
