@@ -314,6 +314,31 @@ def test_transcripts(spark):
     assert transcripts.parse(raw.limit(0), transcripts.fit(raw.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 9, 500, 3000])
+def test_search_verifies_few_codes_and_proves_the_rest(n):
+    r = np.random.default_rng(n)
+    codes = r.integers(0, 256, (n, 8), dtype=np.uint8)
+    codes[n // 2 :] = codes[: n - n // 2] ^ np.packbits(r.random((n - n // 2, 64)) < 0.05, axis=1)
+    index = hamming_search.SegmentIndex(codes, np.ones(n, np.int64))
+    assert max(np.diff(index.cuts)) <= max(1, round(math.log2(max(2, n)))) + 1
+    asked = codes[:: max(1, n // 40)]
+    query, row, distance = index.search(asked, 1 if n < 500 else 2)
+    for q, code in enumerate(asked):
+        want = np.sort(np.bitwise_count(codes ^ code).sum(axis=1))[: 1 if n < 500 else 2]
+        assert np.array_equal(np.sort(distance[query == q])[: len(want)], want)
+        assert len(np.unique(row[query == q])) == (query == q).sum()
+    if n >= 500:
+        assert len(query) < 0.25 * len(asked) * n
+
+
+def test_registered_search_reads_clashing_columns(spark, tmp_path):
+    r = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in r.normal(size=64)], 1, 2, 3) for k in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, code int, shard int, ids int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = hamming_search.op6_multi_index_hamming(spark, f"file://{tmp_path}").collect()
+    assert len(got) == 100 and {x["query_id"] for x in got if x["rank"] == 1} == set(range(0, 200, 20))
+
+
 def spoken(r, alphabet, sizes, n_words):
     words = ["".join(r.choice(alphabet) for _ in range(r.choice(sizes))) for _ in range(n_words)]
     weight = [1 / (i + 1) for i in range(n_words)]
