@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests, one machine) a temporary folder is set for the session.
+    Only where that setting is absent and the master is local (tests, one machine) a temporary folder is set for the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lumencat-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lumencat-{name}-{uuid.uuid4().hex}"
@@ -61,20 +64,18 @@ def pieces(batches: Iterator[pa.RecordBatch], limit_bytes: int, column: str) ->
             start = cut
 
 
-def components(edges: DataFrame, name: str = "cc", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of an edge table (a long, b long): every node of an edge with the smallest node it reaches.
 
     Alternating large-star and small-star steps: each joins the edges with the smallest neighbour of a node, which an
-    aggregate with map-side combining finds, so that no neighbour list is ever gathered. Edges with equal or null ends
-    are left out. Returns (node long, component long), one row per node; an empty table gives an empty table.
+    aggregate with map-side combining finds, so that no neighbour list is ever gathered. Steps follow until the edges stay
+    as they are, about the square of the logarithm of a component's length. Edges with equal or null ends are left out. Returns (node long, component long), one row per node; an empty table gives an empty table.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e = stored(e, name)
     mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
     seen = mark(e)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -86,8 +87,6 @@ def components(edges: DataFrame, name: str = "cc", rounds: int = 60) -> DataFram
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 

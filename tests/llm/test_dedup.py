@@ -177,3 +177,64 @@ def test_repeated_ids_are_cut_by_their_own_text(spark):
         left, _, _, _, gone = line_dedup.cut(t, [i for i, u in enumerate(line_dedup.units(t)) if u[3] and first[u[3]] != (k, t)], line_dedup.MIN_RUN_WORDS)
         want.add((k, gone, left))
     assert got == want
+
+
+def test_template_family_and_chain(spark):
+    """Near copies of one text, texts that share half of a template, and links that only a second look finds."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    base, template = [word() for _ in range(300)], [word() for _ in range(120)]
+    rows = []
+    for k in range(300):
+        own = list(base)
+        for _ in range(r.randrange(1, 6)):
+            own[r.randrange(len(own))] = word()
+        rows.append((k, " ".join(own)))
+    rows += [(1000 + k, " ".join([*template, *(word() for _ in range(70))])) for k in range(300)]
+    for k in range(0, 40, 2):  # linked pairs among those that share the template
+        other = dict(rows)[1000 + k].split()
+        other[-1] = word()
+        rows.append((2000 + k, " ".join(other)))
+    chain = [word() for _ in range(600)]
+    rows += [(3000 + k, " ".join(chain[60 * k : 60 * k + 180])) for k in range(8)]
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {k: c for k, (_, c) in brute(rows).items()}
+
+
+def test_large_components_get_blocks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 6)
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(200)]
+    rows = []
+    for k in range(60):
+        own = list(base)
+        for _ in range(r.randrange(1, 9)):
+            own[r.randrange(len(own))] = word()
+        rows.append((k, " ".join(own)))
+    sets = {k: near_dedup.shingle_set(t) for k, t in rows}
+    # halves that are taken as joined already, and some sets on their own
+    part = {k: 0 if k < 25 else 1 if k < 50 else k for k in sets}
+    d = spark.createDataFrame([(k, part[k], bytearray(s.tobytes())) for k, s in sets.items()], "node long, part long, shingles binary")
+    links = [tuple(x) for x in near_dedup.linked_through_shingles(d, 85).collect()]
+    label = dict(part)
+    for _ in rows:
+        for a, b in links:
+            low = min(label[a], label[b])
+            for k in [k for k in label if label[k] in (label[a], label[b])]:
+                label[k] = low
+    want = dict(part)
+    for a in sets:
+        for b in sets:
+            common = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+            if want[a] != want[b] and 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
+                low = min(want[a], want[b])
+                for k in [k for k in want if want[k] in (want[a], want[b])]:
+                    want[k] = low
+    assert label == want
+
+
+def test_ids_with_several_texts_are_linked_by_any(spark):
+    a, b = ("one two three four five six seven", "other words stand here in this text now")
+    out = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(frame(spark, [(1, a), (2, a), (2, b), (3, b), (3, b), (4, None)])).collect()}
+    assert out == {1: 1, 2: 1, 3: 1, 4: 4}
