@@ -3,11 +3,14 @@
 ``decode`` reads RIFF files with a VP8L chunk: prefix codes (simple and normal, with several groups chosen by an entropy
 image), back-references, the colour cache, and the predictor, cross-colour, subtract-green and palette transforms. ``encode``
 writes them. Both work on all images of a batch in step: numpy holds one bit position for each image, so the cost of a step
-is shared by the batch. Pixels are 32-bit numbers, alpha in the highest byte, then red, green and blue.
+is shared by the batch. An image of over LONG pixels is read by itself: of every bit position the length of a symbol that
+would begin there is looked up at once, and one walk along these lengths finds where symbols do begin. Pixels are 32-bit
+numbers, alpha in the highest byte, then red, green and blue.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,6 +45,7 @@ class Bits:
     def __init__(self, parts: list[bytes]):
         size = np.array([len(p) for p in parts], np.int64)
         raw = np.frombuffer(b"".join(parts) + b"\0" * 16, np.uint8)
+        self.raw = raw
         self.start = (np.cumsum(size) - size) * 8
         self.pos = self.start.copy()
         self.end = self.start + size * 8
@@ -92,6 +96,11 @@ class Codes:
         table[used > 0] = entries.reshape(-1, 1 << bits)
         return Codes(bits, table.reshape(-1))
 
+    def by_window(self, code: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and lengths of one code, by the next ``bits`` bits of the stream."""
+        e = self.table[code << self.bits : (code + 1) << self.bits][_REV[self.bits]]
+        return (e >> 4).astype(np.int32), (e & 15).astype(np.int32)
+
     def look(self, code: np.ndarray, word: np.ndarray) -> np.ndarray:
         return self.table[(code << self.bits) + _REV[self.bits][(word & _U((1 << self.bits) - 1)).astype(np.int64)]]
 
@@ -158,6 +167,107 @@ def _extended(b: Bits, at: np.ndarray, prefix: np.ndarray) -> np.ndarray:
     return base + b.read(at, extra) + 1
 
 
+def _distance(far: np.ndarray, width: np.ndarray | int) -> np.ndarray:
+    """Pixels back that a distance number means in an image of that width."""
+    near = far <= len(NEAR)
+    xy = _NEAR[np.where(near, far, 1) - 1]
+    return np.where(near, np.maximum(1, xy[:, 0] + xy[:, 1] * width), far - len(NEAR))
+
+
+#: Images of more pixels are read by themselves, WALK_BYTES of the stream at a time.
+LONG, WALK_BYTES = 4096, 1 << 18
+_EXTRA = np.array([0 if k < 4 else (k - 2) >> 1 for k in range(DISTANCE_CODES)], np.int32)
+
+
+def _read_long(b: Bits, who: int, codes: tuple[Codes, ...], code: int, width: int, size: int, cache_bits: int) -> np.ndarray | None:
+    """Pixels of one image with one group of codes; None if a symbol may take no bits, so that a walk would not move."""
+    tables = [c.by_window(code) for c in codes]
+    masks = [(1 << c.bits) - 1 for c in codes]
+    (green, green_len), *rest, (far, far_len) = tables
+    if int(green_len.min()) == 0:
+        return None
+    out = np.zeros(size, np.int64)
+    cache = np.zeros(1 << cache_bits if cache_bits else 0, np.int64)
+    done = cached = 0
+
+    def fill_cache(upto: int) -> None:
+        nonlocal cached
+        if cache_bits and upto > cached:
+            px = out[cached:upto]
+            cache[_slot(px, np.int64(cache_bits))] = px  # of equal slots the last counts
+            cached = upto
+
+    while done < size:
+        if b.pos[who] >= b.end[who]:
+            raise ValueError("a stream ends too early")
+        first = int(b.pos[who]) >> 3
+        n = min(WALK_BYTES, (int(b.end[who]) >> 3) - first + 1)
+        held = np.zeros(n + 24, np.uint32)  # and what a symbol that begins in the last byte may take
+        raw = b.raw[first : first + n + 27].astype(np.uint32)
+        for k in range(4):
+            part = raw[k : k + n + 24]
+            held[: len(part)] |= part << np.uint32(8 * k)
+        window = (held[:, None] >> np.arange(8, dtype=np.uint32)).astype(np.uint16).reshape(-1)
+        bits = 8 * n
+        here = np.arange(bits, dtype=np.int32)
+        at = here + green_len[window[:bits] & masks[0]]
+        places = [at]
+        for (_, length), mask in zip(rest, masks[1:4], strict=True):
+            if length.any():
+                at = at + length[window[at] & mask]
+            places.append(at)
+        symbol = green[window[:bits] & masks[0]]
+        other = np.flatnonzero(symbol >= 256)
+        after = places[-1].copy()
+        after[other] = places[0][other]
+        refs = other[symbol[other] < 256 + LENGTH_CODES]
+        if len(refs):
+            where = after[refs] + _EXTRA[symbol[refs] - 256]
+            f = window[where] & masks[4]
+            after[refs] = where + far_len[f] + _EXTRA[far[f]]
+        steps, p, starts, most = memoryview(after), int(b.pos[who]) - 8 * first, [], size - done
+        while p < bits and len(starts) < most:
+            starts.append(p)
+            p = steps[p]
+        t = np.array(starts, np.int64)
+        kind = symbol[t]
+        length = np.ones(len(t), np.int64)
+        ref = np.flatnonzero((kind >= 256) & (kind < 256 + LENGTH_CODES))
+        word = lambda x: b.words[first + (x >> 3)] >> (x & 7).astype(_U)  # noqa: B023, E731
+        value = lambda prefix, x: np.where(prefix < 4, prefix, (2 + (prefix & 1)) << _EXTRA[prefix]) + (word(x) & ((_U(1) << _EXTRA[prefix].astype(_U)) - _U(1))).astype(np.int64) + 1  # noqa: B023, E731
+        back = np.empty(0, np.int64)
+        if len(ref):
+            prefix, x = kind[ref].astype(np.int64) - 256, places[0][t[ref]].astype(np.int64)
+            length[ref] = value(prefix, x)
+            x = x + _EXTRA[prefix]
+            f = window[x] & masks[4]
+            back = _distance(value(far[f].astype(np.int64), x + far_len[f]), width)
+        begin = done + np.cumsum(length) - length
+        keep = int(np.searchsorted(begin, size))  # what follows the last pixel is no symbol
+        if keep < len(t):
+            p = starts[keep]
+            t, kind, length, begin = t[:keep], kind[:keep], length[:keep], begin[:keep]
+            ref, back = ref[: int(np.searchsorted(ref, keep))], back[: int(np.searchsorted(ref, keep))]
+        plain = np.flatnonzero(kind < 256)
+        channel = [s[window[q[t[plain]]] & m] for (s, _), q, m in zip(rest, places[:3], masks[1:4], strict=True)]
+        out[begin[plain]] = channel[2].astype(np.int64) << 24 | channel[0].astype(np.int64) << 16 | kind[plain].astype(np.int64) << 8 | channel[1]
+        far_of = dict(zip(ref.tolist(), back.tolist(), strict=True))
+        for k in np.flatnonzero(kind >= 256).tolist():
+            to, m = int(begin[k]), int(length[k])
+            if k in far_of:
+                d = far_of[k]
+                if d > to or m > size - to:
+                    raise ValueError("a back-reference leaves the image")
+                out[to : to + m] = out[to - d : to - d + m] if d >= m else np.resize(out[to - d : to], m)
+            else:
+                fill_cache(to)
+                out[to] = cache[int(kind[k]) - 256 - LENGTH_CODES]
+        done = int(begin[-1] + length[-1]) if len(t) else done
+        fill_cache(done)
+        b.pos[who] = 8 * first + p
+    return out
+
+
 def _slot(pixel: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return ((pixel.astype(_U) * _U(CACHE_FACTOR)) & _U(0xFFFFFFFF)).astype(np.int64) >> (32 - bits)
 
@@ -205,7 +315,12 @@ def _read_image(b: Bits, at: np.ndarray, width: np.ndarray, height: np.ndarray,
     any_cache = bool(cached.any())
     roomy = green.bits + red.bits + blue.bits + alpha.bits <= 57
     done = np.zeros(n, np.int64)
-    live = np.arange(n)
+    for i in np.flatnonzero((size > LONG) & (groups == 1)).tolist() if main else ():
+        own = _read_long(b, int(at[i]), (green, red, blue, alpha, distance), int(first[i]), int(width[i]), int(size[i]), int(cache_bits[i]))
+        if own is not None:
+            out[start[i] : start[i] + size[i]] = own
+            done[i] = size[i]
+    live = np.flatnonzero(done < size)
     tiles = np.full(n, -1, np.int64)
     if group_of is not None:
         tiles[group_of[0]] = np.arange(len(group_of[0]))
@@ -263,9 +378,7 @@ def _read_image(b: Bits, at: np.ndarray, width: np.ndarray, height: np.ndarray,
                 e = distance.look(code[ref], b.peek(at[i]))
                 b.pos[at[i]] += e & 15
                 far = _extended(b, at[i], e >> 4)
-                near = far <= len(NEAR)
-                xy = _NEAR[np.where(near, far, 1) - 1]
-                far = np.where(near, np.maximum(1, xy[:, 0] + xy[:, 1] * width[i]), far - len(NEAR))
+                far = _distance(far, width[i])
                 if np.any(far > done[i]) or np.any(length > size[i] - done[i]):
                     raise ValueError("a back-reference leaves the image")
                 for j, m, d in zip(i.tolist(), length.tolist(), far.tolist(), strict=True):
@@ -379,16 +492,29 @@ class _Image:
     steps: list[tuple] = field(default_factory=list)
 
 
+def lossless_chunk(file: bytes) -> bytes | None:
+    """The VP8L chunk of a RIFF file, whatever chunks (of the extended format) stand before it."""
+    if file[:4] != b"RIFF" or file[8:12] != b"WEBP":
+        return None
+    at = 12
+    while at + 8 <= len(file):
+        size = int.from_bytes(file[at + 4 : at + 8], "little")
+        if file[at : at + 4] == b"VP8L":
+            return file[at + 8 : at + 8 + size]
+        at += 8 + size + size % 2
+    return None
+
+
 def decode(files: list[bytes]) -> list[np.ndarray]:
     """The images' pixels as arrays (height, width) of unsigned 32-bit numbers."""
     if not files:
         return []
     bodies = []
     for f in files:
-        if f[:4] != b"RIFF" or f[8:16] != b"WEBPVP8L" or len(f) < 25:
+        body = lossless_chunk(f)
+        if body is None or len(body) < 5:
             raise ValueError("not a lossless WebP file")
-        size = int.from_bytes(f[16:20], "little")
-        bodies.append(f[20 : 20 + size])
+        bodies.append(body)
     b = Bits(bodies)
     every = np.arange(len(files))
     if np.any(b.read(every, 8) != SIGNATURE):
@@ -617,39 +743,73 @@ def _put_code(w: Writer, who: np.ndarray, lengths: np.ndarray) -> None:
     w.put(who[token_row], code[token_row, symbol] | added << bits, bits + extra)
 
 
-#: Runs of at least so many equal pixels become a back-reference, images of so many pixels get a colour cache.
-LEAST_RUN, CACHE_FROM, CACHE_BITS = 3, 512, 6
+#: Matches of at least so many pixels become back-references; images of so many pixels get a colour cache.
+LEAST_MATCH, MOST_MATCH, MOST_DISTANCE = 3, 4096, (1 << 20) - 120
+CACHE_FROM, CACHE_BITS = 512, 6
 CODE_BITS = 12
 
 
-def _put_image(w: Writer, who: np.ndarray, images: list[np.ndarray], main: bool) -> None:
-    """Writes the pixels of each image of who with one group of prefix codes."""
+def matches(px: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, distance) of back-references for images one after the other (of: each pixel's image); they do not overlap.
+
+    A pixel's match is the last earlier place of the same LEAST_MATCH pixels; neighbours of one distance are one match.
+    """
+    none = np.empty(0, np.int64)
+    n = len(px) - LEAST_MATCH + 1
+    if n <= 0:
+        return none, none, none
+    h = px.astype(_U)
+    key = h[:n] * _U(0x9E3779B97F4A7C15)
+    for k in range(1, LEAST_MATCH):
+        key = (key ^ (key >> _U(29)) ^ h[k : k + n]) * _U(0xBF58476D1CE4E5B9)
+    key ^= of[:n].astype(_U) * _U(0x94D049BB133111EB)
+    by = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[by][1:] == key[by][:-1])
+    here, before = by[same + 1], by[same]
+    good = (of[here] == of[before]) & (of[here + LEAST_MATCH - 1] == of[here]) & (here - before <= MOST_DISTANCE)
+    for k in range(LEAST_MATCH):  # equal keys of unequal pixels are no match
+        good &= px[here + k] == px[before + k]
+    far = np.zeros(n + 1, np.int64)
+    far[here[good]] = here[good] - before[good]
+    opens = np.flatnonzero((far[1:] != far[:-1]) | np.append(of[1:n] != of[: n - 1], True)) + 1
+    begin = np.concatenate([[0], opens])
+    stop = np.concatenate([opens, [n]]) + LEAST_MATCH - 1
+    some = (far[np.minimum(begin, n)] > 0) & (begin < n)
+    begin, stop = begin[some], stop[some]
+    distance = far[begin]
+    begin[1:] = np.maximum(begin[1:], stop[:-1])
+    length = stop - begin
+    some = length >= LEAST_MATCH
+    begin, length, distance = begin[some], length[some], distance[some]
+    pieces = -(-length // MOST_MATCH)
+    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin, distance = np.repeat(begin, pieces) + nth * MOST_MATCH, np.repeat(distance, pieces)
+    return begin, np.minimum(MOST_MATCH, np.repeat(length, pieces) - nth * MOST_MATCH), distance
+
+
+def _put_image(w: Writer, who: np.ndarray, images: list[np.ndarray], main: bool, width: np.ndarray) -> None:
+    """Writes the pixels of each image of who, of these widths, with one group of prefix codes."""
     n = len(images)
     size = np.array([len(p) for p in images], np.int64)
     px = np.concatenate(images).astype(np.int64)
     of = np.repeat(np.arange(n), size)
-    start = np.cumsum(size) - size
-    cached = size >= CACHE_FROM
+    cached = (size >= CACHE_FROM) & (size <= LONG)
     w.put(who, cached, 1)
     w.put(who[cached], CACHE_BITS, 4)
     if main:
         w.put(who, 0, 1)
-    place = np.arange(len(px))
-    equal = np.zeros(len(px), bool)
-    equal[1:] = px[1:] == px[:-1]
-    equal[start] = False
-    breaks = ~equal
-    opens = np.flatnonzero(breaks)
-    run = np.diff(np.append(opens, len(px))) - 1  # pixels after the first of each run
-    long_run = run >= LEAST_RUN
-    inside = equal & np.repeat(long_run, run + 1)
-    head = opens[long_run] + 1
-    unit = ~inside
+    head, run, far = matches(px, of)
+    inside = np.zeros(len(px) + 1, np.int64)
+    np.add.at(inside, head, 1)
+    np.add.at(inside, head + run, -1)
+    unit = np.cumsum(inside[:-1]) == 0
     unit[head] = True
     is_run = np.zeros(len(px), bool)
     is_run[head] = True
-    length = np.ones(len(px), np.int64)
-    length[head] = run[long_run]
+    length, back = np.ones(len(px), np.int64), np.ones(len(px), np.int64)
+    length[head] = run
+    # the pixel to the left and the one above have numbers of their own
+    back[head] = np.where(far == 1, 2, np.where(far == width[of[head]], 1, far + len(NEAR)))
     hit = np.zeros(len(px), bool)
     slot = np.zeros(len(px), np.int64)
     if cached.any():
@@ -664,18 +824,19 @@ def _put_image(w: Writer, who: np.ndarray, images: list[np.ndarray], main: bool)
         first[1:] = key[by][1:] != key[by][:-1]
         same |= first & (px[c][by] == 0)
         hit[c[by]] = same
-    at = place[unit]
+    at = np.flatnonzero(unit)
     image, value = of[at], px[at]
     runs, hits = is_run[at], hit[at] & ~is_run[at]
     literal = ~runs & ~hits
     prefix, extra, added = _prefix(length[at])
+    far_prefix, far_extra, far_added = _prefix(back[at[runs]])
     green = np.where(runs, 256 + prefix, np.where(hits, 256 + LENGTH_CODES + slot[at], (value >> 8) & 255))
     sizes = 256 + LENGTH_CODES + (1 << CACHE_BITS)
-    tables = []
-    for symbols, mask, alphabet in ((green, np.ones(len(at), bool), sizes), ((value >> 16) & 255, literal, 256), (value & 255, literal, 256), ((value >> 24) & 255, literal, 256)):
-        counts = np.bincount(image[mask] * alphabet + symbols[mask], minlength=n * alphabet).reshape(n, alphabet)
-        tables.append(code_lengths(counts, CODE_BITS))
-    for k, t in enumerate(tables):
+    every = np.ones(len(at), bool)
+    coded = [(green, every, sizes), ((value >> 16) & 255, literal, 256), (value & 255, literal, 256), ((value >> 24) & 255, literal, 256)]
+    tables = [code_lengths(np.bincount(image[mask] * alphabet + symbols[mask], minlength=n * alphabet).reshape(n, alphabet), CODE_BITS) for symbols, mask, alphabet in coded]
+    far_table = code_lengths(np.bincount(image[runs] * DISTANCE_CODES + far_prefix, minlength=n * DISTANCE_CODES).reshape(n, DISTANCE_CODES), CODE_BITS)
+    for k, t in enumerate([*tables, far_table]):
         if k == 0:
             for has, limit in ((cached, sizes), (~cached, 256 + LENGTH_CODES)):
                 rows = np.flatnonzero(has)
@@ -683,38 +844,61 @@ def _put_image(w: Writer, who: np.ndarray, images: list[np.ndarray], main: bool)
                     _put_code(w, who[rows], t[rows, :limit])
         else:
             _put_code(w, who, t)
-    one = np.zeros((n, DISTANCE_CODES), np.int64)
-    one[:, 1] = 1  # the only distance is that of the pixel to the left, whose place comes second
-    _put_code(w, who, one)
-    out = np.zeros(len(at), np.int64)
-    bits = np.zeros(len(at), np.int64)
-    for symbols, mask, t in ((green, None, tables[0]), ((value >> 16) & 255, literal, tables[1]), (value & 255, literal, tables[2]), ((value >> 24) & 255, literal, tables[3])):
+
+    def codes(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         t = t.copy()
         t[(t > 0).sum(axis=1) == 1] = 0
-        codes = _code_values(t)
-        some = slice(None) if mask is None else np.flatnonzero(mask)
-        out[some] |= codes[image[some], symbols[some]] << bits[some]
-        bits[some] += t[image[some], symbols[some]]
+        return _code_values(t), t
+
+    out = np.zeros(len(at), np.int64)
+    bits = np.zeros(len(at), np.int64)
+    for (symbols, mask, _), t in zip(coded, tables, strict=True):
+        value_of, size_of = codes(t)
+        some = np.flatnonzero(mask)
+        out[some] |= value_of[image[some], symbols[some]] << bits[some]
+        bits[some] += size_of[image[some], symbols[some]]
     out[runs] |= added[runs] << bits[runs]
     bits[runs] += extra[runs]
-    w.put(who[image], out, bits)
+    # a reference is two fields: length and distance
+    row = np.repeat(np.arange(len(at)), 1 + runs)
+    second = np.concatenate([[False], row[1:] == row[:-1]]) if len(row) else np.zeros(0, bool)
+    out, bits = out[row], bits[row]
+    value_of, size_of = codes(far_table)
+    ours = size_of[image[runs], far_prefix]
+    out[second] = value_of[image[runs], far_prefix] | far_added << ours
+    bits[second] = ours + far_extra
+    w.put(who[image[row]], out, bits)
 
 
 def _tiles(h: int, w: int, tile: int) -> tuple[int, int]:
     return (h + (1 << tile) - 1) >> tile, (w + (1 << tile) - 1) >> tile
 
 
+def _entropy(channels: np.ndarray) -> float:
+    """Bits that the bytes of each column take by themselves."""
+    n = len(channels)
+    count = np.bincount((channels + 256 * np.arange(channels.shape[1])).reshape(-1), minlength=256 * channels.shape[1])
+    count = count[count > 0]
+    return float((count * (math.log2(n) - np.log2(count))).sum())
+
+
 def choose(px: np.ndarray) -> tuple[str, ...]:
-    """Transforms for an image: a palette where colours repeat often, prediction from above where rows repeat, else none."""
+    """Transforms for an image: a palette where colours repeat often, else the one whose bytes have the least entropy, if any."""
     h, w = px.shape
-    if h > 1 and 2 * int((px[1:] == px[:-1]).sum()) > px.size:
-        return ("predictor",)
     flat = px.reshape(-1)
-    if px.size >= 64 and len(np.unique(flat[:256])) * 8 <= min(256, px.size):  # else many colours are certain
+    if px.size < 64:
+        return ()
+    if len(np.unique(flat[:256])) * 8 <= min(256, px.size):  # else many colours are certain
         colours = len(np.unique(flat))
         if colours <= 256 and 8 * colours <= px.size:
             return ("palette",)
-    return ()
+    ch = flat.astype("<u4").view(np.uint8).reshape(-1, 4).astype(np.int64)
+    ways = {(): ch, ("subtract_green",): np.stack([(ch[:, 0] - ch[:, 1]) & 255, ch[:, 1], (ch[:, 2] - ch[:, 1]) & 255, ch[:, 3]], axis=1)}
+    if h > 1:
+        ways[("predictor",)] = (ch[w:] - ch[:-w]) & 255
+    cost = {k: _entropy(v) * len(ch) / len(v) for k, v in ways.items()}
+    best = min(cost, key=cost.__getitem__)
+    return best if cost[best] < 0.97 * cost[()] else ()  # a transform has its own cost
 
 
 def encode(images: list[np.ndarray], transforms: list[tuple[str, ...]] | None = None, mode: int = 2, tile: int = 4, element: tuple[int, int, int] = (24, 8, 250)) -> list[bytes]:
@@ -736,7 +920,7 @@ def encode(images: list[np.ndarray], transforms: list[tuple[str, ...]] | None =
     w.put(every, height - 1, 14)
     w.put(every, 1, 1)
     w.put(every, 0, 3)
-    ready = []
+    ready, widths = [], []
     for k, (im, plan) in enumerate(zip(images, plans, strict=True)):
         px, (h, wide) = im.astype(np.int64).reshape(-1), im.shape
         me = np.array([k])
@@ -750,7 +934,7 @@ def encode(images: list[np.ndarray], transforms: list[tuple[str, ...]] | None =
                 w.put(me, PALETTE, 2)
                 w.put(me, len(table) - 1, 8)
                 steps = np.diff(_channels(table, 1, len(table)), axis=1, prepend=0) & 255
-                _put_image(w, me, [_pixels(steps)], False)
+                _put_image(w, me, [_pixels(steps)], False, np.array([len(table)]))
                 packed = (wide + (1 << bits) - 1) >> bits
                 grid = np.zeros((h, packed << bits), np.int64)
                 grid[:, :wide] = index.reshape(h, wide)
@@ -768,15 +952,16 @@ def encode(images: list[np.ndarray], transforms: list[tuple[str, ...]] | None =
                 w.put(me, PREDICTOR if name == "predictor" else CROSS_COLOUR, 2)
                 w.put(me, tile - 2, 3)
                 if name == "predictor":
-                    _put_image(w, me, [np.full(th * tw, OPAQUE | mode << 8)], False)
+                    _put_image(w, me, [np.full(th * tw, OPAQUE | mode << 8)], False, np.array([tw]))
                     px = _pixels(_predicted(_channels(px, h, wide), np.full((th, tw), mode), tile, False))
                 else:
                     e = np.broadcast_to(np.array([*element, 255]) & 255, (th, tw, 4))
-                    _put_image(w, me, [_pixels(e)], False)
+                    _put_image(w, me, [_pixels(e)], False, np.array([tw]))
                     px = _pixels(_crossed(_channels(px, h, wide), e, tile, False))
         ready.append(px)
+        widths.append(wide)
     w.put(every, 0, 1)
-    _put_image(w, every, ready, True)
+    _put_image(w, every, ready, True, np.array(widths))
     out = []
     for body in w.packed():
         even = body + b"\0" * (len(body) % 2)

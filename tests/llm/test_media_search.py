@@ -133,6 +133,173 @@ def test_hand_written_groups():
     assert [(x >> 8) & 255 for x in webp.decode([p.file()])[0][0].tolist()] == [5, 5, 5, 5, 6, 7, 7, 6]
 
 
+def normal(p, lengths, alphabet):
+    """A normal code: its lengths written one by one through an inner code of fixed size; gives the code of each symbol."""
+    used = sorted({0, *lengths.values()})
+    bits = max(1, (len(used) - 1).bit_length())
+    inner = {v: bits for v in used}
+    for v in range(16):  # fill the inner code up
+        if len(inner) < 1 << bits and v not in inner:
+            inner[v] = bits
+    p.put(0, 1).put(15, 4)
+    for s in webp.LENGTH_ORDER:
+        p.put(inner.get(int(s), 0), 3)
+    p.put(0, 1)
+    flip = lambda v, n: int(f"{v:0{n}b}"[::-1], 2)
+    number = {v: flip(k, bits) for k, v in enumerate(sorted(inner))}
+    for s in range(alphabet):
+        p.put(number[lengths.get(s, 0)], bits)
+    code, value, last = {}, 0, 0
+    for s, n in sorted(lengths.items(), key=lambda x: (x[1], x[0])):
+        value <<= n - last
+        code[s] = (flip(value, n), n)
+        value, last = value + 1, n
+    return code
+
+
+def small_image(p, values, main=False):
+    """An entropy-coded image of single green values (a transform's data): no cache, literals only."""
+    p.put(0, 1)
+    if main:
+        p.put(0, 1)
+    options = sorted(set(values))
+    if len(options) == 1:
+        lone(p, options[0])
+    else:
+        pair(p, *options)
+    for s in (0, 0, 255, 0):
+        lone(p, s)
+    for v in values if len(options) > 1 else ():
+        p.put(options.index(v), 1)
+
+
+def test_hand_written_transforms():
+    # predictor: two tiles of 4 by 4 pixels, modes 1 (left) and 2 (above); residuals of green 1, elsewhere 0
+    p = head(8, 2).put(1, 1).put(0, 2).put(0, 3)
+    small_image(p, [1, 2])
+    p.put(0, 1)
+    p.put(0, 1).put(0, 1)
+    lone(p, 1)
+    for s in (0, 0, 0, 0):
+        lone(p, s)
+    green = [[(x >> 8) & 255 for x in row] for row in webp.decode([p.file()])[0].tolist()]
+    # the first pixel adds to opaque black, the first row goes from the left, the first column from above
+    assert green == [[1, 2, 3, 4, 5, 6, 7, 8], [2, 3, 4, 5, 6, 7, 8, 9]]
+    # cross-colour: green to red 32 (that is 1), green to blue 0, red to blue 0; then subtract-green added back
+    p = head(2, 1).put(1, 1).put(1, 2).put(0, 3)
+    p.put(0, 1)
+    lone(p, 0)
+    lone(p, 0)
+    lone(p, 32)
+    lone(p, 255)
+    lone(p, 0)
+    p.put(1, 1).put(2, 2).put(0, 1)
+    p.put(0, 1).put(0, 1)
+    pair(p, 10, 20)
+    for s in (5, 7, 255, 0):
+        lone(p, s)
+    p.put(0b10, 2)
+    # read: add green to red and blue, then the cross-colour step adds green to red once more
+    assert webp.decode([p.file()])[0].tolist() == [[0xFF000000 | (5 + 2 * g) << 16 | g << 8 | (7 + g) for g in (10, 20)]]
+    # palette of two colours, eight pixels in a byte
+    p = head(9, 1).put(1, 1).put(3, 2).put(1, 8)
+    p.put(0, 1)
+    pair(p, 3, 9)
+    for s in (0, 0, 255, 0):
+        lone(p, s)
+    p.put(0b10, 2)  # greens 3 and 3 + 9, alpha 255 and 255 + 255
+    p.put(0, 1).put(0, 1).put(0, 1)
+    pair(p, 0b01, 0b10110010)
+    for s in (0, 0, 0, 0):
+        lone(p, s)
+    p.put(0b01, 2)
+    px = webp.decode([p.file()])[0][0].tolist()
+    assert [(x >> 8) & 255 for x in px] == [12 if b else 3 for b in (0, 1, 0, 0, 1, 1, 0, 1, 1)]
+    assert {x >> 24 for x in px} == {255, 254}
+
+
+@pytest.mark.parametrize("cache_bits", [0, 2])
+def test_hand_written_long_image(cache_bits):
+    """Over LONG pixels: literals, distant and near references and cache hits, as a foreign encoder may mix them."""
+    r = random.Random(cache_bits)
+    n = 6000
+    p = head(60, 100).put(0, 1)
+    p.put(1, 1).put(cache_bits, 4) if cache_bits else p.put(0, 1)
+    p.put(0, 1)
+    alphabet = 280 + (1 << cache_bits if cache_bits else 0)
+    greens = {5: 2, 9: 2, 77: 3, 256: 4, 259: 4, 262: 3, **({280: 5, 281: 5, 282: 5, 283: 5} if cache_bits else {200: 3})}
+    code = normal(p, greens, alphabet)
+    reds = normal(p, {0: 1, 40: 2, 41: 2}, 256)
+    pair(p, 6, 7)
+    lone(p, 255)
+    far = normal(p, {0: 1, 1: 2, 14: 3, 15: 3}, 40)
+    want, cache = [], [0] * 4
+    slot = lambda x: int(webp._slot(np.array([x]), np.int64(2))[0])
+
+    def add(x):
+        want.append(x)
+        if cache_bits:
+            cache[slot(x)] = x
+
+    while len(want) < n:
+        kind = r.choice(list(greens))
+        if kind < 256:
+            red, blue = r.choice([0, 40, 41]), r.randrange(2)
+            p.put(*code[kind]).put(*reds[red]).put(blue, 1)
+            add(255 << 24 | red << 16 | kind << 8 | 6 + blue)
+        elif kind < 280:
+            prefix = kind - 256
+            extra_bits = 0 if prefix < 4 else (prefix - 2) >> 1
+            extra = r.randrange(1 << extra_bits)
+            length = prefix + 1 if prefix < 4 else ((2 + (prefix & 1)) << extra_bits) + extra + 1
+            d = r.choice([0, 1, 14, 15])
+            d_bits = 0 if d < 4 else (d - 2) >> 1
+            d_extra = r.randrange(1 << d_bits)
+            number = d + 1 if d < 4 else ((2 + (d & 1)) << d_bits) + d_extra + 1
+            back = 60 if number == 1 else 1 if number == 2 else number - 120
+            if number > 2 and number <= 120 or back > len(want) or length > n - len(want):
+                continue
+            p.put(*code[kind]).put(extra, extra_bits).put(*far[d]).put(d_extra, d_bits)
+            for _ in range(length):
+                add(want[-back])
+        else:
+            p.put(*code[kind])
+            add(cache[kind - 280])
+    got = webp.decode([p.file()])[0].reshape(-1)
+    assert got.tolist() == want
+    long_, webp.LONG = webp.LONG, 1 << 30
+    try:
+        assert np.array_equal(webp.decode([p.file()])[0].reshape(-1), got)
+    finally:
+        webp.LONG = long_
+
+
+def test_long_images_and_distant_matches(monkeypatch):
+    r = np.random.default_rng(2)
+    block = r.integers(0, 2**32, 700, dtype=np.uint32)
+    noise = r.integers(0, 2**32, 9000, dtype=np.uint32)
+    px = np.concatenate([block, noise, block, np.full(9000, 7, np.uint32), block[3:], noise[:17]])
+    px = np.concatenate([px, np.zeros(-len(px) % 16, np.uint32)]).reshape(-1, 16)
+    start, length, distance = webp.matches(px.reshape(-1).astype(np.int64), np.zeros(px.size, np.int64))
+    assert 9700 in distance and length.max() == webp.MOST_MATCH and (start[1:] >= (start + length)[:-1]).all()
+    monkeypatch.setattr(webp, "WALK_BYTES", 1000)
+    for im in (px, np.full((600, 16), 3, np.uint32), np.arange(16 * 600, dtype=np.uint32).reshape(-1, 16), (np.arange(16 * 600, dtype=np.uint32) * 0x010101 & 0xFFFFFF | 0xFF000000).reshape(-1, 16)):
+        assert np.array_equal(webp.decode(webp.encode([im]))[0], im)
+    assert len(webp.encode([px])[0]) < 4 * (len(noise) + 2 * len(block))
+    grey = (r.integers(0, 256, (40, 40), dtype=np.uint32) * 0x010101) | 0xFF000000
+    assert webp.choose(grey) == ("subtract_green",)
+    assert webp.choose(np.cumsum(r.integers(0, 3, (60, 40), dtype=np.uint32), axis=0, dtype=np.uint32) + r.integers(0, 250, 40, dtype=np.uint32)) == ("predictor",)
+
+
+def test_a_file_of_the_extended_format():
+    im = images()["photo"]
+    plain = webp.encode([im])[0]
+    extended = b"VP8X" + (10).to_bytes(4, "little") + bytes(4) + (36).to_bytes(3, "little") + (49).to_bytes(3, "little")
+    odd = b"ICCP" + (3).to_bytes(4, "little") + b"abc\0"
+    body = b"WEBP" + extended + odd + plain[12:] + b"EXIF" + (2).to_bytes(4, "little") + b"xx"
+    assert np.array_equal(webp.decode([b"RIFF" + len(body).to_bytes(4, "little") + body])[0], im)
+
+
 def test_broken_files_are_errors():
     good = webp.encode([images()["photo"]])[0]
     for bad in (b"", b"RIFF" + bytes(40), good[:20] + b"\0" + good[21:], good[:60] + bytes(len(good) - 60)):
@@ -150,15 +317,18 @@ def test_code_lengths_are_complete():
 
 
 def test_media_columns(spark):
-    texts = [None, "", "a", "é" * 40, "x" * 64, "row of text. " * 3000, "same", "same", "\0" * 500, "ab" * 20_000]
+    texts = [None, "", "a", "é" * 40, "x" * 64, "row of text. " * 3000, "same", "same", "\0" * 500, "ab" * 20_000, "a text of a megabyte and more, " * 35_000]
     d = spark.createDataFrame([(k, t, "m") for k, t in enumerate(texts)], "doc_id long, text string, media string")
-    out = {r["doc_id"]: r for r in media.read_back(media.store(d), with_pixels=True).collect()}
+    out = {r["doc_id"]: r for r in media.read_back(media.store(d)).collect()}
     for k, t in enumerate(texts):
         raw = (t or "").encode()
         payload = raw + bytes(-len(raw) % 64 or (64 if not raw else 0))
         r = out[k]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert len(r["pixels"]) * 4 == len(payload)
+        px = np.array(r["pixels"], np.int32).view(np.uint32)
+        assert np.stack([px >> 16, px >> 8, px, px >> 24], axis=-1).astype(np.uint8).tobytes() == payload
+    files = {r["doc_id"]: bytes(r["media"]) for r in media.store(d).collect()}
+    assert all(f[:4] == b"RIFF" and 8 + int.from_bytes(f[4:8], "little") == len(f) for f in files.values())
     assert out[6]["media_sha256"] == out[7]["media_sha256"] and out[0]["media_sha256"] == out[1]["media_sha256"]
     assert media.read_back(media.store(d.limit(0))).count() == 0
 
