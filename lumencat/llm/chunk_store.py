@@ -6,8 +6,8 @@ passages give equal chunks wherever they stand. A chunk's address is the digest
     staged/kind=chunk/  digest, content: each distinct chunk once
     recipes/    doc_id, n_tokens, start, root, chunks (digest and length in order): in ascending doc_id order, with the Merkle
                 root of the document's chunk digests
-    manifest/   for each recipe partition: its first and last doc_id, documents, tokens, start and Merkle root over its
-                documents' roots
+    manifest/   for each recipe partition: its first and last doc_id, documents, tokens, start, Merkle root over its
+                documents' roots, and the bytes of a stored id
 
 Reading verifies: every chunk's content is hashed again, every recipe's lengths and root are checked against the verified
 chunks, every recipe partition against the manifest. ``reconstruct`` gives the ids themselves, ``verify`` the length and
@@ -134,20 +134,19 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
 
     spark = docs.sparkSession
     staged = texts(docs, key, text).mapInArrow(chunk, _ROW)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     # a chunk's place is part of its digest: equal chunks are neighbours in the window
     before = F.lag("digest").over(Window.partitionBy("place").orderBy("digest"))
-    one = staged.repartition(n, "place").withColumn("before", before).where("kind = 'recipe' or before is null or before <> digest")
+    one = staged.repartition("place").withColumn("before", before).where("kind = 'recipe' or before is null or before <> digest")
     one.drop("place", "before").write.partitionBy("kind").parquet(f"{path}/staged")
-    _publish(spark, path)
+    _publish(spark, path, encoder(vocabulary).dtype.itemsize)
 
 
 _STAGED = "kind string, doc_id long, n_tokens long, digests array<binary>, lengths array<int>, digest binary, content binary"
 _RECIPE = "doc_id long, part int, n_tokens long, start long, root binary, digests array<binary>, lengths array<int>"
-_MANIFEST = "part int, first_doc long, last_doc long, n_docs long, n_tokens long, start long, root binary"
+_MANIFEST = "part int, first_doc long, last_doc long, n_docs long, n_tokens long, start long, root binary, width int"
 
 
-def _publish(spark: SparkSession, path: str) -> None:
+def _publish(spark: SparkSession, path: str, width: int) -> None:
     staged = spark.read.schema(_STAGED).parquet(f"{path}/staged").where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", "lengths")
     ranged = staged.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.element_at("digests", 1))
 
@@ -170,8 +169,8 @@ def _publish(spark: SparkSession, path: str) -> None:
         part = part.sort_by("start")
         n, doc = part.column("n_tokens").to_pylist(), [d for d in part.column("doc_id").to_pylist() if d is not None]
         return pa.Table.from_pylist(
-            [{"part": part.column("part")[0].as_py(), "first_doc": min(doc, default=None), "last_doc": max(doc, default=None), "n_docs": len(n), "n_tokens": sum(n), "start": 0, "root": merkle_root(part.column("root").to_pylist())}],
-            schema=pa.schema([("part", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("start", pa.int64()), ("root", pa.binary())]),
+            [{"part": part.column("part")[0].as_py(), "first_doc": min(doc, default=None), "last_doc": max(doc, default=None), "n_docs": len(n), "n_tokens": sum(n), "start": 0, "root": merkle_root(part.column("root").to_pylist()), "width": width}],
+            schema=pa.schema([("part", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("start", pa.int64()), ("root", pa.binary()), ("width", pa.int32())]),
         )
 
     # one small row for each partition: the running total over them is a window over so many rows
@@ -225,11 +224,18 @@ def shifted_crc(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return x
 
 
-def verify(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, verified) from the stored files; width: bytes of a stored id.
+def width_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a stored id, as the manifest has it."""
+    first = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").select("width").first()
+    return first["width"] if first else 2  # an empty store has none
+
+
+def verify(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, verified) from the stored files.
 
     verified: every chunk's content has its digest and length, and the recipe's root is that of its chunks.
     """
+    width = width_of(spark, path)
     wide = np.dtype(f"<u{width}")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,8 +279,9 @@ def verify(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     return moved.groupBy("doc_id", "start").agg(F.sum("ids").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"), F.bool_and("ok").alias("verified"))
 
 
-def reconstruct(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids array<int>): the ids of each document, from its recipe and the chunks."""
+    width = width_of(spark, path)
     r = recipes(spark, path)
     parts = r.select("doc_id", "start", F.posexplode("digests").alias("no", "digest"))
 

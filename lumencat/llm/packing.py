@@ -35,8 +35,6 @@ LENGTH = 1024
 SENTENCE_PENALTY = 4
 INNER_PENALTY = 12
 WINDOW_COST = 20
-#: Windows of a power of two are looked up from 2**5 ids on.
-LEAST_EXACT_BITS = 5
 RUN_TOKENS = 4_000_000
 BATCH_BYTES = 24 << 20
 
@@ -52,7 +50,7 @@ def best_cuts(position: np.ndarray, penalty: np.ndarray, length: int) -> list[in
     exact: dict[int, list[int]] = {}
     number = np.full(pos[-1] + 1, -1, np.int32)  # of the candidate at each position
     number[position] = np.arange(n)
-    for k in range(LEAST_EXACT_BITS, length.bit_length() - (length & (length - 1) == 0)):
+    for k in range(length.bit_length() - (length & (length - 1) == 0)):
         far = np.searchsorted(position, position[0] + (1 << k))
         at = number[position[far:] - (1 << k)]
         hit = np.flatnonzero(at >= 0)
@@ -137,7 +135,7 @@ def pack(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        at_sentence = sentence_ends(e)
+        at_sentence = sentence_ends(path)
         sequence = TaskContext.get().partitionId() << 36
         waiting: list[tuple[int, np.ndarray]] = []
         held = 0

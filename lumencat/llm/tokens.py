@@ -107,7 +107,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def sentence_ends(e: Encoder) -> np.ndarray:
-    """Of each id whether its text ends a sentence or a line."""
-    n = len(e.n_bytes)
-    return np.array([(e.tokenizer.id_to_token(i) or "")[-1:] in {".", "!", "?", "\u010a"} for i in range(n)])
+_sentence_ends: dict[str, np.ndarray] = {}
+
+
+def sentence_ends(path: str) -> np.ndarray:
+    """Of each id whether its text ends a sentence or a line; looked up once for each file and process."""
+    if path not in _sentence_ends:
+        e = encoder(path)
+        _sentence_ends[path] = np.array([(e.tokenizer.id_to_token(i) or "")[-1:] in {".", "!", "?", "\u010a"} for i in range(len(e.n_bytes))])
+    return _sentence_ends[path]

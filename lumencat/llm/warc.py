@@ -3,14 +3,16 @@
 Writing. A page becomes three records: the request, the response and a metadata record with the page's id. Request and
 metadata name the response in WARC-Concurrent-To. Of pages with equal payloads of at least ``min_bytes`` bytes, the one of
 the smallest id is a response; the others are revisit records that refer to it and hold no payload. Records are written by
-Spark's text sink, whose line separator is the blank lines that end a record, gzip-compressed.
+Spark's text sink, whose line separator is the blank lines that end a record, gzip-compressed (one member a file, as that
+sink makes it); a task's first record is a warcinfo record.
 
-Reading. Files are parsed by Content-Length. Requests and metadata are joined to responses and revisits through the
+Reading. Files are unpacked and parsed record by record, by Content-Length. Requests and metadata are joined to responses and revisits through the
 concurrent-to ids, and a revisit takes its payload's size and digest, computed from the payload as read, from the response that it refers to.
 
 Scale: equal payloads are found by an aggregate of digests with map-side combining and a join adaptive execution may split,
 so that a payload of a third of all pages is no single task's work; likewise when revisits meet their response. Payloads
-pass one shuffle when written and none when read, unless asked for. A file holds RECORDS_PER_FILE records at most.
+pass one shuffle when written and none when read, unless asked for. A file holds RECORDS_PER_FILE records at most, and
+fewer where pages are long on average, for about FILE_BYTES; a reader holds a file's packed bytes and one record.
 
 Defined cases: null html is an empty payload, which is a payload like others (all empty pages revisit the first); a null
 page id comes back null and is never the smallest; null urls come back null; line ends in a url are percent-encoded;
@@ -23,15 +25,20 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumencat.llm.common import scratch, stored, table
+from lumencat.llm.common import pieces, scratch, stored, table
 
 RECORDS_PER_FILE = 3000
+FILE_BYTES = 64 << 20
+BATCH_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BATCH_ROWS = 500
@@ -54,9 +61,10 @@ def _uuid(hexed: str) -> str:
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
+    about = record("warcinfo", _uuid(hashlib.md5(str(TaskContext.get().partitionId()).encode()).hexdigest()), "format: WARC File Format 1.1\r\n", Content_Type="application/warc-fields")
+    out = [about]
+    for whole in pieces(batches, BATCH_BYTES, "html"):
         for lo in range(0, whole.num_rows, BATCH_ROWS):
-            out = []
             for r in whole.slice(lo, BATCH_ROWS).to_pylist():
                 own, html = _uuid(r["own"]), r["html"]
                 url = None if r["url"] is None else r["url"].replace("\r", "%0D").replace("\n", "%0A")
@@ -74,6 +82,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number = "" if r["page_id"] is None else r["page_id"]
                 out.append(record("metadata", _uuid(r["metadata"]), f"page_id: {number}\r\npayload_bytes: {size}\r\n", **about, Content_Type="application/warc-fields"))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+            out = []
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
@@ -89,22 +98,25 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         "page_id", "url", "html", name("response", "page_id", "url").alias("own"), name("request", "page_id", "url").alias("request"), name("metadata", "page_id", "url").alias("metadata"),
         F.when(large & F.col("first_id").isNotNull() & ~is_first, name("response", "first_id", "first_url")).alias("refers"),
     )
-    joined.mapInArrow(_records, "value string").write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
-
-
-def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of an uncompressed archive."""
-    at = 0
-    while at < len(archive):
-        stop = archive.find(END, at)
-        if stop < 0 or not archive.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = archive[at:stop].decode("utf-8", "replace").split("\r\n")
-        head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        begin = stop + len(END)
+    mean = p.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    most = max(3, min(RECORDS_PER_FILE, int(3 * FILE_BYTES / (mean + 1000))))
+    joined.mapInArrow(_records, "value string").write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+
+def parse(archive: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (lower-case names) and block of each record of an uncompressed archive, one after the other."""
+    while line := archive.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record begins with {line[:20]!r}")
+        head = {}
+        while (line := archive.readline()) not in (b"\r\n", b""):
+            k, _, v = line.decode("utf-8", "replace").partition(":")
+            head[k.strip().lower()] = v.strip()
         size = int(head["content-length"])
-        yield head, archive[begin : begin + size]
-        at = begin + size + len(END)
+        block = archive.read(size)
+        if len(block) < size or archive.read(len(END)) != END:
+            raise ValueError("a WARC record is cut off")
+        yield head, block
 
 
 _READ = "kind string, record_id string, uri string, concurrent_to string, refers_to string, date string, fields string, payload_bytes long, payload_digest string, sound boolean"
@@ -116,8 +128,10 @@ def _parsed(with_payload: bool):
             for content in whole.column("content"):
                 rows = []
                 held = 0
-                for head, block in parse(gzip.decompress(content.as_py())):
+                for head, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())), 1 << 20)):
                     kind = head.get("warc-type")
+                    if kind == "warcinfo":
+                        continue
                     body = block.partition(END)[2] if kind == "response" else b""
                     own = payload_digest(body) if kind == "response" else None
                     told = head.get("warc-payload-digest", "").partition(":")[2] or None
@@ -174,4 +188,4 @@ def captures(spark: SparkSession, path: str, with_payload: bool = False) -> Data
 def op5_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    return captures(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"), "url", "verified")
+    return captures(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"), "url", "verified", "request", "metadata")

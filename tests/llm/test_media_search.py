@@ -1,7 +1,9 @@
 """Lossless WebP, WARC, Hamming search, language identification and transcripts."""
 
 import base64
+import gzip
 import hashlib
+import io
 import itertools
 import math
 import random
@@ -353,6 +355,26 @@ def test_captures(spark, tmp_path):
     assert warc.captures(spark, f"file://{tmp_path}/m").where("page_id in (2, 3) and record_type = 'response'").count() == 2
 
 
+def test_captures_of_odd_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+    rows = [(1, "u", "x" * 3_000_000, 7, "a"), (1, "u", "x" * 3_000_000, 7, "b"), (2, "v", "short", 8, "c"), (2, "w", "other", 9, "d"), (3, "v", "short", 9, "e")]
+    rows += [(10 + k, f"http://h/{k}", "y" * k, k, "f") for k in range(200)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, sha int, kind string").coalesce(1)
+    d.write.parquet(f"file://{tmp_path}/pages.parquet")
+    out = warc.op5_warc_captures(spark, f"file://{tmp_path}").collect()
+    assert len(out) == len(rows) and all(r["verified"] and r["request"] and r["metadata"] for r in out)
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in out if r["page_id"] <= 3) == [(1, "response", None), (1, "response", None), (2, "response", None), (2, "response", None), (3, "revisit", 2)]
+    assert {r["payload_bytes"] for r in out if r["page_id"] == 1} == {3_000_000}
+    archive = tmp_path / "archives"
+    warc.write_archives(d, f"file://{archive}")
+    packed = sorted(archive.glob("*.gz"))
+    assert len(packed) > 3
+    kinds = [head["warc-type"] for p in packed for head, _ in warc.parse(gzip.open(p))]
+    assert kinds.count("warcinfo") >= 1 and kinds.count("request") == len(rows) and kinds.count("revisit") == 1
+    with pytest.raises(ValueError):
+        list(warc.parse(io.BytesIO(gzip.open(packed[0]).read()[:-1])))
+
+
 def test_search_equals_brute_force(spark):
     r = random.Random(7)
     base = [r.getrandbits(64) for _ in range(30)]

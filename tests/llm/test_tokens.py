@@ -76,7 +76,7 @@ def cost(cuts, position, penalty, length):
         n = position[b] - position[a]
         if n > length:
             return float("inf")
-        exact = n & (n - 1) == 0 and n >= 1 << packing.LEAST_EXACT_BITS
+        exact = n & (n - 1) == 0
         total += (0 if exact else length - n) + penalty[b] + packing.WINDOW_COST
     return total
 
@@ -121,6 +121,50 @@ def test_store_of_nothing_and_repeated_rows(spark, docs, tmp_path):
     assert chunk_store.chunks(spark, f"file://{tmp_path}/twice").count() == 1
 
 
+def test_a_store_of_wide_ids_knows_its_width(spark, tmp_path, monkeypatch):
+    """A vocabulary of over 65,536 ids: here the same one, told to be larger."""
+    path = tokens.vocabulary_path()
+    wide = tokens.Encoder(path)
+    wide.dtype = np.dtype("<u4")
+    assert chunk_store._MANIFEST.endswith("width int")
+    d = spark.createDataFrame([(k, f"text number {k} " * 50) for k in range(4)], "doc_id long, text string")
+    want = {k: [*wide.tokenizer.encode(f"text number {k} " * 50, add_special_tokens=False).ids, 0] for k in range(4)}
+    store = f"file://{tmp_path}/wide"
+    chunk_store.write_store(d, store)
+    m = spark.read.schema(chunk_store._MANIFEST).parquet(f"{store}/manifest")
+    assert chunk_store.width_of(spark, store) == 2 and m.count() >= 1
+    # the same content with four bytes an id
+    staged = spark.read.schema(chunk_store._STAGED).parquet(f"{store}/staged")
+    widened = {bytes(r["content"]): np.frombuffer(r["content"], "<u2").astype("<u4").tobytes() for r in staged.where("kind = 'chunk'").collect()}
+    new = {chunk_store.digest(k): chunk_store.digest(v) for k, v in widened.items()}
+    rows = []
+    for r in staged.collect():
+        x = r.asDict()
+        if x["kind"] == "chunk":
+            x["content"] = widened[bytes(x["content"])]
+            x["digest"] = chunk_store.digest(x["content"])
+        else:
+            x["digests"] = [new[bytes(k)] for k in x["digests"]]
+        rows.append(tuple(x[f.split()[0]] for f in chunk_store._STAGED.split(", ")))
+    other = f"file://{tmp_path}/four"
+    spark.createDataFrame(rows, chunk_store._STAGED).write.partitionBy("kind").parquet(f"{other}/staged")
+    chunk_store._publish(spark, other, 4)
+    assert {r["doc_id"]: r["ids"] for r in chunk_store.reconstruct(spark, other).collect()} == want
+    assert all(r["verified"] and r["ids_crc32"] == crc(want[r["doc_id"]]) for r in chunk_store.verify(spark, other).collect())
+
+
+def test_packing_of_repeated_rows(spark):
+    d = spark.createDataFrame([(1, "same text"), (1, "same text"), (1, "other text"), (None, "x"), (2, None)], "doc_id long, text string")
+    out = packing.pack(d, with_ids=True).collect()
+    e = tokens.encoder(tokens.vocabulary_path()).tokenizer
+    want = sorted([*e.encode(t or "", add_special_tokens=False).ids, 0] for t in ("same text", "same text", "other text", "x", None))
+    whole = {}
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        whole.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert sorted(i for v in whole.values() for i in v) == sorted(i for v in want for i in v)
+    assert sum(r["length"] for r in out) == sum(map(len, want)) and piece_bpe.encode_decode(d, public_tokenizers.path(piece_bpe.RANKS), public_tokenizers.PATTERN).count() == 5
+
+
 def test_a_changed_chunk_is_found(spark, tmp_path):
     d = spark.createDataFrame([(k, f"text number {k} " * 50) for k in range(4)], "doc_id long, text string")
     chunk_store.write_store(d, f"file://{tmp_path}/s")
