@@ -266,14 +266,16 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def linked_through_shingles(sets: DataFrame, per_cent: int) -> DataFrame:
     """Links (a, b) that join all linked sets (node, part, shingles) of different parts to one component each."""
     tokens = sets.mapInArrow(_spread, "node long, part long, size long, shingle long")
-    shared = tokens.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    # stored, so that what is joined is no aggregate and adaptive execution may split a frequent shingle's rows
+    shared = stored(tokens.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     # shingles of one set alone are the rarest: they fill a prefix before any shared one
     met = stored(tokens.join(shared, "shingle").select("node", "part", "size", "shingle", "n"), "shared")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("n", "shingle"))
     rare = met.withColumn("alone", F.col("size") - F.count("*").over(Window.partitionBy("node"))).withColumn("rank", rank + F.col("alone"))
     whole = -F.floor(-F.col("size") * per_cent / 100)
     rare = rare.where(F.col("rank") <= F.col("size") - whole + 1).select("node", "part", "shingle")
-    heads = rare.groupBy("shingle").agg(F.min("node").alias("b"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("shingle", "b")
+    rare = stored(rare, "rare")
+    heads = stored(rare.groupBy("shingle").agg(F.min("node").alias("b"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("shingle", "b"), "firsts")
     near = rare.join(heads, "shingle").select(F.col("node").alias("a"), "b").distinct()
     coarse = components(near, "coarse")
 
