@@ -12,13 +12,20 @@ def stacks(assets: DataFrame, digest: str, shown: Column, reviewed: Column) -> D
 
 
 def decide(groups: DataFrame, actions: DataFrame) -> DataFrame:
-    """The next decisions: groups (digest, preferred, dismissed, revision) and actions (digest, expected, action, asset).
+    """The next decisions: groups (digest, preferred, dismissed, separated, revision) and actions (digest, expected, action, asset).
 
-    An action applies if its expected revision is the group's (0 for none): prefer, clear, dismiss or restore.
+    An action applies if its expected revision is the group's (0 for none): prefer, clear, dismiss, restore, separate or rejoin.
     """
     j = groups.join(actions, "digest", "full_outer")
     now = F.coalesce("revision", F.lit(0))
     applies = F.col("action").isNotNull() & (F.col("expected") == now)
-    preferred = F.when(applies & (F.col("action") == "prefer"), F.col("asset")).when(applies & (F.col("action") == "clear"), None).otherwise(F.col("preferred"))
-    dismissed = F.when(applies & (F.col("action") == "dismiss"), True).when(applies & (F.col("action") == "restore"), False).otherwise(F.coalesce("dismissed", F.lit(False)))
-    return j.select("digest", preferred.alias("preferred"), dismissed.alias("dismissed"), (now + F.when(applies, 1).otherwise(0)).alias("revision"))
+    does = lambda name: applies & (F.col("action") == name)
+    flag = lambda column, on, off: F.when(does(on), True).when(does(off), False).otherwise(F.coalesce(column, F.lit(False))).alias(column)
+    preferred = F.when(does("prefer"), F.col("asset")).when(does("clear"), None).otherwise(F.col("preferred"))
+    return j.select("digest", preferred.alias("preferred"), flag("dismissed", "dismiss", "restore"), flag("separated", "separate", "rejoin"), (now + F.when(applies, 1).otherwise(0)).alias("revision"))
+
+
+def without_stale(groups: DataFrame, assets: DataFrame, key: str) -> DataFrame:
+    """Decisions whose preferred copy is no longer there, with the digest, prefer none."""
+    there = assets.select("digest", F.col(key).alias("preferred"), F.lit(True).alias("_there")).distinct()
+    return groups.join(there, ["digest", "preferred"], "left").withColumn("preferred", F.when(F.col("_there"), F.col("preferred"))).select(*groups.columns)

@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], update: Sequence[str]) -> DataFrame:
-    """Current rows with the ``update`` columns of the incoming row of the same keys, and the new rows. Other columns are kept."""
-    inc = incoming.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in update], F.lit(True).alias("_there"))
+    """Current rows with the ``update`` columns of the incoming row of the same keys, and the new rows. Other columns are kept.
+
+    Of incoming rows with the same keys the greatest in the ``update`` columns, in their order, counts: a row stays one row.
+    """
+    one = incoming.groupBy(*keys).agg(F.max(F.struct(*update)).alias("_new"))
+    inc = one.select(*keys, *[F.col(f"_new.{c}").alias(f"_new_{c}") for c in update], F.lit(True).alias("_there"))
     both = current.withColumn("_was", F.lit(True)).join(inc, list(keys), "full_outer")
     take = lambda c: F.when(F.col("_there"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
     return both.select(*[take(c) if c in update else F.col(c) for c in current.columns])
@@ -38,6 +42,56 @@ def outcomes(current: DataFrame, changes: DataFrame, key: str, revision: str, ch
     return j.withColumn("outcome", why).drop("_there")
 
 
+def limited(outcomes: DataFrame, over: Column) -> DataFrame:
+    """Outcomes in which applied changes that would go over a limit are ``limit``."""
+    return outcomes.withColumn("outcome", F.when((F.col("outcome") == "applied") & over, "limit").otherwise(F.col("outcome")))
+
+
+def updated(current: DataFrame, outcomes: DataFrame, key: str, revision: str, values: dict[str, str]) -> DataFrame:
+    """The next rows (relation ``row``): applied changes set each column of ``values`` from the named one and raise the revision."""
+    new = outcomes.where("outcome = 'applied'").groupBy(key).agg(F.max(F.struct(*values.values())).alias("_new"))
+    j = current.join(new, key, "left")
+    there = F.col("_new").isNotNull()
+    out = j.withColumns({c: F.when(there, F.col(f"_new.{n}")).otherwise(F.col(c)) for c, n in values.items()} | {revision: F.col(revision) + F.when(there, 1).otherwise(0)})
+    return out.withColumn("relation", F.lit("row")).select("relation", *current.columns)
+
+
+def history(current: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:
+    """What the applied changes replace (relation ``history``): the row as it was, with its revision."""
+    return current.join(outcomes.where("outcome = 'applied'").select(key).distinct(), key, "left_semi").withColumn("relation", F.lit("history")).select("relation", *current.columns)
+
+
+def patched(current: DataFrame, patch: dict[str, Column]) -> DataFrame:
+    """Rows with the patch's columns set, and ``inverse``, the patch that takes it back.
+
+    Each column of a patch is null (leave) or struct<value>, whose value may be null (clear).
+    """
+    given = current.withColumns({f"_p_{c}": p for c, p in patch.items()})
+    inverse = F.struct(*[F.when(F.col(f"_p_{c}").isNotNull(), F.struct(F.col(c).alias("value"))).alias(c) for c in patch])
+    out = given.withColumn("inverse", inverse)
+    return out.withColumns({c: F.when(F.col(f"_p_{c}").isNotNull(), F.col(f"_p_{c}.value")).otherwise(F.col(c)) for c in patch}).drop(*[f"_p_{c}" for c in patch])
+
+
+def saved(current: DataFrame, incoming: DataFrame, key: str, value: str, most: int = 256) -> DataFrame:
+    """(key, value, outcome) of saved rows and requests (key, value, replace): kept, replaced, exists, created, or full beyond ``most``."""
+    asked = incoming.groupBy(key).agg(F.max(F.struct("replace", value)).alias("_in"))
+    j = current.withColumn("_was", F.lit(True)).join(asked, key, "full_outer")
+    old = j.where("_was").withColumn("outcome", F.when(F.col("_in.replace"), "replaced").when(F.col("_in").isNotNull(), "exists").otherwise("kept"))
+    old = old.select(key, F.when(F.col("outcome") == "replaced", F.col(f"_in.{value}")).otherwise(F.col(value)).alias(value), "outcome")
+    # the room left is at most ``most`` rows: a top-k, not a window over all requests
+    new = j.where("_was is null").select(key, F.col(f"_in.{value}").alias(value))
+    room = max(0, most - current.count())
+    taken = new.orderBy(key).limit(room)
+    rest = new.join(taken.select(key), key, "left_anti")
+    return old.unionByName(taken.withColumn("outcome", F.lit("created"))).unionByName(rest.select(key, F.lit(None).cast(current.schema[value].dataType).alias(value), F.lit("full").alias("outcome")))
+
+
+def published(old: DataFrame, staged: DataFrame, current: DataFrame, folder: str, expected: int) -> DataFrame:
+    """Rows of each folder's snapshot with ``committed``: the staged ones where the folder's revision (folder, revision) is the expected, else the old ones."""
+    fence = current.select(folder, (F.col("revision") == expected).alias("committed"))
+    return staged.join(fence.where("committed"), folder).unionByName(old.join(fence.where("not committed"), folder))
+
+
 def patched_tags(tags: Column, add: Column, remove: Column) -> Column:
     """Tags without the removed and with the added ones, each once by its lower-case key, first spelling kept."""
     low = lambda a: F.transform(a, F.lower)

@@ -25,3 +25,19 @@ def redacted(df: DataFrame, share: dict[str, bool]) -> DataFrame:
     names = F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c, ok in share.items() if not ok] or [F.lit(None).cast("string")]), lambda n: n.isNotNull())
     out = df.withColumn("redacted", names)
     return out.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c, ok in share.items() if not ok})
+
+
+def confirmed(current: DataFrame, edits: DataFrame, key: str) -> DataFrame:
+    """Rows (key, revision, origin, parser, digest, sidecar) after confirmations, with ``outcome``.
+
+    A confirmation holds for what it saw: the revision, else it is a conflict; then the parser, the content's digest and
+    the sidecar's revision that the values were read with, of which the first that differs is the outcome.
+    """
+    j = current.join(edits, key, "left")
+    asked = F.col("expected_revision").isNotNull()
+    why = F.when(~asked, "kept").when(F.col("expected_revision") != F.col("revision"), "conflict")
+    for c in ("parser", "digest", "sidecar"):
+        why = why.when(~F.col(f"expected_{c}").eqNullSafe(F.col(c)), c)
+    out = j.withColumn("outcome", why.otherwise("applied"))
+    done = F.col("outcome") == "applied"
+    return out.withColumns({"origin": F.when(done, "confirmed").otherwise(F.col("origin")), "revision": F.col("revision") + F.when(done, 1).otherwise(0)})

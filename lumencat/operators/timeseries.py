@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumencat.operators.numbering import numbered
+
 
 def numbered_frames(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Rows with ``frame``, their number from 0 within a key. Signals that come numbered do not need it."""
-    return df.withColumn("frame", (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
+    return numbered(df, [key], order, "frame", 0)
 
 
 def levels(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -31,6 +33,23 @@ def overview(frames: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
     return buckets(frames.join(n, list(keys)), keys, size).drop("rms")
 
 
+CACHE_VERSION = 1
+
+
+def write_cache(frames: DataFrame, keys: Sequence[str], size: int, path: str) -> None:
+    """A level of buckets as Parquet, with the version and each signal's number of frames."""
+    b = buckets(frames, keys, size)
+    n = frames.groupBy(*keys).agg((F.max("frame") + 1).alias("frames"))
+    b.join(n, list(keys)).withColumn("version", F.lit(CACHE_VERSION)).write.parquet(path)
+
+
+def sound_cache(held: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """The buckets of signals whose rows are all of this version and as many as their frames ask for."""
+    whole = held.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("version").alias("_low"), F.max("version").alias("_high"), F.max("frames").alias("_frames"))
+    good = whole.where((F.col("_low") == CACHE_VERSION) & (F.col("_high") == CACHE_VERSION) & (F.col("_n") == F.ceil(F.col("_frames") / size)))
+    return held.join(good.select(*keys), list(keys), "left_semi")
+
+
 def coarser(level: DataFrame, keys: Sequence[str], by: int = 4) -> DataFrame:
     """The next level. Root mean squares are averaged without weights, so a short last bucket counts fully."""
     at = F.floor(F.col("bucket") / by).cast("long").alias("bucket")
@@ -74,3 +93,40 @@ def seconds(frame: Column, rate: Column) -> Column:
 def valid_region(start: Column, end: Column, frames: Column) -> Column:
     """Not empty and within the signal."""
     return (start >= 0) & (start < end) & (end < frames)
+
+
+def next_clips(clips: DataFrame, keys: Sequence[str], deleted: DataFrame, created: DataFrame, frames: int, rebind: tuple[int, int, int]) -> DataFrame:
+    """Clips (keys, start_frame, end_frame, sound) after deletions, creations and a rebind, with ``clamped``.
+
+    Created ones must be regions within ``frames``. rebind (sound, other, length) moves a sound's clips to another of that
+    length: ends are clamped to it, and what then starts behind the end goes.
+    """
+    sound, other, length = rebind
+    kept = clips.join(deleted.select(*keys).distinct(), list(keys), "left_anti")
+    moved = F.col("sound") == sound
+    kept = kept.where(~moved | (F.col("start_frame") < length))
+    kept = kept.withColumn("clamped", moved & (F.col("end_frame") > length))
+    kept = kept.withColumn("end_frame", F.when(moved, F.least("end_frame", F.lit(length).cast("long"))).otherwise(F.col("end_frame"))).withColumn("sound", F.when(moved, other).otherwise(F.col("sound")))
+    new = created.where((F.col("start_frame") >= 0) & (F.col("start_frame") < F.col("end_frame")) & (F.col("end_frame") <= frames)).withColumn("clamped", F.lit(False))
+    return kept.unionByName(new.select(*kept.columns))
+
+
+def rendered(frames: DataFrame, keys: Sequence[str], start: int, end: int, gain: float, fade_in: int, fade_out: int, rate: tuple[int, int]) -> DataFrame:
+    """(keys, frame, value, frames): frames start to end of each signal, at a gain, faded in and out, resampled from one rate to another.
+
+    ``frames`` is the number that the rates ask for, rounded to the nearest; values between frames are interpolated, and
+    behind the last one it is held.
+    """
+    n = frames.where(F.col("frame") < end).groupBy(*keys).agg((F.max("frame") + 1 - start).alias("_n")).where("_n > 0")
+    at = F.col("frame") - start
+    fade = F.least(F.lit(1.0), (at + 1) / F.lit(float(fade_in))) * F.least(F.lit(1.0), (F.col("_n") - at) / F.lit(float(fade_out)))
+    cut = frames.where((F.col("frame") >= start) & (F.col("frame") < end)).join(n, list(keys)).select(*keys, at.alias("_at"), (F.col("value") * gain * fade).alias("_v"))
+    a, b = rate
+    count = F.call_function("div", F.col("_n") * b * 2 + a, F.lit(2 * a).cast("long"))
+    out = n.select(*keys, "_n", count.alias("frames")).where("frames > 0").withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1)))
+    place = F.col("frame") * a / F.lit(float(b))
+    out = out.withColumn("_low", F.least(F.floor(place), F.col("_n") - 1)).withColumn("_high", F.least(F.floor(place) + 1, F.col("_n") - 1)).withColumn("_share", place - F.floor(place))
+    low = cut.select(*keys, F.col("_at").alias("_low"), F.col("_v").alias("_a"))
+    high = cut.select(*keys, F.col("_at").alias("_high"), F.col("_v").alias("_b"))
+    j = out.join(low, [*keys, "_low"]).join(high, [*keys, "_high"])
+    return j.select(*keys, "frame", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_share")).alias("value"), "frames")

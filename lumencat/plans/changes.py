@@ -11,7 +11,7 @@ from lumencat.operators import dedup, merge, moves, tags, timeseries
 from lumencat.operators.storage import scratch
 from lumencat.plans.registry import Tables, query
 from lumencat.plans.relational import ASSETS, assets
-from lumencat.sources import files, generation, images, pcm, portable
+from lumencat.sources import files, generation, generation_files, images, pcm, portable
 from lumencat.streaming import settle
 
 # -- scans -----------------------------------------------------------------------------------------------------
@@ -19,8 +19,14 @@ from lumencat.streaming import settle
 
 @query("SRC-01")
 def folder_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The tables' own files: listed by extension, without reading them."""
-    return files.listing(spark, d, ["parquet"]).select("path", "size", files.title_of(F.col("path")).alias("title"))
+    """The tables' own files against a catalogue that knows some of them: what is reused, hashed anew, and missing.
+
+    Listed by extension without reading them; the digest is taken of files that are hashed only.
+    """
+    found = files.listing(spark, d, ["parquet"])
+    known = found.where(~F.col("path").contains("/events")).select("path", "size", F.when(F.col("path").contains("/orders"), 0).otherwise(F.unix_timestamp("modified")).alias("modified"), F.lit("known").alias("digest"))
+    known = known.unionByName(spark.createDataFrame([(f"{d}/gone.parquet", 1, 0, "known")], "path string, size long, modified long, digest string"))
+    return files.scan(spark, found.withColumn("modified", F.unix_timestamp("modified")), known).select("path", "action", "digest", files.title_of(F.col("path")).alias("title"))
 
 
 @query("SRC-02", f"select id, n_chars <> coalesce(old, -1) as changed from (select id, n_chars, case when id % 5 = 0 then n_chars + 1 when id % 7 = 0 then null else n_chars end as old from {ASSETS} a) x")
@@ -30,15 +36,18 @@ def warm_import(spark: SparkSession, d: str) -> DataFrame:
     return files.changed(a, snapshot, ["size"]).select("id", "changed")
 
 
-@query("SRC-03", "select doc_id, n_chars from documents where doc_id in (3, 5, 8, 13)")
+@query("SRC-03", f"select path, id, case when id is null then 'absent' else 'found' end as status from (select distinct path from (values ('src0/en/Doc-0.txt'), ('src0/en/Doc-0.txt'), ('src9/none.txt')) v(path) union select path from {ASSETS} p where id in (3, 5, 8, 13)) w left join {ASSETS} a using (path)")
 def stated_files(spark: SparkSession, d: str) -> DataFrame:
-    return Tables(spark, d).documents.where(F.col("doc_id").isin(3, 5, 8, 13)).select("doc_id", "n_chars")
+    """A list of paths, with one twice and one that is not there: each once, with what the catalogue has of it."""
+    a = assets(Tables(spark, d)).select("path", "id")
+    stated = a.where(F.col("id").isin(3, 5, 8, 13)).select("path").unionByName(spark.createDataFrame([("src0/en/Doc-0.txt",), ("src0/en/Doc-0.txt",), ("src9/none.txt",)], "path string"))
+    return files.stated(stated, a).select("path", "id", "status")
 
 
-@query("SRC-04", "select page_id, array_length(string_split(url, '/')) as depth from pages where array_length(string_split(url, '/')) <= 5")
+@query("SRC-04", "select page_id, depth, 7 as epoch, (select count(*) from pages where array_length(string_split(url, '/')) <= 5) > 200 as truncated from (select page_id, url, array_length(string_split(url, '/')) as depth from pages) p where depth <= 5 order by depth, url, page_id limit 200")
 def bounded_discovery(spark: SparkSession, d: str) -> DataFrame:
-    depth = F.size(F.split("url", "/")).cast("long")
-    return Tables(spark, d).pages.select("page_id", depth.alias("depth")).where("depth <= 5")
+    """Discovery to a depth and a count, in order; more than the count is told, and rows carry the epoch that found them."""
+    return files.discovered(Tables(spark, d).pages, "url", "page_id", depth=5, most=200, epoch=7).select("page_id", "depth", "epoch", "truncated")
 
 
 @query("SRC-05", "select doc_id, source, n_chars from documents where doc_id = 42")
@@ -79,13 +88,32 @@ def portable_preview(spark: SparkSession, d: str) -> DataFrame:
     return p.select("new", "known", F.col("invalid").cast("int").alias("invalid"))
 
 
-@query("SRC-08", "select doc_id, n_chars as size, md5(text) as digest from documents")
+@query("SRC-09-import", f"select case when cast(id as integer) % 3 = 0 then id else 'in-' || id end as id, case when cast(id as integer) % 3 = 0 then source_id when source_id = 'src1' then 'local1' else source_id end as source_id, relative_path from {_CATALOG} c")
+def portable_import(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of three schema versions written, read and imported: sources mapped to local ones, what exists stays as it is."""
+    c = catalog(Tables(spark, d))
+    path = scratch(spark, "versions")
+    incoming = c.withColumn("id", F.concat(F.lit("in-"), F.col("id")))
+    for version in portable.VERSIONS:
+        portable.write_catalog(incoming.where(F.pmod(F.crc32("id"), F.lit(3)) == version - 1), f"{path}/{version}", version)
+    local = c.where(F.col("id").cast("int") % 3 == 0)
+    # what the catalogue has already under the incoming names is not new
+    here = local.withColumn("source_id", F.when(F.col("source_id") == "src1", "local1").otherwise(F.col("source_id")))
+    merged = portable.imported(portable.read_catalog(spark, f"{path}/*"), here, {"src1": "local1"})
+    return merged.select("id", F.when(F.col("id").startswith("in-"), F.col("source_id")).otherwise(F.element_at(F.split("relative_path", "/"), 1)).alias("source_id"), "relative_path")
+
+
+@query("SRC-08", "select doc_id, case when doc_id % 10 <> 0 and doc_id % 11 <> 0 then n_chars end as size, case when doc_id % 10 <> 0 then md5(text) end as digest, case when doc_id % 10 = 0 then 'unsupported schema' when doc_id % 11 = 0 then 'size' end as problem from documents")
 def snapshot_read(spark: SparkSession, d: str) -> DataFrame:
-    """Snapshots written as JSON lines and read with their schema."""
+    """Snapshots written as JSON lines, some of another schema and some with a size below 0, read with their problems."""
     path = scratch(spark, "snapshot")
-    entry = F.struct(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), F.lit(0).cast("long").alias("modified"), F.md5("text").alias("digest"))
-    Tables(spark, d).documents.select(F.to_json(F.struct(F.lit("snapshot/1").alias("schema"), F.lit(1).alias("revision"), F.array(entry).alias("entries"))).alias("value")).write.text(path)
-    return portable.snapshot(spark, path, multi_line=False).select(F.col("path").cast("long").alias("doc_id"), "size", "digest")
+    size = F.when(F.col("doc_id") % 11 == 0, -1).otherwise(F.col("n_chars"))
+    entry = F.struct(F.col("doc_id").cast("string").alias("path"), size.alias("size"), F.lit(0).cast("long").alias("modified"), F.md5("text").alias("digest"))
+    schema = F.when(F.col("doc_id") % 10 == 0, "snapshot/9").otherwise(portable.SNAPSHOT_NAME)
+    Tables(spark, d).documents.select(F.to_json(F.struct(schema.alias("schema"), F.lit(1).alias("revision"), F.array(entry).alias("entries"))).alias("value")).write.text(path)
+    found = portable.snapshot(spark, path, multi_line=False)
+    size = F.when((F.col("path").cast("long") % 11 == 0) & (F.col("problem") == "size"), F.lit(None)).otherwise(F.col("size"))
+    return found.select(F.col("path").cast("long").alias("doc_id"), size.alias("size"), "digest", "problem")
 
 
 @query("SRC-10", f"select id, relative_path, title, 'pending' as status from {_CATALOG} c where cast(id as integer) % 10 <> 0")
@@ -112,50 +140,79 @@ def decode_pcm(spark: SparkSession, d: str) -> DataFrame:
     return pcm.frames(wavs).select(F.col("path").cast("long").alias("vec_id"), "frame", "value")
 
 
-@query("SRC-16", "select user_id, frame // 8 as bucket, min(value) as low, max(value) as high from (select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as frame from events) f group by 1, 2")
+@query("SRC-16", "select user_id, frame // 8 as bucket, min(value) as low, max(value) as high from (select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as frame from events where user_id % 10 <> 0 and user_id % 7 <> 0) f group by 1, 2")
 def waveform_cache(spark: SparkSession, d: str) -> DataFrame:
-    """A level of buckets kept as Parquet and read back."""
+    """Levels of buckets kept as Parquet and read back; those of another version or with buckets missing are not used."""
     path = scratch(spark, "waveform")
-    timeseries.buckets(timeseries.numbered_frames(Tables(spark, d).events, "user_id", ["ts", "event_id"]), ["user_id"], 8).write.parquet(path)
-    return spark.read.parquet(path).select("user_id", "bucket", "low", "high")
+    frames = timeseries.numbered_frames(Tables(spark, d).events, "user_id", ["ts", "event_id"])
+    timeseries.write_cache(frames, ["user_id"], 8, path)
+    held = spark.read.parquet(path)
+    version = F.when(F.col("user_id") % 10 == 0, 99).otherwise(F.col("version"))
+    broken = held.withColumn("version", version).where((F.col("user_id") % 7 != 0) | (F.col("bucket") > 0))
+    return timeseries.sound_cache(broken, ["user_id"], 8).select("user_id", "bucket", "low", "high")
 
 
-@query("SRC-12", "select p_partkey, 'png' as format, p_size + 1 as width, p_size * 2 + 3 as height, p_size % 2 = 0 as alpha from part")
+@query("SRC-12", "select p_partkey, ['png', 'jpeg', 'webp'][p_partkey % 3 + 1] as format, case when p_partkey % 3 = 1 and p_size % 2 = 0 then p_size * 2 + 3 else p_size + 1 end as width, case when p_partkey % 3 = 1 and p_size % 2 = 0 then p_size + 1 else p_size * 2 + 3 end as height, p_partkey % 3 <> 1 and p_size % 2 = 0 as alpha, case when p_partkey % 3 = 1 and p_size % 2 = 0 then 6 else 1 end as orientation from part")
 def image_headers(spark: SparkSession, d: str) -> DataFrame:
-    """PNG headers made of part sizes, decoded again."""
-    word = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
-    colour = F.when(F.col("p_size") % 2 == 0, F.unhex(F.lit("06"))).otherwise(F.unhex(F.lit("02")))
-    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), word(F.col("p_size") + 1), word(F.col("p_size") * 2 + 3), F.unhex(F.lit("08")), colour, F.unhex(F.lit("000000")))
-    return Tables(spark, d).part.select("p_partkey", images.image_header(png).alias("h")).select("p_partkey", "h.format", "h.width", "h.height", "h.alpha")
+    """Headers of three formats made of part sizes, decoded again; half of the JPEGs are told to be turned."""
+    raw = lambda h: F.unhex(F.lit(h))
+    word = lambda c, n=4: F.unhex(F.lpad(F.hex(c), 2 * n, "0"))
+    low = lambda c, n: F.reverse(F.lpad(F.hex(c), 2 * n, "0"))
+    w, h, even = F.col("p_size") + 1, F.col("p_size") * 2 + 3, F.col("p_size") % 2 == 0
+    png = F.concat(raw("89504E470D0A1A0A0000000D49484452"), word(w), word(h), raw("08"), F.when(even, raw("06")).otherwise(raw("02")), raw("000000"))
+    # marker, length, "Exif", a directory of one entry: orientation, one short, 6
+    turned = raw("FFE10022457869660000" + "4D4D002A00000008" + "0001" + "0112000300000001" + "00060000" + "00000000")
+    jpeg = F.concat(raw("FFD8"), F.when(even, turned).otherwise(raw("")), raw("FFC0001108"), word(h, 2), word(w, 2), raw("00" * 12))
+    three = lambda c: F.concat(word(c % 256, 1), word(F.shiftright(c, 8) % 256, 1), raw("00"))
+    webp = F.concat(F.lit("RIFF").cast("binary"), raw("16000000"), F.lit("WEBPVP8X").cast("binary"), raw("0A000000"), F.when(even, raw("10")).otherwise(raw("00")), raw("000000"), three(w - 1), three(h - 1))
+    content = F.when(F.col("p_partkey") % 3 == 0, png).when(F.col("p_partkey") % 3 == 1, jpeg).otherwise(webp)
+    return Tables(spark, d).part.select("p_partkey", images.image_header(content).alias("h")).select("p_partkey", "h.format", "h.width", "h.height", "h.alpha", "h.orientation")
+
+
+@query("SRC-13", "select p_partkey, p_name as prompt, p_brand as model, cast(p_size as varchar) as seed, p_type as kind, case when p_partkey % 2 = 0 then 'png_text' else 'webp_exif' end as container, p_partkey % 2 = 1 as tool from part")
+def embedded_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Settings texts in PNG chunks and in EXIF comments of WebP files, extracted again."""
+    said = F.concat(F.col("p_name"), F.lit("\nSteps: 20, Seed: "), F.col("p_size").cast("string"), F.lit(", Model: "), F.col("p_brand"), F.lit(', Kind: "'), F.col("p_type"), F.lit('"'))
 
+    def pack(batches):
+        for b in batches:
+            content = [generation_files.png_with_text(t) if k % 2 == 0 else generation_files.webp_with_comment(t, "a tool") for k, t in zip(b.column("p_partkey").to_pylist(), b.column("said").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("p_partkey"), pa.array(content, pa.binary())], ["p_partkey", "content"])
 
-@query("SRC-13", "select p_partkey, p_name as prompt, p_brand as model, cast(p_size as varchar) as seed, p_type as kind from part")
-def embedded_metadata(spark: SparkSession, d: str) -> DataFrame:
-    """Settings text in a PNG chunk, extracted again."""
-    text = F.concat(F.lit("parameters"), F.unhex(F.lit("00")).cast("string"), F.col("p_name"), F.lit("\nSteps: 20, Seed: "), F.col("p_size").cast("string"), F.lit(", Model: "), F.col("p_brand"), F.lit(', Kind: "'), F.col("p_type"), F.lit('"')).cast("binary")
-    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.unhex(F.lpad(F.hex(F.octet_length(text)), 8, "0")), F.lit("tEXt").cast("binary"), text, F.unhex(F.lit("00000000")))
-    g = Tables(spark, d).part.select("p_partkey", generation.generation_metadata(png).alias("g"))
-    return g.select("p_partkey", "g.prompt", "g.model", "g.seed", F.element_at("g.settings", "Kind").alias("kind"))
+    packed = Tables(spark, d).part.select(F.col("p_partkey").cast("long").alias("p_partkey"), said.alias("said")).mapInArrow(pack, "p_partkey long, content binary")
+    g = packed.select("p_partkey", generation.generation_metadata("content").alias("g")).select("p_partkey", F.element_at("g.claims", 1).alias("c"), F.exists("g.claims", lambda c: c["generator"].eqNullSafe("a tool")).alias("tool"))
+    return g.select("p_partkey", "c.prompt", "c.model", "c.seed", F.element_at("c.settings", "Kind").alias("kind"), "c.container", "tool")
 
 
 @query("SRC-14", "select p_partkey, p_name as prompt, 'blurry' as negative_prompt, '7' as cfg from part")
 def sidecars(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.col("p_name"), F.lit("\nNegative prompt: blurry\nSteps: 20, CFG scale: 7"))
     g = Tables(spark, d).part.select("p_partkey", generation.sidecar_metadata(text).alias("g"))
-    return g.select("p_partkey", "g.prompt", "g.negative_prompt", F.element_at("g.settings", "CFG scale").alias("cfg"))
+    c = g.select("p_partkey", F.element_at("g.claims", 1).alias("c"))
+    return c.select("p_partkey", "c.prompt", "c.negative_prompt", F.element_at("c.settings", "CFG scale").alias("cfg"))
+
 
+_DIGEST = "bit_xor(cast('0x' || left(md5({}), 15) as bigint))"
+_COPIED = {"documents": ("cast(doc_id as varchar) || text", "concat(cast(doc_id as string), text)"), "labels": ("doc_id || '/' || quality || '/' || toxic", "concat_ws('/', doc_id, quality, toxic)"), "pages": ("page_id || url || html", "concat(page_id, url, html)")}
 
-@query("SRC-15", " union all ".join(f"select '{t}' as relation, count(*) as n from {t}" for t in ("documents", "labels", "pages", "orders", "lineitem")))
+
+@query("SRC-15", " union all ".join(f"select '{t}' as relation, count(*) as n, {_DIGEST.format(x)} as digest, true as intact from {t}" for t, (x, _) in _COPIED.items()))
 def backup_summary(spark: SparkSession, d: str) -> DataFrame:
-    t = Tables(spark, d)
-    return files.counts({n: getattr(t, n) for n in ("documents", "labels", "pages", "orders", "lineitem")})
+    """A backup's relations: rows and digest in the copy, and whether they are those of the original."""
+    t, path = Tables(spark, d), scratch(spark, "backup")
+    for name in _COPIED:
+        getattr(t, name).write.parquet(f"{path}/{name}")
+    digests = {n: F.expr(x) for n, (_, x) in _COPIED.items()}
+    return files.backup_summary({n: getattr(t, n) for n in _COPIED}, {n: spark.read.parquet(f"{path}/{n}") for n in _COPIED}, digests)
 
 
-@query("SRC-17", "select b.item_id, md5(b.text) as digest, true as verified from benchmark b")
+@query("SRC-17", "select item_id, case when item_id % 5 = 0 then 'mismatch' else 'verified' end as status from benchmark union all select -1 - item_id, 'missing' from benchmark where item_id % 7 = 0")
 def verified_manifest(spark: SparkSession, d: str) -> DataFrame:
-    b = Tables(spark, d).benchmark
-    manifest = b.select("item_id", F.md5("text").alias("stated"))
-    return b.select("item_id", F.md5("text").alias("digest")).join(manifest, "item_id").select("item_id", "digest", (F.col("digest") == F.col("stated")).alias("verified"))
+    """A manifest whose digests are partly others and which names items that are not there."""
+    b = Tables(spark, d).benchmark.select("item_id", F.md5("text").alias("digest"))
+    stated = b.select("item_id", F.when(F.col("item_id") % 5 == 0, F.md5("digest")).otherwise(F.col("digest")).alias("stated"))
+    stated = stated.unionByName(b.where("item_id % 7 = 0").select((-1 - F.col("item_id")).alias("item_id"), F.col("digest").alias("stated")))
+    return files.verified(stated, b, "item_id").select("item_id", "status")
 
 
 @query("SRC-18", f"select id, n_chars % 10 <> 0 and id + 100 < 900 as trusted from {ASSETS} a")
@@ -171,10 +228,15 @@ def synthetic_rows(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(20_000).select(i.alias("i"), F.format_string("library/%06d.png", i).alias("path"), (i % 10).alias("tag"), F.when(i % 3 != 0, i % 5 + 1).alias("rating"))
 
 
-@query("SRC-21", f"select id, case when quality is not null and n_chars % 2 = 0 then 'reuse' else 'rehash' end as action from {ASSETS} a")
+@query("SRC-21", "select doc_id as id, case when doc_id % 4 = 0 then 'new' when doc_id % 3 = 0 or doc_id % 5 = 0 or doc_id % 7 = 0 then 'rehash' else 'reuse' end as action, case when doc_id % 4 <> 0 and doc_id % 3 <> 0 and doc_id % 5 <> 0 and doc_id % 7 <> 0 and doc_id % 2 = 1 then true else false end as restored from documents")
 def unchanged_members(spark: SparkSession, d: str) -> DataFrame:
-    a = assets(Tables(spark, d))
-    return a.select("id", F.when(F.col("quality").isNotNull() & (F.col("n_chars") % 2 == 0), "reuse").otherwise("rehash").alias("action"))
+    """Members of a refresh: reused where path, stat and analyzer are as recorded outside the racy window, and available again if they were missing."""
+    a = assets(Tables(spark, d)).select("path", "id", F.col("n_chars").alias("size"), F.lit(100).alias("modified"))
+    recorded = a.where("id % 4 <> 0").select(
+        "path", F.when(F.col("id") % 3 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.col("modified"), F.when(F.col("id") % 5 == 0, "old").otherwise("v2").alias("analyzer"),
+        F.when(F.col("id") % 7 == 0, 101).otherwise(500).alias("checked"), F.when(F.col("id") % 2 == 1, "missing").otherwise("ready").alias("status"),
+    )
+    return files.members(a, recorded, ["size", "modified"], "v2", 100).select("id", "action", "restored")
 
 
 # -- mutations -------------------------------------------------------------------------------------------------
@@ -205,26 +267,54 @@ def _edit_outcomes(t: Tables) -> DataFrame:
     return merge.outcomes(now, edits, "doc_id", "revision", changed=~F.col("new_lang").eqNullSafe(F.col("lang")), denied=F.col("source") == "src0")
 
 
-@query("SNK-03", f"select doc_id from ({_OUTCOME}) o where outcome = 'applied'")
+_APPLIED = f"(select e.doc_id, e.new_lang, d.lang, d.doc_id % 3 as revision from {_EDITS} e join documents d on d.doc_id = e.doc_id where d.source <> 'src0' and e.expected = d.doc_id % 3 and e.new_lang <> d.lang)"
+
+
+@query("SNK-03", f"select 'row' as relation, d.doc_id, coalesce(a.new_lang, d.lang) as lang, d.doc_id % 3 + case when a.doc_id is null then 0 else 1 end as revision from documents d left join {_APPLIED} a on a.doc_id = d.doc_id union all select 'history', doc_id, lang, revision from {_APPLIED} a")
 def optimistic_update(spark: SparkSession, d: str) -> DataFrame:
-    return _edit_outcomes(Tables(spark, d)).where("outcome = 'applied'").select("doc_id")
+    """The next rows, and a history row with what each applied edit replaced."""
+    t = Tables(spark, d)
+    now = t.documents.select("doc_id", "lang", (F.col("doc_id") % 3).alias("revision"))
+    edits = _edit_outcomes(t).select("doc_id", "outcome", "new_lang")
+    return merge.updated(now, edits, "doc_id", "revision", {"lang": "new_lang"}).unionByName(merge.history(now, edits, "doc_id"))
 
 
-@query("SNK-04", "select l_orderkey, l_linenumber, least(l_partkey * 10, 4000) as end_frame, l_partkey * 10 > 4000 as clamped from lineitem")
+_CLIPS = "(select l_orderkey as clip, l_linenumber as part, l_suppkey as start_frame, l_suppkey + l_partkey * 10 as end_frame, l_orderkey % 50 as sound from lineitem)"
+
+
+@query("SNK-04", f"select clip, part, start_frame, least(end_frame, 4000) as end_frame, end_frame > 4000 as clamped, case when sound = 7 then 1007 else sound end as sound from {_CLIPS} c where clip % 11 <> 0 and start_frame < 4000 and sound = 7 union all select clip, part, start_frame, end_frame, false, sound from {_CLIPS} c where clip % 11 <> 0 and sound <> 7 union all select -clip, part, start_frame, end_frame, false, sound from {_CLIPS} c where clip % 13 = 0 and start_frame < end_frame and end_frame <= 1500")
 def rebind_clips(spark: SparkSession, d: str) -> DataFrame:
-    end = F.col("l_partkey") * 10
-    return Tables(spark, d).lineitem.select("l_orderkey", "l_linenumber", F.least(end, F.lit(4000).cast("long")).alias("end_frame"), (end > 4000).alias("clamped"))
+    """Clips after deletions, new ones of which only valid regions are taken, and a rebind of one sound's clips to another of 4,000 frames."""
+    clips = Tables(spark, d).lineitem.select(F.col("l_orderkey").alias("clip"), F.col("l_linenumber").alias("part"), F.col("l_suppkey").alias("start_frame"), (F.col("l_suppkey") + F.col("l_partkey") * 10).alias("end_frame"), (F.col("l_orderkey") % 50).alias("sound"))
+    gone = clips.where("clip % 11 = 0").select("clip", "part")
+    new = clips.where("clip % 13 = 0").withColumn("clip", -F.col("clip"))
+    return timeseries.next_clips(clips, ["clip", "part"], deleted=gone, created=new, frames=1500, rebind=(7, 1007, 4000))
 
 
-@query("SNK-05", "select p_partkey, array_to_string(list_concat(list_filter(string_split(p_name, ' '), lambda t: t <> 'red'), case when list_contains(list_filter(string_split(p_name, ' '), lambda t: t <> 'red'), 'new') then [] else ['new'] end), ',') as tags from part")
-def annotation_patch(spark: SparkSession, d: str) -> DataFrame:
-    now = F.split("p_name", " ")
-    return Tables(spark, d).part.select("p_partkey", F.array_join(merge.patched_tags(now, F.array(F.lit("new")), F.array(F.lit("RED"))), ",").alias("tags"))
+_KEPT = "list_filter(string_split(p_name, ' '), lambda t: t <> 'red')"
 
 
-@query("SNK-06", f"select outcome, count(*) as n from ({_OUTCOME}) o group by outcome")
-def bulk_preview(spark: SparkSession, d: str) -> DataFrame:
-    return _edit_outcomes(Tables(spark, d)).groupBy("outcome").agg(F.count("*").alias("n"))
+@query("SNK-05", f"select p_partkey, array_to_string(list_concat({_KEPT}, case when list_contains({_KEPT}, 'new') then [] else ['new'] end), ',') as tags, case when p_size % 3 = 0 then null when p_size % 3 = 1 then 'set' else p_brand end as comment, case when p_size % 5 = 0 then null else p_size % 5 end as rating, case when p_size % 3 = 2 then null else p_brand end as was_comment, p_size % 3 <> 2 as comment_changes from part")
+def annotation_patch(spark: SparkSession, d: str) -> DataFrame:
+    """Tags added and removed, comments set, cleared by null or left, ratings cleared; and the inverse entry of the comments."""
+    p = Tables(spark, d).part
+    now = p.select("p_partkey", F.split("p_name", " ").alias("tags"), F.col("p_brand").alias("comment"), (F.col("p_size") % 5).alias("rating"), "p_size")
+    to = lambda value, given: F.when(given, F.struct(value.cast("string").alias("value")))
+    comment = to(F.when(F.col("p_size") % 3 == 1, "set"), F.col("p_size") % 3 != 2)
+    rating = F.when(F.col("rating") == 0, F.struct(F.lit(None).cast(now.schema["rating"].dataType).alias("value")))
+    out = merge.patched(now, {"comment": comment, "rating": rating}).withColumn("tags", F.array_join(merge.patched_tags(F.col("tags"), F.array(F.lit("new")), F.array(F.lit("RED"))), ","))
+    return out.select("p_partkey", "tags", "comment", "rating", F.col("inverse.comment.value").alias("was_comment"), F.col("inverse.comment").isNotNull().alias("comment_changes"))
+
+
+@query("SNK-06", f"select o.outcome, count(*) as n, sum(case when o.outcome = 'applied' then 1 else 0 end) as written from (select doc_id, case when outcome = 'applied' and doc_id % 7 = 0 then 'limit' else outcome end as outcome from ({_OUTCOME}) p) o group by o.outcome")
+def bulk_apply(spark: SparkSession, d: str) -> DataFrame:
+    """The outcomes of a bulk edit, a limit among them, and how many rows the applied ones change in the next table."""
+    t = Tables(spark, d)
+    now = t.documents.select("doc_id", "lang", (F.col("doc_id") % 3).alias("revision"))
+    edits = merge.limited(_edit_outcomes(t).select("doc_id", "outcome", "new_lang"), F.col("doc_id") % 7 == 0)
+    after = merge.updated(now, edits, "doc_id", "revision", {"lang": "new_lang"}).where("relation = 'row'")
+    changed = after.join(now.select("doc_id", F.col("revision").alias("before")), "doc_id").where("revision <> before").select("doc_id", F.lit(1).alias("w"))
+    return edits.join(changed, "doc_id", "left").groupBy("outcome").agg(F.count("*").alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("written"))
 
 
 @query("SNK-07", "select doc_id, case when doc_id % 6 = 0 then 'before' else lang end as lang, case when doc_id % 6 = 0 then doc_id % 4 + 1 else doc_id % 4 end as revision from documents")
@@ -239,12 +329,15 @@ def tag_rename(spark: SparkSession, d: str) -> DataFrame:
     return Tables(spark, d).part.select("p_partkey", F.array_join(tags.renamed(F.split("p_name", " "), "Red", "crimson"), ",").alias("tags"))
 
 
-@query("SNK-09", f"select digest, case when n = 2 then keep end as preferred, n > 2 as dismissed, case when n <= 3 then 1 else 0 end as revision from (select digest, count(*) as n, min(id) as keep from {ASSETS} a group by digest having count(*) > 1) g")
+@query("SNK-09", f"select digest, case when n = 2 then keep end as preferred, n > 2 as dismissed, n % 2 = 1 and n <= 3 as separated, case when n <= 3 then 2 else 0 end as revision from (select digest, count(*) as n, min(id) as keep from {ASSETS} a group by digest having count(*) > 1) g")
 def duplicate_decisions(spark: SparkSession, d: str) -> DataFrame:
-    g = assets(Tables(spark, d)).groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("keep")).where("n > 1")
-    groups = g.select("digest", F.lit(None).cast("long").alias("preferred"), (F.col("n") > 3).alias("dismissed"), F.lit(0).alias("revision"))
-    actions = g.select("digest", F.when(F.col("n") <= 3, 0).otherwise(9).alias("expected"), F.when(F.col("n") == 2, "prefer").otherwise("dismiss").alias("action"), F.col("keep").alias("asset"))
-    return dedup.decide(groups, actions)
+    """Two rounds of actions: prefer or dismiss, then separate or rejoin; stale revisions change nothing, and a choice whose copy is gone is cleaned up."""
+    a = assets(Tables(spark, d))
+    g = a.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("keep")).where("n > 1")
+    groups = g.select("digest", F.when(F.col("n") > 3, -1).cast("long").alias("preferred"), (F.col("n") > 3).alias("dismissed"), F.lit(False).alias("separated"), F.lit(0).alias("revision"))
+    first = g.select("digest", F.when(F.col("n") <= 3, 0).otherwise(9).alias("expected"), F.when(F.col("n") == 2, "prefer").otherwise("dismiss").alias("action"), F.col("keep").alias("asset"))
+    second = g.select("digest", F.when(F.col("n") <= 3, 1).otherwise(9).alias("expected"), F.when(F.col("n") % 2 == 1, "separate").otherwise("rejoin").alias("action"), F.lit(None).cast("long").alias("asset"))
+    return dedup.without_stale(dedup.decide(dedup.decide(groups, first), second), a, "id")
 
 
 @query("SNK-10", f"select id, coalesce(cast(quality as varchar), 'reviewed') as mark from {ASSETS} a")
@@ -254,13 +347,11 @@ def mark_unmarked(spark: SparkSession, d: str) -> DataFrame:
     return marks.unionByName(a.join(marks.select("id"), "id", "left_anti").select("id", F.lit("reviewed").alias("mark")))
 
 
-_MOVES = f"(select m.id as missing, p.id as present from {ASSETS} m join {ASSETS} p on p.digest = m.digest and p.id <> m.id where m.id % 2 = 0 and p.id % 2 = 1 and p.quality is null)"
-
-
-@query("SNK-11", f"select missing, min(present) as present from {_MOVES} x group by missing")
+@query("SNK-11", f"select m.id as missing, p.id as present from (select id, digest, row_number() over (partition by digest order by id) as n from {ASSETS} a where id % 2 = 0) m join (select id, digest, row_number() over (partition by digest order by id) as n from {ASSETS} a where id % 2 = 1 and quality is null) p on p.digest = m.digest and p.n = m.n")
 def reconcile_moves(spark: SparkSession, d: str) -> DataFrame:
+    """Missing records take over the paths of present ones without annotations, one for one."""
     a = assets(Tables(spark, d)).select("id", "digest", "quality")
-    return moves.candidates(a.where("id % 2 = 0"), a.where("id % 2 = 1 and quality is null")).select(F.col("id").alias("missing"), F.col("first").alias("present"))
+    return moves.reconciled(a.where("id % 2 = 0"), a.where("id % 2 = 1 and quality is null"))
 
 
 @query("SNK-12", "select c_custkey, case when c_custkey in (select o_custkey from orders) then c_mktsegment else 'missing' end as status from customer")
@@ -269,11 +360,14 @@ def sweep_missing(spark: SparkSession, d: str) -> DataFrame:
     return merge.mark_missing(t.customer.select("c_custkey", F.col("c_mktsegment").alias("status")), t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"], "status")
 
 
-@query("SNK-13", "select lower(n_name) as name_key, n_nationkey + case when n_regionkey = 1 then 100 else 0 end as query from nation")
+@query("SNK-13", "with now as (select lower(n_name) as name_key, n_nationkey as query from nation), inc as (select case when n_nationkey < 20 then lower(n_name) else 'new ' || lower(n_name) end as name_key, n_nationkey + 100 as query, n_regionkey = 1 as replace from nation) select n.name_key, case when i.replace then i.query else n.query end as query, case when i.replace then 'replaced' when i.name_key is not null then 'exists' else 'kept' end as outcome from now n left join inc i using (name_key) union all select name_key, case when place <= 2 then query end, case when place <= 2 then 'created' else 'full' end from (select i.*, row_number() over (order by name_key) as place from inc i where not exists (select 1 from now n where n.name_key = i.name_key)) c")
 def saved_search_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Searches saved by folded name: what exists is replaced only where asked, and new ones are taken up to the cap (27 here)."""
     n = Tables(spark, d).nation
-    now = n.select(F.lower("n_name").alias("name_key"), F.col("n_nationkey").alias("query"))
-    return merge.upsert(now, n.where("n_regionkey = 1").select(F.lower("n_name").alias("name_key"), (F.col("n_nationkey") + 100).alias("query")), ["name_key"], ["query"])
+    key = F.lower("n_name")
+    now = n.select(key.alias("name_key"), F.col("n_nationkey").alias("query"))
+    incoming = n.select(F.when(F.col("n_nationkey") < 20, key).otherwise(F.concat(F.lit("new "), key)).alias("name_key"), (F.col("n_nationkey") + 100).alias("query"), (F.col("n_regionkey") == 1).alias("replace"))
+    return merge.saved(now, incoming, "name_key", "query", most=27)
 
 
 _MD = "replace(replace(replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '*', chr(92) || '*'), '[', chr(92) || '['), ']', chr(92) || ']'), '`', chr(92) || '`')"
@@ -289,29 +383,46 @@ def dirty_counts(spark: SparkSession, d: str) -> DataFrame:
     return merge.change_counts(Tables(spark, d).documents.where("doc_id % 3 = 0"), "source")
 
 
-@query("SNK-16", "select source, max(doc_id) as revision, count(*) as entries from documents where source in (select source from documents where doc_id % 3 = 0) group by source")
+@query("SNK-16", "select source, max(doc_id) as revision, count(*) as entries, source <> 'src1' as committed from documents where (source <> 'src1' and doc_id % 4 <> 1) or source = 'src1' group by source")
 def folder_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """Snapshots of the folders with changes: written by folder, read back."""
+    """Snapshots by folder, staged and then published: missing entries pruned, a folder whose revision has moved meanwhile keeps its old one.
+
+    Rows of one folder are written by several tasks.
+    """
     docs = Tables(spark, d).documents.select("source", "doc_id", "n_chars")
-    path = scratch(spark, "snapshots")
-    docs.join(docs.where("doc_id % 3 = 0").select("source").distinct(), "source", "left_semi").repartition("source").write.partitionBy("source").parquet(path)
-    return spark.read.parquet(path).groupBy(F.col("source").cast("string").alias("source")).agg(F.max("doc_id").alias("revision"), F.count("*").alias("entries"))
+    old, staged = scratch(spark, "snapshots"), scratch(spark, "staged")
+    write = lambda df, path: df.repartition("source", F.pmod(F.xxhash64("doc_id"), F.lit(16))).write.partitionBy("source").parquet(path)
+    write(docs.withColumn("revision", F.lit(1)), old)
+    write(docs.where("doc_id % 4 <> 1").withColumn("revision", F.lit(2)), staged)
+    read = lambda path: spark.read.parquet(path).withColumn("source", F.col("source").cast("string"))
+    current = docs.select("source").distinct().withColumn("revision", F.when(F.col("source") == "src1", 5).otherwise(1))
+    return merge.published(read(old), read(staged), current, "source", expected=1).groupBy("source", "committed").agg(F.max("doc_id").alias("revision"), F.count("*").alias("entries"))
 
 
-@query("SNK-18", "select count(*) as n, cast(sum(n_chars) as bigint) as total from documents")
+@query("SNK-18", "select 'documents' as relation, count(*) as n, 'restored' as outcome from documents union all select 'labels', count(*), 'refused' from labels")
 def backup(spark: SparkSession, d: str) -> DataFrame:
-    """A table copied and the copy counted."""
-    path = scratch(spark, "backup")
-    Tables(spark, d).documents.write.parquet(path)
-    return spark.read.parquet(path).agg(F.count("*").alias("n"), F.sum("n_chars").alias("total"))
+    """Copies restored only if they pass validation: columns, rows and digest as the backup's summary has them. One is damaged here."""
+    t, path = Tables(spark, d), scratch(spark, "backup")
+    t.documents.write.parquet(f"{path}/documents")
+    t.labels.where("doc_id % 2 = 0").write.parquet(f"{path}/labels")
+    out = None
+    for name, key in (("documents", "text"), ("labels", "doc_id")):
+        now = getattr(t, name)
+        table, outcome = files.restored(now, spark.read.parquet(f"{path}/{name}"), files.summary(now, F.col(key).cast("string")), F.col(key).cast("string"))
+        one = table.agg(F.count("*").alias("n")).select(F.lit(name).alias("relation"), "n", F.lit(outcome).alias("outcome"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("SNK-19", "select l_orderkey, l_linenumber, (l_partkey * 48000 + 22050) // 44100 as frames, least(100, l_suppkey) * 441 // 10 as fade_frames, l_suppkey <= l_partkey as valid from lineitem")
-def render_manifest(spark: SparkSession, d: str) -> DataFrame:
-    from lumencat.operators.scalars import rescaled
+_FRAMES = "(select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as frame from events)"
+_CUT = f"(select user_id, frame - 2 as frame, value * 0.5 * least(1.0, (frame - 2 + 1) / 4.0) * least(1.0, (n - (frame - 2)) / 3.0) as value, n from {_FRAMES} f join (select user_id, least(30, count(*)) - 2 as n from events group by user_id) s using (user_id) where frame >= 2 and frame < 2 + n and n > 0)"
 
-    fade = F.call_function("div", F.least(F.lit(100), F.col("l_suppkey")).cast("long") * 441, F.lit(10))
-    return Tables(spark, d).lineitem.select("l_orderkey", "l_linenumber", rescaled(F.col("l_partkey"), 44100, 48000).alias("frames"), fade.alias("fade_frames"), (F.col("l_suppkey") <= F.col("l_partkey")).alias("valid"))
+
+@query("SNK-19", f"with o as (select user_id, n, unnest(range(0, (n * 3 + 1) // 2)) as frame from (select distinct user_id, n from {_CUT} c) u) select o.user_id, o.frame, a.value + (b.value - a.value) * (o.frame * 2 / 3.0 - floor(o.frame * 2 / 3.0)) as value, (o.n * 3 + 1) // 2 as frames from o join {_CUT} a on a.user_id = o.user_id and a.frame = cast(least(floor(o.frame * 2 / 3.0), o.n - 1) as bigint) join {_CUT} b on b.user_id = o.user_id and b.frame = cast(least(floor(o.frame * 2 / 3.0) + 1, o.n - 1) as bigint)")
+def render_clips(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events as a signal: frames 2 to 30 cut out, at half gain, faded over 4 and 3 frames, resampled from rate 2 to rate 3."""
+    frames = timeseries.numbered_frames(Tables(spark, d).events.select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"])
+    return timeseries.rendered(frames.select("user_id", "frame", "value"), ["user_id"], start=2, end=30, gain=0.5, fade_in=4, fade_out=3, rate=(2, 3)).select("user_id", "frame", "value", "frames")
 
 
 @query("SNK-20", "select user_id, event_id from (select user_id, event_id, sum(value) over (partition by user_id order by ts desc, event_id desc rows unbounded preceding) as held from events) e where held <= 500")
@@ -326,17 +437,20 @@ def retention(spark: SparkSession, d: str) -> DataFrame:
     return merge.retained(Tables(spark, d).events, [F.desc("ts"), F.desc("event_id")], 5, ["user_id"]).select("user_id", "event_id")
 
 
-@query("SNK-22", f"select a.id, min(b.id) as relinked, count(*) as n from {ASSETS} a join {ASSETS} b on b.digest = a.digest and b.source <> a.source where a.source = 'src1' group by a.id")
+@query("SNK-22", f"select a.id, min(b.id) as relinked, count(b.id) as n, case when a.source = 'src1' then 'removed' when a.source = 'src2' then 'folder' else 'linked' end as state from {ASSETS} a left join {ASSETS} b on b.digest = a.digest and b.source <> 'src1' and a.source = 'src1' group by a.id, a.source having a.source <> 'src1' or count(b.id) > 0")
 def relink(spark: SparkSession, d: str) -> DataFrame:
+    """A source removed, whose records are relinked to equal content elsewhere or go; another converted to a folder, which keeps its records."""
     a = assets(Tables(spark, d)).select("id", "digest", "source")
-    return moves.candidates(a.where("source = 'src1'"), a.where("source <> 'src1'")).select("id", F.col("first").alias("relinked"), "n")
+    return moves.without_source(a, removed="src1", converted="src2").select("id", "relinked", "n", "state")
 
 
-@query("SNK-23", f"select min(id) as id, 'old/' || min(id) as old_path, 'new/' || min(id) as new_path from {ASSETS} a where id % 2 = 0 group by digest having count(*) = 1")
+@query("SNK-23", f"with r as (select id, digest, id % 4 = 0 as moved from {ASSETS} a), g as (select digest, count(*) as n from r group by digest) select r.id, 'old/' || r.id as old_path, 'new/' || r.id as new_path from r join g using (digest) where g.n = 1 and r.moved")
 def adopt_moves(spark: SparkSession, d: str) -> DataFrame:
-    a = assets(Tables(spark, d)).where("id % 2 = 0").select("id", "digest", F.lit(1).alias("volume"), F.md5("digest").alias("file"))
-    records = a.select("id", F.concat(F.lit("old/"), F.col("id").cast("string")).alias("path"), "volume", "file", "digest")
-    found = a.select(F.concat(F.lit("new/"), F.col("id").cast("string")).alias("path"), "volume", "file", "digest")
+    """Renames among all records: of the files found, a quarter stand under a new path, the others where they were."""
+    a = assets(Tables(spark, d)).select("id", "digest", F.lit(1).alias("volume"), F.md5("digest").alias("file"))
+    path = lambda folder: F.concat(F.lit(folder), F.col("id").cast("string"))
+    records = a.select("id", path("old/").alias("path"), "volume", "file", "digest")
+    found = a.select(F.when(F.col("id") % 4 == 0, path("new/")).otherwise(path("old/")).alias("path"), "volume", "file", "digest")
     return files.adopted(records, found)
 
 
@@ -346,9 +460,15 @@ def scoped_sweep(spark: SparkSession, d: str) -> DataFrame:
     return files.missing(rows, rows.where("id % 3 = 0").select("path", F.lit(4).alias("epoch")), "src2", 4).select("id")
 
 
-@query("SNK-25", f"select doc_id, outcome from ({_OUTCOME}) o where outcome in ('applied', 'conflict')")
+@query("SNK-25", "select doc_id, outcome, case when outcome = 'applied' then 'confirmed' else origin end as origin, revision + case when outcome = 'applied' then 1 else 0 end as revision from (select doc_id, doc_id % 3 as revision, 'imported' as origin, case when doc_id % 4 <> doc_id % 3 then 'conflict' when doc_id % 5 = 0 then 'parser' when doc_id % 7 = 0 then 'digest' when doc_id % 11 = 0 then 'sidecar' else 'applied' end as outcome from documents) o")
 def provenance_edit(spark: SparkSession, d: str) -> DataFrame:
-    return _edit_outcomes(Tables(spark, d)).where("outcome in ('applied', 'conflict')").select("doc_id", "outcome")
+    """Confirmations of imported values, bound to the parser, the content and the sidecar that they were read with."""
+    from lumencat.operators.provenance import confirmed
+
+    docs = Tables(spark, d).documents
+    now = docs.select("doc_id", (F.col("doc_id") % 3).alias("revision"), F.lit("imported").alias("origin"), F.lit("p2").alias("parser"), F.md5("text").alias("digest"), F.lit(1).alias("sidecar"))
+    edits = now.select("doc_id", (F.col("doc_id") % 4).alias("expected_revision"), F.when(F.col("doc_id") % 5 == 0, "p1").otherwise("p2").alias("expected_parser"), F.when(F.col("doc_id") % 7 == 0, "other").otherwise(F.col("digest")).alias("expected_digest"), F.when(F.col("doc_id") % 11 == 0, 0).otherwise(1).alias("expected_sidecar"))
+    return confirmed(now, edits, "doc_id").select("doc_id", "outcome", "origin", "revision")
 
 
 @query("SNK-26", "select event_id, case when event_id = first then 'created' when event_type = kind then 'replayed' else 'conflict' end as outcome from (select event_id, event_type, first_value(event_id) over w as first, first_value(event_type) over w as kind from events window w as (partition by user_id order by event_id)) e")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 AUDIO = ("wav", "mp3", "flac", "ogg", "aif", "aiff", "m4a", "wma", "opus", "aac", "caf")
 IMAGE = ("png", "jpg", "jpeg", "webp")
+#: Paths that one read takes as a list; a scan with more of them goes on in its next run.
+MOST_STATED = 100_000
 
 
 def listing(spark: SparkSession, root: str, extensions: Sequence[str] | None = None, content: bool = False) -> DataFrame:
@@ -59,15 +61,84 @@ def adopted(records: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.withColumn("_n", F.row_number().over(taken)).where("_n = 1").select("id", "old_path", "new_path")
 
 
-def counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """(relation, n) of several tables."""
+def scan(spark: SparkSession, found: DataFrame, known: DataFrame) -> DataFrame:
+    """(path, action, digest) of a listing against known files (path, size, modified, digest).
+
+    reuse: same size and time, the digest is the known one; hash: new or changed, the digest is the SHA-1 of the content,
+    which is read of these alone; missing: known but not listed.
+    """
+    k = known.dropDuplicates(["path"]).select("path", F.col("size").alias("_size"), F.col("modified").alias("_modified"), F.col("digest").alias("_digest"))
+    j = found.dropDuplicates(["path"]).withColumn("_there", F.lit(True)).join(k, "path", "full_outer")
+    same = (F.col("size") == F.col("_size")) & (F.col("modified") == F.col("_modified"))
+    action = F.when(F.col("_there").isNull(), "missing").when(F.coalesce(same, F.lit(False)), "reuse").otherwise("hash")
+    state = j.select("path", action.alias("action"), F.col("_digest").alias("digest"))
+    paths = [r["path"] for r in state.where("action = 'hash'").select("path").limit(MOST_STATED).collect()]
+    done = state.where("action <> 'hash'")
+    if not paths:
+        return done
+    hashed = listed(spark, paths, content=True).select("path", F.lit("hash").alias("action"), F.sha1("content").alias("digest"))
+    return done.unionByName(hashed)
+
+
+def stated(paths: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """A list of paths, each once, with its row of the catalogue (path, ...) and ``status``: found or absent."""
+    return paths.select("path").distinct().join(catalogue.withColumn("_there", F.lit(True)), "path", "left").withColumn("status", F.when(F.col("_there"), "found").otherwise("absent")).drop("_there")
+
+
+def discovered(entries: DataFrame, path: str, key: str, depth: int, most: int, epoch: int) -> DataFrame:
+    """Entries down to a depth, the first ``most`` in order of depth and path, with the epoch and whether there are more."""
+    within = entries.withColumn("depth", F.size(F.split(path, "/")).cast("long")).where(F.col("depth") <= depth)
+    more = within.agg((F.count("*") > most).alias("truncated"))
+    first = within.orderBy("depth", path, key).limit(most).withColumn("epoch", F.lit(epoch))
+    return first.crossJoin(F.broadcast(more))  # one row beside each
+
+
+def verified(stated: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    """Manifest rows (key, stated) with ``status`` by the recomputed digests (key, digest): verified, mismatch or missing."""
+    why = F.when(F.col("digest").isNull(), "missing").when(F.col("digest") == F.col("stated"), "verified").otherwise("mismatch")
+    return stated.join(actual.select(key, "digest"), key, "left").withColumn("status", why)
+
+
+def members(found: DataFrame, recorded: DataFrame, stat: Sequence[str], analyzer: str, racy: int) -> DataFrame:
+    """Found members with ``action`` and ``restored``, by what is recorded (path, stat columns, analyzer, checked, status).
+
+    reuse: the stat is the recorded one, last changed before the window in which a change may go unseen, and the analyzer is
+    current; then a member that was missing is available again (restored). rehash: recorded otherwise. new: not recorded.
+    """
+    r = recorded.select("path", *[F.col(c).alias(f"_r_{c}") for c in stat], F.col("analyzer").alias("_analyzer"), F.col("checked").alias("_checked"), F.col("status").alias("_status"), F.lit(True).alias("_known"))
+    j = found.join(r, "path", "left")
+    same = (F.col("_analyzer") == analyzer) & (F.col("modified") + racy < F.col("_checked"))
+    for c in stat:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    reuse = F.coalesce(same, F.lit(False))
+    action = F.when(F.col("_known").isNull(), "new").when(reuse, "reuse").otherwise("rehash")
+    restored = F.coalesce(F.col("_known") & reuse & (F.col("_status") == "missing"), F.lit(False))
+    return j.withColumn("action", action).withColumn("restored", restored).drop("_known", "_analyzer", "_checked", "_status", *[f"_r_{c}" for c in stat])
+
+
+def backup_summary(original: dict[str, DataFrame], copy: dict[str, DataFrame], content: dict[str, Column]) -> DataFrame:
+    """(relation, n, digest, intact) of a copy: rows, an order-free digest of their content, and whether the original has the same."""
+    sums = lambda df, c: df.agg(F.count("*").alias("n"), F.bit_xor(F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")).alias("digest"))
     out = None
-    for name, df in tables.items():
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("relation"), "n")
+    for name, df in copy.items():
+        was = sums(original[name], content[name]).toDF("_n", "_digest")
+        one = sums(df, content[name]).crossJoin(was)  # one row beside one
+        one = one.select(F.lit(name).alias("relation"), "n", "digest", ((F.col("n") == F.col("_n")) & F.col("digest").eqNullSafe(F.col("_digest"))).alias("intact"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def summary(table: DataFrame, content: Column) -> dict:
+    """Columns, rows and an order-free digest of a table: what a backup keeps beside the copy."""
+    one = table.agg(F.count("*").alias("n"), F.bit_xor(F.conv(F.substring(F.md5(content), 1, 15), 16, 10).cast("long")).alias("digest")).first()
+    return {"columns": table.columns, "n": one["n"], "digest": one["digest"]}
+
+
+def restored(current: DataFrame, copy: DataFrame, kept: dict, content: Column) -> tuple[DataFrame, str]:
+    """The table after a restore and its outcome: the copy if it is what its summary says, else the current table (refused)."""
+    return (copy, "restored") if copy.columns == kept["columns"] and summary(copy, content) == kept else (current, "refused")
+
+
 def title_of(path: Column) -> Column:
     from lumencat.functions.text import file_stem
 
