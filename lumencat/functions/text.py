@@ -48,7 +48,8 @@ def deaccent(c: Column) -> Column:
 def canonical(token: Column) -> Column:
     """The word that stands for a token's synonym group, or the token."""
     table = F.create_map(*[F.lit(x) for pair in CANONICAL.items() for x in pair])
-    return F.coalesce(F.element_at(table, token), token)
+    # most tokens are none of these: a hashed test goes before the map, which is searched from its start
+    return F.when(token.isin(list(CANONICAL)), F.element_at(table, token)).otherwise(token)
 
 
 def split_tokens(c: Column) -> Column:
@@ -127,6 +128,12 @@ def distance(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
         yield pd.Series([None if x is None or y is None else damerau_levenshtein(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
+def may_be_near(a: Column | str, b: Column | str, budget: Column) -> Column:
+    """Necessary for a distance within the budget: a transposition is two edits without one, so twice as many are enough."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return (F.abs(F.length(a) - F.length(b)) <= budget) & (F.levenshtein(a, b) <= 2 * budget)
+
+
 def edit_budget(word: Column | str) -> Column | int:
     """Two edits for words of more than seven characters, else one."""
     return (2 if len(word) > 7 else 1) if isinstance(word, str) else F.when(F.length(word) > 7, 2).otherwise(1)

@@ -1,7 +1,8 @@
 """Ranked text search and structured search as DataFrame plans.
 
 Both parse on the driver, build one lazy plan of built-in functions, and derive page, total and facets from one match set.
-A page is an order with a limit, which Spark runs as a top-k, never a full sort on one task.
+With a stored index (``postings``) terms, phrases and prefixes are looked up there, and only what they leave is read as
+text. A page is an order with a limit, which Spark runs as a top-k, never a full sort on one task.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumencat.functions import text as T
 from lumencat.functions.interpret import PREFIX, Clause, Interpretation, StructuredQuery, TextQuery, interpret, parse_clauses
+from lumencat.operators.postings import Index, clause_hits, of_words
 
 #: Columns that ``ranked_search`` reads: id, title, comment, description strings; user_tags, profile_tags arrays of strings.
 SEARCHED = ("title", "user_tags", "profile_tags", "comment", "description")
@@ -98,8 +100,11 @@ def excluded_matches(term: str) -> Column:
     return F.array_contains("document", term) | phrase_in_text(term)
 
 
-def score(parsed: Interpretation, raw: str) -> Column:
-    """Title, tag, phrase and token relevance, 1 at least."""
+WEIGHTS = dict(zip(SEARCHED, (30, 20, 10, 4, 2), strict=True))
+
+
+def text_score(parsed: Interpretation, raw: str) -> Column:
+    """Title, tag and phrase relevance; needs title_lower and tags_lower."""
     whole = raw.strip().strip("\"'").strip().lower()
     title = F.col("title_lower")
     flat = T.deaccent(title)
@@ -113,24 +118,71 @@ def score(parsed: Interpretation, raw: str) -> Column:
         total = total + 250 * F.size(F.filter("user_tags", lambda t: (F.lower(t) == whole) | (T.deaccent(F.lower(t)) == plain(whole))))
     for p in parsed.phrases:
         total = total + F.when(phrase_in(title, p), 300).when(phrase_in(F.col("tags_lower"), p), 150).otherwise(80)
+    return total
+
+
+def score(parsed: Interpretation, raw: str) -> Column:
+    """Title, tag, phrase and token relevance, 1 at least."""
+    total = text_score(parsed, raw)
     for t in parsed.terms:
-        for name, weight in zip(SEARCHED, (30, 20, 10, 4, 2), strict=True):
+        for name, weight in WEIGHTS.items():
             total = total + F.when(F.array_contains(f"{name}_tokens", t), weight).otherwise(0)
     return F.greatest(total, F.lit(1))
 
 
-def ranked_matches(sounds: DataFrame, q: TextQuery, correct: bool = True) -> tuple[DataFrame, Interpretation]:
+def token_index_columns(sounds: DataFrame) -> DataFrame:
+    """(id, and the tokens of each searched field): what the ranked search's index is built of."""
+    return with_tokens(sounds).select("id", *[F.col(f"{f}_tokens").alias(f) for f in SEARCHED])
+
+
+def indexed_corrections(scope: DataFrame, index: Index, terms: list[str]) -> dict[str, str]:
+    """As ``corrections``, over the vocabulary of the index and the documents in scope."""
+    odd = [t for t in terms if len(t) >= 4 and t not in T.CANONICAL]
+    if not odd:
+        return {}
+    ids = scope.select("id")
+    known = {r["word"] for r in of_words(index, odd).join(ids, "id", "left_semi").select("word").distinct().collect()}
+    odd = [t for t in odd if t not in known]
+    if not odd:
+        return {}
+    asked = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(T.edit_budget(t)).alias("budget")) for t in odd])
+    pairs = index.vocabulary.select("word").distinct().select("word", F.explode(asked).alias("a")).select("word", "a.term", "a.budget")
+    near = pairs.where(T.may_be_near("term", "word", F.col("budget"))).withColumn("d", T.distance("term", "word")).where("d <= budget")
+    here = index.postings.select("word", "id").join(near, "word").join(ids, "id", "left_semi")
+    return {r["term"]: r["best"]["word"] for r in here.groupBy("term").agg(F.min(F.struct("d", "word")).alias("best")).collect() if r["best"]["d"] > 0}
+
+
+def indexed_terms(index: Index, terms: list[str]) -> DataFrame:
+    """(id, points): documents that hold each term, with or without accents, and the weights of the fields that hold it as it is."""
+    flat = {t: t.translate(str.maketrans(T.ACCENTED, T.PLAIN)) for t in terms}
+    # a term's spellings with other accents are few words of the vocabulary
+    spelt = index.vocabulary.where(T.deaccent(F.col("word")).isin(sorted(set(flat.values())))).select("word").distinct()
+    words = sorted({r["word"] for r in spelt.collect()} | set(terms))
+    p = of_words(index, words)
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("field"))
+    found = [F.bool_or((F.col("word") == t) | (T.deaccent(F.col("word")) == flat[t])).alias(f"_t{k}") for k, t in enumerate(terms)]
+    points = F.sum(F.when(F.col("word").isin(terms), weight).otherwise(0) * sum((F.when(F.col("word") == t, 1).otherwise(0) for t in terms), F.lit(0))).alias("points")
+    return p.groupBy("id").agg(points, *found).where(all_of([F.col(f"_t{k}") for k in range(len(terms))])).select("id", "points")
+
+
+def ranked_matches(sounds: DataFrame, q: TextQuery, correct: bool = True, index: Index | None = None, allowed: list[str] | None = None) -> tuple[DataFrame, Interpretation]:
     """All matches with their score, and how the query was understood.
 
-    sounds: id, source_id, status, online, favorite, duration and the searched fields. Filters come before any tokens.
+    sounds: id, source_id, status, online, favorite, duration and the searched fields. Filters come before any tokens. With
+    an index of the sounds the terms are looked up there; without one, or for terms with CJK characters, which titles may
+    hold inside a token, texts are cut into tokens. allowed: the caller's sources, before anything else.
     """
     parsed = interpret(q)
     scope = sounds.where((F.col("status") == "ready") & F.col("duration").isNotNull() & F.col("online"))
+    if allowed is not None:
+        scope = scope.where(F.col("source_id").isin(allowed) if allowed else F.lit(False))
     if q.source_ids:
         scope = scope.where(F.col("source_id").isin(q.source_ids))
-    scope = with_text(scope)
+    if any(c >= "⺀" for t in parsed.terms for c in t):
+        index = None
     if correct:
-        for term, word in corrections(with_tokens(scope), parsed.terms).items():
+        fixed = indexed_corrections(scope, index, parsed.terms) if index else corrections(with_tokens(with_text(scope)), parsed.terms)
+        for term, word in fixed.items():
             parsed.corrected.append(f"{term} -> {word}")
             parsed.terms[parsed.terms.index(term)] = word
     early = []
@@ -143,9 +195,16 @@ def ranked_matches(sounds: DataFrame, q: TextQuery, correct: bool = True) -> tup
     if q.tags:
         own = F.transform(F.concat("user_tags", "profile_tags"), lambda t: F.lower(F.translate(t, "_", " ")))
         early += [F.array_contains(own, t.replace("_", " ").strip().lower()) for t in q.tags]
+    substrings = [~phrase_in_text(t) for t in parsed.excluded] + [phrase_in_text(p) for p in parsed.phrases]
+    if index and parsed.terms:
+        left = scope.where(all_of(early)).join(indexed_terms(index, parsed.terms), "id")
+        # an excluded token that is no substring of the text (a synonym, a word without its apostrophe)
+        if parsed.excluded:
+            left = left.join(of_words(index, parsed.excluded).select("id").distinct(), "id", "left_anti")
+        s = with_text(left).where(all_of(substrings)).withColumns({"title_lower": F.lower("title"), "tags_lower": F.lower(F.array_join("user_tags", " "))})
+        return s.withColumn("score", F.greatest(text_score(parsed, q.text) + F.col("points"), F.lit(1)).cast("int")).drop("points"), parsed
     # substring searches cost little: what they rule out is never cut into tokens
-    early += [may_match(t) for t in parsed.terms] + [~phrase_in_text(t) for t in parsed.excluded] + [phrase_in_text(p) for p in parsed.phrases]
-    s = with_tokens(scope.where(all_of(early)))
+    s = with_tokens(with_text(scope).where(all_of(early + [may_match(t) for t in parsed.terms] + substrings)))
     late = [term_matches(t) for t in parsed.terms] + [~excluded_matches(t) for t in parsed.excluded]
     return s.where(all_of(late)).withColumn("score", score(parsed, q.text).cast("int")), parsed
 
@@ -182,10 +241,11 @@ def clause_matches(c: Clause, tokens: Column) -> Column:
     return F.contains(flat, F.lit(" " + " ".join(own) + ("" if c.kind == PREFIX else " ")))
 
 
-def structured_matches(docs: DataFrame, tags: DataFrame, q: StructuredQuery, allowed: list[str] | None = None) -> DataFrame:
+def structured_matches(docs: DataFrame, tags: DataFrame, q: StructuredQuery, allowed: list[str] | None = None, index: Index | None = None) -> DataFrame:
     """Documents that satisfy the query, with tier and the fields that were hit.
 
-    docs: id, source_id, kind, admitted, online, the filter columns, and ``<field>_tokens`` arrays; tags: id, key, state.
+    docs: id, source_id, kind, admitted, online, the filter columns, and, without an index, ``<field>_tokens`` arrays;
+    tags: id, key, state. The index's fields are the query's.
     The caller's scope is applied before anything else; an empty scope is an empty result.
     """
     q.validated()
@@ -228,6 +288,9 @@ def structured_matches(docs: DataFrame, tags: DataFrame, q: StructuredQuery, all
     clauses, _ = parse_clauses(q.text)
     positive = [c for c in clauses if not c.excluded]
     hit = lambda c, f: clause_matches(c, F.col(f"{f}_tokens"))
+    if index and clauses:
+        d = d.join(clause_hits(index, clauses, q.fields), "id", "inner" if positive else "left")
+        hit = lambda c, f: F.coalesce(F.col(f"h{clauses.index(c)}_{f}"), F.lit(False))
     if negative := [c for c in clauses if c.excluded]:
         d = d.where(~any_of([hit(c, f) for c in negative for f in q.fields]))
     if not positive:
@@ -262,9 +325,14 @@ def structured_order(sort: str) -> list[Column]:
     return first[sort] + ties
 
 
-def guidance(docs: DataFrame, q: StructuredQuery) -> DataFrame:
+def guidance(docs: DataFrame, q: StructuredQuery, index: Index | None = None) -> DataFrame:
     """(clause, n): how many documents of the scope each clause matches alone, in one pass."""
     clauses, _ = parse_clauses(q.text)
+    if index:
+        hits = clause_hits(index, clauses, q.fields).join(docs.select("id"), "id", "left_semi")
+        counts = hits.agg(*[F.count_if(any_of([F.col(f"h{k}_{f}") for f in q.fields])).alias(str(k)) for k in range(len(clauses))])
+        rows = F.array(*[F.struct(F.lit(c.text).alias("clause"), F.col(str(k)).alias("n")) for k, c in enumerate(clauses)])
+        return counts.select(F.explode(rows).alias("r")).select("r.*")
     sums = [F.count_if(any_of([clause_matches(c, F.col(f"{f}_tokens")) for f in q.fields])).alias(str(k)) for k, c in enumerate(clauses)]
     counts = docs.agg(*sums)
     rows = F.array(*[F.struct(F.lit(c.text).alias("clause"), F.col(str(k)).alias("n")) for k, c in enumerate(clauses)])
@@ -277,8 +345,8 @@ def facet_counts(matches: DataFrame, dimensions: dict[str, Column]) -> DataFrame
     return matches.select(each.alias("f")).select("f.*").where("value is not null").groupBy("dim", "value").agg(F.count("*").alias("n"))
 
 
-def suggestions(tokenised: DataFrame, term: str, top: int = 3) -> DataFrame:
-    """(word, documents): vocabulary words within the edit budget of a term, most frequent first; never applied by itself."""
+def suggestions(words: DataFrame, term: str, top: int = 3) -> DataFrame:
+    """(word, documents): words of a vocabulary (word, documents) within the edit budget of a term, most frequent first; never applied by itself."""
     budget = T.edit_budget(term)
-    words = vocabulary(tokenised).where((F.abs(F.length("word") - len(term)) <= budget) & (F.col("word") != term))
-    return words.where(T.distance(F.lit(term), F.col("word")) <= budget).orderBy(F.desc("documents"), "word").limit(top)
+    near = words.where((F.col("word") != term) & T.may_be_near(F.lit(term), "word", F.lit(budget)))
+    return near.where(T.distance(F.lit(term), F.col("word")) <= budget).select("word", "documents").orderBy(F.desc("documents"), "word").limit(top)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumencat.functions import text as T
 from lumencat.functions.interpret import CAPABILITIES, StructuredQuery, TextQuery, interpret, parse_clauses
+from lumencat.operators import postings, storage
 from lumencat.operators import search as S
 from lumencat.plans.registry import Tables, query
 
@@ -26,6 +27,12 @@ def sounds(t: Tables) -> DataFrame:
     )
 
 
+def ranked(t: Tables) -> DataFrame:
+    """The ranked matches, through the index of the sounds' tokens."""
+    index = postings.index_of(t.spark, "sounds", f"{t.folder}/documents.parquet", lambda: S.token_index_columns(sounds(t)), S.SEARCHED)
+    return S.ranked_matches(sounds(t), RANKED, index=index)[0]
+
+
 #: The same relation in SQL, with tokens; none of the queries' terms has a synonym.
 _TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 _FOLD = f"translate({{}}, '{T.ACCENTED}', '{T.PLAIN}')"
@@ -49,7 +56,7 @@ MATCHES = f"""(select *, cast(greatest(1,
 @query("text_search_ranked", f"select id, title, score from {MATCHES} m order by score desc, octet_length(encode(title)), title_lower, id limit 100")
 def text_search_ranked(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: filters, terms, an exclusion, a phrase and a duration, scored, ordered, one page."""
-    found, _ = S.ranked_matches(sounds(Tables(spark, d)), RANKED)
+    found = ranked(Tables(spark, d))
     return S.page(found, S.rank_order()).select("id", "title", "score")
 
 
@@ -70,7 +77,7 @@ def phrases(spark: SparkSession, d: str) -> DataFrame:
 
 @query("AGG-01", f"select count(*) as total from {MATCHES} m")
 def total(spark: SparkSession, d: str) -> DataFrame:
-    return S.ranked_matches(sounds(Tables(spark, d)), RANKED)[0].agg(F.count("*").alias("total"))
+    return ranked(Tables(spark, d)).agg(F.count("*").alias("total"))
 
 
 _TAG_FACET = f"select tag as value, count(*) as n from (select id, unnest(list_distinct([lang, source_id, 'text ' || lang])) as tag from {MATCHES} m) x group by tag order by n desc, value limit 30"
@@ -80,22 +87,22 @@ _SPAN = "case when duration < 3 then 'under 3s' when duration <= 15 then '3s - 1
 
 @query("AGG-04", _TAG_FACET)
 def tag_facet(spark: SparkSession, d: str) -> DataFrame:
-    return S.text_facets(S.ranked_matches(sounds(Tables(spark, d)), RANKED)[0]).where("dim = 'tag'").select("value", "n")
+    return S.text_facets(ranked(Tables(spark, d))).where("dim = 'tag'").select("value", "n")
 
 
 @query("AGG-05", f"select {_LAYOUT} as value, count(*) as n from {MATCHES} m group by 1")
 def layout_facet(spark: SparkSession, d: str) -> DataFrame:
-    return S.text_facets(S.ranked_matches(sounds(Tables(spark, d)), RANKED)[0]).where("dim = 'layout'").select("value", "n")
+    return S.text_facets(ranked(Tables(spark, d))).where("dim = 'layout'").select("value", "n")
 
 
 @query("AGG-06", f"select {_SPAN} as value, count(*) as n from {MATCHES} m group by 1")
 def duration_facet(spark: SparkSession, d: str) -> DataFrame:
-    return S.text_facets(S.ranked_matches(sounds(Tables(spark, d)), RANKED)[0]).where("dim = 'duration'").select("value", "n")
+    return S.text_facets(ranked(Tables(spark, d))).where("dim = 'duration'").select("value", "n")
 
 
 @query("TXT-09", f"select 'tag' as dim, value, n from ({_TAG_FACET}) t union all select 'layout', {_LAYOUT}, count(*) from {MATCHES} m group by 2 union all select 'duration', {_SPAN}, count(*) from {MATCHES} m group by 2 union all select 'total', null, count(*) from {MATCHES} m")
 def search_result(spark: SparkSession, d: str) -> DataFrame:
-    found = S.ranked_matches(sounds(Tables(spark, d)), RANKED)[0].select("id", "user_tags", "profile_tags", "channels", "channel_layout", "duration").cache()
+    found = ranked(Tables(spark, d)).select("id", "user_tags", "profile_tags", "channels", "channel_layout", "duration")
     return S.text_facets(found).unionByName(found.agg(F.count("*").alias("n")).select(F.lit("total").alias("dim"), F.lit(None).cast("string").alias("value"), "n"))
 
 
@@ -148,7 +155,7 @@ _VOCABULARY = f"(select distinct unnest({_TOK.format('text')}) as word from docu
 def typo_correction(spark: SparkSession, d: str) -> DataFrame:
     words = Tables(spark, d).documents.select(F.explode(F.array_distinct(T.split_tokens(F.col("text")))).alias("word")).distinct()
     asked = F.explode(F.array(*map(F.lit, PROBES)))
-    near = words.select("word", asked.alias("term")).where(F.abs(F.length("word") - F.length("term")) <= 1).withColumn("d", T.distance("term", "word")).where("d <= 1")
+    near = words.select("word", asked.alias("term")).where(T.may_be_near("term", "word", F.lit(1))).withColumn("d", T.distance("term", "word")).where("d <= 1")
     return near.groupBy("term").agg(F.min(F.struct("d", "word")).alias("best")).select("term", "best.word", F.col("best.d").cast("long").alias("distance"))
 
 
@@ -160,27 +167,38 @@ def first_candidate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("TXT-08", f"select id, score from {MATCHES} m")
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    return S.ranked_matches(sounds(Tables(spark, d)), RANKED)[0].select("id", "score")
+    return ranked(Tables(spark, d)).select("id", "score")
 
 
 # -- structured engine -----------------------------------------------------------------------------------------
 
 
+FIELDS = ("tags", "caption", "name", "notes")
+
+
+def _field_texts() -> dict[str, F.Column]:
+    return {"tags": F.array_join(F.array("lang", "source"), " / "), "caption": F.element_at(F.split("text", "\n"), 1), "name": F.concat_ws("/", "source", F.col("doc_id").cast("string")), "notes": F.col("text")}
+
+
+def asset_index(t: Tables) -> postings.Index:
+    """The index of all four fields, in normal form C, built once for a table's files."""
+    make = lambda: t.documents.select(F.col("doc_id").alias("id"), *[T.index_tokens(c).alias(f) for f, c in _field_texts().items()])
+    return postings.index_of(t.spark, "assets", f"{t.folder}/documents.parquet", make, FIELDS)
+
+
 def indexed(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Documents as assets with the tokens of each field, and their tag rows."""
-    d = t.documents.join(t.labels, "doc_id", "left")
-    title = F.element_at(F.split("text", "\n"), 1)
+    """Documents as assets, and their tag rows."""
+    d = t.documents.drop("text").join(t.labels, "doc_id", "left")
     docs = d.select(
         F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.lit("image").alias("kind"), F.lit(True).alias("admitted"), (F.col("source") != "src3").alias("online"),
         F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.when(F.col("n_chars") > 2000, "landscape").otherwise("portrait").alias("orientation"), F.lit("available").alias("availability"),
         F.col("lang").alias("format"), F.col("quality").alias("rating"), F.col("n_chars").alias("width"), F.lit(100).alias("height"), F.col("doc_id").alias("added_at"), F.coalesce("toxic", F.lit(0)).alias("suggestions"),
-        T.index_tokens(F.array_join(F.array("lang", "source"), " / "), False).alias("tags_tokens"), T.index_tokens(title, False).alias("caption_tokens"), T.index_tokens(F.concat_ws("/", "source", F.col("doc_id").cast("string")), False).alias("name_tokens"), T.index_tokens(F.col("text"), False).alias("notes_tokens"),
     )
     tags = t.documents.select(F.col("doc_id").alias("id"), F.explode(F.array(F.struct(F.col("lang").alias("key"), F.lit("confirmed").alias("state")), F.struct(F.col("source").alias("key"), F.lit("suggested").alias("state")))).alias("t")).select("id", "t.*")
     return docs, tags
 
 
-_ITOK = f"list_filter(regexp_split_to_array(translate(lower({{}}), '{T.ACCENTED}', '{T.PLAIN}'), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+'), lambda t: t <> '')".replace("{{{{", "{{").replace("}}}}", "}}")
+_ITOK = f"list_filter(regexp_split_to_array(translate(lower(nfc_normalize({{}})), '{T.ACCENTED}', '{T.PLAIN}'), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+'), lambda t: t <> '')".replace("{{{{", "{{").replace("}}}}", "}}")
 INDEXED = f"""(select d.doc_id as id, d.source as source_id, d.source || '/' || d.doc_id as path, case when n_chars > 2000 then 'landscape' else 'portrait' end as orientation, d.lang, l.quality as rating, n_chars as width, coalesce(l.toxic, 0) as suggestions,
   ' ' || array_to_string({_ITOK.format("d.lang || ' / ' || d.source")}, ' ') || ' ' as tags, ' ' || array_to_string({_ITOK.format("string_split(d.text, chr(10))[1]")}, ' ') || ' ' as caption,
   ' ' || array_to_string({_ITOK.format("d.source || '/' || d.doc_id")}, ' ') || ' ' as name, ' ' || array_to_string({_ITOK.format("d.text")}, ' ') || ' ' as notes
@@ -202,7 +220,7 @@ STRUCTURED_SQL = f"""(select *, case when {_all('tags')} then 1 when {_all('capt
 
 
 def structured(t: Tables) -> DataFrame:
-    return S.structured_matches(*indexed(t), STRUCTURED)
+    return S.structured_matches(*indexed(t), STRUCTURED, index=asset_index(t))
 
 
 @query("TXT-13", f"select id from {STRUCTURED_SQL} m")
@@ -222,14 +240,16 @@ def explanations(spark: SparkSession, d: str) -> DataFrame:
 
 @query("TXT-16", f"select 'the' as clause, count(*) filter ({_in(' the ')}) as n from {INDEXED} i union all select 'of the', count(*) filter ({_in(' of the ')}) from {INDEXED} i union all select 'thou', count(*) filter ({_in(' thou')}) from {INDEXED} i union all select 'clown', count(*) filter ({_in(' clown ')}) from {INDEXED} i")
 def no_match_guidance(spark: SparkSession, d: str) -> DataFrame:
-    return S.guidance(indexed(Tables(spark, d))[0], STRUCTURED)
+    t = Tables(spark, d)
+    return S.guidance(indexed(t)[0], STRUCTURED, asset_index(t))
 
 
-@query("TXT-12", f"select word, count(*) as positions, count(distinct doc_id) as docs from (select doc_id, unnest({_ITOK.format('text')}) as word from documents) x group by word")
+@query("TXT-12", f"with x as (select doc_id, unnest({_ITOK.format('text')}) as word, generate_subscripts({_ITOK.format('text')}, 1) - 1 as pos from documents) select x.word, v.positions, v.docs, min(case when doc_id = v.first then pos end) as first_position, max(case when doc_id = v.first then pos end) as last_position, v.first as first_doc from x join (select word, count(*) as positions, count(distinct doc_id) as docs, min(doc_id) as first from x group by word) v on v.word = x.word group by x.word, v.positions, v.docs, v.first")
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
-    rows = Tables(spark, d).documents.select("doc_id", F.posexplode(T.index_tokens(F.col("text"), False)).alias("pos", "word"))
-    one = rows.groupBy("word", "doc_id").agg(F.count("*").alias("n"))
-    return one.groupBy("word").agg(F.sum("n").alias("positions"), F.count("*").alias("docs"))
+    """The stored index's notes: of each word its occurrences and documents, and its positions in the first document."""
+    p = asset_index(Tables(spark, d)).postings.where("field = 'notes'")
+    of = p.groupBy("word").agg(F.sum(F.size("positions")).alias("positions"), F.count("*").alias("docs"), F.min("id").alias("first_doc"), F.min_by(F.array_min("positions"), "id").alias("first_position"), F.min_by(F.array_max("positions"), "id").alias("last_position"))
+    return of.select("word", "positions", "docs", "first_position", "last_position", "first_doc")
 
 
 @query("TXT-10", "select * from (values ('term', 'rain', false), ('phrase', 'old gate', false), ('prefix', 'thun', false), ('term', 'loud', true), ('ignored', '--', false)) t(kind, text, excluded)")
@@ -245,19 +265,23 @@ def text_fold(spark: SparkSession, d: str) -> DataFrame:
 
 @query("TXT-17", f"select word, docs as documents from (select word, count(distinct doc_id) as docs from (select doc_id, unnest({_ITOK.format('text')}) as word from documents) x group by word) v where word <> 'erstt' and abs(length(word) - 5) <= 1 and damerau_levenshtein('erstt', word) <= 1 order by docs desc, word limit 3")
 def spelling_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    tokenised = Tables(spark, d).documents.select(T.index_tokens(F.col("text"), False).alias("document"))
-    return S.suggestions(tokenised, "erstt")
+    words = asset_index(Tables(spark, d)).vocabulary.where("field = 'notes'")
+    return S.suggestions(words, "erstt")
 
 
-@query("TXT-18", "select doc_id, md5(case when doc_id % 7 = 0 then text || '!' else text end) as digest from documents")
+@query("TXT-18", f"select word, count(*) as docs, (select count(distinct doc_id // 512) from documents where doc_id % 7 = 0) as batches from (select distinct doc_id, unnest({_ITOK.format(chr(99) + 'ase when doc_id % 7 = 0 then ' + chr(39) + 'zzchanged ' + chr(39) + ' || text else text end')}) as word from documents) x where word in ('zzchanged', 'the', 'der') group by word")
 def incremental_index(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose text changed are indexed anew; the others' rows are kept."""
-    from lumencat.operators.merge import refreshed
-
-    docs = Tables(spark, d).documents.select("doc_id", "text")
-    index = docs.select("doc_id", F.md5("text").alias("digest"))
-    changed = docs.where("doc_id % 7 = 0").select("doc_id", F.concat("text", F.lit("!")).alias("text"))
-    return refreshed(index, changed, "doc_id", lambda c: c.select("doc_id", F.md5("text").alias("digest")))
+    """Queued documents are indexed anew in batches of 512 ids; the others' postings are kept as they are."""
+    t = Tables(spark, d)
+    queue = t.documents.where("doc_id % 7 = 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("zzchanged "), F.col("text")).alias("text"))
+    old = asset_index(t).postings.where("field = 'notes'")
+    path = storage.scratch(spark, "refreshed")
+    batch = F.floor(F.col("id") / 512)
+    postings.write_index(queue.repartition(batch).select("id", T.index_tokens(F.col("text")).alias("notes")), ["notes"], path)
+    now = old.join(queue.select("id"), "id", "left_anti").unionByName(postings.Index(spark, path).postings)
+    batches = queue.select(batch.alias("b")).agg(F.countDistinct("b").alias("batches"))
+    counts = now.where(F.col("word").isin("zzchanged", "the", "der")).groupBy("word").agg(F.count("*").alias("docs"))
+    return counts.join(F.broadcast(batches))  # one row beside three
 
 
 @query("TXT-20", "select * from (values ('tags', true, true), ('caption', true, true), ('name', true, true), ('notes', true, true), ('path', true, false)) t(field, searchable, by_default)")
@@ -287,7 +311,7 @@ def policy_text(spark: SparkSession, d: str) -> DataFrame:
 def cached_page(spark: SparkSession, d: str) -> DataFrame:
     from lumencat.operators.cache import result_cache
 
-    found = result_cache(spark).get(RANKED, d, lambda: S.ranked_matches(sounds(Tables(spark, d)), RANKED)[0].select("id", "title", "score"))
+    found = result_cache(spark).get(RANKED, d, lambda: ranked(Tables(spark, d)).select("id", "title", "score"))
     return S.page(found, S.rank_order(), 10, 20).select("id", "score")
 
 
