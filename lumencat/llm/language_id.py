@@ -44,7 +44,7 @@ SAMPLE_TOTAL = 4096
 TABLE_ENTRIES = 16 << 20
 SYMBOLS = 63
 SEGMENT = 2048
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 UNDETERMINED = "und"
 
 

@@ -39,7 +39,7 @@ from lumencat.llm.common import pieces, stored, table
 MIN_UNIT_WORDS = 3
 CONTEXT_WORDS = 6
 MIN_RUN_WORDS = 10
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 BATCH_ROWS = 5000
 _END = re.compile(r"(?<=[.!?…])[ \t]+|(?<=[。！？])(?=[^\s。！？])|[ \t]*\n\s*")
 #: Letters of scripts that set no space between words.

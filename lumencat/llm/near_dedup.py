@@ -42,7 +42,7 @@ BLOCK_SHINGLES = 600_000
 BLOCK_DOCS = 1500
 #: So many pairs share one copy of the set that they have in common.
 FAN = 500
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _U = np.uint64
 
@@ -69,7 +69,7 @@ class _Words(dict):
     """Word to 64-bit hash; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -36,7 +36,7 @@ SENTENCE_PENALTY = 4
 INNER_PENALTY = 12
 WINDOW_COST = 20
 RUN_TOKENS = 4_000_000
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 12 << 20
 
 
 def best_cuts(position: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
