@@ -60,3 +60,14 @@ def collapsed(paths: DataFrame) -> DataFrame:
     above = p.where(F.size(parts) > 1).select(F.col("path").alias("own"), F.explode(ancestors).alias("path"))
     below = above.join(p, "path", "left_semi").select(F.col("own").alias("path")).distinct()
     return p.join(below, "path", "left_anti")
+
+
+def agent_filter(rows: DataFrame, text: str | None = None, untagged: bool | None = None, favorites: bool | None = None, formats: list[str] | None = None) -> DataFrame:
+    """Rows (path, tags, favorite, lang) by a part of the path, whether they have tags, whether they are favourites, and formats; None does not filter."""
+    if text is not None:
+        rows = rows.where(F.contains(F.lower("path"), F.lit(text.lower())))
+    if untagged is not None:
+        rows = rows.where((F.size("tags") == 0) == F.lit(untagged))
+    if favorites is not None:
+        rows = rows.where(F.col("favorite") == F.lit(favorites))
+    return rows if formats is None else rows.where(F.col("lang").isin(formats))

@@ -65,3 +65,9 @@ def evenly_spaced(df: DataFrame, key: str, most: int) -> DataFrame:
         before += n
     place = F.element_at(F.create_map(*start), F.col("_part")) + F.col("_row")
     return local.where(place % step == 0).drop("_part", "_id", "_row").withColumn("total", F.lit(total).cast("long"))
+
+
+def relink_counts(seen: DataFrame, recorded: str, now: str) -> DataFrame:
+    """(total, sampled, matched, changed, unreadable) of a sample with ``total``: the content is the recorded one, another, or null."""
+    r, n = F.col(recorded), F.col(now)
+    return seen.agg(F.max("total").alias("total"), F.count("*").alias("sampled"), F.count_if(n == r).alias("matched"), F.count_if(n != r).alias("changed"), F.count_if(n.isNull()).alias("unreadable"))

@@ -13,8 +13,10 @@ def tag_facet(rows: DataFrame, state: str, top: int = 50) -> DataFrame:
 
 
 def vocabulary(rows: DataFrame, tag: str, top: int = 1000) -> DataFrame:
-    """(tag, n): tags that differ in case only are one, spelt as the smallest of them."""
-    return rows.groupBy(F.lower(tag).alias("key")).agg(F.min(tag).alias("tag"), F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(top).select("tag", "n")
+    """(tag, n, truncated) of the most frequent tags: those that differ in case only are one, spelt as the smallest of them; truncated: there are more than ``top``."""
+    counts = rows.groupBy(F.lower(tag).alias("key")).agg(F.min(tag).alias("tag"), F.count("*").alias("n"))
+    more = rows.agg((F.countDistinct(F.lower(tag)) > top).alias("truncated"))
+    return counts.orderBy(F.desc("n"), "key").limit(top).select("tag", "n").join(F.broadcast(more))  # one row beside each
 
 
 def renamed(tags: Column, old: str, new: str) -> Column:

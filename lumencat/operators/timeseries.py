@@ -56,9 +56,14 @@ def coarser(level: DataFrame, keys: Sequence[str], by: int = 4) -> DataFrame:
     return level.groupBy(*keys, at).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sqrt(F.avg(F.col("rms") * F.col("rms"))).alias("rms"))
 
 
-def pyramid(frames: DataFrame, keys: Sequence[str], base: int = 256, levels: int = 6) -> DataFrame:
-    """(level, keys, bucket, low, high, rms): each level from the one below, as long as a signal has more than four buckets there."""
-    now = buckets(frames, keys, base)
+def pyramid(frames: DataFrame, keys: Sequence[str], base: int = 256, levels: int = 6, most: int = 65_536) -> DataFrame:
+    """(level, keys, bucket, low, high, rms): each level from the one below, as long as a signal has more than four buckets there.
+
+    A signal of over ``most`` buckets has its base doubled until it has no more.
+    """
+    n = frames.groupBy(*keys).agg((F.max("frame") + 1).alias("_n"))
+    doubled = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.ceil(F.col("_n") / base) / F.lit(float(most))))))
+    now = buckets(frames.join(n.select(*keys, (F.lit(base) * doubled).alias("_size")), list(keys)), keys, F.col("_size"))
     out = now.select(F.lit(0).alias("level"), *keys, "bucket", "low", "high", "rms")
     for k in range(1, levels):
         large = now.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 4").select(*keys)
@@ -67,6 +72,15 @@ def pyramid(frames: DataFrame, keys: Sequence[str], base: int = 256, levels: int
     return out
 
 
+def window(levels_: DataFrame, keys: Sequence[str], first: int, last: int, points: int, base: int = 256, levels: int = 6, show: int | None = None) -> DataFrame:
+    """(keys, level, point, low, high, rms): frames first to last of a pyramid, from the level that the points ask for, brought to ``show`` points."""
+    level = level_for(last - first, points, base, levels)
+    size = base * 4**level
+    part = levels_.where((F.col("level") == level) & (F.col("bucket") >= first // size) & (F.col("bucket") < -(-last // size)))
+    part = part.withColumn("bucket", F.col("bucket") - first // size).drop("level")
+    return resampled(part, keys, show or points).withColumn("level", F.lit(level))
+
+
 def level_for(span: int, points: int, base: int = 256, levels: int = 6) -> int:
     """The coarsest level whose buckets are no longer than a point of the window; points are kept within 32 and 4000."""
     wanted = span / min(max(points, 32), 4000)

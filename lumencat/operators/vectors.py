@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumencat.operators.storage import stored
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -20,24 +24,95 @@ def normalised(v: Column) -> Column:
     return F.when((n > 0) & ~F.isnan(n) & (n < float("inf")), F.transform(v, lambda x: x.cast("double") / n))
 
 
-def scored(queries: DataFrame, items: DataFrame, blocks: int = 16) -> DataFrame:
-    """Similarity of stated queries (query, q) to all items (item, embedding). The queries meet the items in ``blocks`` blocks by a join on the block's number."""
-    block = lambda: F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")
-    return items.withColumn("_block", block()).join(queries.select("*", every), "_block").withColumn("similarity", dot(F.col("q"), F.col("embedding"))).drop("_block", "q", "embedding")
+#: Vectors of a block on either side; a task multiplies two blocks.
+BLOCK = 4096
+
+
+def _blocks(queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides dealt out by hash to blocks of bounded size, each block of one side beside each of the other."""
+    n_items, n_queries = (max(1, -(-df.count() // BLOCK)) for df in (items, queries))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = items.withColumn("_i", own("item", n_items)).withColumn("_q", every(n_queries))
+    right = queries.withColumn("_q", own("query", n_queries)).withColumn("_i", every(n_items))
+    n = n_items * n_queries
+    return left.repartition(n, "_i", "_q"), right.repartition(n, "_i", "_q"), n
+
+
+def _products(queries: pa.Table, items: pa.Table) -> np.ndarray:
+    matrix = lambda c: np.stack([np.asarray(v, np.float64) for v in c.to_numpy(zero_copy_only=False)]) if len(c) else np.empty((0, 0))
+    return matrix(queries.column("q").combine_chunks()) @ matrix(items.column("embedding").combine_chunks()).T
+
+
+def ranking(queries: DataFrame, items: DataFrame, k: int, own: bool = True) -> DataFrame:
+    """(query, item, similarity, rank from 1): the k items most similar to each stated query (query, q), ties by item.
+
+    A task multiplies a block of queries by a block of items (item, embedding) and sends k rows a query.
+    """
 
+    def best(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if mine.num_rows and theirs.num_rows:
+            item, query, s = mine.column("item").to_numpy(), theirs.column("query").to_numpy(), _products(theirs, mine)
+            if not own:
+                s[query[:, None] == item[None, :]] = -np.inf
+            for row, name in zip(s, query, strict=True):
+                order = np.lexsort((item, -row))[:k]
+                order = order[row[order] > -np.inf]
+                out.append((np.full(len(order), name), item[order], row[order]))
+        column = lambda i, t: pa.array(np.concatenate([o[i] for o in out]) if out else [], t)
+        return pa.table({"query": column(0, pa.int64()), "item": column(1, pa.int64()), "similarity": column(2, pa.float64())})
 
-def ranking(queries: DataFrame, items: DataFrame, own: bool = True, k: int | None = None) -> DataFrame:
-    """With ``rank`` from 1: similarity down, ties by item. With k, rows are limited before they are shuffled."""
-    s = scored(queries, items)
-    if not own:
-        s = s.where("query <> item")
-    r = s.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "item")))
-    return r if k is None else r.where(F.col("rank") <= k)
+    left, right, _ = _blocks(queries.select(F.col("query").cast("long").alias("query"), "q"), items.select(F.col("item").cast("long").alias("item"), "embedding"))
+    found = left.groupBy("_i", "_q").cogroup(right.groupBy("_i", "_q")).applyInArrow(best, "query long, item long, similarity double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "item"))).where(F.col("rank") <= k)
 
 
 def top_k(queries: DataFrame, items: DataFrame, k: int, least: float) -> DataFrame:
-    return ranking(queries, items, k=k).where(F.col("similarity") >= least)
+    return ranking(queries, items, k).where(F.col("similarity") >= least)
+
+
+def label_retrieval(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """(query, size, found, first): of each query (query, q, ql) the items of its label, how many of them are among the k nearest, and the first one's rank.
+
+    The first one's rank is one more than the number of items before it, counted block by block: its similarity is a first
+    pass over the blocks, the count a second one.
+    """
+    own = items.select(F.col("item").cast("long").alias("item"), "embedding", "vl")
+    asked = queries.select(F.col("query").cast("long").alias("query"), "q", "ql")
+
+    def each(task):
+        def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+            rows: list[tuple] = []
+            if mine.num_rows and theirs.num_rows:
+                item, label, s = mine.column("item").to_numpy(), mine.column("vl").to_numpy(zero_copy_only=False), _products(theirs, mine)
+                for r in range(theirs.num_rows):
+                    rows += task(theirs.slice(r, 1), item, label, s[r])
+            return pa.table({"query": pa.array([x[0] for x in rows], pa.int64()), "n": pa.array([x[1] for x in rows], pa.int64()), "s": pa.array([x[2] for x in rows], pa.float64()), "item": pa.array([x[3] for x in rows], pa.int64())})
+
+        return run
+
+    def nearest(query: pa.Table, item: np.ndarray, label: np.ndarray, s: np.ndarray) -> list[tuple]:
+        name = query.column("query")[0].as_py()
+        same = np.flatnonzero((label == query.column("ql")[0].as_py()) & (item != name))
+        best = same[np.lexsort((item[same], -s[same]))[:1]]
+        return [(name, len(same), float(s[i]), int(item[i])) for i in best]
+
+    def before(query: pa.Table, item: np.ndarray, label: np.ndarray, s: np.ndarray) -> list[tuple]:
+        name, least, at = (query.column(c)[0].as_py() for c in ("query", "least", "at"))
+        ahead = (item != name) & ((s > least) | ((s == least) & (item < at)))
+        return [(name, int(ahead.sum()), 0.0, 0)]
+
+    kind = "query long, n long, s double, item long"
+    left, right, _ = _blocks(asked, own)
+    first = left.groupBy("_i", "_q").cogroup(right.groupBy("_i", "_q")).applyInArrow(each(nearest), kind)
+    least = first.groupBy("query").agg(F.sum("n").alias("size"), F.max(F.struct("s", (-F.col("item")).alias("i"))).alias("m")).select("query", "size", F.col("m.s").alias("least"), (-F.col("m.i")).alias("at"))
+    least = stored(least, "least")
+    left, right, _ = _blocks(asked.join(least, "query"), own)
+    ahead = left.groupBy("_i", "_q").cogroup(right.groupBy("_i", "_q")).applyInArrow(each(before), kind).groupBy("query").agg((F.sum("n") + 1).alias("first"))
+    near = ranking(asked, own, k, own=False).join(asked.select("query", "ql"), "query").join(own.select("item", "vl"), "item")
+    found = near.groupBy("query").agg(F.count_if(F.col("ql") == F.col("vl")).alias("found"))
+    return least.join(ahead, "query").join(found, "query").select("query", "size", "found", "first")
 
 
 def cutoff(near: DataFrame, keep: float) -> DataFrame:

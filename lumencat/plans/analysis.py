@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from lumencat.functions import text as T
 from lumencat.operators import evaluation as E
-from lumencat.operators import scalars, tags, timeseries, validation, vectors
+from lumencat.operators import numbering, scalars, tags, timeseries, validation, vectors
 from lumencat.plans.registry import Tables, query
 from lumencat.plans.relational import ASSETS, assets
 
 # -- aggregates ------------------------------------------------------------------------------------------------
 
 
-@query("AGG-07", "select min(word) as tag, count(*) as n from (select unnest(string_split(case when p_partkey % 2 = 0 then upper(p_name) else p_name end, ' ')) as word from part) t group by lower(word)")
+@query("AGG-07", "select tag, n, true as truncated from (select min(word) as tag, count(*) as n, lower(word) as key from (select unnest(string_split(case when p_partkey % 2 = 0 then upper(p_name) else p_name end, ' ')) as word from part) t group by lower(word) order by n desc, key limit 10) v")
 def tag_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most frequent tags, told to be not all."""
     name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
-    return tags.vocabulary(Tables(spark, d).part.select(F.explode(F.split(name, " ")).alias("tag")), "tag")
+    return tags.vocabulary(Tables(spark, d).part.select(F.explode(F.split(name, " ")).alias("tag")), "tag", 10)
 
 
 @query("AGG-08", "select o_custkey, count(*) filter (o_orderstatus = 'F') as failed, count(*) filter (o_orderstatus = 'P') as pending, count(*) filter (o_totalprice > 100000) as large from orders group by o_custkey")
@@ -135,12 +136,12 @@ _NEAR = """(select q.vec_id as query, v.vec_id as item, q.label as ql, v.label a
 
 @query("AGG-23", f"select count(*) as queries, round(avg(found / least(size, 5)), 6) as recall, round(avg(1.0 / first), 6) as mrr from (select query, count(*) filter (rank <= 5 and ql = vl) as found, count(*) filter (ql = vl) as size, min(case when ql = vl then rank end) as first from {_NEAR} n group by query) x")
 def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Recall and first hit of stated queries, from sums over blocks of items: no ranking of all items is ever laid out."""
     e = Tables(spark, d).embeddings
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
-    ranking = vectors.ranking(asked, e.select(F.col("vec_id").alias("item"), "embedding"), own=False)
-    relevant = asked.join(e, F.col("ql") == F.col("label")).where("query <> vec_id").select("query", F.col("vec_id").alias("item"))
-    s = E.retrieval_scores(ranking, relevant, asked.select("query", F.lit(True).alias("in_domain")))
-    return s.select("queries", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
+    items = e.select(F.col("vec_id").alias("item"), "embedding", F.col("label").alias("vl"))
+    s = vectors.label_retrieval(asked, items, 5)
+    return s.agg(F.count("*").alias("queries"), F.round(F.avg(F.col("found") / F.least("size", F.lit(5))), 6).alias("recall"), F.round(F.avg(1 / F.col("first")), 6).alias("mrr"))
 
 
 @query("AGG-24", "select n > 100 and toxic < 0.01 as passed, array_to_string(list_filter([case when not n > 100 then 'size' end, case when not toxic < 0.01 then 'toxic' end, case when not quality > 0.5 then 'quality' end], lambda f: f is not null), ',') as failures from (select count(*) as n, avg(toxic) as toxic, avg(quality) as quality from labels) l")
@@ -158,9 +159,12 @@ def scan_progress(spark: SparkSession, d: str) -> DataFrame:
     return line.agg(F.count("*").alias("scanned"), F.count_if(F.col("l_tax") == 0).alias("failed")).join(F.broadcast(errors))
 
 
-@query("AGG-26", "select max(n) as total, count(*) as sampled, count(*) filter (o_orderstatus = 'F') as matched from (select o_orderstatus, row_number() over (order by o_orderkey) - 1 as i, count(*) over () as n from orders) o where i % cast(ceil(n / 100) as bigint) = 0")
+@query("AGG-26", "select max(n) as total, count(*) as sampled, count(*) filter (o_orderstatus = 'F') as matched, count(*) filter (o_orderstatus = 'O') as changed, count(*) filter (o_orderstatus = 'P') as unreadable from (select o_orderstatus, row_number() over (order by o_orderkey) - 1 as i, count(*) over () as n from orders) o where i % cast(ceil(n / 100) as bigint) = 0")
 def even_sample(spark: SparkSession, d: str) -> DataFrame:
-    return scalars.evenly_spaced(Tables(spark, d).orders, "o_orderkey", 100).agg(F.max("total").alias("total"), F.count("*").alias("sampled"), F.count_if(F.col("o_orderstatus") == "F").alias("matched"))
+    """Evenly spaced files of a source looked at again: the same content, another, or none that can be read."""
+    state = F.when(F.col("o_orderstatus") == "F", F.lit("same")).when(F.col("o_orderstatus") == "O", F.lit("other"))
+    seen = scalars.evenly_spaced(Tables(spark, d).orders.withColumn("digest", F.lit("same")).withColumn("now", state), "o_orderkey", 100)
+    return scalars.relink_counts(seen, "digest", "now")
 
 
 # -- time series -----------------------------------------------------------------------------------------------
@@ -172,20 +176,33 @@ def overview(spark: SparkSession, d: str) -> DataFrame:
     return timeseries.overview(frames(Tables(spark, d)), ["user_id"], 32)
 
 
-_P0 = f"(select user_id, frame // 8 as bucket, min(value) as low, max(value) as high, sqrt(avg(value * value)) as rms from {_FRAMES} f group by 1, 2)"
-_P1 = f"(select user_id, bucket // 4 as bucket, min(low) as low, max(high) as high, sqrt(avg(rms * rms)) as rms from {_P0} p group by 1, 2)"
+_CHANNELS = "(select user_id, channel, value, row_number() over (partition by user_id, channel order by ts, event_id) - 1 as frame from (select *, event_id % 2 as channel from events) e)"
+#: A base of 4 frames, doubled for signals that would have over 8 buckets.
+_BASE = f"(select *, cast(4 * pow(2, greatest(0, ceil(log2(ceil(n / 4.0) / 8.0)))) as bigint) as base from (select *, count(*) over (partition by user_id, channel) as n from {_CHANNELS} c) b)"
+_P0 = f"(select user_id, channel, frame // base as bucket, min(value) as low, max(value) as high, sqrt(avg(value * value)) as rms from {_BASE} f group by 1, 2, 3)"
+_P1 = f"(select user_id, channel, bucket // 4 as bucket, min(low) as low, max(high) as high, sqrt(avg(rms * rms)) as rms from {_P0} p group by 1, 2, 3)"
 
 
-@query("TS-02", f"select 0 as level, user_id, bucket, low, high, round(rms, 6) as rms from {_P0} p union all select 1, user_id, bucket, low, high, round(rms, 6) from {_P1} p where user_id in (select user_id from {_P0} x group by 1 having count(*) > 4) union all select 2, user_id, bucket // 4, min(low), max(high), round(sqrt(avg(rms * rms)), 6) from {_P1} q where user_id in (select user_id from {_P1} x group by 1 having count(*) > 4) group by 2, 3")
+def channels(t: Tables) -> DataFrame:
+    """Each user's events as two channels of frames."""
+    e = t.events.withColumn("channel", F.col("event_id") % 2)
+    return numbering.numbered(e, ["user_id", "channel"], ["ts", "event_id"], "frame", 0).select("user_id", "channel", "frame", "value")
+
+
+@query("TS-02", f"select 0 as level, user_id, channel, bucket, low, high, round(rms, 6) as rms from {_P0} p union all select 1, user_id, channel, bucket, low, high, round(rms, 6) from {_P1} p where (user_id, channel) in (select (user_id, channel) from {_P0} x group by user_id, channel having count(*) > 4) union all select 2, user_id, channel, bucket // 4, min(low), max(high), round(sqrt(avg(rms * rms)), 6) from {_P1} q where (user_id, channel) in (select (user_id, channel) from {_P1} x group by user_id, channel having count(*) > 4) group by 2, 3, 4")
 def pyramid(spark: SparkSession, d: str) -> DataFrame:
-    return timeseries.pyramid(frames(Tables(spark, d)), ["user_id"], 8, levels=3).withColumn("rms", F.round("rms", 6))
+    """Levels of each channel; the base grows until a signal has at most 8 buckets (65,536 in the operator's default)."""
+    return timeseries.pyramid(channels(Tables(spark, d)), ["user_id", "channel"], 4, levels=3, most=8).withColumn("rms", F.round("rms", 6))
+
+
+_B0 = f"(select user_id, frame // 8 as bucket, min(value) as low, max(value) as high, sqrt(avg(value * value)) as rms from {_FRAMES} f group by 1, 2)"
+_B1 = f"(select user_id, bucket // 4 as bucket, min(low) as low, max(high) as high, sqrt(avg(rms * rms)) as rms from {_B0} p where user_id in (select user_id from {_B0} x group by 1 having count(*) > 4) group by 1, 2)"
 
 
-@query("TS-03", f"select user_id, i as point, min(low) as low, max(high) as high from (select user_id, bucket, low, high, n, unnest(range(0, 8)) as i from (select *, count(*) over (partition by user_id) as n from (select * from {_P0} p where bucket >= 1 and bucket < 13) w) g where n > 8) x where bucket - 1 >= floor(i * n / 8.0) and bucket - 1 < ceil((i + 1) * n / 8.0) group by 1, 2")
+@query("TS-03", f"select user_id, 1 as level, i as point, min(low) as low, max(high) as high from (select user_id, bucket, low, high, n, unnest(range(0, 2)) as i from (select *, count(*) over (partition by user_id) as n from (select * from {_B1} p where bucket >= 0 and bucket < 32) w) g where n > 2) x where bucket >= floor(i * n / 2.0) and bucket < ceil((i + 1) * n / 2.0) group by 1, 3")
 def window(spark: SparkSession, d: str) -> DataFrame:
-    """Buckets 1 to 12 of each user's base level, brought to 8 points that overlap at their edges."""
-    base = timeseries.buckets(frames(Tables(spark, d)), ["user_id"], 8).where("bucket >= 1 and bucket < 13").withColumn("bucket", F.col("bucket") - 1)
-    return timeseries.resampled(base, ["user_id"], 8).select("user_id", "point", "low", "high")
+    """Frames 0 to 1,023 at 32 points: the level whose buckets are as long as a point, brought to 2 points that overlap at their edges."""
+    return timeseries.window(timeseries.pyramid(frames(Tables(spark, d)), ["user_id"], 8, levels=3), ["user_id"], 0, 1024, points=32, base=8, levels=3, show=2).select("user_id", "level", "point", "low", "high")
 
 
 @query("TS-04", "select event_id, user_id * 100 / 48000.0 as start_s, (user_id * 100 + 480) / 48000.0 as end_s, value > 0 and value * 100 < 48000 as valid from events")
@@ -214,7 +231,7 @@ def cosine_top_k(spark: SparkSession, d: str) -> DataFrame:
 def tuned_cutoff(spark: SparkSession, d: str) -> DataFrame:
     e = Tables(spark, d).embeddings
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
-    near = vectors.ranking(asked, e.select(F.col("vec_id").alias("item"), "embedding", "label"), own=False, k=5)
+    near = vectors.ranking(asked, e.select(F.col("vec_id").alias("item"), "embedding"), 5, own=False).join(asked.select("query", "ql"), "query").join(e.select(F.col("vec_id").alias("item"), "label"), "item")
     return vectors.cutoff(near.withColumn("hit", F.col("ql") == F.col("label")), 0.95)
 
 

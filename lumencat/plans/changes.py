@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumencat.operators import dedup, merge, moves, tags, timeseries
+from lumencat.operators import dedup, jobs, merge, moves, numbering, tags, timeseries
 from lumencat.operators.storage import scratch
 from lumencat.plans.registry import Tables, query
 from lumencat.plans.relational import ASSETS, assets
@@ -428,8 +428,8 @@ def render_clips(spark: SparkSession, d: str) -> DataFrame:
 @query("SNK-20", "select user_id, event_id from (select user_id, event_id, sum(value) over (partition by user_id order by ts desc, event_id desc rows unbounded preceding) as held from events) e where held <= 500")
 def cache_quota(spark: SparkSession, d: str) -> DataFrame:
     """What a quota of 500 for each user keeps, newest first."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
-    return Tables(spark, d).events.withColumn("held", F.sum("value").over(w)).where("held <= 500").select("user_id", "event_id")
+    held = numbering.running_sum(Tables(spark, d).events.select("user_id", "ts", "event_id", "value"), ["user_id"], [F.desc("ts"), F.desc("event_id")], "value", "held")
+    return held.where("held <= 500").select("user_id", "event_id")
 
 
 @query("SNK-21", "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) e where n <= 5")
@@ -483,31 +483,38 @@ def events(t: Tables) -> DataFrame:
     return t.events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("STR-01", "select user_id, event_id from (select user_id, event_id, lead(epoch(ts)) over (partition by user_id order by ts, event_id) - epoch(ts) as gap from events) e where gap is null or gap > 43200")
+_QUIET, _STABLE = 43_200, 3_600
+_SETTLED = f"(select * from (select *, lead(epoch(ts)) over (partition by user_id order by ts, event_id) - epoch(ts) as gap from events) e where gap is null or gap > {_QUIET + _STABLE})"
+
+
+@query("STR-01", f"select user_id, event_id, epoch(ts) + {_QUIET + _STABLE} as settled_at from {_SETTLED} s")
 def settle_batch(spark: SparkSession, d: str) -> DataFrame:
-    return settle.settled(events(Tables(spark, d)), "user_id", "ts", "event_id", 43_200).select("user_id", "event_id")
+    return settle.settled(events(Tables(spark, d)), "user_id", "ts", "event_id", _QUIET, _STABLE).select("user_id", "event_id", "settled_at")
 
 
 @query("STR-01-stream")
 def settle_streaming(spark: SparkSession, d: str) -> DataFrame:
-    """The same by a stateful stream over the events table, run until its input is used up."""
+    """The same by a stateful stream over the events table, run until its input is used up; users whose last looks lie past the input's end stay open."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*events*.parquet").parquet(d if not d.endswith(".parquet") else d)
     out, state = scratch(spark, "settled"), scratch(spark, "state")
-    s = settle.settle_stream(source.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 43_200, "1 hour")
+    s = settle.settle_stream(source.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", _QUIET, "1 hour", _STABLE)
     run = s.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema("key string, settled_at double, events int, value double").parquet(out)
 
 
-@query("STR-02", "select cast(time_bucket(interval '1 day', ts) as timestamp) as start, count(*) as events, count(*) > 340 as refresh from events group by 1")
+@query("STR-02", "select cast(time_bucket(interval '1 day', ts) as timestamp) as start, count(distinct user_id) as pending, count(distinct user_id) > 130 or bool_or(event_id % 997 = 0) as refresh from events group by 1")
 def overflow(spark: SparkSession, d: str) -> DataFrame:
-    return settle.overflowed(events(Tables(spark, d)), "user_id", "ts", "1 day", 340)
+    """Days on which more users than 130 were pending, or an event was lost: one refresh each."""
+    return settle.overflowed(events(Tables(spark, d)), "user_id", "ts", "1 day", 130, lost=F.col("event_id") % 997 == 0)
 
 
-@query("STR-03", "select event_type, count(*) as n from (select user_id, event_id, event_type, lead(epoch(ts)) over (partition by user_id order by ts, event_id) - epoch(ts) as gap from events) e where gap is null or gap > 43200 group by event_type")
+@query("STR-03", f"select case when event_type = 'error' then 'removed' when user_id % 10 = 0 then 'folder' else 'file' end as kind, event_id % 6 = 0 as requeued, count(*) as n from {_SETTLED} s group by 1, 2")
 def classified(spark: SparkSession, d: str) -> DataFrame:
-    return settle.batches(settle.settled(events(Tables(spark, d)), "user_id", "ts", "event_id", 43_200), "event_type")
+    """Settled changes by kind; those that met a conflict are requeued."""
+    done = settle.settled(events(Tables(spark, d)), "user_id", "ts", "event_id", _QUIET, _STABLE)
+    return settle.classified(done, F.col("event_type") == "error", F.col("user_id") % 10 == 0, F.col("event_id") % 6 == 0).groupBy("kind", "requeued").agg(F.count("*").alias("n"))
 
 
 @query("STR-04", "select page_id from pages where not regexp_matches(url, '(^|/)([.][^/]*|~[^/]*|[^/]*[.](tmp|part|crdownload))$')")
@@ -515,23 +522,45 @@ def admission(spark: SparkSession, d: str) -> DataFrame:
     return settle.admitted(Tables(spark, d).pages, "url").select("page_id")
 
 
-@query("STR-05", "select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as n from orders o where o_orderstatus = 'O' and not exists (select 1 from orders r where r.o_custkey = o.o_custkey and r.o_orderstatus = 'P')) q where n = 1")
-def claim_jobs(spark: SparkSession, d: str) -> DataFrame:
-    """The oldest queued job of each source on which none runs."""
-    o = Tables(spark, d).orders
-    queued = o.where("o_orderstatus = 'O'").join(o.where("o_orderstatus = 'P'").select("o_custkey"), "o_custkey", "left_anti")
-    return merge.retained(queued, [F.asc("o_orderdate"), F.asc("o_orderkey")], 1, ["o_custkey"]).select("o_custkey", "o_orderkey")
-
+_NOW, _LEASE = 1_000_000, 600
+_JOBS = f"(select o_orderkey as id, o_custkey as source, case o_orderstatus when 'O' then 'queued' when 'P' then 'running' else 'done' end as state, o_orderkey as since, case when o_orderstatus = 'P' then {_NOW} - 300 + o_orderkey % 500 end as lease_until, 1 + o_orderkey % 3 as attempts, o_orderkey % 2 as selection from orders)"
+_RENEWED = f"(select * replace (case when state = 'running' and id % 4 = 0 and lease_until > {_NOW} then {_NOW + _LEASE} else lease_until end as lease_until) from {_JOBS} j)"
+_RECOVERED = f"(select * replace (case when state = 'running' and lease_until <= {_NOW} then case when attempts >= 3 then 'failed' else 'queued' end else state end as state, case when state = 'running' and lease_until <= {_NOW} then null else lease_until end as lease_until) from {_RENEWED} r)"
+_ENQUEUED = f"(select * from {_RECOVERED} r union all select id, source, 'queued', since, null, 0, selection from (select -min(o_orderkey) as id, o_custkey as source, {_NOW} as since, o_orderkey % 2 as selection from orders where o_orderkey % 5 = 0 group by o_custkey, o_orderkey % 2) n where not exists (select 1 from {_RECOVERED} a where a.source = n.source and a.selection = n.selection and a.state in ('queued', 'running')))"
 
-@query("STR-06", "select user_id, event_type, max(cast(epoch(ts) as bigint) // 86400) as epoch from events group by 1, 2")
-def discovery_epochs(spark: SparkSession, d: str) -> DataFrame:
-    return events(Tables(spark, d)).groupBy("user_id", "event_type").agg(F.max(F.call_function("div", F.unix_timestamp("ts"), F.lit(86_400).cast("long"))).alias("epoch"))
 
-
-@query("STR-07", "select event_id from (select event_id, sum(value) over (partition by user_id order by event_id rows unbounded preceding) as spent from events) e where spent <= 300")
-def within_budget(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return Tables(spark, d).events.withColumn("spent", F.sum("value").over(w)).where("spent <= 300").select("event_id")
+@query("STR-05", f"with q as (select *, row_number() over (partition by source order by since, id) as n from {_ENQUEUED} e where state = 'queued' and not exists (select 1 from {_ENQUEUED} b where b.source = e.source and b.state = 'running')) select e.id, case when q.n = 1 then 'running' else e.state end as state, case when q.n = 1 then {_NOW + _LEASE} else e.lease_until end as lease_until, e.attempts + case when q.n = 1 then 1 else 0 end as attempts from {_ENQUEUED} e left join q on q.id = e.id and q.n = 1")
+def leased_queue(spark: SparkSession, d: str) -> DataFrame:
+    """One step of the queue: leases renewed, ended ones recovered, requests added unless an active job is the same, the oldest of each idle source claimed."""
+    o = Tables(spark, d).orders
+    now, lease = F.lit(_NOW).cast("long"), F.lit(_LEASE)
+    state = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").otherwise("done")
+    table = o.select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("source"), state.alias("state"), F.col("o_orderkey").alias("at"),
+        F.when(F.col("o_orderstatus") == "P", now - 300 + F.col("o_orderkey") % 500).alias("lease_until"), (1 + F.col("o_orderkey") % 3).alias("attempts"), (F.col("o_orderkey") % 2).alias("selection"),
+    )
+    owners = table.where("id % 4 = 0").select("id", "attempts").unionByName(table.where("id % 7 = 0 and id % 4 <> 0").select("id", (F.col("attempts") - 1).alias("attempts")))
+    asked = o.where("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 2).alias("selection")).agg((-F.min("o_orderkey")).alias("id")).withColumn("at", now)
+    step = jobs.recovered(jobs.renewed(table, owners, now, lease), now, 3)
+    return jobs.claimed(jobs.enqueued(step, asked, ["selection"]), now, lease).select("id", "state", "lease_until", "attempts")
+
+
+@query("STR-06", "select page_id, case when page_id % 5 = 4 then case when page_id % 3 = 0 then 8 when page_id % 3 = 1 then 7 end else 8 end as epoch, case when page_id % 3 = 0 then 'done' when page_id % 5 = 4 then 'missing' when page_id % 3 = 1 then 'again' else 'new' end as state from pages where page_id % 5 <> 4 or page_id % 3 <> 2")
+def resumable_discovery(spark: SparkSession, d: str) -> DataFrame:
+    """Epoch 8 resumed after a third of it was done, and run once more: the second run changes nothing but what is done."""
+    p = Tables(spark, d).pages.select("page_id")
+    entries = p.where("page_id % 3 <> 2").select("page_id", F.when(F.col("page_id") % 3 == 0, 8).otherwise(7).alias("epoch"))
+    return jobs.resumed(entries, p.where("page_id % 5 <> 4"), "page_id", 8, complete=True)
+
+
+@query("STR-07", "with i as (select event_id, user_id, event_type || '/' || (event_id % 40) as content, value, event_id % 3 as revision from events), r as (select *, content like 'error/%' and event_id % 40 < 20 as known from i), s as (select *, sum(value) over (partition by user_id order by event_id rows unbounded preceding) as spent from r where not known) select event_id as id, 'reused' as state from r where known union all select event_id, case when spent > 300 then 'deferred' when event_id % 2 = 0 then 'reserved' when event_id % 4 <> revision then 'late' when event_id % 5 = 0 then 'unknown' else 'settled' end from s")
+def enrichment(spark: SparkSession, d: str) -> DataFrame:
+    """A round of enrichment: known contents reused, a budget of 300 a user reserved in order, answers settled, unknown or late."""
+    e = Tables(spark, d).events
+    items = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("source"), F.concat_ws("/", "event_type", (F.col("event_id") % 40).cast("string")).alias("content"), F.col("value").alias("cost"), (F.col("event_id") % 3).alias("revision"))
+    results = items.where((F.substring_index("content", "/", 1) == "error") & (F.substring_index("content", "/", -1).cast("int") < 20)).select("content")
+    answers = items.where("id % 2 = 1").select("id", (F.col("id") % 4).alias("expected_revision"), (F.col("id") % 5 != 0).alias("ok"))
+    return jobs.enriched(items, results, answers, 300)
 
 
 @query("STR-08", "select e.event_id from events e join customer c on c.c_custkey = e.user_id and c.c_nationkey = e.event_id % 25")

@@ -6,11 +6,14 @@ reviews, orders and customers the ledger. Sides that grow with the data are join
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumencat.functions.text import ascii_lower
 from lumencat.operators import moves, paging
+from lumencat.operators.search import structured_order
 from lumencat.plans.registry import Tables, query
 
 
@@ -80,9 +83,12 @@ def scope_first(spark: SparkSession, d: str) -> DataFrame:
     return paging.in_scope(Tables(spark, d).documents, "source", requested=["src1", "src2", "src5"], allowed=["src2", "src1"]).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("FLT-13", f"select id, path from {ASSETS} a where contains(lower(path), 'doc-1') and toxic is null and lang in ('en', 'fr')")
+@query("FLT-13", f"select id, path from {ASSETS} a where contains(lower(path), 'doc-1') and toxic is null and lang in ('en', 'fr') and id % 5 <> 0 union all select id, path from {ASSETS} a where toxic is not null and id % 5 = 0 and lang in ('en', 'fr')")
 def agent_filter(spark: SparkSession, d: str) -> DataFrame:
-    return assets(Tables(spark, d)).where(F.contains(F.lower("path"), F.lit("doc-1")) & F.col("toxic").isNull() & F.col("lang").isin("en", "fr")).select("id", "path")
+    """Two requests: untagged ones by a part of the path, and favourites among the tagged."""
+    a = assets(Tables(spark, d)).withColumn("tags", F.when(F.col("toxic").isNotNull(), F.array(F.lit("seen"))).otherwise(F.array().cast("array<string>"))).withColumn("favorite", F.col("id") % 5 == 0)
+    untagged = paging.agent_filter(a, text="doc-1", untagged=True, favorites=False, formats=["en", "fr"])
+    return untagged.unionByName(paging.agent_filter(a, untagged=False, favorites=True, formats=["en", "fr"])).select("id", "path")
 
 
 @query("FLT-15", "select page_id, not (contains(url, '..') or contains(url, chr(92)) or regexp_matches(regexp_replace(url, '^https?:', ''), ':')) as valid from pages")
@@ -244,10 +250,11 @@ def four_part_key(spark: SparkSession, d: str) -> DataFrame:
     return t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).join(t.part, on).select("o_orderkey", "l_linenumber", "p_partkey")
 
 
-@query("JN-18", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("JN-18", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null and o_orderstatus = 'P' and o_totalprice > 150000)")
 def unseen(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    large = t.orders.where("o_orderstatus = 'P' and o_totalprice > 150000")
+    return t.customer.join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 _CHAIN = """with recursive up(id, spot, depth) as (
@@ -292,9 +299,19 @@ def score_then_title(spark: SparkSession, d: str) -> DataFrame:
     return Tables(spark, d).customer.orderBy(F.desc("c_acctbal"), F.octet_length("c_name"), F.lower("c_name"), "c_custkey").limit(25).select("c_custkey", "c_name")
 
 
-@query("SRT-02", f"select id, quality from {ASSETS} a order by quality is null, quality desc, path, id limit 50")
+_TIES = "lower(path), path, id"
+_ORDERS = {
+    "relevance": f"coalesce(toxic, 9) nulls last, {_TIES}", "name_asc": _TIES, "name_desc": "lower(path) desc, path desc, id", "rating_desc": f"quality desc nulls last, {_TIES}",
+    "added_desc": f"id desc, {_TIES}", "added_asc": f"id, {_TIES}", "pixels_desc": f"n_chars * 100 desc nulls last, {_TIES}",
+}
+
+
+@query("SRT-02", " union all ".join(f"(select '{k}' as sort, id, quality from {ASSETS} a order by {o} limit 15)" for k, o in _ORDERS.items()))
 def nulls_last(spark: SparkSession, d: str) -> DataFrame:
-    return assets(Tables(spark, d)).orderBy(F.desc_nulls_last("quality"), "path", "id").limit(50).select("id", "quality")
+    """The first 15 of each of the seven sorts: unknown values last in all of them, ties by folded path, path and id."""
+    a = assets(Tables(spark, d)).withColumns({"tier": F.coalesce("toxic", F.lit(9)), "rating": F.col("quality"), "added_at": F.col("id"), "width": F.col("n_chars"), "height": F.lit(100)})
+    pages = [a.orderBy(*structured_order(k)).limit(15).select(F.lit(k).alias("sort"), "id", "quality") for k in _ORDERS]
+    return reduce(DataFrame.unionByName, pages)
 
 
 @query("SRT-03", f"select id, path from ({_PAGE}) p where ord < 30")
@@ -325,12 +342,15 @@ def late_materialisation(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(keys, "doc_id").select("doc_id", "text")
 
 
-@query("SRT-08", f"select digest, id, cast(row_number() over (partition by digest order by coalesce(toxic, 0), path, id) as integer) as place from {ASSETS} a qualify count(*) over (partition by digest) > 1 and place <= 64")
+@query("SRT-08", f"select digest, id, cast(row_number() over (partition by digest order by coalesce(toxic, 0), path, id) as integer) as place, count(*) over (partition by digest) as n, count(*) over (partition by digest) > 64 as truncated from {ASSETS} a qualify n > 1 and place <= 64")
 def stack_members(spark: SparkSession, d: str) -> DataFrame:
+    """Stacks of copies, largest first: the first 64 members in order, with the stack's size and whether members are left out."""
     a = assets(Tables(spark, d))
-    stacks = a.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     w = Window.partitionBy("digest").orderBy(F.coalesce("toxic", F.lit(0)), "path", "id")
-    return a.join(stacks, "digest").withColumn("place", F.row_number().over(w)).where("place <= 64").select("digest", "id", "place")
+    stacks = a.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    # rows are limited before they meet: a stack of any size sends 64 a task
+    first = a.withColumn("place", F.row_number().over(w)).where("place <= 64")
+    return first.join(stacks, "digest").select("digest", "id", "place", "n", (F.col("n") > 64).alias("truncated")).orderBy(F.desc("n"), "digest", "place")
 
 
 @query("SRT-09", "select o_orderkey, o_orderpriority from orders order by case when o_orderstatus = 'F' then 0 when o_orderstatus = 'P' then 1 else 2 end, o_orderdate, o_orderkey limit 1")

@@ -1,18 +1,23 @@
 """Change events of paths: admission, settling after quiet, overflow, and batches by kind.
 
-``settled`` is the batch form over events that are all there; ``settle_stream`` keeps, for each path, its last event and
-emits it once the watermark shows that nothing followed for the quiet time and the same stat was seen twice.
+A path that was quiet for the quiet time is looked at, and again the stable time later; if its stat is the same at both
+looks it is settled, and an event in between starts anew. ``settled`` is the batch form over events that are all there.
+``settle_stream`` keeps a path's last event and looks by the watermark; a path whose looks the watermark never reaches, for
+the input ends before, stays open in the state and is not in the output: a marker event past all looks closes them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lumencat.operators.numbering import with_next
+
 QUIET_SECONDS = 0.75
 STABLE_SECONDS = 1.0
 MOST_PENDING = 4096
@@ -28,15 +33,22 @@ def settled(events: DataFrame, key: str, at: str, order: str, quiet: float, stab
 
     After the quiet time a path is looked at, and again ``stable`` seconds later; an event in between starts anew.
     """
-    following = F.lead(at).over(Window.partitionBy(key).orderBy(at, order))
-    gap = following.cast("double") - F.col(at).cast("double")
-    return events.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") > quiet + stable)).drop("_gap").withColumn("settled_at", (F.col(at).cast("double") + quiet + stable))
+    gap = F.col("_next").cast("double") - F.col(at).cast("double")
+    n = with_next(events, [key], [at, order], at, "_next")
+    return n.where(F.col("_next").isNull() | (gap > quiet + stable)).drop("_next").withColumn("settled_at", (F.col(at).cast("double") + quiet + stable))
 
 
-def overflowed(events: DataFrame, key: str, at: str, window: str, most: int = MOST_PENDING) -> DataFrame:
-    """(window, pending, refresh): windows in which more keys were pending than are kept ask for one full refresh."""
+def overflowed(events: DataFrame, key: str, at: str, window: str, most: int = MOST_PENDING, lost: Column | None = None) -> DataFrame:
+    """(start, pending, refresh): windows in which more keys were pending than are kept, or events were lost, ask for one full refresh."""
     w = F.window(at, window).alias("w")
-    return events.groupBy(w).agg(F.approx_count_distinct(key).alias("about"), F.count("*").alias("events")).select(F.col("w.start").alias("start"), "events", (F.col("events") > most).alias("refresh"))
+    any_lost = F.bool_or(lost if lost is not None else F.lit(False))
+    counted = events.groupBy(w).agg(F.countDistinct(key).alias("pending"), any_lost.alias("lost"))
+    return counted.select(F.col("w.start").alias("start"), "pending", ((F.col("pending") > most) | F.col("lost")).alias("refresh"))
+
+
+def classified(settled_events: DataFrame, removed: Column, folder: Column, conflict: Column) -> DataFrame:
+    """Settled changes with ``kind`` (removed, folder or file) and ``requeued``: a change that met a conflict waits for another look."""
+    return settled_events.withColumns({"kind": F.when(removed, "removed").when(folder, "folder").otherwise("file"), "requeued": conflict})
 
 
 def batches(settled_events: DataFrame, kind: str) -> DataFrame:
@@ -44,31 +56,38 @@ def batches(settled_events: DataFrame, kind: str) -> DataFrame:
     return settled_events.groupBy(kind).agg(F.count("*").alias("n"))
 
 
-_STATE = "first double, last double, value double, count int"
+_STATE = "first double, last double, value double, count int, seen double"
+
 
+def settle_stream(events: DataFrame, key: str, at: str, quiet: float, delay: str, stable: float = 0.0) -> DataFrame:
+    """(key, settled_at, events, value) of a stream (key, at, value): emitted when two looks, ``stable`` seconds apart, saw the same value."""
 
-def settle_stream(events: DataFrame, key: str, at: str, quiet: float, delay: str) -> DataFrame:
-    """(key, settled_at, events, value) of a stream (key, at, value): emitted when a key has been quiet in event time."""
+    def look_at(state: GroupState, when: float) -> None:
+        state.setTimeoutTimestamp(max(int(when * 1000), state.getCurrentWatermarkMs() + 1))
 
     def step(path: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            _, last, value, count = state.get
+            first, last, value, count, seen = state.get
+            if seen is None or math.isnan(seen) or seen != value:  # the first look, or another stat at the second one
+                state.update((first, last, value, count, value))
+                look_at(state, last + quiet + stable)
+                return
             state.remove()
-            yield pd.DataFrame({"key": [str(path[0])], "settled_at": [last + quiet], "events": [count], "value": [value]})
+            yield pd.DataFrame({"key": [str(path[0])], "settled_at": [last + quiet + stable], "events": [count], "value": [value]})
             return
-        first, last, value, count = state.get if state.exists else (None, None, None, 0)
+        first, last, value, count, _ = state.get if state.exists else (None, None, None, 0, None)
         done = []
         rows = pd.concat(list(parts)).sort_values("at")
         for t, v in zip(rows["at"], rows["value"], strict=True):
-            if last is not None and t - last > quiet:
-                done.append((last + quiet, count, value))
+            if last is not None and t - last > quiet + stable:
+                done.append((last + quiet + stable, count, value))
                 first, count = None, 0
             if last is None or t >= last:
                 last, value = t, v
             first = t if first is None else min(first, t)
             count += 1
-        state.update((first, last, value, count))
-        state.setTimeoutTimestamp(max(int((last + quiet) * 1000), state.getCurrentWatermarkMs() + 1))
+        state.update((first, last, value, count, float("nan")))
+        look_at(state, last + quiet)
         if done:
             yield pd.DataFrame({"key": [str(path[0])] * len(done), "settled_at": [d[0] for d in done], "events": [d[1] for d in done], "value": [d[2] for d in done]})
 
