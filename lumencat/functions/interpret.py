@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from lumencat.functions.text import CANONICAL, STOP_WORDS, plain_words
 
 NEGATIONS = ("without", "not", "no", "excluding")
+# Fixed value: how durations are said.
 _DURATION = re.compile(r"\b(under|below|less than|over|above|longer than)\s+(\d+(?:\.\d+)?)\s*(seconds?|secs?|s|minutes?|mins?)\b")
 _INNER_APOSTROPHE = re.compile(r"(?<=\w)['’](?=\w)")
 
@@ -97,6 +98,7 @@ def interpret(q: TextQuery) -> Interpretation:
 TERM, PHRASE, PREFIX = "term", "phrase", "prefix"
 FIELDS = ("tags", "caption", "name", "notes", "path")
 DEFAULT_FIELDS = ("tags", "caption", "name", "notes")
+# Limits of a query.
 MAX_CLAUSES, MAX_LIST, MAX_TAGS, MAX_DIMENSION = 32, 32, 32, 65_535
 
 

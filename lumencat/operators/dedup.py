@@ -16,6 +16,8 @@ def decide(groups: DataFrame, actions: DataFrame) -> DataFrame:
 
     An action applies if its expected revision is the group's (0 for none): prefer, clear, dismiss, restore, separate or rejoin.
     """
+    if "separated" not in groups.columns:  # none yet
+        groups = groups.withColumn("separated", F.lit(False))
     j = groups.join(actions, "digest", "full_outer")
     now = F.coalesce("revision", F.lit(0))
     applies = F.col("action").isNotNull() & (F.col("expected") == now)

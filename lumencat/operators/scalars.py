@@ -29,6 +29,7 @@ def fit_inside(width: Column, height: Column, box_height: int, most: int) -> Col
     return F.least(F.lit(most).cast("long"), F.greatest(F.lit(1).cast("long"), _div(2 * box_height * width + height, 2 * height)))
 
 
+# The class words and bounds of the profiles below.
 def _silent(peak: Column, rms: Column) -> Column:
     return (peak < 0.0001) | (rms < 0.0001)
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumencat.functions import queries as Q
 from lumencat.functions import text as T
-from lumencat.functions.interpret import CAPABILITIES, StructuredQuery, TextQuery, interpret, parse_clauses
+from lumencat.functions.interpret import CAPABILITIES, StructuredQuery, TextQuery
 from lumencat.operators import postings, storage
 from lumencat.operators import search as S
 from lumencat.plans.registry import Tables, query
@@ -106,23 +107,26 @@ def search_result(spark: SparkSession, d: str) -> DataFrame:
     return S.text_facets(found).unionByName(found.agg(F.count("*").alias("n")).select(F.lit("total").alias("dim"), F.lit(None).cast("string").alias("value"), "n"))
 
 
-@query("TXT-01", "select * from (values ('term', 'whoosh'), ('term', 'door'), ('phrase', 'old gate'), ('excluded', 'rain'), ('excluded', 'loud'), ('max', '3.0'), ('min', '0.5')) t(kind, value)")
-def interpretation(spark: SparkSession, d: str) -> DataFrame:
-    i = interpret(TextQuery(text="find me a short swoosh of doors \"old gate\" without rain -powerful longer than 0.5 secs"))
-    rows = [*(("term", t) for t in i.terms), *(("phrase", t) for t in i.phrases), *(("excluded", t) for t in i.excluded), ("max", str(i.max_duration)), ("min", str(i.min_duration))]
-    return spark.createDataFrame(rows, "kind string, value string")
+_TERMS = "list_sort(list_distinct(list_transform(list_filter(string_split(p_name, ' '), lambda t: not list_contains(['the','a','an','of'], t)), lambda t: case when t = 'gentle' then 'quiet' when t = 'sharp' then 'bright' else t end)))"
 
 
-_UNITS = "'(under|below|less than|over|above|longer than) +([0-9]+) *(seconds?|minutes?)'"
+@query("TXT-01", f"select p_partkey, case when p_size % 5 <> 0 then array_to_string({_TERMS}, ',') end as terms, case when p_size % 5 <> 0 then 'old gate' end as phrases, case when p_size % 5 <> 0 then 'rain,loud' end as excluded, case when p_size % 5 = 0 then 'duration filters have no overlap' end as error from part")
+def interpretation(spark: SparkSession, d: str) -> DataFrame:
+    """A table of query texts made of part names, interpreted; some contradict themselves."""
+    contrary = F.when(F.col("p_size") % 5 == 0, " over 9 minutes under 2 secs").otherwise("")
+    said = F.concat(F.lit("find me a "), F.col("p_name"), F.lit(' "Old gate" without rainfall -powerful'), contrary)
+    i = Tables(spark, d).part.select("p_partkey", Q.interpreted(said).alias("i"))
+    return i.select("p_partkey", F.array_join(F.array_sort("i.terms"), ",").alias("terms"), F.array_join("i.phrases", ",").alias("phrases"), F.array_join("i.excluded", ",").alias("excluded"), "i.error")
 
 
-@query("TXT-02", "select event_id, case when user_id % 2 = 0 then cast(user_id as double) * 60 else cast(user_id as double) end as seconds from events")
+@query("TXT-02", "select event_id, cast(least(user_id % 40 + 10, (user_id % 7 + 1) * 60) as double) as most, cast(greatest(user_id % 3, 1) as double) as least from events")
 def duration_phrases(spark: SparkSession, d: str) -> DataFrame:
-    said = F.concat(F.lit("click under "), F.col("user_id").cast("string"), F.when(F.col("user_id") % 2 == 0, " minutes").otherwise(" seconds"))
-    e = Tables(spark, d).events.select("event_id", said.alias("said"))
-    pattern = r"(under|below|less than|over|above|longer than)\s+(\d+(?:\.\d+)?)\s*(seconds?|secs?|s|minutes?|mins?)\b"
-    value = F.regexp_extract("said", pattern, 2).cast("double")
-    return e.select("event_id", F.when(F.regexp_extract("said", pattern, 3).startswith("m"), value * 60).otherwise(value).alias("seconds"))
+    """Bounds in several units: the tightest of each side counts."""
+    n = lambda c: c.cast("string")
+    u = F.col("user_id")
+    said = F.concat(F.lit("click under "), n(u % 40 + 10), F.lit(" secs less than "), n(u % 7 + 1), F.lit(" minutes longer than "), n(u % 3), F.lit(".0 seconds over 1 s"))
+    i = Tables(spark, d).events.select("event_id", Q.interpreted(said).alias("i"))
+    return i.select("event_id", F.col("i.max_duration").alias("most"), F.col("i.min_duration").alias("least"))
 
 
 @query("TXT-03", "select p_partkey, array_to_string(list_transform(list_filter(string_split(p_name, ' '), lambda t: not list_contains(['the','a','an','of'], t)), lambda t: case when t = 'gentle' then 'quiet' when t = 'sharp' then 'bright' else t end), ' ') as canonical from part")
@@ -252,10 +256,13 @@ def inverted_index(spark: SparkSession, d: str) -> DataFrame:
     return of.select("word", "positions", "docs", "first_position", "last_position", "first_doc")
 
 
-@query("TXT-10", "select * from (values ('term', 'rain', false), ('phrase', 'old gate', false), ('prefix', 'thun', false), ('term', 'loud', true), ('ignored', '--', false)) t(kind, text, excluded)")
+@query("TXT-10", "select p_partkey, array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ',') as terms, 'old gate' as phrases, 'thun' as prefixes, 'loud' as excluded, '--' as ignored from part")
 def clause_parser(spark: SparkSession, d: str) -> DataFrame:
-    clauses, ignored = parse_clauses('rain "old  gate" thun* -loud -- rain')
-    return spark.createDataFrame([*((c.kind, c.text, c.excluded) for c in clauses), *(("ignored", "--", False) for _ in ignored)], "kind string, text string, excluded boolean")
+    """A table of structured query texts, cut into clauses; a clause that repeats counts once."""
+    said = F.concat(F.col("p_name"), F.lit(' "old  gate" thun* -loud -- '), F.element_at(F.split("p_name", " "), 1))
+    c = Tables(spark, d).part.select("p_partkey", Q.clauses(said).alias("c"))
+    of = lambda kind, excluded=False: F.array_join(F.array_sort(F.transform(F.filter("c.clauses", lambda x: (x["kind"] == kind) & (x["excluded"] == excluded)), lambda x: x["text"])), ",")
+    return c.select("p_partkey", of("term").alias("terms"), of("phrase").alias("phrases"), of("prefix").alias("prefixes"), of("term", True).alias("excluded"), F.array_join("c.ignored", ",").alias("ignored"))
 
 
 @query("TXT-11", f"select doc_id, md5(array_to_string({_ITOK.format('text')}, ' ')) as folded from documents")
@@ -331,15 +338,9 @@ def structured_tag_facet(spark: SparkSession, d: str) -> DataFrame:
     return tag_facet(rows, "confirmed").unionByName(tag_facet(rows, "suggested"))
 
 
-@query("FLT-14", "select * from (values ('rating'), ('tags'), ('dates'), ('width')) t(rejected)")
+@query("FLT-14", "select doc_id, case when doc_id % 11 = 0 then 'a tag is blank, too long, or both required and excluded' when doc_id % 6 = 0 or doc_id % 7 = 6 or doc_id % 7 = 0 or doc_id % 6 > doc_id % 7 then 'rating bounds' when doc_id % 5 = 0 then 'date bounds' end as rejected from documents")
 def contradictions(spark: SparkSession, d: str) -> DataFrame:
-    from lumencat.functions.interpret import InvalidQuery
-
-    cases = {"rating": StructuredQuery(min_rating=4, max_rating=2), "tags": StructuredQuery(tags=["a_b"], exclude_tags=["A b"]), "dates": StructuredQuery(added_after=5, added_before=5), "width": StructuredQuery(min_width=0), "fine": StructuredQuery(text="rain", min_rating=2)}
-    out = []
-    for name, q in cases.items():
-        try:
-            q.validated()
-        except InvalidQuery:
-            out.append((name,))
-    return spark.createDataFrame(out, "rejected string")
+    """A table of structured queries, each with the reason why it is refused: a contradiction is never an empty result."""
+    k = F.col("doc_id")
+    q = F.struct((k % 6).alias("min_rating"), (k % 7).alias("max_rating"), F.lit(5).alias("added_after"), F.when(k % 5 == 0, 5).otherwise(6).alias("added_before"), F.array(F.lit("a_b")).alias("tags"), F.array(F.when(k % 11 == 0, "A b").otherwise("c")).alias("exclude_tags"))
+    return Tables(spark, d).documents.select("doc_id", Q.rejection(q).alias("rejected"))

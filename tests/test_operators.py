@@ -1,11 +1,17 @@
 """Operators on small tables with known answers."""
 
+import hashlib
 import math
+from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from lumencat.functions import text as T
 from lumencat.functions.interpret import StructuredQuery, TextQuery
-from lumencat.operators import dedup, evaluation, merge, paging, scalars, search, tags, timeseries, vectors
+from lumencat.operators import dedup, evaluation, jobs, merge, moves, numbering, paging, postings, scalars, search, tags, timeseries, vectors
+from lumencat.sources import files
+from lumencat.streaming import settle
 
 SOUND = "id string, source_id string, status string, online boolean, favorite boolean, duration double, channels int, channel_layout string, title string, comment string, user_tags array<string>, profile_tags array<string>, description string"
 
@@ -185,3 +191,141 @@ def test_decisions(spark):
     g = spark.createDataFrame([("x", None, False, 1)], "digest string, preferred string, dismissed boolean, revision int")
     a = spark.createDataFrame([("x", 0, "prefer", "i"), ("y", 0, "prefer", "j")], "digest string, expected int, action string, asset string")
     assert {(r["digest"], r["preferred"], r["revision"]) for r in dedup.decide(g, a).collect()} == {("x", None, 1), ("y", "j", 1)}
+
+
+def test_upsert_of_repeated_keys_stays_one_row(spark):
+    now = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    inc = spark.createDataFrame([(1, "x"), (1, "y"), (3, "c"), (3, "c")], "id int, v string")
+    assert sorted(map(tuple, merge.upsert(now, inc, ["id"], ["v"]).collect())) == [(1, "y"), (2, "b"), (3, "c")]
+
+
+def test_moves_are_matched_one_for_one(spark):
+    m = spark.createDataFrame([(1, "d"), (2, "d"), (3, "d"), (4, "e")], "id long, digest string")
+    p = spark.createDataFrame([(8, "d"), (7, "d"), (9, "f")], "id long, digest string")
+    assert sorted(map(tuple, moves.reconciled(m, p).collect())) == [(1, 7), (2, 8)]
+
+
+def test_numbers_sums_and_next_rows_across_ranges(spark):
+    rows = [(k % 3 if k % 7 else None, k, float(k % 5)) for k in range(200)]
+    df = spark.createDataFrame(rows, "k int, id int, v double").repartition(5)
+    by_key: dict = {}
+    for k, i, v in sorted(rows, key=lambda r: r[1]):
+        by_key.setdefault(k, []).append((i, v))
+    want = {i: (n, sum(v for _, v in g[: n + 1]), g[n + 1][0] if n + 1 < len(g) else None) for g in by_key.values() for n, (i, _) in enumerate(g)}
+    n = {r["id"]: r["n"] for r in numbering.numbered(df, ["k"], ["id"], "n", 0).collect()}
+    s = {r["id"]: r["s"] for r in numbering.running_sum(df, ["k"], ["id"], "v", "s").collect()}
+    x = {r["id"]: r["x"] for r in numbering.with_next(df, ["k"], ["id"], "id", "x").collect()}
+    assert {i: (n[i], s[i], x[i]) for i in n} == want
+    assert numbering.numbered(df.limit(0), ["k"], ["id"], "n").count() == 0
+
+
+def test_index_holds_every_position(spark, tmp_path):
+    rows = [("1", ["a", "b", "a"], ["c"]), ("2", [], None), ("3", ["b", "a", "b", "bc"], ["a"])]
+    d = spark.createDataFrame(rows, "id string, notes array<string>, name array<string>")
+    postings.write_index(d, ["notes", "name"], f"file://{tmp_path}/i")
+    index = postings.Index(spark, f"file://{tmp_path}/i")
+    got = {(r["word"], r["field"], r["id"]): r["positions"] for r in index.postings.collect()}
+    assert got == {("a", "notes", "1"): [0, 2], ("b", "notes", "1"): [1], ("c", "name", "1"): [0], ("b", "notes", "3"): [0, 2], ("a", "notes", "3"): [1], ("bc", "notes", "3"): [3], ("a", "name", "3"): [0]}
+    assert {(r["word"], r["field"]): (r["documents"], r["positions"]) for r in index.vocabulary.collect()}[("b", "notes")] == (2, 3)
+    postings.write_index(d.limit(0), ["notes"], f"file://{tmp_path}/none")
+    assert postings.Index(spark, f"file://{tmp_path}/none").postings.count() == 0
+
+
+def test_indexed_search_equals_the_direct_one(spark, tmp_path):
+    d, t = docs(spark)
+    fields = ("tags", "caption", "name", "notes")
+    postings.write_index(d.select("id", *[F.col(f"{f}_tokens").alias(f) for f in fields]), fields, f"file://{tmp_path}/i")
+    index = postings.Index(spark, f"file://{tmp_path}/i")
+    for text in ('"old gate"', "gate", "gate*", "old -gateway", "red", "-red", '"red car"', "old ga*", '"gate old" -car', "nothing"):
+        q = StructuredQuery(text=text)
+        plain = sorted((r["id"], r["tier"], r["hit_fields"]) for r in search.structured_matches(d, t, q).collect())
+        assert sorted((r["id"], r["tier"], r["hit_fields"]) for r in search.structured_matches(d, t, q, index=index).collect()) == plain
+        both = [sorted(map(tuple, search.guidance(d, q, i).collect())) for i in (None, index)]
+        assert both[0] == both[1]
+    s = sounds(spark, {"title": "The rain", "comment": "rain on a metal door"}, {"title": "Café", "user_tags": ["swoosh"], "comment": "a loud hit"}, {"title": "Rainfall don't", "profile_tags": ["doors"]}, {"title": "cafe", "description": "rain, the quiet one"})
+    postings.write_index(search.token_index_columns(s), search.SEARCHED, f"file://{tmp_path}/s")
+    index = postings.Index(spark, f"file://{tmp_path}/s")
+    for text in ("rain", "doors metal", "rain -loud", "raim", '"the"', "whosh impact", "café", ""):
+        q = TextQuery(text=text)
+        (a, x), (b, y) = search.ranked_matches(s, q), search.ranked_matches(s, q, index=index)
+        assert (x.terms, x.corrected) == (y.terms, y.corrected)
+        assert sorted((r["id"], r["score"]) for r in a.collect()) == sorted((r["id"], r["score"]) for r in b.collect())
+    assert search.ranked_matches(s, TextQuery(text="rain"), index=index, allowed=[])[0].count() == 0
+
+
+def test_decomposed_accents_match(spark):
+    d = spark.createDataFrame([("café noir",)], "t string")
+    assert d.select(T.index_tokens(F.col("t")).alias("t")).first()["t"] == ["cafe", "noir"]
+
+
+def test_leases(spark):
+    cols = "id int, source string, state string, at int, lease_until long, attempts int, what string"
+    rows = [(1, "s", "running", 1, 50, 1, "a"), (2, "s", "queued", 2, None, 0, "b"), (3, "t", "queued", 3, None, 0, "a"), (4, "t", "queued", 4, None, 0, "b"), (5, "u", "running", 5, 200, 3, "a"), (6, "v", "running", 6, 60, 3, "a")]
+    j = spark.createDataFrame(rows, cols)
+    now, lease = F.lit(100).cast("long"), F.lit(30).cast("long")
+    state = lambda df: {r["id"]: (r["state"], r["lease_until"], r["attempts"]) for r in df.collect()}
+    r = state(jobs.recovered(j, now, 3))
+    assert r[1] == ("queued", None, 1) and r[5] == ("running", 200, 3) and r[6] == ("failed", None, 3)
+    c = state(jobs.claimed(j, now, lease))
+    assert c[2] == ("queued", None, 0) and c[3] == ("running", 130, 1) and c[4] == ("queued", None, 0)
+    own = spark.createDataFrame([(5, 3), (1, 1), (6, 2)], "id int, attempts int")
+    n = state(jobs.renewed(j, own, now, lease))
+    assert n[5] == ("running", 130, 3) and n[1] == ("running", 50, 1) and n[6] == ("running", 60, 3)
+    new = spark.createDataFrame([(10, "t", 9, "a"), (11, "w", 9, "a"), (12, "w", 9, "a")], "id int, source string, at int, what string")
+    assert set(state(jobs.enqueued(j, new, ["what"]))) == {1, 2, 3, 4, 5, 6, 11}
+
+
+def test_discovery_resumes(spark):
+    e = spark.createDataFrame([("a", 2), ("b", 1), ("c", 1)], "path string, epoch int")
+    found = spark.createDataFrame([("b",), ("d",)], "path string")
+    assert sorted(map(tuple, jobs.resumed(e, found, "path", 2, False).collect())) == [("a", 2, "done"), ("b", 2, "again"), ("c", 1, "open"), ("d", 2, "new")]
+    after = jobs.resumed(e, found, "path", 2, True).select("path", "epoch")
+    assert {r["state"] for r in jobs.resumed(after.where("epoch = 2"), found, "path", 2, True).collect()} == {"done"}
+
+
+def test_vector_blocks_agree(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    rows = [(k, v.tolist(), int(k % 4)) for k, v in enumerate(r.normal(size=(90, 8)))]
+    e = spark.createDataFrame(rows, "item long, embedding array<double>, vl int")
+    asked = e.where("item % 9 = 0").select(F.col("item").alias("query"), F.col("embedding").alias("q"), F.col("vl").alias("ql"))
+    x = np.array([v for _, v, _ in rows])
+    s = x @ x.T
+    want = {}
+    for q in range(0, 90, 9):
+        order = [i for i in np.lexsort((np.arange(90), -s[q])) if i != q]
+        same = [n for n, i in enumerate(order, 1) if i % 4 == q % 4]
+        want[q] = (len(same), sum(n <= 5 for n in same), same[0], [int(i) for i in order[:5]])
+    for size in (4096, 13):
+        monkeypatch.setattr(vectors, "BLOCK", size)
+        got = {x["query"]: (x["size"], x["found"], x["first"]) for x in vectors.label_retrieval(asked, e, 5).collect()}
+        near: dict = {}
+        for x in vectors.ranking(asked, e, 5, own=False).orderBy("query", "rank").collect():
+            near.setdefault(x["query"], []).append(x["item"])
+        assert {q: (*got[q], near[q]) for q in got} == want
+
+
+def test_rendered_signal(spark):
+    f = spark.createDataFrame([("p", k, 1.0) for k in range(10)], "path string, frame long, value double")
+    out = [r["value"] for r in timeseries.rendered(f, ["path"], 2, 8, 0.5, 2, 3, (1, 1)).orderBy("frame").collect()]
+    assert np.allclose(out, [0.25, 0.5, 0.5, 0.5, 0.5 * 2 / 3, 0.5 / 3])
+    assert timeseries.rendered(f, ["path"], 2, 8, 1.0, 1, 1, (2, 3)).count() == 9
+    assert timeseries.rendered(f, ["path"], 20, 30, 1.0, 1, 1, (2, 3)).count() == 0
+
+
+def test_scan_and_members(spark, tmp_path):
+    for name in ("a.wav", "b.wav", "c.wav"):
+        (tmp_path / name).write_bytes(name.encode())
+    found = files.listing(spark, str(tmp_path), ["wav"]).withColumn("modified", F.unix_timestamp("modified"))
+    known = found.where("path not like '%c.wav'").select("path", F.when(F.col("path").endswith("b.wav"), 0).otherwise(F.col("size")).alias("size"), "modified", F.lit("old").alias("digest"))
+    known = known.unionByName(known.limit(1).withColumn("path", F.lit("gone")))
+    got = {r["path"].rsplit("/", 1)[-1]: (r["action"], r["digest"]) for r in files.scan(spark, found, known).collect()}
+    assert got["a.wav"] == ("reuse", "old") and got["b.wav"] == ("hash", hashlib.sha1(b"b.wav").hexdigest()) and got["c.wav"][0] == "hash" and got["gone"][0] == "missing"
+
+
+def test_settled_needs_a_whole_quiet_time(spark):
+    d = spark.createDataFrame([("a", float(t)) for t in (0, 1, 5, 20)] + [("b", 3.0)], "path string, at double")
+    got = sorted((r["path"], r["at"]) for r in settle.settled(d, "path", "at", "at", 2, 3).collect())
+    assert got == [("a", 5.0), ("a", 20.0), ("b", 3.0)]
+    one = spark.createDataFrame([("p", datetime(2024, 1, 1, 0, 0, k)) for k in range(5)], "path string, ts timestamp")
+    assert settle.overflowed(one, "path", "ts", "1 day", 2).first()["refresh"] is False
+    assert settle.overflowed(one, "path", "ts", "1 day", 2, lost=F.second("ts") == 3).first()["refresh"] is True
