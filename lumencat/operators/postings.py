@@ -1,7 +1,7 @@
 """A stored inverted index: for each word, field and document the word's positions, sorted by word.
 
-    postings/    word, field, id, positions: in ranges of (word, id), so that a word's rows are read by themselves, and a
-                 frequent word is several files
+    postings/    flat (the word without accents), word, field, id, positions: in ranges of (flat, word, id), so that a
+                 word's rows are read by themselves, and a frequent word is several files
     vocabulary/  word, field, documents, positions (how many)
 
 Built once from token arrays, read by any number of searches: conditions on words reach the Parquet scan. A search's work
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumencat.functions.interpret import PREFIX, Clause
+from lumencat.functions.text import ACCENTED, PLAIN, deaccent
 from lumencat.operators.storage import scratch, stored
 
 BATCH_ROWS = 1000
@@ -71,7 +72,8 @@ def write_index(tokens: DataFrame, fields: Sequence[str], path: str) -> None:
     kind = tokens.schema["id"].dataType.simpleString()
     key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     rows = stored(tokens.select("id", *arrays).mapInArrow(_post(key_type, list(fields)), f"word string, field string, id {kind}, positions array<int>"), "postings")
-    rows.repartitionByRange("word", "id").sortWithinPartitions("word", "field", "id").write.parquet(f"{path}/postings")
+    rows = rows.select(deaccent(F.col("word")).alias("flat"), "*")
+    rows.repartitionByRange("flat", "word", "id").sortWithinPartitions("flat", "word", "field", "id").write.parquet(f"{path}/postings")
     posted = tokens.sparkSession.read.parquet(f"{path}/postings")
     posted.groupBy("word", "field").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("positions")).write.parquet(f"{path}/vocabulary")
 
@@ -91,9 +93,12 @@ def index_of(spark: SparkSession, name: str, table: str, make: Callable[[], Data
     return _kept[key][1]
 
 
-def of_words(index: Index, words: Sequence[str], prefixes: Sequence[str] = (), fields: Sequence[str] = ()) -> DataFrame:
-    """The postings of words and of words that begin with a prefix."""
-    tests = [F.col("word").isin(sorted(set(words)))] * bool(words) + [F.col("word").startswith(p) for p in sorted(set(prefixes))]
+def of_words(index: Index, words: Sequence[str], prefixes: Sequence[str] = (), fields: Sequence[str] = (), accents: bool = True) -> DataFrame:
+    """The postings of words and of words that begin with a prefix; with accents False also of words that differ in accents only."""
+    plain = lambda w: w.translate(str.maketrans(ACCENTED, PLAIN))
+    flat = F.col("flat")
+    tests = [flat.isin(sorted({plain(w) for w in words})) & (F.col("word").isin(sorted(set(words))) if accents else F.lit(True))] * bool(words)
+    tests += [flat.startswith(plain(p)) & (F.col("word").startswith(p) if accents else F.lit(True)) for p in sorted(set(prefixes))]
     found = index.postings.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
     return found.where(F.col("field").isin(list(fields))) if fields else found
 

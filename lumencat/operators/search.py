@@ -155,12 +155,9 @@ def indexed_corrections(scope: DataFrame, index: Index, terms: list[str]) -> dic
 def indexed_terms(index: Index, terms: list[str]) -> DataFrame:
     """(id, points): documents that hold each term, with or without accents, and the weights of the fields that hold it as it is."""
     flat = {t: t.translate(str.maketrans(T.ACCENTED, T.PLAIN)) for t in terms}
-    # a term's spellings with other accents are few words of the vocabulary
-    spelt = index.vocabulary.where(T.deaccent(F.col("word")).isin(sorted(set(flat.values())))).select("word").distinct()
-    words = sorted({r["word"] for r in spelt.collect()} | set(terms))
-    p = of_words(index, words)
+    p = of_words(index, terms, accents=False)
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("field"))
-    found = [F.bool_or((F.col("word") == t) | (T.deaccent(F.col("word")) == flat[t])).alias(f"_t{k}") for k, t in enumerate(terms)]
+    found = [F.bool_or(F.col("flat") == flat[t]).alias(f"_t{k}") for k, t in enumerate(terms)]
     points = F.sum(F.when(F.col("word").isin(terms), weight).otherwise(0) * sum((F.when(F.col("word") == t, 1).otherwise(0) for t in terms), F.lit(0))).alias("points")
     return p.groupBy("id").agg(points, *found).where(all_of([F.col(f"_t{k}") for k in range(len(terms))])).select("id", "points")
 

@@ -31,7 +31,7 @@ def folder_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SRC-02", f"select id, n_chars <> coalesce(old, -1) as changed from (select id, n_chars, case when id % 5 = 0 then n_chars + 1 when id % 7 = 0 then null else n_chars end as old from {ASSETS} a) x")
 def warm_import(spark: SparkSession, d: str) -> DataFrame:
-    a = assets(Tables(spark, d)).select("path", "id", F.col("n_chars").alias("size"))
+    a = assets(Tables(spark, d), reviews=False).select("path", "id", F.col("n_chars").alias("size"))
     snapshot = a.where("id % 5 = 0 or id % 7 <> 0").select("path", F.when(F.col("id") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"))
     return files.changed(a, snapshot, ["size"]).select("id", "changed")
 
@@ -39,7 +39,7 @@ def warm_import(spark: SparkSession, d: str) -> DataFrame:
 @query("SRC-03", f"select path, id, case when id is null then 'absent' else 'found' end as status from (select distinct path from (values ('src0/en/Doc-0.txt'), ('src0/en/Doc-0.txt'), ('src9/none.txt')) v(path) union select path from {ASSETS} p where id in (3, 5, 8, 13)) w left join {ASSETS} a using (path)")
 def stated_files(spark: SparkSession, d: str) -> DataFrame:
     """A list of paths, with one twice and one that is not there: each once, with what the catalogue has of it."""
-    a = assets(Tables(spark, d)).select("path", "id")
+    a = assets(Tables(spark, d), reviews=False).select("path", "id")
     stated = a.where(F.col("id").isin(3, 5, 8, 13)).select("path").unionByName(spark.createDataFrame([("src0/en/Doc-0.txt",), ("src0/en/Doc-0.txt",), ("src9/none.txt",)], "path string"))
     return files.stated(stated, a).select("path", "id", "status")
 
@@ -217,7 +217,7 @@ def verified_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SRC-18", f"select id, n_chars % 10 <> 0 and id + 100 < 900 as trusted from {ASSETS} a")
 def stat_fast_path(spark: SparkSession, d: str) -> DataFrame:
-    a = assets(Tables(spark, d)).select("path", "id", "n_chars", F.col("id").alias("modified"))
+    a = assets(Tables(spark, d), reviews=False).select("path", "id", "n_chars", F.col("id").alias("modified"))
     recorded = a.select("path", F.when(F.col("n_chars") % 10 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n_chars"), F.lit(900).cast("long").alias("checked"))
     return files.trusted(a, recorded, ["n_chars"], "checked", 100).select("id", "trusted")
 
@@ -231,7 +231,7 @@ def synthetic_rows(spark: SparkSession, d: str) -> DataFrame:
 @query("SRC-21", "select doc_id as id, case when doc_id % 4 = 0 then 'new' when doc_id % 3 = 0 or doc_id % 5 = 0 or doc_id % 7 = 0 then 'rehash' else 'reuse' end as action, case when doc_id % 4 <> 0 and doc_id % 3 <> 0 and doc_id % 5 <> 0 and doc_id % 7 <> 0 and doc_id % 2 = 1 then true else false end as restored from documents")
 def unchanged_members(spark: SparkSession, d: str) -> DataFrame:
     """Members of a refresh: reused where path, stat and analyzer are as recorded outside the racy window, and available again if they were missing."""
-    a = assets(Tables(spark, d)).select("path", "id", F.col("n_chars").alias("size"), F.lit(100).alias("modified"))
+    a = assets(Tables(spark, d), reviews=False).select("path", "id", F.col("n_chars").alias("size"), F.lit(100).alias("modified"))
     recorded = a.where("id % 4 <> 0").select(
         "path", F.when(F.col("id") % 3 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.col("modified"), F.when(F.col("id") % 5 == 0, "old").otherwise("v2").alias("analyzer"),
         F.when(F.col("id") % 7 == 0, 101).otherwise(500).alias("checked"), F.when(F.col("id") % 2 == 1, "missing").otherwise("ready").alias("status"),
@@ -332,7 +332,7 @@ def tag_rename(spark: SparkSession, d: str) -> DataFrame:
 @query("SNK-09", f"select digest, case when n = 2 then keep end as preferred, n > 2 as dismissed, n % 2 = 1 and n <= 3 as separated, case when n <= 3 then 2 else 0 end as revision from (select digest, count(*) as n, min(id) as keep from {ASSETS} a group by digest having count(*) > 1) g")
 def duplicate_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Two rounds of actions: prefer or dismiss, then separate or rejoin; stale revisions change nothing, and a choice whose copy is gone is cleaned up."""
-    a = assets(Tables(spark, d))
+    a = assets(Tables(spark, d), reviews=False)
     g = a.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("keep")).where("n > 1")
     groups = g.select("digest", F.when(F.col("n") > 3, -1).cast("long").alias("preferred"), (F.col("n") > 3).alias("dismissed"), F.lit(False).alias("separated"), F.lit(0).alias("revision"))
     first = g.select("digest", F.when(F.col("n") <= 3, 0).otherwise(9).alias("expected"), F.when(F.col("n") == 2, "prefer").otherwise("dismiss").alias("action"), F.col("keep").alias("asset"))
@@ -440,14 +440,14 @@ def retention(spark: SparkSession, d: str) -> DataFrame:
 @query("SNK-22", f"select a.id, min(b.id) as relinked, count(b.id) as n, case when a.source = 'src1' then 'removed' when a.source = 'src2' then 'folder' else 'linked' end as state from {ASSETS} a left join {ASSETS} b on b.digest = a.digest and b.source <> 'src1' and a.source = 'src1' group by a.id, a.source having a.source <> 'src1' or count(b.id) > 0")
 def relink(spark: SparkSession, d: str) -> DataFrame:
     """A source removed, whose records are relinked to equal content elsewhere or go; another converted to a folder, which keeps its records."""
-    a = assets(Tables(spark, d)).select("id", "digest", "source")
+    a = assets(Tables(spark, d), reviews=False).select("id", "digest", "source")
     return moves.without_source(a, removed="src1", converted="src2").select("id", "relinked", "n", "state")
 
 
 @query("SNK-23", f"with r as (select id, digest, id % 4 = 0 as moved from {ASSETS} a), g as (select digest, count(*) as n from r group by digest) select r.id, 'old/' || r.id as old_path, 'new/' || r.id as new_path from r join g using (digest) where g.n = 1 and r.moved")
 def adopt_moves(spark: SparkSession, d: str) -> DataFrame:
     """Renames among all records: of the files found, a quarter stand under a new path, the others where they were."""
-    a = assets(Tables(spark, d)).select("id", "digest", F.lit(1).alias("volume"), F.md5("digest").alias("file"))
+    a = assets(Tables(spark, d), reviews=False).select("id", "digest", F.lit(1).alias("volume"), F.md5("digest").alias("file"))
     path = lambda folder: F.concat(F.lit(folder), F.col("id").cast("string"))
     records = a.select("id", path("old/").alias("path"), "volume", "file", "digest")
     found = a.select(F.when(F.col("id") % 4 == 0, path("new/")).otherwise(path("old/")).alias("path"), "volume", "file", "digest")

@@ -17,10 +17,10 @@ from lumencat.operators.search import structured_order
 from lumencat.plans.registry import Tables, query
 
 
-def assets(t: Tables) -> DataFrame:
-    """id, source, path, digest and review state of each document; unknown ratings are null."""
+def assets(t: Tables, reviews: bool = True) -> DataFrame:
+    """id, source, path, digest and, with reviews, the review state of each document; unknown ratings are null."""
     d = t.documents.select(F.col("doc_id").alias("id"), "source", "lang", "n_chars", F.concat_ws("/", "source", "lang", F.concat(F.lit("Doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.md5("text").alias("digest"))
-    return d.join(t.labels.select(F.col("doc_id").alias("id"), "quality", "toxic"), "id", "left")
+    return d.join(t.labels.select(F.col("doc_id").alias("id"), "quality", "toxic"), "id", "left") if reviews else d
 
 
 ASSETS = """(select d.doc_id as id, d.source, d.lang, d.n_chars, d.source || '/' || d.lang || '/Doc-' || d.doc_id || '.txt' as path, md5(d.text) as digest, l.quality, l.toxic
@@ -112,7 +112,7 @@ def without_samples(spark: SparkSession, d: str) -> DataFrame:
 
 @query("PRJ-03", f"select id, path, lang, n_chars from {ASSETS} a where id = 17")
 def inspector(spark: SparkSession, d: str) -> DataFrame:
-    return assets(Tables(spark, d)).where("id = 17").select("id", "path", "lang", "n_chars")
+    return assets(Tables(spark, d), reviews=False).where("id = 17").select("id", "path", "lang", "n_chars")
 
 
 @query("PRJ-04", "select c_custkey, c_name, c_mktsegment from customer")
@@ -184,13 +184,13 @@ def driven_by_matches(spark: SparkSession, d: str) -> DataFrame:
 
 @query("JN-08", f"select m.id as missing, count(*) as n, min(p.id) as first from {ASSETS} m join {ASSETS} p on p.digest = m.digest and p.id <> m.id where m.id % 2 = 0 and p.id % 2 = 1 group by m.id")
 def move_candidates(spark: SparkSession, d: str) -> DataFrame:
-    a = assets(Tables(spark, d)).select("id", "digest")
+    a = assets(Tables(spark, d), reviews=False).select("id", "digest")
     return moves.candidates(a.where("id % 2 = 0"), a.where("id % 2 = 1")).select(F.col("id").alias("missing"), "n", "first")
 
 
 @query("JN-09", f"select a.id, exists (select 1 from {ASSETS} b where b.digest = a.digest and b.source = a.source and b.id <> a.id) as same_file from {ASSETS} a")
 def exists_flag(spark: SparkSession, d: str) -> DataFrame:
-    a = assets(Tables(spark, d)).select("id", "digest", "source")
+    a = assets(Tables(spark, d), reviews=False).select("id", "digest", "source")
     n = a.groupBy("digest", "source").agg(F.count("*").alias("n")).where("n > 1")
     return a.join(n, ["digest", "source"], "left").select("id", F.col("n").isNotNull().alias("same_file"))
 
@@ -284,13 +284,13 @@ _PAGE = f"select id, path, cast(row_number() over (order by translate(path, 'ABC
 
 @query("WIN-01", f"select * from ({_PAGE}) p where ord >= 40 and ord < 60")
 def numbered_page(spark: SparkSession, d: str) -> DataFrame:
-    a = assets(Tables(spark, d)).select("id", "path")
+    a = assets(Tables(spark, d), reviews=False).select("id", "path")
     return paging.numbered(a, [ascii_lower(F.col("path")), F.col("path"), F.col("id")], 40, 20, "ord")
 
 
 @query("WIN-02", f"select digest, n, cast(sum(n) over () as bigint) as copies, count(*) over () as stacks from (select digest, count(*) as n from {ASSETS} a group by digest having count(*) > 1) g order by n desc, digest limit 10")
 def grand_totals(spark: SparkSession, d: str) -> DataFrame:
-    g = assets(Tables(spark, d)).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    g = assets(Tables(spark, d), reviews=False).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
     return paging.with_totals(g.orderBy(F.desc("n"), "digest").limit(10), g.agg(F.sum("n").alias("copies"), F.count("*").alias("stacks")))
 
 
@@ -316,7 +316,7 @@ def nulls_last(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SRT-03", f"select id, path from ({_PAGE}) p where ord < 30")
 def gallery_order(spark: SparkSession, d: str) -> DataFrame:
-    return assets(Tables(spark, d)).orderBy(ascii_lower(F.col("path")), "path", "id").limit(30).select("id", "path")
+    return assets(Tables(spark, d), reviews=False).orderBy(ascii_lower(F.col("path")), "path", "id").limit(30).select("id", "path")
 
 
 @query("SRT-04", "select o_orderkey from orders order by o_totalprice desc, o_orderkey limit 50 offset 100")
