@@ -45,11 +45,14 @@ def deaccent(c: Column) -> Column:
     return F.translate(c, ACCENTED, PLAIN)
 
 
+_CANONICAL_MAP = "map(" + ", ".join(f"'{x}'" for pair in CANONICAL.items() for x in pair) + ")"
+_HAS_SYNONYM = "^(?:" + "|".join(CANONICAL) + ")$"
+
+
 def canonical(token: Column) -> Column:
     """The word that stands for a token's synonym group, or the token."""
-    table = F.create_map(*[F.lit(x) for pair in CANONICAL.items() for x in pair])
-    # most tokens are none of these: a hashed test goes before the map, which is searched from its start
-    return F.when(token.isin(list(CANONICAL)), F.element_at(table, token)).otherwise(token)
+    # most tokens are none of these: a pattern rules them out before the map, which is searched from its start
+    return F.when(token.rlike(_HAS_SYNONYM), F.element_at(F.expr(_CANONICAL_MAP), token)).otherwise(token)
 
 
 def split_tokens(c: Column) -> Column:
