@@ -17,8 +17,8 @@ blocks, a component of many documents to blocks of its own, which are not compar
 one task's work. Nothing is capped, sampled or collected to the driver.
 
 Defined cases: null or blank text has an empty set, is linked with nothing and kept; fewer than five words make one
-shingle; repeated rows of one doc_id make one result row, linked by any of its texts; extra columns are
-ignored; an empty table gives an empty result.
+shingle; repeated rows of one doc_id make one result row, linked by any of its texts; rows without an id make one row, which
+is linked with nothing and kept; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85, text: str = "text", key
     label = F.coalesce("component", "doc_id")
     sizes = signed.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     joined = components(by_id.unionByName(copies), "links").withColumnRenamed("node", "doc_id")
-    return sizes.join(joined, "doc_id", "left").select("doc_id", "n_shingles", label.alias("component_id"), (label == F.col("doc_id")).alias("kept"))
+    return sizes.join(joined, "doc_id", "left").select("doc_id", "n_shingles", label.alias("component_id"), F.coalesce(label == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
