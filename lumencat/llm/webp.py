@@ -901,16 +901,18 @@ def choose(px: np.ndarray) -> tuple[str, ...]:
     return best if cost[best] < 0.97 * cost[()] else ()  # a transform has its own cost
 
 
-def encode(images: list[np.ndarray], transforms: list[tuple[str, ...]] | None = None, mode: int = 2, tile: int = 4, element: tuple[int, int, int] = (24, 8, 250)) -> list[bytes]:
+def encode(images: list[np.ndarray], transforms: list[tuple[str, ...] | None] | None = None, mode: int | list[int] = 2, tile: int = 4, element: tuple[int, int, int] = (24, 8, 250), mixed: bool = False) -> list[bytes]:
     """Lossless WebP files of images (height, width) of 32-bit pixels.
 
     transforms: names ("palette", "predictor", "cross_colour", "subtract_green") in the order of application, chosen by
-    ``choose`` where not given. mode is the predictor's; element is green to red, green to blue and red to blue.
+    ``choose`` where not given. mode is the predictor's, of all images or of each; with ``mixed`` tiles take the modes after
+    it in turn. element is green to red, green to blue and red to blue.
     """
     if not images:
         return []
     n = len(images)
-    plans = transforms if transforms is not None else [choose(im) for im in images]
+    plans = [choose(im) if plan is None else plan for im, plan in zip(images, transforms or [None] * n, strict=True)]
+    modes = [mode] * n if isinstance(mode, int) else mode
     w = Writer(n)
     every = np.arange(n)
     height = np.array([im.shape[0] for im in images])
@@ -952,8 +954,9 @@ def encode(images: list[np.ndarray], transforms: list[tuple[str, ...]] | None =
                 w.put(me, PREDICTOR if name == "predictor" else CROSS_COLOUR, 2)
                 w.put(me, tile - 2, 3)
                 if name == "predictor":
-                    _put_image(w, me, [np.full(th * tw, OPAQUE | mode << 8)], False, np.array([tw]))
-                    px = _pixels(_predicted(_channels(px, h, wide), np.full((th, tw), mode), tile, False))
+                    own = (modes[k] + (np.arange(th * tw) if mixed else 0) * np.ones(th * tw, np.int64)) % 14
+                    _put_image(w, me, [OPAQUE | own << 8], False, np.array([tw]))
+                    px = _pixels(_predicted(_channels(px, h, wide), own.reshape(th, tw), tile, False))
                 else:
                     e = np.broadcast_to(np.array([*element, 255]) & 255, (th, tw, 4))
                     _put_image(w, me, [_pixels(e)], False, np.array([tw]))

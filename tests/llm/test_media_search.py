@@ -335,6 +335,16 @@ def test_media_columns(spark):
     assert media.read_back(media.store(d.limit(0))).count() == 0
 
 
+def test_planned_images_come_back(monkeypatch):
+    monkeypatch.setattr(media, "PLAN_EVERY", 1)
+    texts = [f"text {k} of some words that go on, " .encode() * (k % 40 + 1) for k in range(60)] + [b"long " * 5000, b""]
+    used = {media.PLANS[zlib.crc32(t) // media.PLAN_EVERY % len(media.PLANS)] for t in texts}
+    assert used == set(media.PLANS)
+    files = media.write_media(texts)
+    for t, im in zip(texts, webp.decode(files), strict=True):
+        assert media.samples(media.pixels(im, len(t))) == media.padded(t)
+
+
 def test_captures(spark, tmp_path):
     rows = [(1, "http://a/b\r\n", "é\r\n\r\nWARC/1.1"), (2, None, None), (3, "u", ""), (None, "u", ""), (5, "http://a/b", "é\r\n\r\nWARC/1.1"), (6, "v", "x" * 70_000)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
