@@ -26,7 +26,7 @@ def folder_scan(spark: SparkSession, d: str) -> DataFrame:
     found = files.listing(spark, d, ["parquet"])
     known = found.where(~F.col("path").contains("/events")).select("path", "size", F.when(F.col("path").contains("/orders"), 0).otherwise(F.unix_timestamp("modified")).alias("modified"), F.lit("known").alias("digest"))
     known = known.unionByName(spark.createDataFrame([(f"{d}/gone.parquet", 1, 0, "known")], "path string, size long, modified long, digest string"))
-    return files.scan(spark, found.withColumn("modified", F.unix_timestamp("modified")), known).select("path", "action", "digest", files.title_of(F.col("path")).alias("title"))
+    return files.scan(spark, found.withColumn("modified", F.unix_timestamp("modified")), known, d).select("path", "action", "digest", files.title_of(F.col("path")).alias("title"))
 
 
 @query("SRC-02", f"select id, n_chars <> coalesce(old, -1) as changed from (select id, n_chars, case when id % 5 = 0 then n_chars + 1 when id % 7 = 0 then null else n_chars end as old from {ASSETS} a) x")

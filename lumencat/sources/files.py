@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 AUDIO = ("wav", "mp3", "flac", "ogg", "aif", "aiff", "m4a", "wma", "opus", "aac", "caf")
 IMAGE = ("png", "jpg", "jpeg", "webp")
-#: Paths that one read takes as a list; a scan with more of them goes on in its next run.
+#: So many paths are not stated one by one.
 MOST_STATED = 100_000
 
 
@@ -61,11 +61,12 @@ def adopted(records: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.withColumn("_n", F.row_number().over(taken)).where("_n = 1").select("id", "old_path", "new_path")
 
 
-def scan(spark: SparkSession, found: DataFrame, known: DataFrame) -> DataFrame:
+def scan(spark: SparkSession, found: DataFrame, known: DataFrame, root: str) -> DataFrame:
     """(path, action, digest) of a listing against known files (path, size, modified, digest).
 
     reuse: same size and time, the digest is the known one; hash: new or changed, the digest is the SHA-1 of the content,
-    which is read of these alone; missing: known but not listed.
+    which is read of these alone, or of all files below root where MOST_STATED or more are to be hashed; missing: known
+    but not listed.
     """
     k = known.dropDuplicates(["path"]).select("path", F.col("size").alias("_size"), F.col("modified").alias("_modified"), F.col("digest").alias("_digest"))
     j = found.dropDuplicates(["path"]).withColumn("_there", F.lit(True)).join(k, "path", "full_outer")
@@ -76,7 +77,9 @@ def scan(spark: SparkSession, found: DataFrame, known: DataFrame) -> DataFrame:
     done = state.where("action <> 'hash'")
     if not paths:
         return done
-    hashed = listed(spark, paths, content=True).select("path", F.lit("hash").alias("action"), F.sha1("content").alias("digest"))
+    few = len(paths) < MOST_STATED
+    content = listed(spark, paths, content=True) if few else listing(spark, root, content=True).join(state.where("action = 'hash'").select("path"), "path", "left_semi")
+    hashed = content.select("path", F.lit("hash").alias("action"), F.sha1("content").alias("digest"))
     return done.unionByName(hashed)
 
 

@@ -312,13 +312,15 @@ def test_rendered_signal(spark):
     assert timeseries.rendered(f, ["path"], 20, 30, 1.0, 1, 1, (2, 3)).count() == 0
 
 
-def test_scan_and_members(spark, tmp_path):
+def test_scan(spark, tmp_path, monkeypatch):
     for name in ("a.wav", "b.wav", "c.wav"):
         (tmp_path / name).write_bytes(name.encode())
     found = files.listing(spark, str(tmp_path), ["wav"]).withColumn("modified", F.unix_timestamp("modified"))
     known = found.where("path not like '%c.wav'").select("path", F.when(F.col("path").endswith("b.wav"), 0).otherwise(F.col("size")).alias("size"), "modified", F.lit("old").alias("digest"))
     known = known.unionByName(known.limit(1).withColumn("path", F.lit("gone")))
-    got = {r["path"].rsplit("/", 1)[-1]: (r["action"], r["digest"]) for r in files.scan(spark, found, known).collect()}
+    got = {r["path"].rsplit("/", 1)[-1]: (r["action"], r["digest"]) for r in files.scan(spark, found, known, str(tmp_path)).collect()}
+    monkeypatch.setattr(files, "MOST_STATED", 1)
+    assert got == {r["path"].rsplit("/", 1)[-1]: (r["action"], r["digest"]) for r in files.scan(spark, found, known, str(tmp_path)).collect()}
     assert got["a.wav"] == ("reuse", "old") and got["b.wav"] == ("hash", hashlib.sha1(b"b.wav").hexdigest()) and got["c.wav"][0] == "hash" and got["gone"][0] == "missing"
 
 
