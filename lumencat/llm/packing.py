@@ -36,7 +36,7 @@ SENTENCE_PENALTY = 4
 INNER_PENALTY = 12
 WINDOW_COST = 20
 RUN_TOKENS = 4_000_000
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 24 << 20
 
 
 def best_cuts(position: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
@@ -129,8 +129,11 @@ def _pack(docs: list[tuple[int, np.ndarray]], length: int, at_sentence: np.ndarr
     return pa.RecordBatch.from_arrays(columns, names), len(cuts) - 1
 
 
-def pack(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Returns one row for each piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])."""
+def pack(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, with_ids: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Returns one row for each piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]).
+
+    batch_bytes: text that is encoded at a time; less takes less memory and, as fewer words repeat, more time.
+    """
     path = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +143,7 @@ def pack(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str =
         waiting: list[tuple[int, np.ndarray]] = []
         held = 0
         for whole in batches:
-            for b in pieces(iter([whole]), BATCH_BYTES, "text"):
+            for b in pieces(iter([whole]), batch_bytes, "text"):
                 for k, ids in zip(b.column("doc_id").to_pylist(), e.encode(b.column("text")), strict=True):
                     waiting.append((k, np.append(ids, e.dtype.type(END_ID))))
                     held += len(ids) + 1
