@@ -165,6 +165,14 @@ def test_listing_and_sound(spark, tmp_path):
     assert (p["channels"], p["frames"], p["peak"]) == (2, 2, 1.0)
 
 
+def test_sound_formats_and_broken_files(spark):
+    head = lambda form, bits, data: b"RIFF\0\0\0\0WAVEfmt " + struct.pack("<IHHIIHH", 16, form, 1, 8000, 8000 * bits // 8, bits // 8, bits) + b"data" + struct.pack("<I", len(data)) + data
+    files_ = [("a", head(1, 24, b"\0\0\x40" + b"\0\0\xc0")), ("b", head(1, 16, struct.pack("<hh", 16384, -16384))), ("c", head(1, 8, b"\0\0")), ("d", b"no sound"), ("e", head(1, 16, b"\0")), ("f", None)]
+    out = pcm.frames(spark.createDataFrame(files_, "path string, content binary")).collect()
+    assert [(r["path"], r["frame"], r["value"]) for r in out if r["error"] is None] == [("a", 0, 0.5), ("a", 1, -0.5), ("b", 0, 0.5), ("b", 1, -0.5)]
+    assert {r["path"] for r in out if r["error"]} == {"c", "d", "e", "f"}
+
+
 def test_adoption_needs_one_record_and_a_gone_path(spark):
     cols = "id int, path string, volume int, file int, digest string"
     records = spark.createDataFrame([(1, "old", 1, 10, "d"), (2, "kept", 1, 11, "e"), (3, "c1", 1, 12, "f"), (4, "c2", 1, 12, "f")], cols)
