@@ -11,7 +11,6 @@ is in proportion to the postings of its words, not to the texts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -27,20 +26,13 @@ from lumencat.operators.storage import scratch, stored
 BATCH_ROWS = 1000
 
 
-@dataclass(frozen=True)
 class Index:
-    """An index that lies in a folder."""
+    """An index that lies in a folder. Its tables are opened once."""
 
-    spark: SparkSession
-    path: str
-
-    @property
-    def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
-
-    @property
-    def vocabulary(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/vocabulary")
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = path
+        self.postings: DataFrame = spark.read.parquet(f"{path}/postings")
+        self.vocabulary: DataFrame = spark.read.parquet(f"{path}/vocabulary")
 
 
 def _post(key_type: pa.DataType, fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
