@@ -220,7 +220,7 @@ def lay_out(speakers: Speakers, key: int | None, said: list[tuple[str, str]], fi
 
 
 def numbered(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, number): distinct turns with their number from 0 in the conversation's order."""
+    """(conv_id, turn, role, text, number, single): distinct turns with their number from 0 in the conversation's order; single: all are one part."""
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = ["conv_id", "turn", "role", "text"]
     ranged = c.distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
@@ -228,12 +228,13 @@ def numbered(conversations: DataFrame) -> DataFrame:
     # of each range and conversation the first place and how many: a few rows a conversation, however long
     sizes = ranged.groupBy("conv_id", "range").agg(F.min("place").alias("least"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(F.col("conv_id").alias("c"), F.col("range").alias("r"), "least", before.alias("before"))
-    return ranged.join(sizes, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r"))).select(*order, (F.col("before") + F.col("place") - F.col("least")).alias("number"))
+    single = F.sum("n").over(Window.partitionBy("conv_id")) <= PART_TURNS
+    sizes = sizes.select(F.col("conv_id").alias("c"), F.col("range").alias("r"), "least", before.alias("before"), single.alias("single"))
+    return ranged.join(sizes, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r"))).select(*order, (F.col("before") + F.col("place") - F.col("least")).alias("number"), "single")
 
 
 def transcripts(conversations: DataFrame, speakers: Speakers, missing: int = MISSING) -> DataFrame:
-    """(conv_id, part, transcript, states array<int>): raw transcripts laid out from turns whose roles are known."""
+    """(conv_id, part, transcript, states array<int>, single): raw transcripts laid out from turns whose roles are known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -244,11 +245,11 @@ def transcripts(conversations: DataFrame, speakers: Speakers, missing: int = MIS
                     lines, states = lay_out(speakers, key, [(s["role"], s["text"]) for s in said], part * PART_TURNS, missing)
                     raw.append("\n".join(lines))
                     true.append(states)
-                yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("part"), pa.array(raw, pa.string()), pa.array(true, pa.list_(pa.int32()))], ["conv_id", "part", "transcript", "states"])
+                yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("part"), pa.array(raw, pa.string()), pa.array(true, pa.list_(pa.int32())), b.column("single")], ["conv_id", "part", "transcript", "states", "single"])
 
     part = F.floor(F.col("number") / PART_TURNS).cast("long").alias("part")
-    parts = numbered(conversations).groupBy("conv_id", part).agg(F.array_sort(F.collect_list(F.struct("number", "role", "text"))).alias("said"))
-    return parts.mapInArrow(run, "conv_id long, part long, transcript string, states array<int>")
+    parts = numbered(conversations).groupBy("conv_id", part).agg(F.array_sort(F.collect_list(F.struct("number", "role", "text"))).alias("said"), F.bool_and("single").alias("single"))
+    return parts.mapInArrow(run, "conv_id long, part long, transcript string, states array<int>, single boolean")
 
 
 def _lines(transcript: str | None) -> list[str]:
@@ -256,7 +257,13 @@ def _lines(transcript: str | None) -> list[str]:
 
 
 def with_context(raw: DataFrame, speakers: Speakers) -> DataFrame:
-    """raw (conv_id, part, transcript, ...) with ``worded`` (of the whole conversation), ``before`` (what precedes the part) and ``single``."""
+    """raw (conv_id, part, transcript, ...) with ``worded`` (of the whole conversation), ``before`` (what precedes the part) and ``single``.
+
+    Rows that are told to be a whole conversation (single) are left as they are, with null: what reads them sees all itself.
+    """
+    if "single" in raw.columns:
+        whole = raw.where("single").withColumns({"worded": F.lit(None).cast("boolean"), "before": F.lit(0)})
+        return whole.unionByName(with_context(raw.where("not single").drop("single"), speakers))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -279,7 +286,8 @@ def fit(labelled: DataFrame, speakers: Speakers) -> Model:
         for b in batches:
             for raw, states, worded, first in zip(*(b.column(c).to_pylist() for c in ("transcript", "states", "worded", "before")), strict=True):
                 before = None
-                for seen, s in zip(speakers.observations(raw.split("\n"), worded, first), states, strict=True):
+                lines = raw.split("\n")
+                for seen, s in zip(speakers.observations(lines, speakers.worded(lines) if worded is None else worded, first), states, strict=True):
                     if s >= 0:
                         for f, v in zip(FEATURES, seen, strict=True):
                             counts[f, s, v] = counts.get((f, s, v), 0) + 1
@@ -290,7 +298,7 @@ def fit(labelled: DataFrame, speakers: Speakers) -> Model:
                     before = s
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array([k[2] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["kind", "a", "b", "n"])
 
-    rows = with_context(labelled.select("conv_id", "part", "transcript", "states"), speakers)
+    rows = with_context(labelled.select("conv_id", "part", "transcript", "states", *(["single"] if "single" in labelled.columns else [])), speakers)
     sums = rows.select("transcript", "states", "worded", "before").mapInArrow(run, "kind string, a int, b int, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
     return Model(speakers, {(r["kind"], r["a"], r["b"]): r["n"] for r in sums.collect()})
 
@@ -346,6 +354,7 @@ def parse(raw: DataFrame, model: Model) -> DataFrame:
                 b = whole.slice(lo, 1000)
                 own = {c: b.column(c).to_pylist() for c in ("conv_id", "transcript", "states", "worded", "before", "enter", "leave")}
                 lines = [_lines(t) for t in own["transcript"]]
+                own["worded"] = [speakers.worded(x) if w is None else w for x, w in zip(lines, own["worded"], strict=True)]
                 seen = [speakers.observations(x, w, f) for x, w, f in zip(lines, own["worded"], own["before"], strict=True)]
                 paths = model.viterbi(seen, [(-1 if e is None else e, -1 if v is None else v) for e, v in zip(own["enter"], own["leave"], strict=True)])
                 found = [turns(speakers, x, p, w) if p else [] for x, p, w in zip(lines, paths, own["worded"], strict=True)]
@@ -364,17 +373,22 @@ def parse(raw: DataFrame, model: Model) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _PARSED.split(", ")])
 
-    rows = with_context(raw.select("conv_id", "part", "transcript", "states"), speakers)
+    names = [f.split()[0] for f in _PARSED.split(", ")]
+    rows = with_context(raw.select("conv_id", "part", "transcript", "states", *(["single"] if "single" in raw.columns else [])), speakers)
+    free = {"enter": F.lit(-1), "leave": F.lit(-1)}
+    close = F.when(F.col("first_place").isNull(), F.col("rendered")).otherwise(F.concat("rendered", F.lit("<|end|>\n")))
+    alone = rows.where("single").withColumns(free).drop("single").mapInArrow(run, _PARSED).withColumn("rendered", close)
+
     ends = ends_of_parts(rows, model)
-    met = rows.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("part").eqNullSafe(F.col("p")), "left").drop("c", "p", "single")
-    parsed = met.mapInArrow(run, _PARSED)
+    met = rows.where("not single").join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("part").eqNullSafe(F.col("p"))).drop("c", "p", "single")
+    places = stored(met.mapInArrow(run, _PARSED), "parsed")
     # a part's last turn is closed unless the next part's first line goes on with it
     after = F.first("first_place", True).over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(1, Window.unboundedFollowing))
-    places = stored(parsed, "parsed")
     next_ = places.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), after.alias("after"))
     joined = places.join(next_, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("part").eqNullSafe(F.col("p")))
-    closed = F.when(F.col("first_place").isNull() | F.coalesce(F.col("after") == "later", F.lit(False)), F.col("rendered")).otherwise(F.concat("rendered", F.lit("<|end|>\n")))
-    return joined.withColumn("rendered", closed).select(*[f.split()[0] for f in _PARSED.split(", ")][:-1])
+    open_ = F.coalesce(F.col("after") == "later", F.lit(False))
+    several = joined.withColumn("rendered", F.when(open_, F.col("rendered")).otherwise(close)).select(*names)
+    return alone.unionByName(several).select(*names[:-1])
 
 
 def is_held_out(key: int | None) -> bool:
