@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lumencat.llm.chunk_store import op8_content_store
+from lumencat.llm.collocations import OP12_SQL, op12_prefix_collocations
 from lumencat.llm.hamming_search import OP6_SQL, op6_multi_index_hamming
 from lumencat.llm.language_id import op9_cross_parsing_language
 from lumencat.llm.line_dedup import op2_line_dedup
@@ -28,7 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_content_store": op8_content_store,
     "op9_cross_parsing_language": op9_cross_parsing_language,
     "op10_hmm_transcripts": op10_hmm_transcripts,
+    "op12_prefix_collocations": op12_prefix_collocations,
 }
 
 #: The others pack, hash, parse or encode in ways that SQL cannot express; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op6_multi_index_hamming": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_multi_index_hamming": OP6_SQL, "op12_prefix_collocations": OP12_SQL}
