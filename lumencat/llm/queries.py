@@ -13,8 +13,10 @@ from lumencat.llm.language_id import op9_cross_parsing_language
 from lumencat.llm.line_dedup import op2_line_dedup
 from lumencat.llm.media import op1_webp_media
 from lumencat.llm.near_dedup import op4_minmax_near_dedup
+from lumencat.llm.outliers import op11_robust_outliers
 from lumencat.llm.packing import op3_dp_packing
 from lumencat.llm.piece_bpe import op7_piece_bpe
+from lumencat.llm.spelling import op13_spelling_variants
 from lumencat.llm.transcripts import op10_hmm_transcripts
 from lumencat.llm.warc import op5_warc_captures
 
@@ -29,7 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_content_store": op8_content_store,
     "op9_cross_parsing_language": op9_cross_parsing_language,
     "op10_hmm_transcripts": op10_hmm_transcripts,
+    "op11_robust_outliers": op11_robust_outliers,
     "op12_prefix_collocations": op12_prefix_collocations,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: The others pack, hash, parse or encode in ways that SQL cannot express; tests hold them against brute force.
