@@ -114,18 +114,18 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), text.alias("text"))
 
 
-def _slot(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word and bit of a hash in the bit table."""
-    bit = h & np.int64((1 << FILTER_BITS) - 1)
-    return bit >> np.int64(6), bit & np.int64(63)
+def _in_table(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Of each hash whether its bit is set; the table's size is a power of two."""
+    bit = h & np.int64(64 * len(bits) - 1)
+    return (bits[bit >> np.int64(6)] >> (bit & np.int64(63))) & 1 == 1
 
 
-def bit_table(words: DataFrame) -> np.ndarray:
-    """The hashes of words as a table of 2**FILTER_BITS bits, whatever their number."""
-    bit = F.col("hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+def bit_table(words: DataFrame, filter_bits: int = FILTER_BITS) -> np.ndarray:
+    """The hashes of words as a table of 2**filter_bits bits, whatever their number."""
+    bit = F.col("hash").bitwiseAND(F.lit((1 << filter_bits) - 1))
     one = F.expr("shiftleft(1L, cast(hash & 63 as int))")
     rows = words.groupBy(F.shiftright(bit, 6).cast("int").alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out = np.zeros(1 << (filter_bits - 6), np.int64)
     out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
     return out
 
@@ -138,8 +138,7 @@ def _pointers(batches: Iterator[pa.RecordBatch], seed: int, bits: Broadcast, hot
             words, frequent, parts = held.pop(lang, None) or (_Words(lang, seed), np.zeros(0, bool), np.zeros(0, np.int64))
             ids = words.numbers(texts)
             new = words.hashes[len(frequent) :]
-            at, bit = _slot(new)
-            frequent = np.concatenate([frequent, (bits.value[at] >> bit) & 1 == 1])
+            frequent = np.concatenate([frequent, _in_table(new, bits.value)])
             frequent[0] = False
             parts = np.concatenate([parts, np.array([hot.value.get(h, 1) for h in new.tolist()], np.int64)])
             if len(words.list) <= LOCAL_WORDS:
@@ -234,11 +233,11 @@ def frequent_words(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, i
     raise ValueError("frequent words of equal hash under every seed")
 
 
-def grow_phrases(docs: DataFrame, words: DataFrame, n_words: int, seed: int, least: int = MIN_COUNT, depth: int = MAX_WORDS) -> DataFrame:
+def grow_phrases(docs: DataFrame, words: DataFrame, n_words: int, seed: int, least: int = MIN_COUNT, depth: int = MAX_WORDS, hot_share: int = HOT_SHARE, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(ids array<long>, a): phrases of two to ``depth`` frequent words, as their words' hashes, that occur ``least`` times."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(bit_table(words))
-    part = max(1, n_words // HOT_SHARE)
+    bits = spark.sparkContext.broadcast(bit_table(words, filter_bits))
+    part = max(1, n_words // hot_share)
     hot = {r["hash"]: -(-r["n"] // part) for r in words.where(F.col("n") > part).select("hash", "n").toLocalIterator()}
     shares = spark.sparkContext.broadcast(hot)
     keys = [f"k{i}" for i in range(depth)]
@@ -249,22 +248,26 @@ def grow_phrases(docs: DataFrame, words: DataFrame, n_words: int, seed: int, lea
     return found.groupBy("ids").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
-def collocations(docs: DataFrame, least: int = MIN_COUNT, depth: int = MAX_WORDS, cover_per_cent: int = COVER_PER_CENT) -> DataFrame:
+def score_of(a: str, l: str, r: str) -> Column:  # noqa: E741
+    """floor(1000000 * a * a / (l * r)) in decimals of 38 digits, for counts below 10**16."""
+    return F.expr(f"(1000000 * (cast({a} as decimal(16,0)) * cast({a} as decimal(16,0)))) div (cast({l} as decimal(18,0)) * cast({r} as decimal(18,0)))").cast("long")
+
+
+def collocations(docs: DataFrame, least: int = MIN_COUNT, depth: int = MAX_WORDS, cover_per_cent: int = COVER_PER_CENT, hot_share: int = HOT_SHARE, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Scored phrases (lang, phrase, a, l, r, n, score): the cut that binds least counts; covered phrases are left out.
 
     ``docs`` has text and lang. A phrase is covered if a longer frequent one that holds it has cover_per_cent of its count.
     """
     words, totals, seed = frequent_words(docs, least)
     n_words = totals.agg(F.sum("n")).first()[0] or 0
-    phrases = stored(grow_phrases(docs, words, n_words, seed, least, depth), "phrases")
+    phrases = stored(grow_phrases(docs, words, n_words, seed, least, depth, hot_share, filter_bits), "phrases")
     counts = phrases.unionByName(words.select(F.array("hash").alias("ids"), F.col("n").alias("a")))
 
     length = F.size("ids")
     cuts = phrases.select("ids", "a", F.explode(F.sequence(F.lit(1), length - 1)).alias("k"))
     cuts = cuts.select("ids", "a", "k", F.slice("ids", 1, F.col("k")).alias("left"), F.slice("ids", F.col("k") + 1, length - F.col("k")).alias("right"))
     cuts = cuts.join(counts.select(F.col("ids").alias("left"), F.col("a").alias("l")), "left").join(counts.select(F.col("ids").alias("right"), F.col("a").alias("r")), "right")
-    bound = F.expr("cast(1000000 * (cast(a as decimal(15,0)) * cast(a as decimal(15,0))) as decimal(38,0)) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))")
-    best = cuts.withColumn("score", bound.cast("long")).groupBy("ids", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    best = cuts.withColumn("score", score_of("a", "l", "r")).groupBy("ids", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
 
     # the proper parts of two words and more of each phrase, with the largest count of a phrase that holds them
     spans = F.expr("flatten(transform(sequence(2, size(ids) - 1), m -> transform(sequence(1, size(ids) - m + 1), i -> slice(ids, i, m))))")
