@@ -23,11 +23,14 @@ def enqueued(jobs: DataFrame, requests: DataFrame, selection: Sequence[str]) ->
 
 
 def renewed(jobs: DataFrame, owners: DataFrame, now: Column, lease: Column) -> DataFrame:
-    """Running jobs of the given owners (id, attempts) whose lease still holds get a new one; a stale owner, of an earlier attempt, gets none."""
-    mine = owners.select("id", F.col("attempts").alias("_attempt"))
-    j = jobs.join(mine, "id", "left")
-    holds = F.coalesce((F.col("state") == "running") & (F.col("_attempt") == F.col("attempts")) & (F.col("lease_until") > now), F.lit(False))
-    return j.withColumn("lease_until", F.when(holds, now + lease).otherwise(F.col("lease_until"))).drop("_attempt")
+    """Running jobs of the given owners (id, attempts) whose lease still holds get a new one; a stale owner, of an earlier attempt, gets none.
+
+    An owner that asks twice renews once.
+    """
+    mine = owners.select("id", "attempts").distinct().withColumn("_mine", F.lit(True))
+    j = jobs.join(mine, ["id", "attempts"], "left").select(*jobs.columns, "_mine")
+    holds = F.coalesce((F.col("state") == "running") & F.col("_mine") & (F.col("lease_until") > now), F.lit(False))
+    return j.withColumn("lease_until", F.when(holds, now + lease).otherwise(F.col("lease_until"))).drop("_mine")
 
 
 def recovered(jobs: DataFrame, now: Column, most: int) -> DataFrame:

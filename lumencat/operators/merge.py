@@ -5,10 +5,14 @@ Each gives the next state or the outcome of each change; writing the result is o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from lumencat.operators.actions import Folded, State, compare_and_swap, folded
+from lumencat.operators.storage import stored
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], update: Sequence[str]) -> DataFrame:
@@ -86,10 +90,42 @@ def saved(current: DataFrame, incoming: DataFrame, key: str, value: str, most: i
     return old.unionByName(taken.withColumn("outcome", F.lit("created"))).unionByName(rest.select(key, F.lit(None).cast(current.schema[value].dataType).alias(value), F.lit("full").alias("outcome")))
 
 
-def published(old: DataFrame, staged: DataFrame, current: DataFrame, folder: str, expected: int) -> DataFrame:
-    """Rows of each folder's snapshot with ``committed``: the staged ones where the folder's revision (folder, revision) is the expected, else the old ones."""
-    fence = current.select(folder, (F.col("revision") == expected).alias("committed"))
-    return staged.join(fence.where("committed"), folder).unionByName(old.join(fence.where("not committed"), folder))
+def fenced_folders(staged: DataFrame, current: DataFrame, folder: str, revision: str = "revision", expected: str = "expected") -> DataFrame:
+    """(folder, revision, committed) of the staged folders (folder, expected): a commit holds if the expected revision is the current one, 0 for a folder that is not there.
+
+    A folder staged twice with different expectations holds where one of them does.
+    """
+    now = current.groupBy(folder).agg(F.max(revision).alias("_now"))
+    j = staged.select(folder, expected).distinct().join(now, folder, "left")
+    holds = F.col(expected) == F.coalesce("_now", F.lit(0))
+    return j.groupBy(folder).agg(F.coalesce(F.max("_now"), F.lit(0)).alias(revision), F.bool_or(holds).alias("committed"))
+
+
+def publish(staged: DataFrame, path: str, folder: str, order: str, revision: str = "revision", expected: str = "expected", salt: int = 16) -> DataFrame:
+    """Writes whole snapshots of folders (folder, expected, entries) into the table at ``path``; gives (folder, revision, committed).
+
+    The table is partitioned by folder and only the folders whose fence holds are overwritten, by Spark's dynamic partition overwrite:
+    new folders appear, others stay as they are, and a stale writer changes nothing. A folder's rows are dealt out by ``order``,
+    so a large folder is written by several tasks. Give it to ``foreachBatch`` for a stream of snapshots.
+    """
+    spark = staged.sparkSession
+    rows = stored(staged, "staged")
+    fence = stored(fenced_folders(rows, table_at(spark, path, rows.drop(expected), folder, revision), folder, revision, expected), "fence")
+    new = rows.join(fence.where("committed").select(folder, F.col(revision).alias("_now")), folder).withColumn(revision, F.col("_now") + 1).drop("_now", expected)
+    if new.head(1):
+        spread = new.repartition(folder, F.pmod(F.xxhash64(order), F.lit(salt)))
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(folder).parquet(path)
+    return fence
+
+
+def table_at(spark: SparkSession, path: str, like: DataFrame, folder: str, revision: str) -> DataFrame:
+    """The published table, with the columns of ``like`` and the revision; empty before anything is published."""
+    fields = [f for f in like.schema.fields if f.name not in (folder, revision)]
+    schema = StructType([*fields, StructField(revision, LongType()), like.schema[folder]])
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def patched_tags(tags: Column, add: Column, remove: Column) -> Column:
@@ -99,10 +135,17 @@ def patched_tags(tags: Column, add: Column, remove: Column) -> Column:
     return F.concat(kept, F.filter(F.array_distinct(add), lambda t: ~F.array_contains(low(kept), F.lower(t))))
 
 
-def undo(current: DataFrame, entries: DataFrame, key: str, revision: str, value: str) -> DataFrame:
-    """Reverses log entries (key, after, before_value) whose row still has the revision that the action left."""
-    j = current.join(entries.select(key, F.col("after").alias(revision), F.col("before_value").alias("_old"), F.lit(True).alias("_undo")), [key, revision], "left")
-    return j.select(*[F.when(F.col("_undo"), F.col("_old")).otherwise(F.col(c)).alias(c) if c == value else (F.col(c) + F.when(F.col("_undo"), 1).otherwise(0)).alias(c) if c == revision else F.col(c) for c in current.columns])
+def undo(current: DataFrame, entries: DataFrame, key: str, revision: str, values: Sequence[str], order: Sequence[str] = ("at",)) -> Folded:
+    """Reverses log entries (key, after, ``before_<value>`` of each value, order) whose row still has the revision that their action left.
+
+    Entries of one row are taken in their order: the first that fits reverses its action and raises the revision, so that another
+    entry for the same revision is a conflict. A value that an entry leaves out (a struct column that is null) stays.
+    """
+
+    def change(row: State, entry: dict) -> State:
+        return row | {v: entry[f"before_{v}"]["value"] for v in values if entry[f"before_{v}"] is not None}
+
+    return folded(current, entries, key, order, compare_and_swap(change, revision, "after"), revision)
 
 
 def mark_missing(rows: DataFrame, seen: DataFrame, keys: Sequence[str], status: str, complete: bool = True) -> DataFrame:
@@ -128,11 +171,6 @@ def idempotent(requests: DataFrame, keys: Sequence[str], arguments: str, order:
     return j.withColumn("outcome", why).drop("_first")
 
 
-def refreshed(index: DataFrame, changed: DataFrame, key: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """An index whose rows of the changed keys are built anew and whose others are kept."""
-    return index.join(changed.select(key).distinct(), key, "left_anti").unionByName(build(changed))
-
-
 def change_counts(changes: DataFrame, by: str) -> DataFrame:
     """(by, n): how many changes each source has pending."""
     return changes.groupBy(by).agg(F.count("*").alias("n"))

@@ -4,8 +4,8 @@
                  word's rows are read by themselves, and a frequent word is several files
     vocabulary/  word, field, documents, positions (how many)
 
-Built once from token arrays, read by any number of searches: conditions on words reach the Parquet scan. A search's work
-is in proportion to the postings of its words, not to the texts.
+Built from token arrays, read by any number of searches: conditions on words reach the Parquet scan. A search's work
+is in proportion to the postings of its words, not to the texts. An index that changes is made of such parts: ``segments``.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lumencat.functions.interpret import PREFIX, Clause
 from lumencat.functions.text import ACCENTED, PLAIN, deaccent
-from lumencat.operators.storage import scratch, stored
+from lumencat.operators.storage import stored
 
 BATCH_ROWS = 1000
 
@@ -58,31 +58,25 @@ def _post(key_type: pa.DataType, fields: Sequence[str]) -> Callable[[Iterator[pa
     return run
 
 
-def write_index(tokens: DataFrame, fields: Sequence[str], path: str) -> None:
-    """Writes the index of documents (id, and an array of tokens for each field); nulls are empty."""
+def posted(tokens: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(word, field, id, positions) of documents (id, and an array of tokens for each field); nulls are empty."""
     arrays = [F.coalesce(F.col(f), F.array().cast("array<string>")).alias(f) for f in fields]
     kind = tokens.schema["id"].dataType.simpleString()
     key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    rows = stored(tokens.select("id", *arrays).mapInArrow(_post(key_type, list(fields)), f"word string, field string, id {kind}, positions array<int>"), "postings")
-    rows = rows.select(deaccent(F.col("word")).alias("flat"), "*")
-    rows.repartitionByRange("flat", "word", "id").sortWithinPartitions("flat", "word", "field", "id").write.parquet(f"{path}/postings")
-    posted = tokens.sparkSession.read.parquet(f"{path}/postings")
-    posted.groupBy("word", "field").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("positions")).write.parquet(f"{path}/vocabulary")
-
-
-_kept: dict[tuple[str, str, str], tuple[str, Index]] = {}
-
-
-def index_of(spark: SparkSession, name: str, table: str, make: Callable[[], DataFrame], fields: Sequence[str]) -> Index:
-    """The session's index of a table's files: built when first asked for, and again when a file has changed."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(table).select("path", "length", "modificationTime")
-    stamp = str(tuple(files.agg(F.count("*"), F.sum("length"), F.max("modificationTime"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()))
-    key = (spark.sparkContext.applicationId, name, table)
-    if key not in _kept or _kept[key][0] != stamp:
-        path = scratch(spark, f"index-{name}")
-        write_index(make(), fields, path)
-        _kept[key] = (stamp, Index(spark, path))
-    return _kept[key][1]
+    return tokens.select("id", *arrays).mapInArrow(_post(key_type, list(fields)), f"word string, field string, id {kind}, positions array<int>")
+
+
+def write_postings(rows: DataFrame, path: str) -> None:
+    """Writes posting rows below path, in ranges of (flat, word, id)."""
+    kept = stored(rows, "postings").select(deaccent(F.col("word")).alias("flat"), "*")
+    kept.repartitionByRange("flat", "word", "id").sortWithinPartitions("flat", "word", "field", "id").write.parquet(f"{path}/postings")
+
+
+def write_index(tokens: DataFrame, fields: Sequence[str], path: str) -> None:
+    """Writes the index of documents as one that does not change."""
+    write_postings(posted(tokens, fields), path)
+    rows = tokens.sparkSession.read.parquet(f"{path}/postings")
+    rows.groupBy("word", "field").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("positions")).write.parquet(f"{path}/vocabulary")
 
 
 def of_words(index: Index, words: Sequence[str], prefixes: Sequence[str] = (), fields: Sequence[str] = (), accents: bool = True) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumencat.operators.actions import Folded, State, compare_and_swap, folded
+
 
 def searchable_text(policy: str, settings: Column, prompt: Column) -> Column:
     """By policy: nothing, settings only, or prompts, from which local paths are dropped."""
@@ -27,17 +31,18 @@ def redacted(df: DataFrame, share: dict[str, bool]) -> DataFrame:
     return out.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c, ok in share.items() if not ok})
 
 
-def confirmed(current: DataFrame, edits: DataFrame, key: str) -> DataFrame:
-    """Rows (key, revision, origin, parser, digest, sidecar) after confirmations, with ``outcome``.
+def confirmed(current: DataFrame, edits: DataFrame, key: str, order: Sequence[str] = ("at",)) -> Folded:
+    """Rows (key, revision, origin, parser, digest, sidecar) after confirmations, taken one after the other, and their outcomes.
 
     A confirmation holds for what it saw: the revision, else it is a conflict; then the parser, the content's digest and
-    the sidecar's revision that the values were read with, of which the first that differs is the outcome.
+    the sidecar's revision that the values were read with, of which the first that differs is the outcome. One that holds
+    raises the revision, so that a second one of the same revision is a conflict.
     """
-    j = current.join(edits, key, "left")
-    asked = F.col("expected_revision").isNotNull()
-    why = F.when(~asked, "kept").when(F.col("expected_revision") != F.col("revision"), "conflict")
-    for c in ("parser", "digest", "sidecar"):
-        why = why.when(~F.col(f"expected_{c}").eqNullSafe(F.col(c)), c)
-    out = j.withColumn("outcome", why.otherwise("applied"))
-    done = F.col("outcome") == "applied"
-    return out.withColumns({"origin": F.when(done, "confirmed").otherwise(F.col("origin")), "revision": F.col("revision") + F.when(done, 1).otherwise(0)})
+
+    def change(row: State, edit: dict) -> State | str:
+        for c in ("parser", "digest", "sidecar"):
+            if edit[f"expected_{c}"] != row[c]:
+                return c
+        return row | {"origin": "confirmed"}
+
+    return folded(current, edits, key, order, compare_and_swap(change, expected="expected_revision"))

@@ -9,15 +9,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset and the master is local a temporary one is set for the session."""
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where that is unset and the master is local a temporary folder is set for the session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lumencat-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lumencat-{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_root(spark)}/lumencat-{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

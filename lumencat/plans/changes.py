@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -169,19 +171,51 @@ def image_headers(spark: SparkSession, d: str) -> DataFrame:
     return Tables(spark, d).part.select("p_partkey", images.image_header(content).alias("h")).select("p_partkey", "h.format", "h.width", "h.height", "h.alpha", "h.orientation")
 
 
-@query("SRC-13", "select p_partkey, p_name as prompt, p_brand as model, cast(p_size as varchar) as seed, p_type as kind, case when p_partkey % 2 = 0 then 'png_text' else 'webp_exif' end as container, p_partkey % 2 = 1 as tool from part")
+@query(
+    "SRC-13",
+    "select p_partkey, case p_partkey % 5 when 3 then case when p_size % 2 = 0 then p_name end when 4 then null else p_name end as prompt, case when p_partkey % 5 < 4 then p_brand end as model, case when p_partkey % 5 < 4 then cast(p_size as varchar) end as seed, case when p_partkey % 5 < 2 then p_type end as kind, "
+    "case p_partkey % 5 when 0 then 'png_text' when 1 then 'webp_exif' when 4 then 'jpeg_xmp' else 'png_text' end as container, p_partkey % 5 in (1, 4) as tool, case when p_partkey % 5 in (2, 3) then case when p_size % 3 = 0 then 'soft ' || p_size else '' end else '' end as loras, case when p_partkey % 5 = 4 then 'trainedAlgorithmicMedia' end as source_type from part",
+)
 def embedded_metadata(spark: SparkSession, d: str) -> DataFrame:
-    """Settings texts in PNG chunks and in EXIF comments of WebP files, extracted again."""
+    """Metadata written into files of five kinds and extracted again: settings texts in PNG and WebP, node graphs in PNG, XMP in JPEG.
+
+    In a graph of the second kind the prompt's link may lead to a node without a text, behind which another text stands:
+    the prompt is unknown then. Files that lie beside the model chain are not those that were used.
+    """
     said = F.concat(F.col("p_name"), F.lit("\nSteps: 20, Seed: "), F.col("p_size").cast("string"), F.lit(", Model: "), F.col("p_brand"), F.lit(', Kind: "'), F.col("p_type"), F.lit('"'))
 
+    def graph(name: str, brand: str, size: int, far: bool) -> str:
+        nodes = {
+            "sampler": {"class_type": "KSamplerAdvanced", "inputs": {"noise_seed": size, "positive": ["joined", 0], "model": ["layer", 0]}},
+            "joined": {"class_type": "Join", "inputs": {"conditioning": ["mark", 0]} if far else {"text": name, "conditioning": ["mark", 0]}},
+            "mark": {"class_type": "Encode", "inputs": {"text": "watermark label"}},
+            "layer": {"class_type": "Layer", "inputs": {"model": ["loader", 0]} | ({"lora_name": f"soft {size}"} if size % 3 == 0 else {})},
+            "loader": {"class_type": "Loader", "inputs": {"ckpt_name": brand}},
+            "unused": {"class_type": "Layer", "inputs": {"lora_name": "unused", "model": ["loader", 0]}},
+            "preview": {"class_type": "KSamplerPreview", "inputs": {"seed": 1}},
+        }
+        return json.dumps(nodes)
+
     def pack(batches):
         for b in batches:
-            content = [generation_files.png_with_text(t) if k % 2 == 0 else generation_files.webp_with_comment(t, "a tool") for k, t in zip(b.column("p_partkey").to_pylist(), b.column("said").to_pylist(), strict=True)]
+            content = []
+            for r in b.to_pylist():
+                kind = r["p_partkey"] % 5
+                if kind == 0:
+                    content.append(generation_files.png_with_text(r["said"]))
+                elif kind == 1:
+                    content.append(generation_files.webp_with_comment(r["said"], "a tool"))
+                elif kind == 4:
+                    content.append(generation_files.jpeg_with_xmp("trainedAlgorithmicMedia", "a tool"))
+                else:
+                    content.append(generation_files.png_with_text(graph(r["p_name"], r["p_brand"], r["p_size"], kind == 3 and r["p_size"] % 2 == 1), "prompt"))
             yield pa.RecordBatch.from_arrays([b.column("p_partkey"), pa.array(content, pa.binary())], ["p_partkey", "content"])
 
-    packed = Tables(spark, d).part.select(F.col("p_partkey").cast("long").alias("p_partkey"), said.alias("said")).mapInArrow(pack, "p_partkey long, content binary")
-    g = packed.select("p_partkey", generation.generation_metadata("content").alias("g")).select("p_partkey", F.element_at("g.claims", 1).alias("c"), F.exists("g.claims", lambda c: c["generator"].eqNullSafe("a tool")).alias("tool"))
-    return g.select("p_partkey", "c.prompt", "c.model", "c.seed", F.element_at("c.settings", "Kind").alias("kind"), "c.container", "tool")
+    rows = Tables(spark, d).part.select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", "p_brand", F.col("p_size").cast("int").alias("p_size"), said.alias("said"))
+    g = rows.mapInArrow(pack, "p_partkey long, content binary").select("p_partkey", generation.generation_metadata("content").alias("g"))
+    g = g.select("p_partkey", F.element_at("g.claims", 1).alias("c"), F.exists("g.claims", lambda c: c["generator"].eqNullSafe("a tool")).alias("tool"))
+    loras = F.array_join(F.transform(F.filter("c.references", lambda r: r["kind"] == "lora"), lambda r: r["value"]), ",")
+    return g.select("p_partkey", "c.prompt", "c.model", "c.seed", F.element_at("c.settings", "Kind").alias("kind"), "c.container", "tool", F.coalesce(loras, F.lit("")).alias("loras"), F.col("c.digital_source_type").alias("source_type"))
 
 
 @query("SRC-14", "select p_partkey, p_name as prompt, 'blurry' as negative_prompt, '7' as cfg from part")
@@ -317,11 +351,26 @@ def bulk_apply(spark: SparkSession, d: str) -> DataFrame:
     return edits.join(changed, "doc_id", "left").groupBy("outcome").agg(F.count("*").alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("written"))
 
 
-@query("SNK-07", "select doc_id, case when doc_id % 6 = 0 then 'before' else lang end as lang, case when doc_id % 6 = 0 then doc_id % 4 + 1 else doc_id % 4 end as revision from documents")
+# an undo log of documents: four entries a document in the worst case, two of them for one revision
+_UNDO = "(select doc_id, doc_id % 4 + case n when 2 then 0 when 3 then 1 when 4 then 7 else 0 end as after, n as pos, 'was ' || n as value from documents, (values (1), (2), (3), (4)) s(n) where doc_id % 3 <> 2 and (doc_id + n) % 5 <> 0)"
+
+
+@query(
+    "SNK-07",
+    f"with recursive log as {_UNDO}, walk as (select doc_id, lang, doc_id % 4 as revision, 0 as pos, cast(null as varchar) as outcome from documents union all "
+    "select w.doc_id, case when l.after = w.revision then l.value else w.lang end, w.revision + case when l.after = w.revision then 1 else 0 end, l.pos, case when l.after = w.revision then 'applied' else 'conflict' end "
+    "from walk w join log l on l.doc_id = w.doc_id and l.pos > w.pos and not exists (select 1 from log e where e.doc_id = w.doc_id and e.pos > w.pos and e.pos < l.pos)) "
+    "select doc_id, max_by(lang, pos) as lang, max_by(revision, pos) as revision, count(*) filter (outcome = 'applied') as applied, count(*) filter (outcome = 'conflict') as conflicts from walk group by doc_id",
+)
 def undo_log(spark: SparkSession, d: str) -> DataFrame:
+    """An undo log replayed: of two entries for one revision the first reverses, the second is a conflict, and one for the revision after that reverses again."""
     now = Tables(spark, d).documents.select("doc_id", "lang", (F.col("doc_id") % 4).alias("revision"))
-    entries = now.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("revision")).otherwise(F.col("revision") + 7).alias("after"), F.lit("before").alias("before_value"))
-    return merge.undo(now, entries, "doc_id", "revision", "lang")
+    n = F.explode(F.sequence(F.lit(1), F.lit(4)))
+    each = now.where("doc_id % 3 <> 2").select("doc_id", "revision", n.alias("at")).where((F.col("doc_id") + F.col("at")) % 5 != 0)
+    entries = each.select("doc_id", "at", (F.col("revision") + F.when(F.col("at") == 3, 1).when(F.col("at") == 4, 7).otherwise(0)).alias("after"), F.struct(F.concat(F.lit("was "), F.col("at").cast("string")).alias("value")).alias("before_lang"))
+    done = merge.undo(now, entries, "doc_id", "revision", ["lang"])
+    counts = done.outcomes.groupBy("doc_id").agg(F.count_if(F.col("outcome") == "applied").alias("applied"), F.count_if(F.col("outcome") == "conflict").alias("conflicts"))
+    return done.states.join(counts, "doc_id", "left").na.fill(0, ["applied", "conflicts"]).select("doc_id", "lang", "revision", "applied", "conflicts")
 
 
 @query("SNK-08", "select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda t: case when t = 'red' then 'crimson' else t end), ',') as tags from part")
@@ -329,15 +378,50 @@ def tag_rename(spark: SparkSession, d: str) -> DataFrame:
     return Tables(spark, d).part.select("p_partkey", F.array_join(tags.renamed(F.split("p_name", " "), "Red", "crimson"), ",").alias("tags"))
 
 
-@query("SNK-09", f"select digest, case when n = 2 then keep end as preferred, n > 2 as dismissed, n % 2 = 1 and n <= 3 as separated, case when n <= 3 then 2 else 0 end as revision from (select digest, count(*) as n, min(id) as keep from {ASSETS} a group by digest having count(*) > 1) g")
+# the log: each copy of a stack does something in turn, most of them from the revision that is then the current one
+_DECISIONS = f"(select digest, id as asset, row_number() over (partition by digest order by id) as pos, case id % 7 when 0 then 'prefer' when 1 then 'separate' when 2 then 'dismiss' when 3 then 'rejoin' when 4 then 'clear' when 5 then 'separate' else 'restore' end as action, case when id % 7 = 3 then first_value(id) over (partition by digest order by id) else id end as copy, row_number() over (partition by digest order by id) - 1 - case when id % 5 = 0 then 1 else 0 end as expected, count(*) over (partition by digest) as size from {ASSETS} a)"
+
+
+@query(
+    "SNK-09",
+    f"""
+    with recursive log as (select * from {_DECISIONS} l where size > 1),
+    walk as (
+      select distinct digest, cast(null as bigint) as preferred, false as dismissed, cast(0 as bigint) as revision, cast([] as bigint[]) as apart, cast([] as bigint[]) as seen, false as anew, cast(0 as bigint) as pos, cast(null as varchar) as outcome from log
+      union all
+      select digest, case when outcome <> 'applied' then preferred when action = 'prefer' then copy when action = 'clear' or action = 'separate' and preferred = copy then null else preferred end,
+        case when outcome = 'applied' and action in ('dismiss', 'restore') then action = 'dismiss' else dismissed end, revision + case when outcome = 'applied' then 1 else 0 end,
+        case when outcome <> 'applied' then apart when action = 'separate' then list_append(apart, copy) when action = 'rejoin' then list_filter(apart, lambda x: x <> copy) else apart end,
+        case when outcome <> 'applied' then seen when action in ('dismiss', 'restore') then [] when action = 'separate' then list_filter(seen, lambda x: x <> copy) when action = 'rejoin' and dismissed then list_append(seen, copy) else seen end,
+        anew or (outcome = 'applied' and action in ('dismiss', 'restore')), pos, outcome
+      from (
+        select w.digest, w.preferred, w.dismissed, w.revision, w.apart, w.seen, w.anew, l.pos, l.action, l.copy,
+          case when l.expected <> w.revision then 'conflict' when l.action in ('prefer', 'separate') and list_contains(w.apart, l.copy) then 'invalid' when l.action = 'rejoin' and not list_contains(w.apart, l.copy) then 'invalid' else 'applied' end as outcome
+        from walk w join log l on l.digest = w.digest and l.pos = w.pos + 1) s),
+    last as (select digest, max_by(dismissed, pos) as dismissed, max_by(revision, pos) as revision, max_by(apart, pos) as apart, max_by(anew, pos) as anew, max_by(coalesce(preferred, -1), pos) as preferred,
+      count(*) filter (outcome = 'applied') as applied, count(*) filter (outcome = 'conflict') as conflicts, count(*) filter (outcome = 'invalid') as invalid from walk group by digest),
+    marks as (select l.digest, case when list_contains(t.apart, l.asset) then 'separated' when t.dismissed then 'reviewed' end as mark from log l join last t using (digest))
+    select digest, nullif(preferred, -1) as preferred, dismissed, revision, applied, conflicts, invalid, (select count(*) from marks m where m.digest = t.digest and mark = 'separated') as separated, (select count(*) from marks m where m.digest = t.digest and mark = 'reviewed') as reviewed
+    from last t
+    """,
+)
 def duplicate_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """Two rounds of actions: prefer or dismiss, then separate or rejoin; stale revisions change nothing, and a choice whose copy is gone is cleaned up."""
-    a = assets(Tables(spark, d), reviews=False)
-    g = a.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("keep")).where("n > 1")
-    groups = g.select("digest", F.when(F.col("n") > 3, -1).cast("long").alias("preferred"), (F.col("n") > 3).alias("dismissed"), F.lit(False).alias("separated"), F.lit(0).alias("revision"))
-    first = g.select("digest", F.when(F.col("n") <= 3, 0).otherwise(9).alias("expected"), F.when(F.col("n") == 2, "prefer").otherwise("dismiss").alias("action"), F.col("keep").alias("asset"))
-    second = g.select("digest", F.when(F.col("n") <= 3, 1).otherwise(9).alias("expected"), F.when(F.col("n") % 2 == 1, "separate").otherwise("rejoin").alias("action"), F.lit(None).cast("long").alias("asset"))
-    return dedup.without_stale(dedup.decide(dedup.decide(groups, first), second), a, "id")
+    """A log of decisions on stacks of copies: each copy of a stack acts in turn, some on a revision that has passed, some on a separated copy."""
+    a = assets(Tables(spark, d), reviews=False).select("digest", "id")
+    members = a.withColumnRenamed("id", "asset")
+    place = numbering.numbered(a, ["digest"], ["id"], "at")
+    first = a.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    k = F.col("id") % 7
+    action = F.element_at(F.array(*map(F.lit, ["prefer", "separate", "dismiss", "rejoin", "clear", "separate", "restore"])), (k + 1).cast("int"))
+    log = place.join(first, "digest").select("digest", "at", (F.col("at") - 1 - F.when(F.col("id") % 5 == 0, 1).otherwise(0)).alias("expected"), action.alias("action"), F.when(k == 3, F.col("first")).otherwise(F.col("id")).alias("asset"))
+    groups = spark.createDataFrame([], "digest string, preferred long, dismissed boolean, revision long")
+    done = dedup.decide(groups, spark.createDataFrame([], "digest string, asset long, mark string"), log, members)
+    of = lambda c, v: F.count_if(F.col(c) == v)
+    outcomes = done.outcomes.groupBy("digest").agg(of("outcome", "applied").alias("applied"), of("outcome", "conflict").alias("conflicts"), of("outcome", "invalid").alias("invalid"))
+    marks = done.marks.groupBy("digest").agg(of("mark", "separated").alias("separated"), of("mark", "reviewed").alias("reviewed"))
+    none = {"preferred": None, "dismissed": False, "revision": 0}
+    out = outcomes.join(done.groups, "digest", "left").join(marks, "digest", "left").na.fill(0, ["separated", "reviewed"])
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in none.items() if v is not None}).select("digest", "preferred", "dismissed", "revision", "applied", "conflicts", "invalid", "separated", "reviewed")
 
 
 @query("SNK-10", f"select id, coalesce(cast(quality as varchar), 'reviewed') as mark from {ASSETS} a")
@@ -383,20 +467,23 @@ def dirty_counts(spark: SparkSession, d: str) -> DataFrame:
     return merge.change_counts(Tables(spark, d).documents.where("doc_id % 3 = 0"), "source")
 
 
-@query("SNK-16", "select source, max(doc_id) as revision, count(*) as entries, source <> 'src1' as committed from documents where (source <> 'src1' and doc_id % 4 <> 1) or source = 'src1' group by source")
+@query(
+    "SNK-16",
+    "with first as (select source, doc_id from documents where source <> 'src2'), second as (select source, doc_id, case when source = 'src1' then 5 when source = 'src2' then 0 else 1 end as expected from documents where doc_id % 3 <> 1 and source <> 'src3'), "
+    "ok as (select distinct source from second where source <> 'src1'), "
+    "rows as (select source, doc_id, 1 as revision from first where source not in (select source from ok) union all select source, doc_id, case when source = 'src2' then 1 else 2 end from second where source in (select source from ok)) "
+    "select source, max(revision) as revision, count(*) as entries, max(doc_id) as last, case when source = 'src3' then null else source in (select source from ok) end as committed from rows group by source",
+)
 def folder_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """Snapshots by folder, staged and then published: missing entries pruned, a folder whose revision has moved meanwhile keeps its old one.
-
-    Rows of one folder are written by several tasks.
-    """
+    """Snapshots by folder, published twice and read back: a new folder appears, one that is not staged stays, and a stale writer changes nothing."""
     docs = Tables(spark, d).documents.select("source", "doc_id", "n_chars")
-    old, staged = scratch(spark, "snapshots"), scratch(spark, "staged")
-    write = lambda df, path: df.repartition("source", F.pmod(F.xxhash64("doc_id"), F.lit(16))).write.partitionBy("source").parquet(path)
-    write(docs.withColumn("revision", F.lit(1)), old)
-    write(docs.where("doc_id % 4 <> 1").withColumn("revision", F.lit(2)), staged)
-    read = lambda path: spark.read.parquet(path).withColumn("source", F.col("source").cast("string"))
-    current = docs.select("source").distinct().withColumn("revision", F.when(F.col("source") == "src1", 5).otherwise(1))
-    return merge.published(read(old), read(staged), current, "source", expected=1).groupBy("source", "committed").agg(F.max("doc_id").alias("revision"), F.count("*").alias("entries"))
+    path = scratch(spark, "published")
+    merge.publish(docs.where("source <> 'src2'").withColumn("expected", F.lit(0).cast("long")), path, "source", "doc_id")
+    expected = F.when(F.col("source") == "src1", 5).when(F.col("source") == "src2", 0).otherwise(1).cast("long")
+    fence = merge.publish(docs.where("doc_id % 3 <> 1 and source <> 'src3'").withColumn("expected", expected), path, "source", "doc_id")
+    back = merge.table_at(spark, path, docs, "source", "revision")
+    out = back.groupBy("source").agg(F.max("revision").alias("revision"), F.count("*").alias("entries"), F.max("doc_id").alias("last"))
+    return out.join(fence.select("source", "committed"), "source", "left")
 
 
 @query("SNK-18", "select 'documents' as relation, count(*) as n, 'restored' as outcome from documents union all select 'labels', count(*), 'refused' from labels")
@@ -460,15 +547,31 @@ def scoped_sweep(spark: SparkSession, d: str) -> DataFrame:
     return files.missing(rows, rows.where("id % 3 = 0").select("path", F.lit(4).alias("epoch")), "src2", 4).select("id")
 
 
-@query("SNK-25", "select doc_id, outcome, case when outcome = 'applied' then 'confirmed' else origin end as origin, revision + case when outcome = 'applied' then 1 else 0 end as revision from (select doc_id, doc_id % 3 as revision, 'imported' as origin, case when doc_id % 4 <> doc_id % 3 then 'conflict' when doc_id % 5 = 0 then 'parser' when doc_id % 7 = 0 then 'digest' when doc_id % 11 = 0 then 'sidecar' else 'applied' end as outcome from documents) o")
+# two confirmations a document: the first from its revision or another one, the second from the revision after
+_CONFIRM = "(select doc_id, n as pos, case when n = 1 then doc_id % 4 else doc_id % 3 + doc_id % 2 end as expected, case when doc_id % 5 = 0 and n = 1 then 'parser' when doc_id % 7 = 0 then 'digest' when doc_id % 11 = 0 and n = 2 then 'sidecar' end as broken from documents, (values (1), (2)) s(n))"
+
+
+@query(
+    "SNK-25",
+    f"with recursive log as {_CONFIRM}, walk as (select doc_id, 'imported' as origin, doc_id % 3 as revision, 0 as pos, cast(null as varchar) as outcome from documents union all "
+    "select doc_id, case when outcome = 'applied' then 'confirmed' else origin end, revision + case when outcome = 'applied' then 1 else 0 end, pos, outcome from ("
+    "select w.doc_id, w.origin, w.revision, l.pos, case when l.expected <> w.revision then 'conflict' else coalesce(l.broken, 'applied') end as outcome from walk w join log l on l.doc_id = w.doc_id and l.pos = w.pos + 1) s) "
+    "select doc_id, max_by(origin, pos) as origin, max_by(revision, pos) as revision, max(outcome) filter (pos = 1) as first, max(outcome) filter (pos = 2) as second from walk group by doc_id",
+)
 def provenance_edit(spark: SparkSession, d: str) -> DataFrame:
-    """Confirmations of imported values, bound to the parser, the content and the sidecar that they were read with."""
+    """Two confirmations of each document's imported values, bound to the parser, the content and the sidecar that they were read with."""
     from lumencat.operators.provenance import confirmed
 
     docs = Tables(spark, d).documents
     now = docs.select("doc_id", (F.col("doc_id") % 3).alias("revision"), F.lit("imported").alias("origin"), F.lit("p2").alias("parser"), F.md5("text").alias("digest"), F.lit(1).alias("sidecar"))
-    edits = now.select("doc_id", (F.col("doc_id") % 4).alias("expected_revision"), F.when(F.col("doc_id") % 5 == 0, "p1").otherwise("p2").alias("expected_parser"), F.when(F.col("doc_id") % 7 == 0, "other").otherwise(F.col("digest")).alias("expected_digest"), F.when(F.col("doc_id") % 11 == 0, 0).otherwise(1).alias("expected_sidecar"))
-    return confirmed(now, edits, "doc_id").select("doc_id", "outcome", "origin", "revision")
+    i, n = F.col("doc_id"), F.col("at")
+    edits = now.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("at")).select(
+        "doc_id", "at", F.when(n == 1, i % 4).otherwise(i % 3 + i % 2).alias("expected_revision"), F.when((i % 5 == 0) & (n == 1), "p1").otherwise("p2").alias("expected_parser"),
+        F.when(i % 7 == 0, "other").otherwise(F.col("digest")).alias("expected_digest"), F.when((i % 11 == 0) & (n == 2), 0).otherwise(1).alias("expected_sidecar"),
+    )
+    done = confirmed(now, edits, "doc_id")
+    outcome = lambda k: F.max(F.when(n == k, F.col("outcome")))
+    return done.states.join(done.outcomes.groupBy("doc_id").agg(outcome(1).alias("first"), outcome(2).alias("second")), "doc_id").select("doc_id", "origin", "revision", "first", "second")
 
 
 @query("SNK-26", "select event_id, case when event_id = first then 'created' when event_type = kind then 'replayed' else 'conflict' end as outcome from (select event_id, event_type, first_value(event_id) over w as first, first_value(event_type) over w as kind from events window w as (partition by user_id order by event_id)) e")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumencat.functions import queries as Q
 from lumencat.functions import text as T
 from lumencat.functions.interpret import CAPABILITIES, StructuredQuery, TextQuery
-from lumencat.operators import postings, storage
+from lumencat.operators import numbering, postings, segments, storage
 from lumencat.operators import search as S
 from lumencat.plans.registry import Tables, query
 
@@ -30,7 +30,7 @@ def sounds(t: Tables) -> DataFrame:
 
 def ranked(t: Tables) -> DataFrame:
     """The ranked matches, through the index of the sounds' tokens."""
-    index = postings.index_of(t.spark, "sounds", f"{t.folder}/documents.parquet", lambda: S.token_index_columns(sounds(t)), S.SEARCHED)
+    index = segments.index_of(t.spark, "sounds", f"{t.folder}/documents.parquet", lambda: S.token_index_columns(sounds(t)), S.SEARCHED)
     return S.ranked_matches(sounds(t), RANKED, index=index)[0]
 
 
@@ -191,7 +191,7 @@ def _field_texts() -> dict[str, F.Column]:
 def asset_index(t: Tables) -> postings.Index:
     """The index of all four fields, in normal form C, built once for a table's files."""
     make = lambda: t.documents.select(F.col("doc_id").alias("id"), *[T.index_tokens(c).alias(f) for f, c in _field_texts().items()])
-    return postings.index_of(t.spark, "assets", f"{t.folder}/documents.parquet", make, FIELDS)
+    return segments.index_of(t.spark, "assets", f"{t.folder}/documents.parquet", make, FIELDS)
 
 
 def indexed(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -280,19 +280,31 @@ def spelling_suggestions(spark: SparkSession, d: str) -> DataFrame:
     return S.suggestions(words, "erstt")
 
 
-@query("TXT-18", f"select word, count(*) as docs, (select count(distinct doc_id // 512) from documents where doc_id % 7 = 0) as batches from (select distinct doc_id, unnest({_ITOK.format(chr(99) + 'ase when doc_id % 7 = 0 then ' + chr(39) + 'zzchanged ' + chr(39) + ' || text else text end')}) as word from documents) x where word in ('zzchanged', 'the', 'der') group by word")
+@query(
+    "TXT-18",
+    f"select word, count(*) as docs, count(*) as counted, (select 1 + ceil(count(*) / 512)::int from documents where doc_id % 7 = 0) as segments from (select distinct doc_id, unnest({_ITOK.format('case when doc_id % 7 = 0 then chr(122) || chr(122) || chr(99) || chr(104) || chr(32) || text else text end')}) as word from documents where doc_id % 49 <> 0) x where word in ('zzch', 'the', 'der', 'que') group by word",
+)
 def incremental_index(spark: SparkSession, d: str) -> DataFrame:
-    """Queued documents are indexed anew in batches of 512 ids; the others' postings are kept as they are."""
+    """A queue of changed and deleted documents applied to the stored index by a stream, 512 ids a batch and segment; opened by another session, whose postings and vocabulary count alike."""
     t = Tables(spark, d)
-    queue = t.documents.where("doc_id % 7 = 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("zzchanged "), F.col("text")).alias("text"))
-    old = asset_index(t).postings.where("field = 'notes'")
-    path = storage.scratch(spark, "refreshed")
-    batch = F.floor(F.col("id") / 512)
-    postings.write_index(queue.repartition(batch).select("id", T.index_tokens(F.col("text")).alias("notes")), ["notes"], path)
-    now = old.join(queue.select("id"), "id", "left_anti").unionByName(postings.Index(spark, path).postings)
-    batches = queue.select(batch.alias("b")).agg(F.countDistinct("b").alias("batches"))
-    counts = now.where(F.col("word").isin("zzchanged", "the", "der")).groupBy("word").agg(F.count("*").alias("docs"))
-    return counts.join(F.broadcast(batches))  # one row beside three
+    index = segments.branch(asset_index(t), storage.scratch(spark, "branch"))
+    queue, state = storage.scratch(spark, "queue"), storage.scratch(spark, "state")
+    ids = numbering.numbered(t.documents.where("doc_id % 7 = 0").select(F.col("doc_id").alias("id")), [], ["id"], "n", 0)
+    ids.select("id", F.floor(F.col("n") / 512).alias("batch")).repartition("batch").write.partitionBy("batch").parquet(queue)
+    stream = spark.readStream.schema("id long, batch long").option("maxFilesPerTrigger", 1).parquet(queue)
+    empty = F.array().cast("array<string>")
+
+    def make(asked: DataFrame) -> DataFrame:
+        now = t.documents.where("doc_id % 49 <> 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("zzch "), F.col("text")).alias("text"))
+        tokens = now.join(asked, "id", "left_semi").withColumn("notes", T.index_tokens(F.col("text")))
+        return tokens.select("id", *[F.col("notes") if f == "notes" else empty.alias(f) for f in _FIELDS])
+
+    segments.follow(stream, index.path, make, _FIELDS, state)
+    again = segments.SegmentedIndex(spark.newSession(), index.path)
+    asked = F.col("word").isin("zzch", "the", "der", "que") & (F.col("field") == "notes")
+    counts = again.postings.where(asked).groupBy("word").agg(F.count("*").alias("docs"))
+    known = again.vocabulary.where(asked).select("word", F.col("documents").alias("counted"))
+    return counts.join(known, "word").withColumn("segments", F.lit(len(again.segments)))
 
 
 @query("TXT-20", "select * from (values ('tags', true, true), ('caption', true, true), ('name', true, true), ('notes', true, true), ('path', true, false)) t(field, searchable, by_default)")

@@ -36,13 +36,15 @@ def changed(found: DataFrame, snapshot: DataFrame, stat: Sequence[str] = ("size"
 
 
 def trusted(stamps: DataFrame, recorded: DataFrame, keys: Sequence[str], checked_at: str, racy_seconds: int) -> DataFrame:
-    """Stamps with ``trusted``: the same as recorded and last modified before the window in which a change may go unseen."""
-    r = recorded.select("path", *[F.col(k).alias(f"_r_{k}") for k in keys], F.col(checked_at).alias("_at"))
-    j = stamps.join(r, "path", "left")
-    same = F.lit(True)
+    """Stamps with ``trusted``: the same as recorded and last modified before the window in which a change may go unseen.
+
+    Of a path recorded twice the record checked last counts.
+    """
+    last = recorded.groupBy("path").agg(F.max(F.struct(checked_at, *keys)).alias("_r"))
+    same = F.coalesce(F.col("modified") + racy_seconds < F.col(f"_r.{checked_at}"), F.lit(False))
     for k in keys:
-        same = same & F.coalesce(F.col(k) == F.col(f"_r_{k}"), F.lit(False))
-    return j.withColumn("trusted", same & F.coalesce(F.col("modified") + racy_seconds < F.col("_at"), F.lit(False))).drop("_at", *[f"_r_{k}" for k in keys])
+        same = same & F.coalesce(F.col(k) == F.col(f"_r.{k}"), F.lit(False))
+    return stamps.join(last, "path", "left").withColumn("trusted", same).drop("_r")
 
 
 def missing(rows: DataFrame, found: DataFrame, folder: str, epoch: int) -> DataFrame:

@@ -26,3 +26,10 @@ def webp_with_comment(text: str, software: str) -> bytes:
     tiff = b"II*\0" + struct.pack("<I", 8) + first + second + tool + comment
     body = b"WEBPEXIF" + struct.pack("<I", len(tiff)) + tiff + b"\0" * (len(tiff) % 2)
     return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def jpeg_with_xmp(kind: str, tool: str) -> bytes:
+    """The head of a JPEG file with an XMP packet that names the source type and the tool."""
+    packet = f'<rdf:Description xmp:CreatorTool="{tool}"><Iptc4xmpExt:DigitalSourceType>http://cv.iptc.org/newscodes/digitalsourcetype/{kind}</Iptc4xmpExt:DigitalSourceType></rdf:Description>'
+    body = b"http://ns.adobe.com/xap/1.0/\0" + packet.encode()
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xd9"

@@ -25,7 +25,8 @@ def wav(b: bytes) -> tuple[int, np.ndarray]:
         if kind == b"fmt ":
             form, channels, rate, _, _, bits = struct.unpack("<HHIIHH", data[:16])
         elif kind == b"data":
-            if not channels or len(data) % (channels * bits // 8):
+            frame = channels * bits // 8
+            if not frame or len(data) % frame:
                 raise ValueError("truncated PCM")
             if (form, bits) == (1, 16):
                 x = np.frombuffer(data, "<i2").astype(np.float32) / 32768

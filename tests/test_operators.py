@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumencat.functions import text as T
 from lumencat.functions.interpret import StructuredQuery, TextQuery
-from lumencat.operators import dedup, evaluation, jobs, merge, moves, numbering, paging, postings, scalars, search, tags, timeseries, vectors
+from lumencat.operators import dedup, evaluation, jobs, merge, moves, numbering, paging, postings, provenance, scalars, search, tags, timeseries, vectors
 from lumencat.sources import files
 from lumencat.streaming import settle
 
@@ -187,10 +187,100 @@ def test_evenly_spaced_counts_across_partitions(spark):
     assert sorted(r["id"] for r in got) == list(range(0, 1000, 10)) and got[0]["total"] == 1000
 
 
-def test_decisions(spark):
-    g = spark.createDataFrame([("x", None, False, 1)], "digest string, preferred string, dismissed boolean, revision int")
-    a = spark.createDataFrame([("x", 0, "prefer", "i"), ("y", 0, "prefer", "j")], "digest string, expected int, action string, asset string")
-    assert {(r["digest"], r["preferred"], r["revision"]) for r in dedup.decide(g, a).collect()} == {("x", None, 1), ("y", "j", 1)}
+def test_decisions_follow_each_other(spark):
+    members = spark.createDataFrame([(d, f"{d}{k}") for d in "xyz" for k in range(3)] + [("one", "one0")], "digest string, asset string")
+    groups = spark.createDataFrame([("x", "x1", False, 2), ("y", "gone", True, 1)], "digest string, preferred string, dismissed boolean, revision long")
+    marks = spark.createDataFrame([("y", "y0", "reviewed"), ("y", "y2", "separated"), ("y", "left", "reviewed")], "digest string, asset string, mark string")
+    log = [
+        ("x", 1, 2, "prefer", "x0"), ("x", 2, 2, "dismiss", None), ("x", 3, 3, "separate", "x0"), ("x", 4, 4, "prefer", "x0"), ("x", 4, 4, "dismiss", None), ("x", 6, 5, "rejoin", "x0"),
+        ("y", 1, 1, "rejoin", "y2"), ("y", 1, 1, "rejoin", "y2"), ("y", 2, 2, "rejoin", "y1"), ("y", 3, 2, "prefer", "x0"),
+        ("z", 1, 0, "dismiss", None), ("z", 2, 1, "restore", None), ("z", 3, 2, "separate", "z1"), ("one", 1, 0, "prefer", "one0"), ("none", 1, 0, "clear", None), (None, 1, 0, "clear", None),
+    ]
+    done = dedup.decide(groups, marks, spark.createDataFrame(log, "digest string, at int, expected int, action string, asset string"), members)
+    got = sorted(((r["digest"], r["at"], r["action"], r["outcome"]) for r in done.outcomes.collect()), key=str)
+    want = [
+        ("x", 1, "prefer", "applied"), ("x", 2, "dismiss", "conflict"), ("x", 3, "separate", "applied"), ("x", 4, "dismiss", "applied"), ("x", 6, "rejoin", "applied"),
+        ("y", 1, "rejoin", "applied"), ("y", 1, "rejoin", "conflict"), ("y", 2, "rejoin", "invalid"), ("y", 3, "prefer", "missing"),
+        ("z", 1, "dismiss", "applied"), ("z", 2, "restore", "applied"), ("z", 3, "separate", "applied"), ("one", 1, "prefer", "missing"), ("none", 1, "clear", "missing"), (None, 1, "clear", "missing"),
+    ]
+    tied = [x for x in got if x[:3] == ("x", 4, "prefer")]
+    assert sorted([x for x in got if x not in tied], key=str) == sorted(want, key=str) and tied[0][3] in ("invalid", "conflict")
+    assert {(r["digest"], r["preferred"], r["dismissed"], r["revision"]) for r in done.groups.collect()} == {("x", None, True, 6), ("y", None, True, 2), ("z", None, False, 3)}
+    assert sorted(map(tuple, done.marks.collect())) == [("x", "x0", "reviewed"), ("x", "x1", "reviewed"), ("x", "x2", "reviewed"), ("y", "y0", "reviewed"), ("y", "y2", "reviewed"), ("z", "z1", "separated")]
+
+
+def test_two_actions_on_one_revision(spark):
+    now = spark.createDataFrame([(1, "a", 3), (2, "b", 0), (2, "b", 0)], "id int, v string, revision int")
+    value = lambda v: None if v is None else (v,)
+    rows = [(1, 1, 3, value("x")), (1, 2, 3, value("y")), (1, 3, 4, (None,)), (1, 4, 5, None), (2, 1, 0, value("c")), (9, 1, 0, value("d"))]
+    entries = spark.createDataFrame(rows, "id int, at int, after int, before_v struct<value:string>")
+    done = merge.undo(now, entries, "id", "revision", ["v"])
+    assert sorted(map(tuple, done.states.collect())) == [(1, None, 6), (2, "c", 1)]
+    assert sorted((r["id"], r["at"], r["outcome"]) for r in done.outcomes.collect()) == [(1, 1, "applied"), (1, 2, "conflict"), (1, 3, "applied"), (1, 4, "applied"), (2, 1, "applied"), (9, 1, "missing")]
+
+    held = spark.createDataFrame([("k", 1, "imported", "p", "d", 1)], "id string, revision int, origin string, parser string, digest string, sidecar int")
+    edit = [("k", 1, 1, "old", "d", 1), ("k", 2, 1, "p", "d", 1), ("k", 3, 1, "p", "d", 1), ("k", 4, 2, "p", "e", 1)]
+    edits = spark.createDataFrame(edit, "id string, at int, expected_revision int, expected_parser string, expected_digest string, expected_sidecar int")
+    done = provenance.confirmed(held, edits, "id")
+    assert [r["outcome"] for r in done.outcomes.orderBy("at").collect()] == ["parser", "applied", "conflict", "digest"]
+    assert [(r["origin"], r["revision"]) for r in done.states.collect()] == [("confirmed", 2)]
+
+
+def test_a_log_of_one_hot_key_in_many_parts(spark):
+    """Every second action expects what its predecessor has left; a random walk in Python agrees."""
+    import random
+
+    r = random.Random(2)
+    rows, revision = [], 0
+    for at in range(3000):
+        expected = r.choice([revision, revision, revision - 1, revision + 1])
+        rows.append(("hot", at, expected, (str(at),)))
+        revision += expected == revision
+    log = spark.createDataFrame(rows, "id string, at int, after int, before_v struct<value:string>").repartition(9, "at")
+    done = merge.undo(spark.createDataFrame([("hot", "", 0), ("cold", "", 5)], "id string, v string, revision int"), log, "id", "revision", ["v"])
+    assert {x["id"]: x["revision"] for x in done.states.collect()} == {"hot": revision, "cold": 5}
+    assert done.outcomes.where("outcome = 'applied'").count() == revision and done.outcomes.count() == 3000
+
+
+def test_rows_given_twice_stay_one(spark):
+    stamps = spark.createDataFrame([("p", 5, 10)], "path string, size int, modified int")
+    recorded = spark.createDataFrame([("p", 4, 100), ("p", 5, 200), ("p", 5, 200)], "path string, size int, checked int")
+    assert [tuple(r) for r in files.trusted(stamps, recorded, ["size"], "checked", 50).collect()] == [("p", 5, 10, True)]
+
+
+def test_snapshots_are_published_behind_a_fence(spark, tmp_path):
+    path = f"file://{tmp_path}/published"
+    rows = lambda expected, **folders: spark.createDataFrame([(f, k, e) for f, ks in folders.items() for k in ks for e in [expected[f]]], "folder string, id int, expected long")
+    fence = lambda staged: {r["folder"]: (r["revision"], r["committed"]) for r in merge.publish(staged, path, "folder", "id").collect()}
+    table = lambda: {(r["folder"], r["id"], r["revision"]) for r in merge.table_at(spark, path, spark.createDataFrame([], "folder string, id int"), "folder", "revision").collect()}
+    assert table() == set()
+    assert fence(rows({"a": 0, "b": 0, "early": 3}, a=[1, 2], b=[3], early=[9])) == {"a": (0, True), "b": (0, True), "early": (0, False)}
+    assert table() == {("a", 1, 1), ("a", 2, 1), ("b", 3, 1)}
+    # one folder moves on, a stale writer of another is refused, a new folder appears
+    assert fence(rows({"a": 1, "b": 0, "new": 0}, a=[2], b=[4, 5], new=[6])) == {"a": (1, True), "b": (1, False), "new": (0, True)}
+    after = {("a", 2, 2), ("b", 3, 1), ("new", 6, 1)}
+    assert table() == after
+    files_before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert fence(rows({"a": 1}, a=[7])) == {"a": (2, False)} and table() == after
+    assert {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")} == files_before
+
+
+def test_snapshots_of_a_stream(spark, tmp_path):
+    path, source = f"file://{tmp_path}/table", str(tmp_path / "in")
+    schema = "folder string, id int, expected long"
+    outcomes = []
+
+    def each(batch, number):
+        outcomes.append({r["folder"]: r["committed"] for r in merge.publish(batch, path, "folder", "id").collect()})
+
+    for k, rows in enumerate([[("a", 1, 0), ("b", 2, 0)], [("a", 3, 1)], [("a", 4, 1), ("b", 5, 1)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        run = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert len(outcomes) == k + 1
+    assert outcomes == [{"a": True, "b": True}, {"a": True}, {"a": False, "b": True}]
+    got = merge.table_at(spark, path, spark.createDataFrame([], "folder string, id int"), "folder", "revision")
+    assert sorted((r["folder"], r["id"], r["revision"]) for r in got.collect()) == [("a", 3, 2), ("b", 5, 2)]
 
 
 def test_upsert_of_repeated_keys_stays_one_row(spark):
@@ -268,7 +358,8 @@ def test_leases(spark):
     assert r[1] == ("queued", None, 1) and r[5] == ("running", 200, 3) and r[6] == ("failed", None, 3)
     c = state(jobs.claimed(j, now, lease))
     assert c[2] == ("queued", None, 0) and c[3] == ("running", 130, 1) and c[4] == ("queued", None, 0)
-    own = spark.createDataFrame([(5, 3), (1, 1), (6, 2)], "id int, attempts int")
+    own = spark.createDataFrame([(5, 3), (5, 3), (5, 2), (1, 1), (6, 2)], "id int, attempts int")
+    assert jobs.renewed(j, own, now, lease).count() == len(rows)
     n = state(jobs.renewed(j, own, now, lease))
     assert n[5] == ("running", 130, 3) and n[1] == ("running", 50, 1) and n[6] == ("running", 60, 3)
     new = spark.createDataFrame([(10, "t", 9, "a"), (11, "w", 9, "a"), (12, "w", 9, "a")], "id int, source string, at int, what string")
