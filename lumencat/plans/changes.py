@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumencat.operators import dedup, jobs, merge, moves, numbering, tags, timeseries
+from lumencat.operators import dedup, jobs, merge, moves, numbering, storage, tags, timeseries
 from lumencat.operators.storage import scratch
 from lumencat.plans.registry import Tables, query
 from lumencat.plans.relational import ASSETS, assets
 from lumencat.sources import files, generation, generation_files, images, pcm, portable
-from lumencat.streaming import settle
+from lumencat.streaming import watch
 
 # -- scans -----------------------------------------------------------------------------------------------------
 
@@ -582,47 +582,96 @@ def idempotent_create(spark: SparkSession, d: str) -> DataFrame:
 # -- change events ---------------------------------------------------------------------------------------------
 
 
-def events(t: Tables) -> DataFrame:
-    return t.events.withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-_QUIET, _STABLE = 43_200, 3_600
-_SETTLED = f"(select * from (select *, lead(epoch(ts)) over (partition by user_id order by ts, event_id) - epoch(ts) as gap from events) e where gap is null or gap > {_QUIET + _STABLE})"
-
-
-@query("STR-01", f"select user_id, event_id, epoch(ts) + {_QUIET + _STABLE} as settled_at from {_SETTLED} s")
+_QUIET, _STABLE = 7_200.0, 3_600.0
+#: Of each user (a path) some rows are stats, some losses of the whole source, some refusals, the others events.
+_WHAT = "case when event_type = 'view' and event_id % 2 = 0 then 'stat' when event_id % 4999 = 17 then 'lost' when event_id % 37 = 5 then 'refused' else 'event' end"
+_LOG = f"(select user_id % 20 as source, user_id as path, epoch(ts) as at_s, event_id, {_WHAT} as what, case when event_id % 11 = 0 then 'absent' when event_id % 13 = 0 then 'ignored' when user_id % 5 = 0 then 'folder' else 'file' end as observed, cast(floor(value / 40) as bigint) as size from events)"
+# looks at a path after its quiet, as far as its next event; the first whose stat is that of the look before it settles
+_PLAN = f"""(
+  with e as (select source, path, at_s, lead(at_s) over (partition by path order by at_s, event_id) as next from {_LOG} l where what in ('event', 'refused')),
+  looks as (select *, at_s + {_QUIET} + k * {_STABLE} as looked from (select e.*, unnest(range(0, 80)) as k from e) x where at_s + {_QUIET} + k * {_STABLE} < coalesce(next, 1e18)),
+  stats as (select path, at_s, max_by(observed, (event_id)) as observed, max_by(size, event_id) as size from {_LOG} l where what = 'stat' group by path, at_s),
+  seen as (select l.path, l.source, l.at_s, l.k, l.looked, case when s.observed is null or s.observed = 'absent' then 'removed' else s.observed end as kind, case when s.observed <> 'absent' then s.size end as size from looks l asof left join stats s on s.path = l.path and s.at_s <= l.looked),
+  pairs as (select *, lag(kind) over w as kind_before, lag(size) over w as size_before from seen window w as (partition by path, at_s order by k)),
+  settled as (select path, source, min_by(kind, k) as kind, min(looked) as looked from pairs where k > 0 and kind = kind_before and size is not distinct from size_before group by path, source, at_s)
+  select * from settled where kind <> 'ignored')"""
+
+
+def watch_log(t: Tables, losses: bool = False) -> DataFrame:
+    """The events table as the log of twenty watched sources."""
+    i, u = F.col("event_id"), F.col("user_id")
+    what = F.when((F.col("event_type") == "view") & (i % 2 == 0), "stat").when(i % 4999 == 17, "lost").when(i % 37 == 5, "refused").otherwise("event")
+    observed = F.when(i % 11 == 0, "absent").when(i % 13 == 0, "ignored").when(u % 5 == 0, "folder").otherwise("file")
+    log = t.events.select((u % 20).cast("string").alias("source"), F.col("ts").cast("timestamp").alias("time"), what.alias("what"), u.cast("string").alias("path"), observed.alias("observed"), F.floor(F.col("value") / 40).alias("size"), i.alias("event_id"))
+    log = log.withColumn("at", F.col("time").cast("double"))
+    return log if losses else log.where("what <> 'lost'")
+
+
+@query("STR-01", f"select path, looked as settled_at, kind from {_PLAN} p")
 def settle_batch(spark: SparkSession, d: str) -> DataFrame:
-    return settle.settled(events(Tables(spark, d)), "user_id", "ts", "event_id", _QUIET, _STABLE).select("user_id", "event_id", "settled_at")
+    """Paths that have settled: quiet, and the same stat at two looks; as what they were seen."""
+    plan = watch.planned(watch_log(Tables(spark, d)), _QUIET, _STABLE)
+    return plan.select(F.col("path").cast("long").alias("path"), F.col("at").alias("settled_at"), "kind")
 
 
-@query("STR-01-stream")
+@query("STR-01-stream", f"select path, looked as settled_at, kind from {_PLAN} p")
 def settle_streaming(spark: SparkSession, d: str) -> DataFrame:
-    """The same by a stateful stream over the events table, run until its input is used up; users whose last looks lie past the input's end stay open."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*events*.parquet").parquet(d if not d.endswith(".parquet") else d)
+    """The same by a stateful processor over a stream in three parts, with a row long after the last one so that nothing stays open."""
+    log, at = watch_log(Tables(spark, d)), storage.scratch(spark, "log")
+    end = log.agg(F.max("at").alias("end"), F.min("at").alias("start")).first()
+    third = (end["end"] - end["start"]) / 3 if end["end"] is not None else 0.0
+    for k in range(3):
+        place = F.least(F.floor((F.col("at") - end["start"]) / third), F.lit(2)) if third else F.lit(0)
+        log.where(place == k).write.mode("append").parquet(at)
+    last = log.select("source").distinct().select("source", F.timestamp_seconds(F.lit((end["end"] or 0.0) + 90 * 86_400)).alias("time"), F.lit("stat").alias("what"), F.lit("end").alias("path"))
+    last.write.mode("append").parquet(at)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 64).parquet(at)
     out, state = scratch(spark, "settled"), scratch(spark, "state")
-    s = settle.settle_stream(source.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", _QUIET, "1 hour", _STABLE)
-    run = s.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema("key string, settled_at double, events int, value double").parquet(out)
-
-
-@query("STR-02", "select cast(time_bucket(interval '1 day', ts) as timestamp) as start, count(distinct user_id) as pending, count(distinct user_id) > 130 or bool_or(event_id % 997 = 0) as refresh from events group by 1")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(provider)
+    spark.conf.set(provider, watch.ROCKS)
+    try:
+        s = watch.watch_stream(stream, "time", "1 hour", _QUIET, _STABLE)
+        s.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, was)
+    done = spark.read.schema(watch.PLANNED).parquet(out)
+    return done.select(F.col("path").cast("long").alias("path"), F.col("at").alias("settled_at"), "kind")
+
+
+# one step of the recursion is one row of a source; without stats a path is absent and settles at its second look
+_OVER = f"""
+with recursive log as (select source, cast(path as varchar) as path, at_s, what, row_number() over (partition by source order by at_s, what, cast(path as varchar), event_id) as n from {_LOG} l where what <> 'stat'),
+walk as (
+  select distinct source, cast(0 as bigint) as n, cast([] as struct(p varchar, t double)[]) as pend, cast(null as double) as over, 0 as refreshes, 0 as settled from log
+  union all
+  select source, n, case when what = 'lost' then [] when over is not null then [] when not known and len(kept) >= 3 then [] else list_append(list_filter(kept, lambda x: x.p <> path), {{'p': path, 't': at_s}}) end,
+    case when what = 'lost' or over is not null or (not known and len(kept) >= 3) then at_s end, refreshes, settled + len(pend) - len(kept)
+  from (
+    select w.source, l.n, l.path, l.at_s, l.what, w.pend, list_filter(w.pend, lambda x: x.t + {_QUIET + _STABLE} >= l.at_s) as kept, list_contains(list_transform(list_filter(w.pend, lambda x: x.t + {_QUIET + _STABLE} >= l.at_s), lambda x: x.p), l.path) as known,
+      case when w.over + {_QUIET} >= l.at_s then w.over end as over, w.refreshes + case when w.over + {_QUIET} < l.at_s then 1 else 0 end as refreshes, w.settled
+    from walk w join log l on l.source = w.source and l.n = w.n + 1) s)
+select source, max_by(refreshes, n) + case when max_by(coalesce(over, -1), n) >= 0 then 1 else 0 end as refreshes, max_by(settled, n) + max_by(len(pend), n) as settled from walk group by source
+"""
+
+
+@query("STR-02", _OVER)
 def overflow(spark: SparkSession, d: str) -> DataFrame:
-    """Days on which more users than 130 were pending, or an event was lost: one refresh each."""
-    return settle.overflowed(events(Tables(spark, d)), "user_id", "ts", "1 day", 130, lost=F.col("event_id") % 997 == 0)
+    """Sources that hold three paths at most: one more, or a loss, gives all of them up for one refresh when the source is quiet."""
+    plan = watch.planned(watch_log(Tables(spark, d), losses=True).where("what <> 'stat'"), _QUIET, _STABLE, most=3)
+    return plan.groupBy(F.col("source").cast("long").alias("source")).agg(F.count_if(F.col("kind") == "refresh").alias("refreshes"), F.count_if(F.col("kind") == "removed").alias("settled"))
 
 
-@query("STR-03", f"select case when event_type = 'error' then 'removed' when user_id % 10 = 0 then 'folder' else 'file' end as kind, event_id % 6 = 0 as requeued, count(*) as n from {_SETTLED} s group by 1, 2")
+@query("STR-03", f"select kind, count(*) as n, count(distinct path) as paths from {_PLAN} p group by kind")
 def classified(spark: SparkSession, d: str) -> DataFrame:
-    """Settled changes by kind; those that met a conflict are requeued."""
-    done = settle.settled(events(Tables(spark, d)), "user_id", "ts", "event_id", _QUIET, _STABLE)
-    return settle.classified(done, F.col("event_type") == "error", F.col("user_id") % 10 == 0, F.col("event_id") % 6 == 0).groupBy("kind", "requeued").agg(F.count("*").alias("n"))
+    """Settled changes by kind; those that were refused have waited anew."""
+    plan = watch.planned(watch_log(Tables(spark, d)), _QUIET, _STABLE)
+    return plan.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("path").alias("paths"))
 
 
 @query("STR-04", "select page_id from pages where not regexp_matches(url, '(^|/)([.][^/]*|~[^/]*|[^/]*[.](tmp|part|crdownload))$')")
 def admission(spark: SparkSession, d: str) -> DataFrame:
-    return settle.admitted(Tables(spark, d).pages, "url").select("page_id")
+    return watch.admitted(Tables(spark, d).pages, "url").select("page_id")
 
 
 _NOW, _LEASE = 1_000_000, 600

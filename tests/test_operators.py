@@ -2,7 +2,6 @@
 
 import hashlib
 import math
-from datetime import datetime
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -11,7 +10,6 @@ from lumencat.functions import text as T
 from lumencat.functions.interpret import StructuredQuery, TextQuery
 from lumencat.operators import dedup, evaluation, jobs, merge, moves, numbering, paging, postings, provenance, scalars, search, tags, timeseries, vectors
 from lumencat.sources import files
-from lumencat.streaming import settle
 
 SOUND = "id string, source_id string, status string, online boolean, favorite boolean, duration double, channels int, channel_layout string, title string, comment string, user_tags array<string>, profile_tags array<string>, description string"
 
@@ -413,12 +411,3 @@ def test_scan(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "MOST_STATED", 1)
     assert got == {r["path"].rsplit("/", 1)[-1]: (r["action"], r["digest"]) for r in files.scan(spark, found, known, str(tmp_path)).collect()}
     assert got["a.wav"] == ("reuse", "old") and got["b.wav"] == ("hash", hashlib.sha1(b"b.wav").hexdigest()) and got["c.wav"][0] == "hash" and got["gone"][0] == "missing"
-
-
-def test_settled_needs_a_whole_quiet_time(spark):
-    d = spark.createDataFrame([("a", float(t)) for t in (0, 1, 5, 20)] + [("b", 3.0)], "path string, at double")
-    got = sorted((r["path"], r["at"]) for r in settle.settled(d, "path", "at", "at", 2, 3).collect())
-    assert got == [("a", 5.0), ("a", 20.0), ("b", 3.0)]
-    one = spark.createDataFrame([("p", datetime(2024, 1, 1, 0, 0, k)) for k in range(5)], "path string, ts timestamp")
-    assert settle.overflowed(one, "path", "ts", "1 day", 2).first()["refresh"] is False
-    assert settle.overflowed(one, "path", "ts", "1 day", 2, lost=F.second("ts") == 3).first()["refresh"] is True

@@ -4,14 +4,13 @@ import json
 import random
 import struct
 import zlib
-from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumencat.sources import files, generation, images, pcm, portable
-from lumencat.streaming import settle
+from lumencat.streaming import watch
 
 
 def chunk(kind, data):
@@ -255,30 +254,7 @@ def test_portable_round_trip(spark, tmp_path):
     assert portable.markdown(df).where("id = '1'").first()["value"] is None or "T\\*" in portable.markdown(df.na.fill("")).where("id = '1'").first()["value"]
 
 
-def test_settling_timeline(spark):
-    t0 = datetime(2024, 1, 1)
-    rows = [("a", t0 + timedelta(milliseconds=100 * i), i) for i in range(20)] + [("a", t0 + timedelta(seconds=10), 99), ("b", t0, 0)]
-    df = spark.createDataFrame(rows, "path string, ts timestamp, n int")
-    got = {(r["path"], r["n"]) for r in settle.settled(df, "path", "ts", "n", settle.QUIET_SECONDS).collect()}
-    assert got == {("a", 19), ("a", 99), ("b", 0)}
-    again = df.unionByName(spark.createDataFrame([("b", t0 + timedelta(seconds=1), 5), ("b", t0 + timedelta(seconds=2), 6)], df.schema))
-    stable = settle.settled(again, "path", "ts", "n", settle.QUIET_SECONDS, settle.STABLE_SECONDS).where("path = 'b'").collect()
-    start = again.agg(F.min(F.col("ts").cast("double")).alias("t")).first()["t"]
-    assert [(r["n"], r["settled_at"] - start) for r in stable] == [(6, 3.75)]
-
-
-def test_settling_stream(spark, tmp_path):
-    t0 = datetime(2024, 1, 1)
-    rows = [("a", t0 + timedelta(milliseconds=100 * i), float(i)) for i in range(20)] + [("a", t0 + timedelta(seconds=10), 99.0), ("b", t0 + timedelta(hours=1), 0.0)]
-    spark.createDataFrame(rows, "path string, ts timestamp, value double").coalesce(1).write.parquet(str(tmp_path / "in"))
-    s = settle.settle_stream(spark.readStream.schema("path string, ts timestamp, value double").parquet(str(tmp_path / "in")), "path", "ts", 0.75, "1 second")
-    q = s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {(r["key"], r["events"], r["value"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert ("a", 20, 19.0) in got
-
-
 def test_admission(spark):
     df = spark.createDataFrame([("a/b.wav",), ("a/.b.wav",), ("a/~x",), ("x.tmp",)], "p string")
-    assert [r["p"] for r in settle.admitted(df, "p").collect()] == ["a/b.wav"]
+    assert [r["p"] for r in watch.admitted(df, "p").collect()] == ["a/b.wav"]
     assert df.select(F.lit(1)).count() == 4
