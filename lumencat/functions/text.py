@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
 # Stop words, synonym groups (the first word stands for its group) and accented letters of the search rules.
-STOP_WORDS = ("a an the find me some any please sound sounds effect effects sfx audio for of that is like something need i want with and").split()
+STOP_WORDS = ("a", "an", "the", "find", "me", "some", "any", "please", "sound", "sounds", "effect", "effects", "sfx", "audio", "for", "of", "that", "is", "like", "something", "need", "i", "want", "with", "and")
 SYNONYMS = (
     ("whoosh", "swoosh", "swish", "sweep"),
     ("impact", "hit", "thud", "slam"),
@@ -78,10 +78,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def markdown_escaped(c: Column) -> Column:
-    return F.regexp_replace(c, r"([\\`*_{}\[\]()#+\-.!|<>])", r"\\$1")
-
-
 def file_stem(path: Column) -> Column:
     """The file name without its last extension."""
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")

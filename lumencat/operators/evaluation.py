@@ -16,15 +16,8 @@ def lexical_rank(docs: DataFrame, text: str, key: str, column: str) -> DataFrame
     return docs.select(key, hits.alias("hits")).where("hits > 0").orderBy(F.desc("hits"), key)
 
 
-def percentile(values: Column, p: int) -> Column:
-    """The value at index ceil((n - 1) * p / 100) of the sorted values; 0 if there is none."""
-    v = F.array_sort(values)
-    at = F.ceil((F.size(v) - 1) * F.lit(p) / 100).cast("int") + 1
-    return F.when(F.size(v) > 0, F.element_at(v, F.greatest(at, F.lit(1)))).otherwise(0)
-
-
 def ranked_percentiles(df: DataFrame, value: str, group: list[str], ps: list[int]) -> DataFrame:
-    """The same percentiles of groups of any size. Rows are dealt out by ranges of (group, value), so no task holds a whole group;
+    """Of each group the value at index ceil((n - 1) * p / 100) of its sorted values, for groups of any size. Rows are dealt out by ranges of (group, value), so no task holds a whole group;
     a row's place is its place in its range plus the sizes of the group's ranges before."""
     ranged = df.where(F.col(value).isNotNull()).select(*group, value).repartitionByRange(*group, value).withColumn("_part", F.spark_partition_id())
     ranged = stored(ranged, "ranges")
@@ -60,25 +53,19 @@ def tag_scores(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     return one.withColumns({"precision": ratio("correct", "judged"), "recall": ratio("gold_found", "gold_facts")})
 
 
-def retrieval_scores(ranking: DataFrame, relevant: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(queries, recall, mrr, out_of_domain, out_of_domain_with_results).
+def retrieval_summary(queries: DataFrame, k: int = 5) -> DataFrame:
+    """(queries, recall, mrr, out_of_domain, out_of_domain_with_results) of queries (in_domain, size, found, first, returned).
 
-    ranking: (query, item, rank from 1) within the pool; relevant: (query, item) within the pool; queries: (query, in_domain).
-    Recall's denominator is the smaller of k and the number of relevant items; queries with none in the pool do not count.
+    size: the relevant items of the pool; found: those among the first k; first: the place of the first one; returned: whether anything was
+    given out. Recall's denominator is the smaller of k and size; queries of the domain with none in the pool do not count.
     """
-    hits = ranking.join(relevant, ["query", "item"], "left_semi").groupBy("query").agg(F.count_if(F.col("rank") <= k).alias("found"), F.min("rank").alias("first"))
-    size = relevant.groupBy("query").agg(F.count("*").alias("size"))
-    any_result = ranking.select("query").distinct().withColumn("returned", F.lit(True))
-    q = queries.join(size, "query", "left").join(hits, "query", "left").join(any_result, "query", "left")
-    counted = F.col("in_domain") & F.col("size").isNotNull()
-    share = F.coalesce("found", F.lit(0)) / F.least("size", F.lit(k))
-    return q.agg(
-        F.count_if(counted).alias("queries"),
-        F.coalesce(F.avg(F.when(counted, share)), F.lit(0.0)).alias("recall"),
-        F.coalesce(F.avg(F.when(counted, F.coalesce(1 / F.col("first"), F.lit(0.0)))), F.lit(0.0)).alias("mrr"),
-        F.count_if(~F.col("in_domain")).alias("out_of_domain"),
-        F.count_if(~F.col("in_domain") & F.col("returned")).alias("out_of_domain_with_results"),
-    )
+    counted = F.col("in_domain") & (F.coalesce("size", F.lit(0)) > 0)
+    mean = lambda c: F.coalesce(F.avg(F.when(counted, F.coalesce(c, F.lit(0.0)))), F.lit(0.0))
+    out = ~F.col("in_domain")
+    return queries.agg(
+        F.count_if(counted).alias("queries"), mean(F.col("found") / F.least("size", F.lit(k))).alias("recall"), mean(1 / F.col("first")).alias("mrr"),
+        F.count_if(out).alias("out_of_domain"), F.count_if(out & F.coalesce("returned", F.lit(False))).alias("out_of_domain_with_results"),
+    )
 
 
 def verdict(scores: DataFrame, checks: dict[str, Column]) -> DataFrame:

@@ -10,9 +10,28 @@ from pyspark.sql import functions as F
 from lumencat.operators.actions import Folded, State, compare_and_swap, folded
 
 
-def searchable_text(policy: str, settings: Column, prompt: Column) -> Column:
-    """By policy: nothing, settings only, or prompts, from which local paths are dropped."""
-    return F.when(F.col(policy) == "settings", settings).when(F.col(policy) == "prompts", F.regexp_replace(prompt, "/home/[^ ]*", ""))
+def local_path(value: Column) -> Column:
+    """Whether a value names a place on some machine: an absolute or home path, a share, a drive, a file address."""
+    return F.trim(value).rlike(r"^(/|~|\\\\|(?i:file:)|[A-Za-z]:[\\/])")
+
+
+def prompt_setting(key: Column) -> Column:
+    """Whether a setting's name says that it holds prompt text."""
+    return F.contains(F.lower(key), F.lit("prompt"))
+
+
+def searchable_texts(policy: Column, fields: Column, settings: Column) -> Column:
+    """What may be searched of an asset's metadata, by policy: exclude (nothing), settings, or prompts (all).
+
+    fields: array of (field, value), of which prompt and negative_prompt need the policy prompts, and empty ones and those that are a local path
+    are left out; settings: array of (key, value), of which those that hold prompt text need it too. A text that follows itself is told once.
+    """
+    all_of_it = policy == "prompts"
+    is_prompt = lambda f: f["field"].isin("prompt", "negative_prompt")
+    told = F.transform(F.filter(fields, lambda f: (all_of_it | ~is_prompt(f)) & (f["value"] != "") & ~local_path(f["value"])), lambda f: f["value"])
+    set_ = F.transform(F.filter(settings, lambda s: all_of_it | ~prompt_setting(s["key"])), lambda s: F.concat(s["key"], F.lit(": "), s["value"]))
+    every = F.when(policy.isin("settings", "prompts"), F.concat(told, set_)).otherwise(F.array().cast("array<string>"))
+    return F.filter(every, lambda t, i: (i == 0) | ~F.get(every, i - 1).eqNullSafe(t))
 
 
 def resolve_field(user: Column, imported: Column, inherited: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumencat.operators.numbering import numbered
+from lumencat.operators.storage import stored
 
 
 def numbered_frames(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -59,16 +60,24 @@ def coarser(level: DataFrame, keys: Sequence[str], by: int = 4) -> DataFrame:
 def pyramid(frames: DataFrame, keys: Sequence[str], base: int = 256, levels: int = 6, most: int = 65_536) -> DataFrame:
     """(level, keys, bucket, low, high, rms): each level from the one below, as long as a signal has more than four buckets there.
 
-    A signal of over ``most`` buckets has its base doubled until it has no more.
+    A signal of over ``most`` buckets has its base doubled until it has no more. Frames are numbered from 0 without a gap, so the number of
+    buckets of each level follows from theirs; each level is stored and read by the next one only.
     """
     n = frames.groupBy(*keys).agg((F.max("frame") + 1).alias("_n"))
     doubled = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.ceil(F.col("_n") / base) / F.lit(float(most))))))
-    now = buckets(frames.join(n.select(*keys, (F.lit(base) * doubled).alias("_size")), list(keys)), keys, F.col("_size"))
-    out = now.select(F.lit(0).alias("level"), *keys, "bucket", "low", "high", "rms")
-    for k in range(1, levels):
-        large = now.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 4").select(*keys)
-        now = coarser(now.join(large, list(keys), "left_semi"), keys)
-        out = out.unionByName(now.select(F.lit(k).alias("level"), *keys, "bucket", "low", "high", "rms"))
+    size = (F.lit(base) * doubled).cast("long")
+    sized = n.select(*keys, size.alias("_size"), F.ceil(F.col("_n") / size).alias("_count"))
+    at = F.floor(F.col("frame") / F.col("_size")).cast("long").alias("bucket")
+    value = F.col("value")
+    now = frames.join(sized, list(keys)).groupBy(*keys, "_count", at).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.sqrt(F.avg(value * value)).alias("rms"))
+    out = None
+    for k in range(levels):
+        if k:
+            large = now.where(F.ceil(F.col("_count") / 4 ** (k - 1)) > 4)
+            now = coarser(large, [*keys, "_count"])
+        now = stored(now, "level")
+        level = now.select(F.lit(k).alias("level"), *keys, "bucket", "low", "high", "rms")
+        out = level if out is None else out.unionByName(level)
     return out
 
 

@@ -75,12 +75,23 @@ def catalog(t: Tables) -> DataFrame:
     return t.documents.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("relative_path"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.lit("ready").alias("status"), F.array("lang").alias("user_tags"), F.md5("text").alias("comment"), (F.col("doc_id") % 50 == 0).alias("favorite"))
 
 
-@query("SNK-14", f"select id, source_id, relative_path, title, tags from {_CATALOG} c")
+@query(
+    "SNK-14",
+    f"select id, source_id, relative_path, title, tags, comment, favorite, 'portable-catalog/3' as version, 'whole' as copy from {_CATALOG} c union all select id, source_id, relative_path, title, tags, comment, null, 'portable-catalog/2', 'without marks' from {_CATALOG} c "
+    f"union all select id, source_id, relative_path, title, tags, null, null, 'portable-catalog/1', 'without either' from {_CATALOG} c",
+)
 def portable_export(spark: SparkSession, d: str) -> DataFrame:
-    """Written as portable JSON and read back."""
-    path = scratch(spark, "portable")
-    portable.write_catalog(catalog(Tables(spark, d)), path)
-    return portable.read_catalog(spark, path).where("problem is null").select("id", "source_id", "relative_path", "title", F.array_join("user_tags", ",").alias("tags"))
+    """Written as portable JSON and read back: whole, without marks, without marks and comments. The version is the oldest that holds what is left."""
+    out = None
+    for name, redact in (("whole", ()), ("without marks", ("marks",)), ("without either", ("marks", "comments"))):
+        path = scratch(spark, "portable")
+        portable.write_catalog(catalog(Tables(spark, d)), path, redact=redact)
+        version = F.get_json_object("value", "$.schema")
+        said = spark.read.text(path).groupBy(version.alias("version")).count().select("version")
+        read = portable.read_catalog(spark, path).where("problem is null").select("id", "source_id", "relative_path", "title", F.array_join("user_tags", ",").alias("tags"), "comment", "favorite", F.lit(name).alias("copy"))
+        one = read.crossJoin(said)  # one row: all documents of a copy are of one version
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SRC-09", f"select count(*) filter (cast(id as integer) % 3 <> 0) as new, count(*) filter (cast(id as integer) % 3 = 0) as known, 0 as invalid from {_CATALOG} c")
@@ -328,24 +339,42 @@ def rebind_clips(spark: SparkSession, d: str) -> DataFrame:
 _KEPT = "list_filter(string_split(p_name, ' '), lambda t: t <> 'red')"
 
 
-@query("SNK-05", f"select p_partkey, array_to_string(list_concat({_KEPT}, case when list_contains({_KEPT}, 'new') then [] else ['new'] end), ',') as tags, case when p_size % 3 = 0 then null when p_size % 3 = 1 then 'set' else p_brand end as comment, case when p_size % 5 = 0 then null else p_size % 5 end as rating, case when p_size % 3 = 2 then null else p_brand end as was_comment, p_size % 3 <> 2 as comment_changes from part")
+@query(
+    "SNK-05",
+    f"select p_partkey, array_to_string(list_concat({_KEPT}, case when list_contains({_KEPT}, 'new') then [] else ['new'] end), ',') as tags, case when p_size % 3 = 0 then null when p_size % 3 = 1 then 'set' else p_brand end as comment, case when p_size % 5 = 0 then null else p_size % 5 end as rating, "
+    "case when p_size % 3 = 2 then null else p_brand end as was_comment, p_size % 3 <> 2 as comment_changes, replace(p_name, ' ', ',') as was_tags, true as taken_back from part",
+)
 def annotation_patch(spark: SparkSession, d: str) -> DataFrame:
-    """Tags added and removed, comments set, cleared by null or left, ratings cleared; and the inverse entry of the comments."""
+    """Tags added and removed, comments set, cleared by null or left, ratings cleared; the inverse entry of all three, and whether applying it gives the row back."""
     p = Tables(spark, d).part
     now = p.select("p_partkey", F.split("p_name", " ").alias("tags"), F.col("p_brand").alias("comment"), (F.col("p_size") % 5).alias("rating"), "p_size")
     to = lambda value, given: F.when(given, F.struct(value.cast("string").alias("value")))
     comment = to(F.when(F.col("p_size") % 3 == 1, "set"), F.col("p_size") % 3 != 2)
     rating = F.when(F.col("rating") == 0, F.struct(F.lit(None).cast(now.schema["rating"].dataType).alias("value")))
-    out = merge.patched(now, {"comment": comment, "rating": rating}).withColumn("tags", F.array_join(merge.patched_tags(F.col("tags"), F.array(F.lit("new")), F.array(F.lit("RED"))), ","))
-    return out.select("p_partkey", "tags", "comment", "rating", F.col("inverse.comment.value").alias("was_comment"), F.col("inverse.comment").isNotNull().alias("comment_changes"))
+    tags = F.struct(merge.patched_tags(F.col("tags"), F.array(F.lit("new")), F.array(F.lit("RED"))).alias("value"))
+    out = merge.patched(now, {"comment": comment, "rating": rating, "tags": tags})
+    back = merge.patched(out.withColumnRenamed("inverse", "entry"), {c: F.col(f"entry.{c}") for c in ("comment", "rating", "tags")})
+    before = now.select(*[F.col(c).alias(f"_{c}") for c in ("p_partkey", "comment", "rating", "tags")])
+    same = F.lit(True)
+    for c in ("comment", "rating", "tags"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    taken = back.join(before, F.col("p_partkey") == F.col("_p_partkey")).select("p_partkey", same.alias("taken_back"))
+    out = out.withColumn("was_tags", F.array_join("inverse.tags.value", ",")).withColumn("tags", F.array_join("tags", ","))
+    return out.join(taken, "p_partkey").select("p_partkey", "tags", "comment", "rating", F.col("inverse.comment.value").alias("was_comment"), F.col("inverse.comment").isNotNull().alias("comment_changes"), "was_tags", "taken_back")
 
 
-@query("SNK-06", f"select o.outcome, count(*) as n, sum(case when o.outcome = 'applied' then 1 else 0 end) as written from (select doc_id, case when outcome = 'applied' and doc_id % 7 = 0 then 'limit' else outcome end as outcome from ({_OUTCOME}) p) o group by o.outcome")
+_TAGGED = "list_distinct(list_concat(list_transform(range(1, doc_id % 6 + 1), lambda i: 't' || i), ['t1', 'x', 'y']))"
+
+
+@query("SNK-06", f"select outcome, count(*) as n, sum(case when outcome = 'applied' then 1 else 0 end) as written from (select doc_id, case when outcome = 'applied' and len({_TAGGED}) > 5 then 'limit' else outcome end as outcome from ({_OUTCOME}) p) o group by outcome")
 def bulk_apply(spark: SparkSession, d: str) -> DataFrame:
-    """The outcomes of a bulk edit, a limit among them, and how many rows the applied ones change in the next table."""
+    """The outcomes of a bulk edit that adds tags, of which a document holds five at most, and how many rows the applied ones change in the next table."""
     t = Tables(spark, d)
     now = t.documents.select("doc_id", "lang", (F.col("doc_id") % 3).alias("revision"))
-    edits = merge.limited(_edit_outcomes(t).select("doc_id", "outcome", "new_lang"), F.col("doc_id") % 7 == 0)
+    k = (F.col("doc_id") % 6).cast("int")
+    held = F.transform(F.filter(F.array(*map(F.lit, range(1, 6))), lambda i: i <= k), lambda i: F.concat(F.lit("t"), i.cast("string")))
+    after_tags = merge.patched_tags(held, F.array(*map(F.lit, ("t1", "x", "y"))), F.array().cast("array<string>"))
+    edits = merge.limited(_edit_outcomes(t).select("doc_id", "outcome", "new_lang"), F.size(after_tags) > 5)
     after = merge.updated(now, edits, "doc_id", "revision", {"lang": "new_lang"}).where("relation = 'row'")
     changed = after.join(now.select("doc_id", F.col("revision").alias("before")), "doc_id").where("revision <> before").select("doc_id", F.lit(1).alias("w"))
     return edits.join(changed, "doc_id", "left").groupBy("outcome").agg(F.count("*").alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("written"))
@@ -373,9 +402,23 @@ def undo_log(spark: SparkSession, d: str) -> DataFrame:
     return done.states.join(counts, "doc_id", "left").na.fill(0, ["applied", "conflicts"]).select("doc_id", "lang", "revision", "applied", "conflicts")
 
 
-@query("SNK-08", "select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda t: case when t = 'red' then 'crimson' else t end), ',') as tags from part")
+_RESOLVED = "case lower(t) when 'red' then 'ruby' when 'crimson' then 'ruby' when 'blue' then 'navy' else t end"
+
+
+@query(
+    "SNK-08",
+    f"select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda t: case when t = 'red' then 'crimson' else t end), ',') as tags, array_to_string(list_sort(list_distinct(list_transform(string_split(p_name, ' '), lambda t: {_RESOLVED}))), ',') as resolved, "
+    f"len(list_filter(string_split(p_name, ' '), lambda t: {_RESOLVED} <> t)) as renamed from part",
+)
 def tag_rename(spark: SparkSession, d: str) -> DataFrame:
-    return Tables(spark, d).part.select("p_partkey", F.array_join(tags.renamed(F.split("p_name", " "), "Red", "crimson"), ",").alias("tags"))
+    """Tags renamed in place; and read through aliases, of which an earlier one is repointed when its target is renamed: there are no chains."""
+    p = Tables(spark, d).part
+    aliases = spark.createDataFrame([], "alias_key string, canonical string")
+    for old, new in (("Red", "crimson"), ("blue", "navy"), ("Crimson", "ruby")):
+        aliases = tags.with_alias(aliases, old, new)
+    each = p.select("p_partkey", F.explode(F.split("p_name", " ")).alias("tag")).withColumn("said", F.col("tag"))
+    read = tags.resolved(each, aliases, "tag").groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("resolved"), F.count_if(F.col("tag") != F.col("said")).alias("renamed"))
+    return p.select("p_partkey", F.array_join(tags.renamed(F.split("p_name", " "), "Red", "crimson"), ",").alias("tags")).join(read, "p_partkey")
 
 
 # the log: each copy of a stack does something in turn, most of them from the revision that is then the current one

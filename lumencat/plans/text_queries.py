@@ -322,12 +322,25 @@ def bag_of_words(spark: SparkSession, d: str) -> DataFrame:
     return lexical_rank(Tables(spark, d).benchmark, "the thou onthe of", "item_id", "text").limit(10)
 
 
-@query("TXT-22", "select conv_id, turn, case role when 'system' then null when 'user' then 'prompt ' || regexp_replace(text, '/home/[^ ]*', '', 'g') else 'settings' end as searchable from conversations")
-def policy_text(spark: SparkSession, d: str) -> DataFrame:
-    from lumencat.operators.provenance import searchable_text
+_PLACES = ("/srv/in.png", "~/in.png", "\\\\host\\in", "File:///in", "c:\\in", "D:/in", " /in", "in/a.png", "x:", "")
+_PLACE_SQL = "[" + ", ".join(f"'{p}'" for p in _PLACES) + "]"
+
 
-    c = Tables(spark, d).conversations.select("conv_id", "turn", F.when(F.col("role") == "system", "exclude").when(F.col("role") == "user", "prompts").otherwise("settings").alias("policy"), F.concat(F.lit("prompt "), F.col("text")).alias("prompt"))
-    return c.select("conv_id", "turn", searchable_text("policy", F.lit("settings"), F.col("prompt")).alias("searchable"))
+@query(
+    "TXT-22",
+    f"select conv_id, turn, array_to_string(case role when 'system' then [] when 'user' then list_concat([p for p in [text, place] if p <> '' and not regexp_matches(ltrim(p), '^(/|~|\\\\\\\\|(?i:file:)|[A-Za-z]:[\\\\/])')], ['Steps: 20', 'Hires prompt: ' || role]) "
+    f"else list_concat([p for p in [place] if p <> '' and not regexp_matches(ltrim(p), '^(/|~|\\\\\\\\|(?i:file:)|[A-Za-z]:[\\\\/])')], ['Steps: 20']) end, '|') as searchable from (select *, ({_PLACE_SQL})[turn % 10 + 1] as place from conversations) c",
+)
+def policy_text(spark: SparkSession, d: str) -> DataFrame:
+    """What may be searched of each turn as generation metadata: by policy, without local paths, and without the settings that hold prompts."""
+    from lumencat.operators.provenance import searchable_texts
+
+    field = lambda name, value: F.struct(F.lit(name).alias("field"), value.alias("value"))
+    setting = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
+    place = F.element_at(F.array(*map(F.lit, _PLACES)), (F.col("turn") % 10 + 1).cast("int"))
+    policy = F.when(F.col("role") == "system", "exclude").when(F.col("role") == "user", "prompts").otherwise("settings")
+    text = searchable_texts(policy, F.array(field("prompt", F.col("text")), field("model", place)), F.array(setting("Steps", F.lit("20")), setting("Hires prompt", F.col("role"))))
+    return Tables(spark, d).conversations.select("conv_id", "turn", F.array_join(text, "|").alias("searchable"))
 
 
 @query("TXT-19", f"select id, score from {MATCHES} m order by score desc, octet_length(encode(title)), title_lower, id limit 20 offset 10")

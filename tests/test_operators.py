@@ -161,16 +161,13 @@ def test_percentiles(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(20)], "g string, v double")
     r = evaluation.ranked_percentiles(df, "v", ["g"], [50, 95]).first()
     assert (r["p50"], r["p95"]) == (10.0, 19.0)
-    one = df.groupBy("g").agg(evaluation.percentile(F.collect_list("v"), 95).alias("p")).first()["p"]
-    assert one == 19.0
 
 
-def test_retrieval_scores(spark):
-    ranking = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("o", "a", 1)], "query string, item string, rank int")
-    relevant = spark.createDataFrame([("q", "b"), ("q", "c")], "query string, item string")
-    queries = spark.createDataFrame([("q", True), ("o", False), ("empty", True)], "query string, in_domain boolean")
-    r = evaluation.retrieval_scores(ranking, relevant, queries).first()
-    assert (r["queries"], r["recall"], r["mrr"], r["out_of_domain"], r["out_of_domain_with_results"]) == (1, 0.5, 0.5, 1, 1)
+def test_retrieval_summary(spark):
+    rows = [("q", True, 2, 1, 2, True), ("none", True, 4, None, None, False), ("empty", True, 0, None, None, True), ("unknown", True, None, None, None, None), ("o", False, None, None, None, True), ("p", False, 3, 1, 1, None)]
+    q = spark.createDataFrame(rows, "query string, in_domain boolean, size int, found int, first int, returned boolean")
+    assert tuple(evaluation.retrieval_summary(q).first()) == (2, 0.25, 0.25, 2, 1)
+    assert tuple(evaluation.retrieval_summary(q.limit(0)).first()) == (0, 0.0, 0.0, 0, 0)
 
 
 def test_scalars(spark):
@@ -372,27 +369,57 @@ def test_discovery_resumes(spark):
     assert {r["state"] for r in jobs.resumed(after.where("epoch = 2"), found, "path", 2, True).collect()} == {"done"}
 
 
-def test_vector_blocks_agree(spark, monkeypatch):
+def test_cosine_does_not_see_lengths(spark):
+    rows = [(1, [2.0, 0.0], "a"), (2, [100.0, 90.0], "a"), (3, [0.0, 0.0], "a"), (4, None, "a"), (5, [1.0, None], "a"), (6, [float("inf"), 1.0], "a"), (7, [3.0, 0.0], "b"), (8, [1.0, 0.0, 0.0], "a"), (9, [], "a"), (10, [-1.0, 0.0], None), (11, [7.0, 0.0], "a")]
+    items = spark.createDataFrame(rows, "item long, embedding array<double>, space string")
+    asked = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, None, "a"), (3, [5.0, 0.0], None)], "query long, q array<double>, space string")
+    got = [(r["query"], r["item"], round(r["similarity"], 3)) for r in vectors.ranking(asked, items, 9, space="space").orderBy("query", "rank").collect()]
+    assert got == [(1, 1, 1.0), (1, 11, 1.0), (1, 2, round(100 / math.hypot(100, 90), 3)), (3, 10, -1.0)]
+    assert vectors.ranking(asked.limit(0), items, 3).count() == vectors.ranking(asked, items.limit(0), 3).count() == 0
+
+
+def test_vector_blocks_agree(spark):
     r = np.random.default_rng(1)
-    rows = [(k, v.tolist(), int(k % 4)) for k, v in enumerate(r.normal(size=(90, 8)))]
+    rows = [(k, (v * (1 + k % 5)).tolist(), int(k % 4)) for k, v in enumerate(r.normal(size=(90, 8)))]
     e = spark.createDataFrame(rows, "item long, embedding array<double>, vl int")
     asked = e.where("item % 9 = 0").select(F.col("item").alias("query"), F.col("embedding").alias("q"), F.col("vl").alias("ql"))
     x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
     s = x @ x.T
     want = {}
     for q in range(0, 90, 9):
         order = [i for i in np.lexsort((np.arange(90), -s[q])) if i != q]
         same = [n for n, i in enumerate(order, 1) if i % 4 == q % 4]
         want[q] = (len(same), sum(n <= 5 for n in same), same[0], [int(i) for i in order[:5]])
-    for size in (4096, 13):
-        monkeypatch.setattr(vectors, "BLOCK", size)
-        got = {x["query"]: (x["size"], x["found"], x["first"]) for x in vectors.label_retrieval(asked, e, 5).collect()}
+    got = {x["query"]: (x["size"], x["found"], x["first"]) for x in vectors.label_retrieval(asked, e, 5).collect()}
+    for block in (4096, 13):
         near: dict = {}
-        for x in vectors.ranking(asked, e, 5, own=False).orderBy("query", "rank").collect():
+        for x in vectors.pruned_ranking(asked, e, 5, own=False, block=block).rows.orderBy("query", "rank").collect():
             near.setdefault(x["query"], []).append(x["item"])
         assert {q: (*got[q], near[q]) for q in got} == want
 
 
+def test_blocks_that_cannot_matter_are_skipped(spark):
+    """Vectors around twenty directions: most pairs of blocks are never multiplied, and the nearest are those of all pairs."""
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(20, 12))
+    x = centres[np.arange(800) % 20] + 0.05 * r.normal(size=(800, 12))
+    x[:40] = x[40:80]  # ties
+    e = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "item long, embedding array<double>")
+    asked = e.where("item % 7 = 0").select(F.col("item").alias("query"), F.col("embedding").alias("q"))
+    done = vectors.pruned_ranking(asked, e, 4, block=40, pivots=30)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    got: dict = {}
+    for row in done.rows.orderBy("query", "rank").collect():
+        got.setdefault(row["query"], []).append((row["item"], row["similarity"]))
+    for q, found in got.items():
+        s = unit @ unit[q]
+        best = np.sort(s)[::-1][:4]
+        assert np.allclose([v for _, v in found], best, atol=1e-12) and np.allclose(s[[i for i, _ in found]], best, atol=1e-12)
+    assert len(got) == len(range(0, 800, 7))
+    assert done.compared < 0.35 * done.pairs
+
+
 def test_rendered_signal(spark):
     f = spark.createDataFrame([("p", k, 1.0) for k in range(10)], "path string, frame long, value double")
     out = [r["value"] for r in timeseries.rendered(f, ["path"], 2, 8, 0.5, 2, 3, (1, 1)).orderBy("frame").collect()]
