@@ -7,8 +7,8 @@ rules, or if its Mahalanobis distance has a probability below REJECT.
 
 The determinant is sought from three deterministic starts (median and median deviation; sign covariance; covariance of
 hyperbolic tangents), each followed by concentration steps: the half of the rows of least distance gives the next location
-and scatter, until the determinants stay as they are (CHANGE) or STEPS are done. The start of least determinant is
-reweighted by the rows within the 97.5 per cent ellipsoid. FLOOR is added to the scatter, as rates of clean text are mostly
+and scatter. After FIRST_STEPS the start of least determinant goes on alone until its determinant stays as it is (CHANGE) or
+ROUNDS are done, and is reweighted by the rows within the 97.5 per cent ellipsoid. FLOOR is added to the scatter, as rates of clean text are mostly
 zero, and short texts are drawn towards the median, as their rates vary with their length (SHORT).
 
 Scale: statistics are columns of Spark's own functions, no Python runs in tasks. Texts are read once; their statistics are
@@ -37,14 +37,15 @@ LEAST_WORDS = 10
 MOST_REPEATED = 20
 GROUP = 40
 REJECT = 1e-6
-STEPS = 30
-CHANGE = 1e-6
+#: Concentration steps of every start, then of the best one in each round, of which there are ROUNDS at most.
+FIRST_STEPS, ROUNDS = 3, 12
+CHANGE = 1e-4
 #: Words at which half of a rate's variance is due to the text's length.
 SHORT = 50
 #: Standard deviations that are added to those of word length, symbols, repeated lines and repeated words.
 FLOOR = (0.05, 0.04, 0.04, 0.08)
 #: Distance classes to a unit of its logarithm; fixed-point steps to a unit of a vector.
-CLASSES, FIXED = 32, 4096
+CLASSES, FIXED = 16, 4096
 
 D = len(FLOOR)
 SPACE = " \t\n\x0b\x0c\r"
@@ -135,39 +136,45 @@ def _medians(rows: DataFrame) -> DataFrame:
     return found.groupBy("g").agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(x) for i, x in enumerate(_X)])
 
 
+# Sums over vectors are written as SQL texts: a text is parsed at once, where a tree of columns is built call by call.
+
+
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Number, sums and sums of products of the whole numbers y0.. of rows by keys."""
-    sums = [F.sum(F.col(f"y{i}").cast("double")).alias(f"s{i}") for i in range(D)]
-    products = [F.sum(F.col(f"y{i}").cast("double") * F.col(f"y{j}")).alias(f"p{i}{j}") for i, j in _PAIRS]
-    return rows.groupBy(*keys).agg(F.count("*").alias("m"), *sums, *products)
+    sums = [f"sum(cast(y{i} as double)) as s{i}" for i in range(D)] + [f"sum(cast(y{i} as double) * y{j}) as p{i}{j}" for i, j in _PAIRS]
+    return rows.groupBy(*keys).agg(F.count("*").alias("m"), *map(F.expr, sums))
 
 
 def _estimate(moments: DataFrame, factor: float, *keep: str) -> DataFrame:
     """Location u0.., scatter c00.. of moments: the covariance times factor, and FLOOR."""
-    mean = lambda i: F.col(f"s{i}") / F.col("m")
     floor = lambda i, j: (FLOOR[i] * FIXED) ** 2 if i == j else 0.0
-    scatter = [((F.col(f"p{i}{j}") / F.col("m") - mean(i) * mean(j)) * factor + floor(i, j)).alias(f"c{i}{j}") for i, j in _PAIRS]
-    return moments.select(*keep, *[mean(i).alias(f"u{i}") for i in range(D)], *scatter)
+    scatter = [f"(p{i}{j} / m - s{i} / m * (s{j} / m)) * {factor!r}D + {floor(i, j)!r}D as c{i}{j}" for i, j in _PAIRS]
+    return moments.selectExpr(*keep, *[f"s{i} / m as u{i}" for i in range(D)], *scatter)
 
 
 def _inverted(e: DataFrame) -> DataFrame:
-    """e with k00.., the inverse of the scatter's Cholesky factor, and the logarithm of its determinant."""
-    for i in range(D):
-        for j in range(i + 1):
-            rest = reduce(lambda a, k: a - F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}"), range(j), F.col(f"c{i}{j}"))
-            e = e.withColumn(f"_l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"_l{j}{j}"))
-    for j in range(D):
-        e = e.withColumn(f"k{j}{j}", 1 / F.col(f"_l{j}{j}"))
-        for i in range(j + 1, D):
-            e = e.withColumn(f"k{i}{j}", -reduce(lambda a, b: a + b, [F.col(f"_l{i}{m}") * F.col(f"k{m}{j}") for m in range(j, i)]) / F.col(f"_l{i}{i}"))
-    det = reduce(lambda a, b: a + b, [2 * F.log(f"_l{i}{i}") for i in range(D)])
-    return e.withColumn("det", det).drop(*[f"_l{i}{j}" for i, j in _PAIRS])
+    """e with k00.., the inverse of the scatter's Cholesky factor, and the logarithm of its determinant.
 
-
-def _distance(y: str = "y") -> Column:
+    Each selection computes what depends on the ones before, so that no expression is written out twice.
+    """
+    kept = e.columns
+    less = lambda first, a, b, over: first + "".join(f" - {a(k)} * {b(k)}" for k in over)
+    for j in range(D):
+        own = less(f"c{j}{j}", lambda k: f"l{j}{k}", lambda k: f"l{j}{k}", range(j))
+        e = e.selectExpr("*", f"sqrt(greatest({own}, 1e-9D)) as l{j}{j}")
+        below = [f"({less(f'c{i}{j}', lambda k: f'l{i}{k}', lambda k: f'l{j}{k}', range(j))}) / l{j}{j} as l{i}{j}" for i in range(j + 1, D)]
+        e = e.selectExpr("*", *below) if below else e
+    e = e.selectExpr("*", *[f"1 / l{j}{j} as k{j}{j}" for j in range(D)], " + ".join(f"2 * ln(l{i}{i})" for i in range(D)) + " as det")
+    for gap in range(1, D):
+        ends = [(j + gap, j) for j in range(D - gap)]
+        e = e.selectExpr("*", *[f"({less('0D', lambda m: f'l{i}{m}', lambda m: f'k{m}{j}', range(j, i))}) / l{i}{i} as k{i}{j}" for i, j in ends])
+    return e.select(*kept, *[f"k{i}{j}" for i, j in _PAIRS], "det")
+
+
+def _distance() -> Column:
     """The squared Mahalanobis distance of y0.. by u0.. and k00..."""
-    z = [reduce(lambda a, b: a + b, [F.col(f"k{i}{j}") * (F.col(f"{y}{j}") - F.col(f"u{j}")) for j in range(i + 1)]) for i in range(D)]
-    return reduce(lambda a, b: a + b, [v * v for v in z])
+    z = ["(" + " + ".join(f"k{i}{j} * (y{j} - u{j})" for j in range(i + 1)) + ")" for i in range(D)]
+    return F.expr(" + ".join(f"{v} * {v}" for v in z))
 
 
 def _shifted(rows: DataFrame, medians: DataFrame) -> DataFrame:
@@ -179,51 +186,59 @@ def _shifted(rows: DataFrame, medians: DataFrame) -> DataFrame:
 def _starts(rows: DataFrame) -> DataFrame:
     """Three scatters a group around the median (0): (g, start, u0.., c00..)."""
     spread = _medians(rows.select("g", *[F.abs(f"y{i}").alias(x) for i, x in enumerate(_X)]))
-    scale = [F.sqrt((1.4826 * F.col(x)) ** 2 + (FLOOR[i] * FIXED) ** 2).alias(f"d{i}") for i, x in enumerate(_X)]
-    spread = spread.select("g", *scale)
-    z = rows.join(spread, "g").select("g", *[(F.col(f"y{i}") / F.col(f"d{i}")).alias(f"z{i}") for i in range(D)])
-    length = reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(D)])
-    whole = lambda v: F.round(v * FIXED * FIXED)  # noqa: E731  sums of whole numbers do not depend on their order
-    sign = [F.sum(whole(F.when(length > 0, F.col(f"z{i}") * F.col(f"z{j}") / length).otherwise(0.0))).alias(f"a{i}{j}") for i, j in _PAIRS]
-    bent = [F.sum(whole(F.tanh(f"z{i}") * F.tanh(f"z{j}"))).alias(f"b{i}{j}") for i, j in _PAIRS]
-    sums = z.groupBy("g").agg(F.count("*").alias("m"), *sign, *bent).join(spread, "g")
+    spread = spread.selectExpr("g", *[f"sqrt(power(1.4826D * {x}, 2) + {(FLOOR[i] * FIXED) ** 2!r}D) as d{i}" for i, x in enumerate(_X)])
+    z = rows.join(spread, "g").selectExpr("g", *[f"y{i} / d{i} as z{i}" for i in range(D)])
+    z = z.selectExpr("*", " + ".join(f"z{i} * z{i}" for i in range(D)) + " as length", *[f"tanh(z{i}) as t{i}" for i in range(D)])
+    whole = float(FIXED * FIXED)  # sums of whole numbers do not depend on their order
+    sign = [f"sum(if(length > 0, round(z{i} * z{j} / length * {whole!r}D), 0D)) as a{i}{j}" for i, j in _PAIRS]
+    bent = [f"sum(round(t{i} * t{j} * {whole!r}D)) as b{i}{j}" for i, j in _PAIRS]
+    sums = z.groupBy("g").agg(F.count("*").alias("m"), *map(F.expr, [*sign, *bent])).join(spread, "g")
 
-    def start(k: int, of: Column | None, at: str) -> DataFrame:
-        def c(i: int, j: int) -> Column:
-            if of is None:
-                return F.col(f"d{i}") * F.col(f"d{i}") if i == j else F.lit(0.0)
-            share = F.col(f"{at}{i}{j}") / of
-            return share * F.col(f"d{i}") * F.col(f"d{j}") + ((FLOOR[i] * FIXED) ** 2 if i == j else 0.0)
+    def start(k: int, scatter) -> DataFrame:
+        return sums.selectExpr("g", f"{k} as start", *[f"0D as u{i}" for i in range(D)], *[f"{scatter(i, j)} as c{i}{j}" for i, j in _PAIRS])
 
-        return sums.select("g", F.lit(k).alias("start"), *[F.lit(0.0).alias(f"u{i}") for i in range(D)], *[c(i, j).alias(f"c{i}{j}") for i, j in _PAIRS])
+    floor = lambda i, j: (FLOOR[i] * FIXED) ** 2 if i == j else 0.0
+    of = lambda at, times: lambda i, j: f"{at}{i}{j} / (m * {whole!r}D) * {times} * d{i} * d{j} + {floor(i, j)!r}D"
+    return start(0, lambda i, j: f"d{i} * d{j}" if i == j else "0D").unionByName(start(1, of("a", D))).unionByName(start(2, of("b", 1)))
+
+
+def _concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """One step of each start: the estimate of the half of the rows of least distance, with ``was``, the determinant before.
 
-    size = F.col("m") * float(FIXED * FIXED)
-    return start(0, None, "").unionByName(start(1, size / D, "a")).unionByName(start(2, size, "b"))
+    The moments of each class of distances are summed first; those of the classes up to the one that reaches the half are the next
+    estimate's. Rows are read once, and only a group's classes meet.
+    """
+    at = ["g", "start"]
+    distance_class = F.floor(F.log(F.greatest(_distance(), F.lit(1e-12))) * CLASSES).cast("int")
+    near = rows.join(estimates.select(*at, *_PLACE, "det"), "g").select(*at, "det", *_Y, distance_class.alias("class"))
+    sums = _moments(near, [*at, "class", "det"])
+    w = Window.partitionBy(*at).orderBy("class")
+    so_far = sums.select(*at, F.col("det").alias("was"), F.col("m").alias("_m"), F.sum("m").over(Window.partitionBy(*at)).alias("_all"), *[F.sum(c).over(w).alias(c) for c in ("m", *_MOMENTS)])
+    half = F.floor((F.col("_all") + D + 1) / 2)
+    reached = so_far.where((F.col("m") >= half) & (F.col("m") - F.col("_m") < half))
+    return _inverted(_estimate(reached, _consistency(0.5), *at, "was"))
 
 
 def minimum_determinant(rows: DataFrame) -> DataFrame:
     """(g, u0.., k00..): the reweighted estimate of each group of the rows' y0..; distances are those of normal vectors."""
-    half = _consistency(0.5)
-    estimates = stored(_inverted(_starts(rows)), "estimates")
-    h = F.floor((F.col("_all") + D + 1) / 2)
-    place = lambda e: rows.join(e.select("g", "start", *_PLACE), "g").select("g", "start", *_Y, F.floor(F.log(F.greatest(_distance(), F.lit(1e-12))) * CLASSES).cast("int").alias("class"))
-    for _ in range(STEPS):
-        near = place(estimates)
-        least = _at_count(near.groupBy("g", "start", "class").agg(F.count("*").alias("n")), ["g", "start"], "class", h).withColumnRenamed("class", "most")
-        inner = near.join(least, ["g", "start"]).where(F.col("class") <= F.col("most"))
-        following = _inverted(_estimate(_moments(inner, ["g", "start"]), half, "g", "start"))
-        was = estimates.select("g", "start", F.col("det").alias("was"))
-        following = stored(following.join(was, ["g", "start"]), "estimates")
-        change = following.agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0]
-        estimates = following.drop("was")
+    estimates = _starts(rows).transform(_inverted)
+    for _ in range(FIRST_STEPS):
+        estimates = _concentrated(rows, estimates)
+    estimates = stored(estimates, "estimates")
+    best = estimates.groupBy("g").agg(F.min_by("start", F.struct("det", "start")).alias("start"))
+    estimates = estimates.join(best, ["g", "start"])
+    for _ in range(ROUNDS):
+        for _ in range(FIRST_STEPS):
+            estimates = _concentrated(rows, estimates)
+        estimates = stored(estimates, "estimates")
+        change = estimates.agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0]
         if change is None or change < CHANGE:
             break
-    best = estimates.groupBy("g").agg(F.min_by("start", F.struct("det", "start")).alias("start"))
-    raw = estimates.join(best, ["g", "start"])
-    inner = rows.join(raw.select("g", *_PLACE), "g").where(_distance() <= _quantile(0.025, D // 2)).select("g", *_Y)
+    inner = rows.join(estimates.select("g", *_PLACE), "g").where(_distance() <= _quantile(0.025, D // 2)).select("g", *_Y)
     return stored(_inverted(_estimate(_moments(inner, ["g"]), _consistency(0.975), "g")).select("g", *_PLACE), "estimate")
 
 
+_MOMENTS = [*(f"s{i}" for i in range(D)), *(f"p{i}{j}" for i, j in _PAIRS)]
 _Y = [f"y{i}" for i in range(D)]
 _PLACE = [*(f"u{i}" for i in range(D)), *(f"k{i}{j}" for i, j in _PAIRS)]
 
