@@ -19,8 +19,8 @@ matrices are joined along a conversation, and each part is then decoded between
 ends. Renderings of a conversation's parts follow each other. Transcripts of one length class are decoded in step.
 
 Defined cases: null text is an empty turn, null roles are ``unknown`` and not learnt from; null conversation ids and turns are
-kept and laid out first; turns of one number come in the order of role and text; repeated rows count once; a role that no
-training row has is never recovered; an empty transcript has no turn and renders to the empty string; white space at a
+kept and laid out first; turns of one number come in the order of role and text; repeated rows are turns of their own; a role
+that no training row has, or that is not among the MOST_ROLES most frequent ones, is never recovered; an empty transcript has no turn and renders to the empty string; white space at a
 turn's ends goes; extra columns are not read; an empty table gives an empty result. Among equally likely paths the first
 state in the order of roles wins.
 """
@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 from lumencat.llm.common import stored, table
 
 PART_TURNS = 512
+#: The states are three for each role, and the steps the square of the states: a free text in the place of a role is no role.
+MOST_ROLES = 64
 PLACES = ("marked", "bare", "later")
 
 #: Words that stand for a role at a line's start.
@@ -220,10 +222,10 @@ def lay_out(speakers: Speakers, key: int | None, said: list[tuple[str, str]], fi
 
 
 def numbered(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, number, single): distinct turns with their number from 0 in the conversation's order; single: all are one part."""
+    """(conv_id, turn, role, text, number, single): turns with their number from 0 in the conversation's order, repeated ones too; single: all are one part."""
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = ["conv_id", "turn", "role", "text"]
-    ranged = c.distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    ranged = c.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
     ranged = stored(ranged.withColumn("range", F.shiftright("place", 33)), "turns")
     # of each range and conversation the first place and how many: a few rows a conversation, however long
     sizes = ranged.groupBy("conv_id", "range").agg(F.min("place").alias("least"), F.count("*").alias("n"))
@@ -400,9 +402,9 @@ def _training(df: DataFrame) -> DataFrame:
 
 
 def known_speakers(conversations: DataFrame) -> Speakers:
-    """The roles of the training rows: one value for each role comes to the driver."""
+    """The most frequent roles of the training rows, MOST_ROLES at most, ties by name: these come to the driver."""
     rows = _training(conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("role").cast("string").alias("role"))).where("role is not null")
-    return Speakers([r["role"] for r in rows.select("role").distinct().collect()])
+    return Speakers([r["role"] for r in rows.groupBy("role").count().orderBy(F.desc("count"), "role").limit(MOST_ROLES).collect()])
 
 
 def op10_hmm_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
