@@ -217,8 +217,8 @@ def label_retrieval(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     The first one's rank is one more than the number of items before it, counted block by block: its similarity is a first
     pass over the blocks, the count a second one.
     """
-    own = valid(items.select(F.col("item").cast("long").alias("item"), "embedding", "vl"), "embedding").drop("_space")
-    asked = valid(queries.select(F.col("query").cast("long").alias("query"), "q", "ql"), "q").drop("_space")
+    own = stored(valid(items.select(F.col("item").cast("long").alias("item"), "embedding", "vl"), "embedding").drop("_space"), "items")
+    asked = stored(valid(queries.select(F.col("query").cast("long").alias("query"), "q", "ql"), "q").drop("_space"), "queries")
 
     def each(task):
         def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumencat.functions import text as T
 from lumencat.operators import evaluation as E
-from lumencat.operators import numbering, scalars, tags, timeseries, validation, vectors
+from lumencat.operators import contracts, numbering, scalars, tags, timeseries, vectors
 from lumencat.plans.registry import Tables, query
 from lumencat.plans.relational import ASSETS, assets
 
@@ -329,8 +329,46 @@ def redaction(spark: SparkSession, d: str) -> DataFrame:
     return redacted(c, {"c_name": False, "c_mktsegment": True}).withColumn("redacted", F.array_join("redacted", ","))
 
 
-@query("SCL-10", "select 'negative_size' as rule, count(*) filter (p_size < 0) as broken from part union all select 'blank_name', count(*) filter (p_name is null or trim(p_name) = '') from part union all select 'price', count(*) filter (p_retailprice > 1500) from part union all select 'dangling', (select count(*) from lineitem where l_partkey not in (select p_partkey from part))")
-def rules(spark: SparkSession, d: str) -> DataFrame:
-    t = Tables(spark, d)
-    own = validation.broken(t.part, {"negative_size": F.col("p_size") < 0, "blank_name": F.col("p_name").isNull() | (F.trim("p_name") == ""), "price": F.col("p_retailprice") > 1500})
-    return own.unionByName(validation.dangling(t.lineitem, "l_partkey", t.part, "p_partkey"))
+# a document is broken in one way, by its id; the SQL says what each way is called and where it is
+_BREAKS = {
+    1: ("invalid_argument", "$.id"), 2: ("limit_exceeded", "$.profile.width"), 3: ("limit_exceeded", "$.profile.pixels"), 4: ("invalid_path", "$.path"), 5: ("invalid_argument", "$.profile"),
+    6: ("identity_conflict", "$.tags"), 7: ("invalid_argument", "$.tags[1]"), 8: ("unsupported_schema", "$.schema"), 9: ("invalid_argument", "$.extra"), 10: ("invalid_argument", "$.recipes[0].kind"), 11: ("invalid_argument", "$"),
+}
+_BROKEN = "[" + ", ".join(f"{{'code': '{c}', 'path': '{p}'}}" for c, p in _BREAKS.values()) + "]"
+_PARENT = "case when doc_id % 20 = 13 then doc_id when doc_id % 20 = 14 then -1 when doc_id % 20 = 15 then doc_id + 20 when doc_id % 20 > 16 then doc_id - 1 end"
+
+
+@query(
+    "SCL-10",
+    f"select b.code, b.path, count(*) as n from (select ({_BROKEN})[doc_id % 20] as b from documents where doc_id % 20 between 1 and 11) x group by all "
+    f"union all select 'invalid_reference', 'dangling', count(*) from (select {_PARENT} as parent from documents) d where parent is not null and parent not in (select doc_id from documents) "
+    f"union all select 'invalid_reference', 'cyclic', count(*) from documents where doc_id % 20 = 13 union all select 'identity_conflict', 'repeated', count(*) from (select md5(text) from documents group by 1 having count(*) > 1) r",
+)
+def contract_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as JSON against a contract: what is wrong, where, how often; and the rules over all of them: references that lead nowhere or in a circle, identities given twice."""
+    c = contracts
+    contract = c.Object(
+        {
+            "schema": c.text(32), "id": c.uuid(), "digest": c.digest(), "path": c.relative_path(), "parent": c.whole(-1, 1 << 50, nullable=True),
+            "profile": c.Object({"width": c.whole(1, 1000), "height": c.whole(1, 1000), "alpha": c.flag()}, {"pixels": (c.LIMIT, lambda read: read("width", "long") * read("height", "long") > 500_000)}),
+            "tags": c.Items(c.text(16), most=8, unique=True), "recipes": c.Items(c.Object({"kind": c.choice(["crop", "turn"]), "by": c.whole(0, 360, nullable=True)})),
+        }
+    )
+    k = F.col("doc_id") % 20
+    if_ = lambda n, broken, good: F.when(k == n, broken).otherwise(good)
+    tail = F.lpad(F.conv(F.col("doc_id").cast("string"), 10, 16), 12, "0")
+    name = F.lower(F.concat(F.lit("0b5c0a8e-0000-4000-8000-"), tail))
+    parent = F.when(k == 13, F.col("doc_id")).when(k == 14, -1).when(k == 15, F.col("doc_id") + 20).when(k > 16, F.col("doc_id") - 1)
+    sides = F.struct(F.when(k == 2, 1001).when(k == 3, 900).otherwise(40).alias("width"), if_(3, 900, 50).alias("height"), F.lit(True).alias("alpha"))
+    tags = F.when(k == 6, F.array("lang", "lang")).when(k == 7, F.array(F.col("lang"), F.lit(""))).otherwise(F.array("lang", "source"))
+    recipes = F.array(F.struct(if_(10, "blur", "crop").alias("kind"), F.lit(None).cast("int").alias("by")))
+    fields = [if_(8, "image/9", "image/1").alias("schema"), if_(1, F.upper(name), name).alias("id"), F.sha2("text", 256).alias("digest"), if_(4, F.concat(F.lit("../"), "source"), F.col("source")).alias("path"), parent.alias("parent")]
+    whole = F.struct(*fields, if_(5, F.lit(None), sides).alias("profile"), tags.alias("tags"), recipes.alias("recipes"), F.when(k == 9, 1).alias("extra"))
+    said = F.to_json(whole, {"ignoreNullFields": "false"})
+    said = F.when(k == 9, said).otherwise(F.regexp_replace(said, ',"extra":null', ""))
+    docs = Tables(spark, d).documents
+    rows = docs.select("doc_id", parent.alias("parent"), F.md5("text").alias("same"), F.when(k == 11, F.concat(F.lit("{"), said)).otherwise(said).alias("said"))
+    own = rows.select(F.explode(contracts.errors(F.col("said"), contract, "image/1")).alias("e")).select("e.*")
+    counted = lambda df, path: df.groupBy("code").agg(F.count("*").alias("n")).select("code", F.lit(path).alias("path"), "n")
+    over = counted(c.dangling(rows, "doc_id", "parent", rows, "doc_id"), "dangling").unionByName(counted(c.cyclic(rows, "doc_id", "parent"), "cyclic")).unionByName(counted(c.repeated(rows, ["same"]), "repeated"))
+    return own.groupBy("code", "path").agg(F.count("*").alias("n")).unionByName(over)
