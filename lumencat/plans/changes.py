@@ -19,16 +19,22 @@ from lumencat.streaming import watch
 # -- scans -----------------------------------------------------------------------------------------------------
 
 
-@query("SRC-01")
+@query("SRC-01", "select source, case source when 'src2' then 'hash' when 'src3' then 'hash' else 'reuse' end as action, true as verified from (select distinct source from documents) s union all select 'gone', 'missing', null")
 def folder_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The tables' own files against a catalogue that knows some of them: what is reused, hashed anew, and missing.
+    """The documents as a tree of files, a folder for each source, against a catalogue of them: what is reused, hashed anew (changed, or not known), and missing.
 
-    Listed by extension without reading them; the digest is taken of files that are hashed only.
+    Listed by extension without reading anything; the digest is taken of files that are hashed only, and is held here against one of all contents.
     """
-    found = files.listing(spark, d, ["parquet"])
-    known = found.where(~F.col("path").contains("/events")).select("path", "size", F.when(F.col("path").contains("/orders"), 0).otherwise(F.unix_timestamp("modified")).alias("modified"), F.lit("known").alias("digest"))
-    known = known.unionByName(spark.createDataFrame([(f"{d}/gone.parquet", 1, 0, "known")], "path string, size long, modified long, digest string"))
-    return files.scan(spark, found.withColumn("modified", F.unix_timestamp("modified")), known, d).select("path", "action", "digest", files.title_of(F.col("path")).alias("title"))
+    root = scratch(spark, "tree")
+    Tables(spark, d).documents.select("source", "doc_id", "n_chars").repartition("source").write.partitionBy("source").parquet(root)
+    source = F.regexp_extract("path", "source=([^/]+)/", 1)
+    found = files.listing(spark, root, ["parquet"]).withColumn("modified", F.unix_timestamp("modified"))
+    known = found.where(source != "src3").select("path", "size", (F.col("modified") - (source == "src2").cast("int")).alias("modified"), F.lit("known").alias("digest"))
+    known = known.unionByName(spark.createDataFrame([(f"{root}/source=gone/part.parquet", 1, 0, "known")], "path string, size long, modified long, digest string"))
+    seen = files.scan(spark, found, known, root)
+    actual = files.listing(spark, root, ["parquet"], content=True).select(source.alias("source"), F.sha1("content").alias("actual"))
+    right = F.when(F.col("action") == "hash", F.col("digest") == F.col("actual")).when(F.col("action") == "reuse", F.col("digest") == "known")
+    return seen.withColumn("source", source).join(actual, "source", "left").select("source", "action", right.alias("verified"))
 
 
 @query("SRC-02", f"select id, n_chars <> coalesce(old, -1) as changed from (select id, n_chars, case when id % 5 = 0 then n_chars + 1 when id % 7 = 0 then null else n_chars end as old from {ASSETS} a) x")

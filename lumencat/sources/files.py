@@ -7,23 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumencat.sources import folders
+
 AUDIO = ("wav", "mp3", "flac", "ogg", "aif", "aiff", "m4a", "wma", "opus", "aac", "caf")
 IMAGE = ("png", "jpg", "jpeg", "webp")
-#: So many paths are not stated one by one.
-MOST_STATED = 100_000
 
 
 def listing(spark: SparkSession, root: str, extensions: Sequence[str] | None = None, content: bool = False) -> DataFrame:
-    """(path, size, modified[, content]) of files below a folder, by extension, without dot entries. Contents are read only if asked for."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    f = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *["content"] * content).where(~F.col("path").rlike(r"/\.[^/]*(/|$)"))
-    return f if extensions is None else f.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(list(extensions)))
-
+    """(path, size, modified[, content]) of files below a folder, by extension, without dot entries. Contents are read only if asked for.
 
-def listed(spark: SparkSession, paths: Sequence[str], content: bool = False) -> DataFrame:
-    """The same of stated files."""
-    files = spark.read.format("binaryFile").load(list(dict.fromkeys(paths)))
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *["content"] * content)
+    Folders of this machine's paths are listed by tasks, without links; other stores, and contents, by Spark's own reader.
+    """
+    if not content and folders.local_path(root) is not None:
+        spark.dataSource.register(folders.FolderSource)
+        f = spark.read.format("lumencat_folder").load(root).select("path", "size", F.timestamp_seconds("modified").alias("modified"))
+    else:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        f = found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *["content"] * content).where(~F.col("path").rlike(r"/\.[^/]*(/|$)"))
+    return f if extensions is None else f.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(list(extensions)))
 
 
 def changed(found: DataFrame, snapshot: DataFrame, stat: Sequence[str] = ("size", "modified")) -> DataFrame:
@@ -67,22 +68,20 @@ def scan(spark: SparkSession, found: DataFrame, known: DataFrame, root: str) ->
     """(path, action, digest) of a listing against known files (path, size, modified, digest).
 
     reuse: same size and time, the digest is the known one; hash: new or changed, the digest is the SHA-1 of the content,
-    which is read of these alone, or of all files below root where MOST_STATED or more are to be hashed; missing: known
-    but not listed.
+    which tasks read of these alone by their paths (in other stores than a file system Spark's reader reads all that is below root);
+    missing: known but not listed.
     """
     k = known.dropDuplicates(["path"]).select("path", F.col("size").alias("_size"), F.col("modified").alias("_modified"), F.col("digest").alias("_digest"))
     j = found.dropDuplicates(["path"]).withColumn("_there", F.lit(True)).join(k, "path", "full_outer")
     same = (F.col("size") == F.col("_size")) & (F.col("modified") == F.col("_modified"))
     action = F.when(F.col("_there").isNull(), "missing").when(F.coalesce(same, F.lit(False)), "reuse").otherwise("hash")
     state = j.select("path", action.alias("action"), F.col("_digest").alias("digest"))
-    paths = [r["path"] for r in state.where("action = 'hash'").select("path").limit(MOST_STATED).collect()]
-    done = state.where("action <> 'hash'")
-    if not paths:
-        return done
-    few = len(paths) < MOST_STATED
-    content = listed(spark, paths, content=True) if few else listing(spark, root, content=True).join(state.where("action = 'hash'").select("path"), "path", "left_semi")
-    hashed = content.select("path", F.lit("hash").alias("action"), F.sha1("content").alias("digest"))
-    return done.unionByName(hashed)
+    asked = state.where("action = 'hash'").select("path")
+    if folders.local_path(root) is not None:
+        hashed = folders.read_paths(asked, digest=True).where("status = 'found'").select("path", "digest")
+    else:
+        hashed = listing(spark, root, content=True).join(asked, "path", "left_semi").select("path", F.sha1("content").alias("digest"))
+    return state.where("action <> 'hash'").unionByName(hashed.withColumn("action", F.lit("hash")))
 
 
 def stated(paths: DataFrame, catalogue: DataFrame) -> DataFrame:

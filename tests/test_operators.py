@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumencat.functions import text as T
 from lumencat.functions.interpret import StructuredQuery, TextQuery
 from lumencat.operators import dedup, evaluation, jobs, merge, moves, numbering, paging, postings, provenance, scalars, search, tags, timeseries, vectors
-from lumencat.sources import files
+from lumencat.sources import files, folders
 
 SOUND = "id string, source_id string, status string, online boolean, favorite boolean, duration double, channels int, channel_layout string, title string, comment string, user_tags array<string>, profile_tags array<string>, description string"
 
@@ -428,13 +428,35 @@ def test_rendered_signal(spark):
     assert timeseries.rendered(f, ["path"], 20, 30, 1.0, 1, 1, (2, 3)).count() == 0
 
 
-def test_scan(spark, tmp_path, monkeypatch):
-    for name in ("a.wav", "b.wav", "c.wav"):
+def test_scan(spark, tmp_path):
+    for name in ("a.wav", "b.wav", "c.wav", "sub/deeper/d.WAV", ".hidden.wav", ".dots/e.wav", "notes.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "link.wav").symlink_to(tmp_path / "a.wav")
+    (tmp_path / "linked").symlink_to(tmp_path / "sub")
     found = files.listing(spark, str(tmp_path), ["wav"]).withColumn("modified", F.unix_timestamp("modified"))
+    assert sorted(r["path"].split(f"{tmp_path.name}/")[1] for r in found.collect()) == ["a.wav", "b.wav", "c.wav", "sub/deeper/d.WAV"]
     known = found.where("path not like '%c.wav'").select("path", F.when(F.col("path").endswith("b.wav"), 0).otherwise(F.col("size")).alias("size"), "modified", F.lit("old").alias("digest"))
     known = known.unionByName(known.limit(1).withColumn("path", F.lit("gone")))
     got = {r["path"].rsplit("/", 1)[-1]: (r["action"], r["digest"]) for r in files.scan(spark, found, known, str(tmp_path)).collect()}
-    monkeypatch.setattr(files, "MOST_STATED", 1)
-    assert got == {r["path"].rsplit("/", 1)[-1]: (r["action"], r["digest"]) for r in files.scan(spark, found, known, str(tmp_path)).collect()}
-    assert got["a.wav"] == ("reuse", "old") and got["b.wav"] == ("hash", hashlib.sha1(b"b.wav").hexdigest()) and got["c.wav"][0] == "hash" and got["gone"][0] == "missing"
+    assert got["a.wav"] == got["d.WAV"] == ("reuse", "old") and got["b.wav"] == ("hash", hashlib.sha1(b"b.wav").hexdigest()) and got["c.wav"][0] == "hash" and got["gone"][0] == "missing"
+    assert len(got) == 5
+
+
+def test_folder_source(spark, tmp_path):
+    for k in range(30):
+        (tmp_path / f"f{k % 3}/g{k % 2}/h{k % 5}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"f{k % 3}/g{k % 2}/h{k % 5}/{k}.png").write_bytes(b"x" * k)
+    (tmp_path / "top é.png").write_bytes(b"t")
+    spark.dataSource.register(folders.FolderSource)
+    read = lambda **o: spark.read.format("lumencat_folder").options(**o).load(str(tmp_path))
+    for split in (0, 1, 2, 5):
+        assert {(r["path"].rsplit("/", 1)[-1], r["size"], r["depth"]) for r in read(split=split).collect()} == {(f"{k}.png", k, 4) for k in range(30)} | {("top é.png", 1, 1)}
+    assert [read(depth=n).count() for n in (1, 2, 3, 4)] == [1, 1, 1, 31]
+    assert spark.read.format("lumencat_folder").load(f"file://{tmp_path}/f0/g0").count() == 5 and spark.read.format("lumencat_folder").load(f"{tmp_path}/none").count() == 0
+    (tmp_path / "link").symlink_to(tmp_path / "f0/g0")
+    (tmp_path / ".dot").write_bytes(b"")
+    asked = [f"file:{tmp_path}/top é.png", f"{tmp_path}/top é.png", f"{tmp_path}/link", f"{tmp_path}/.dot", f"{tmp_path}/f0", f"{tmp_path}/gone", f"{tmp_path}/gone", None, "s3://other/x"]
+    got = sorted((r["path"].rsplit("/", 1)[-1], r["status"], r["digest"]) for r in folders.read_paths(spark.createDataFrame([(p,) for p in asked], "path string"), digest=True).collect())
+    sha = hashlib.sha1(b"t").hexdigest()
+    assert got == [(".dot", "hidden", None), ("f0", "no_file", None), ("gone", "absent", None), ("link", "link", None), ("top é.png", "found", sha), ("top é.png", "found", sha), ("x", "absent", None)]
