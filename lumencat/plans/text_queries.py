@@ -14,6 +14,7 @@ from lumencat.functions import text as T
 from lumencat.functions.interpret import CAPABILITIES, StructuredQuery, TextQuery
 from lumencat.operators import numbering, postings, segments, storage
 from lumencat.operators import search as S
+from lumencat.operators.cache import ChangeCounters, ResultCache
 from lumencat.plans.registry import Tables, query
 
 ONLINE_SQL = "d.source <> 'src3'"
@@ -28,10 +29,13 @@ def sounds(t: Tables) -> DataFrame:
     )
 
 
+def sound_index(t: Tables) -> postings.Index:
+    return segments.index_of(t.spark, "sounds", f"{t.folder}/documents.parquet", lambda: S.token_index_columns(sounds(t)), S.SEARCHED)
+
+
 def ranked(t: Tables) -> DataFrame:
     """The ranked matches, through the index of the sounds' tokens."""
-    index = segments.index_of(t.spark, "sounds", f"{t.folder}/documents.parquet", lambda: S.token_index_columns(sounds(t)), S.SEARCHED)
-    return S.ranked_matches(sounds(t), RANKED, index=index)[0]
+    return S.ranked_matches(sounds(t), RANKED, index=sound_index(t))[0]
 
 
 #: The same relation in SQL, with tokens; none of the queries' terms has a synonym.
@@ -343,12 +347,22 @@ def policy_text(spark: SparkSession, d: str) -> DataFrame:
     return Tables(spark, d).conversations.select("conv_id", "turn", F.array_join(text, "|").alias("searchable"))
 
 
-@query("TXT-19", f"select id, score from {MATCHES} m order by score desc, octet_length(encode(title)), title_lower, id limit 20 offset 10")
-def cached_page(spark: SparkSession, d: str) -> DataFrame:
-    from lumencat.operators.cache import result_cache
+_PAGE = "order by score desc, octet_length(encode(title)), title_lower, id limit 20 offset 3)"
 
-    found = result_cache(spark).get(RANKED, d, lambda: ranked(Tables(spark, d)).select("id", "title", "score"))
-    return S.page(found, S.rank_order(), 10, 20).select("id", "score")
+
+@query("TXT-19", " union all ".join(f"select 'src {look}' as look, id, score, {kept} as kept from (select * from {MATCHES} m {where} {_PAGE} x" for look, kept, where in (("first", "false", ""), ("again", "true", ""), ("changed", "false", "where source_id <> 'src5'"))).replace("'src ", "'"))
+def cached_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page, the same page again from the kept result, and after another session has taken a source out and counted that change, the page as it is then."""
+    t, scopes = Tables(spark, d), ["src4", "src5"]
+    found = ranked(t).select("id", "source_id", "title", "title_lower", "score")
+    root = storage.scratch(spark, "results")
+    look = lambda rows: ResultCache(spark, root).get(RANKED, scopes, S.rank_order(), lambda: rows)
+    told = [("first", *look(found)), ("again", *look(found.limit(0)))]  # kept: what it would be made of is not asked
+    other = spark.newSession()
+    ChangeCounters(other, root).changed(other.createDataFrame([("src5",)], "scope string"))
+    told.append(("changed", *look(found.where("source_id <> 'src5'"))))
+    pages = [ResultCache.page(r, 3, 20).select(F.lit(name).alias("look"), "id", "score", F.lit(kept).alias("kept")) for name, r, kept in told]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
 
 
 @query("AGG-02", f"select 'orientation' as dim, orientation as value, count(*) as n from {STRUCTURED_SQL} m group by 2 union all select 'rating', coalesce(cast(rating as varchar), 'unrated'), count(*) from {STRUCTURED_SQL} m group by 2 union all select 'source', source_id, count(*) from {STRUCTURED_SQL} m group by 2 union all select 'format', lang, count(*) from {STRUCTURED_SQL} m group by 2 union all select 'needs_review', cast(suggestions > 0 as varchar), count(*) from {STRUCTURED_SQL} m group by 2")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lumencat.operators import search, segments
+from lumencat.operators import cache, search, segments
 
 FIELDS = ("title", "notes")
 TOKENS = "id long, title array<string>, notes array<string>"
@@ -135,3 +135,34 @@ def test_conditions_on_words_reach_every_scan(spark, tmp_path):
     plan = search.of_words(index, ["gate"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("flat = ") + plan.count("EqualTo(flat") + plan.count("In(flat") >= 2
     assert index.postings.where(F.col("word") == "gate").count() == sum(k[0] == "gate" for k in expected(docs)[0])
+
+
+def test_kept_results_follow_the_counters(spark, tmp_path):
+    root = f"file://{tmp_path}/results"
+    rows = spark.createDataFrame([(k, (k * 7) % 10) for k in range(30)], "id int, score int")
+    order = [F.desc("score"), F.asc("id")]
+    made = []
+
+    def look(session, keep=lambda df: df, query="q", scopes=("a", "b"), size=4):
+        def make():
+            made.append(query)
+            return keep(rows)
+
+        result, kept = cache.ResultCache(session, root, size).get(query, scopes, order, make)
+        return [r["id"] for r in cache.ResultCache.page(result, 2, 3).orderBy("place").collect()], kept
+
+    first = look(spark)
+    assert first == ([27, 2, 12], False) and look(spark.newSession()) == ([27, 2, 12], True) and made == ["q"]
+    assert look(spark, scopes=("b",))[1] is False  # another scope, another result
+    other = cache.ChangeCounters(spark.newSession(), root)
+    other.changed(spark.createDataFrame([("c",), (None,)], "scope string"))
+    assert look(spark)[1] is True  # not in its scopes
+    other.changed(spark.createDataFrame([("a",), ("a",)], "scope string"))
+    other.changed(spark.createDataFrame([("a",)], "scope string"))
+    assert other.values(["b", "a", "c"]) == (("a", 2), ("b", 0), ("c", 1))
+    assert look(spark, lambda df: df.where("id <> 27")) == ([2, 12, 22], False)
+    assert look(spark, lambda df: df.limit(0)) == ([2, 12, 22], True)
+    for k in range(3):
+        look(spark, query=f"q{k}", size=2)
+    assert len(list((tmp_path / "results/results").iterdir())) == 2
+    assert look(spark, lambda df: df.limit(0), query="none") == ([], False)
