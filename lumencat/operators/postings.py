@@ -67,14 +67,14 @@ def posted(tokens: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def write_postings(rows: DataFrame, path: str) -> None:
-    """Writes posting rows below path, in ranges of (flat, word, id)."""
-    kept = stored(rows, "postings").select(deaccent(F.col("word")).alias("flat"), "*")
+    """Writes stored posting rows below path, in ranges of (flat, word, id)."""
+    kept = rows.select(deaccent(F.col("word")).alias("flat"), "*")
     kept.repartitionByRange("flat", "word", "id").sortWithinPartitions("flat", "word", "field", "id").write.parquet(f"{path}/postings")
 
 
 def write_index(tokens: DataFrame, fields: Sequence[str], path: str) -> None:
     """Writes the index of documents as one that does not change."""
-    write_postings(posted(tokens, fields), path)
+    write_postings(stored(posted(tokens, fields), "postings"), path)
     rows = tokens.sparkSession.read.parquet(f"{path}/postings")
     rows.groupBy("word", "field").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("positions")).write.parquet(f"{path}/vocabulary")
 

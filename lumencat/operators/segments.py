@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumencat.operators.postings import Index, posted, write_postings
-from lumencat.operators.storage import scratch, shared_root
+from lumencat.operators.storage import scratch, shared_root, stored
 
 MOST_SEGMENTS = 16
 FORMAT = 1
@@ -82,9 +82,10 @@ def _publish(spark: SparkSession, root: str, number: int, segments: list[dict],
 def _write_segment(spark: SparkSession, root: str, rows: DataFrame, documents: DataFrame, before: DataFrame | None) -> dict:
     """A segment of posting rows (word, field, id, positions) and documents (id, digest); ``before``: forward rows that they replace."""
     path = f"{root}/segments/{hashlib.sha1(scratch(spark, 'segment').encode()).hexdigest()[:16]}"
+    rows = stored(rows, "postings")
     write_postings(rows, path)
-    back = spark.read.parquet(f"{path}/postings").select("id", "word", "field", F.size("positions").cast("long").alias("positions"))
-    back.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/forward")
+    rows.select("id", "word", "field", F.size("positions").cast("long").alias("positions")).repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/forward")
+    back = spark.read.parquet(f"{path}/forward")
     documents.write.parquet(f"{path}/documents")
     deltas = back.select("word", "field", F.lit(1).alias("_d"), "positions")
     if before is not None:
@@ -99,7 +100,7 @@ def _digests(tokens: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 def build(tokens: DataFrame, fields: Sequence[str], root: str, stamp: str = "") -> SegmentedIndex:
     """A new index of documents (id, and an array of tokens for each field), as one segment."""
-    spark = tokens.sparkSession
+    spark, tokens = tokens.sparkSession, stored(tokens.select("id", *fields), "tokens")
     segment = _write_segment(spark, root, posted(tokens, fields), _digests(tokens, fields), None)
     return _publish(spark, root, _last_number(spark, root) + 1, [segment], stamp)
 
@@ -118,7 +119,7 @@ def refresh(index: SegmentedIndex, changed: DataFrame, tokens: DataFrame, fields
     if batch is not None and any(s["batch"] == batch for s in index.segments):
         return index
     ids = changed.select("id").where("id is not null").distinct()
-    new = tokens.join(ids, "id", "left_semi")
+    new = stored(tokens.select("id", *fields).join(ids, "id", "left_semi"), "tokens")
     documents = ids.join(_digests(new, fields), "id", "left").select("id", "digest")
     before = index._live("forward").join(ids, "id", "left_semi")
     segment = _write_segment(spark, index.path, posted(new, fields), documents, before) | {"batch": batch}
@@ -182,9 +183,10 @@ def index_of(spark: SparkSession, name: str, table: str, make: Callable[[], Data
         return _open[key]
     index = SegmentedIndex(spark, root)
     if index.stamp != stamp:
-        now = _digests(make(), fields)
+        tokens = stored(make().select("id", *fields), "tokens")
+        now = _digests(tokens, fields)
         was = index.documents().select("id", F.col("digest").alias("_was"))
         changed = now.join(was, "id", "full_outer").where(~F.col("digest").eqNullSafe(F.col("_was"))).select("id")
-        index = refresh(index, changed, make(), fields, stamp=stamp)
+        index = refresh(index, changed, tokens, fields, stamp=stamp)
     _open[key] = index
     return index

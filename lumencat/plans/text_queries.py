@@ -20,8 +20,8 @@ from lumencat.plans.registry import Tables, query
 ONLINE_SQL = "d.source <> 'src3'"
 
 
-def sounds(t: Tables) -> DataFrame:
-    d = t.documents
+def sounds(t: Tables, documents: DataFrame | None = None) -> DataFrame:
+    d = t.documents if documents is None else documents
     return d.select(
         F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.lit("ready").alias("status"), (F.col("source") != "src3").alias("online"), (F.col("doc_id") % 50 == 0).alias("favorite"),
         (F.col("n_chars") / 100).alias("duration"), (1 + F.col("doc_id") % 3).cast("int").alias("channels"), F.lit("").alias("channel_layout"),
@@ -30,7 +30,7 @@ def sounds(t: Tables) -> DataFrame:
 
 
 def sound_index(t: Tables) -> postings.Index:
-    return segments.index_of(t.spark, "sounds", f"{t.folder}/documents.parquet", lambda: S.token_index_columns(sounds(t)), S.SEARCHED)
+    return segments.index_of(t.spark, "sounds", f"{t.folder}/documents.parquet", lambda: S.token_index_columns(sounds(t, storage.spread(t.documents))), S.SEARCHED)
 
 
 def ranked(t: Tables) -> DataFrame:
@@ -194,7 +194,7 @@ def _field_texts() -> dict[str, F.Column]:
 
 def asset_index(t: Tables) -> postings.Index:
     """The index of all four fields, in normal form C, built once for a table's files."""
-    make = lambda: t.documents.select(F.col("doc_id").alias("id"), *[T.index_tokens(c).alias(f) for f, c in _field_texts().items()])
+    make = lambda: storage.spread(t.documents).select(F.col("doc_id").alias("id"), *[T.index_tokens(c).alias(f) for f, c in _field_texts().items()])
     return segments.index_of(t.spark, "assets", f"{t.folder}/documents.parquet", make, FIELDS)
 
 
