@@ -135,7 +135,7 @@ def duration_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 @query("TXT-03", "select p_partkey, array_to_string(list_transform(list_filter(string_split(p_name, ' '), lambda t: not list_contains(['the','a','an','of'], t)), lambda t: case when t = 'gentle' then 'quiet' when t = 'sharp' then 'bright' else t end), ' ') as canonical from part")
 def synonyms(spark: SparkSession, d: str) -> DataFrame:
-    kept = F.filter(F.split("p_name", " "), lambda t: ~t.isin(T.STOP_WORDS))
+    kept = F.filter(F.split("p_name", " "), lambda t: ~t.isin(list(T.STOP_WORDS)))
     return Tables(spark, d).part.select("p_partkey", F.array_join(F.transform(kept, T.canonical), " ").alias("canonical"))
 
 
