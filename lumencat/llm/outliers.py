@@ -103,9 +103,9 @@ def base_failed() -> Column:
 
 def _vector(d: DataFrame) -> DataFrame:
     """d with the fixed-point vector x0.. of its rates and the weight of its length."""
-    n = F.col("n_words").cast("double")
+    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")  # a row without words fails the base rules and is not looked at
     rate = lambda c: F.asinh(F.sqrt(F.col(c) / n))
-    values = [F.log(F.col("word_chars") / n), rate("n_symbols"), rate("n_dup_lines"), rate("n_repeat_words")]
+    values = [F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), rate("n_symbols"), rate("n_dup_lines"), rate("n_repeat_words")]
     return d.withColumns({x: F.round(v * FIXED).cast("long") for x, v in zip(_X, values, strict=True)} | {"_n": n})
 
 

@@ -574,3 +574,21 @@ def test_a_long_conversation_is_one_path(spark, monkeypatch):
     path = model.viterbi([s.observations(lines[:40], s.worded(lines[:40]))])[0]
     got = [x["roles"] for x in transcripts.parse(d, model).orderBy("part").collect()]
     assert ",".join(x for x in got if x) == ",".join(role for role, _ in transcripts.turns(s, lines[:40], path, s.worded(lines[:40])))
+
+
+def test_repeated_turns_are_turns(spark):
+    rows = [(1, 0, "user", "yes"), (1, 0, "user", "yes"), (1, 1, "assistant", "no"), (None, None, "user", "yes"), (None, None, "user", "yes")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((str(r["conv_id"]), r["number"], r["role"]) for r in transcripts.numbered(d).collect())
+    assert got == [("1", 0, "user"), ("1", 1, "user"), ("1", 2, "assistant"), ("None", 0, "user"), ("None", 1, "user")]
+
+
+def test_free_texts_are_no_roles(spark):
+    """The most frequent roles are known, ties by name; what is written once each in the place of a role is not."""
+    n = transcripts.MOST_ROLES
+    rows = [(k, 0, f"said {k:04d}", "x") for k in range(3 * n)] + [(k, 1, r, "x") for k in range(3 * n) for r in ("user", "assistant")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    roles = set(transcripts.known_speakers(d).roles)
+    assert len(roles) == n and {"user", "assistant"} <= roles
+    trained = [k for k in range(3 * n) if not transcripts.is_held_out(k)]
+    assert roles - {"user", "assistant"} == {f"said {k:04d}" for k in trained[: n - 2]}
