@@ -42,6 +42,7 @@ WINDOW_IDS = 16
 MASK = (1 << 9) - 1
 LEAST, MOST = 64, 4096
 BATCH_BYTES = 24 << 20
+BLOCK_IDS = 1 << 16
 
 _U = np.uint64
 _GEAR = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
@@ -49,13 +50,17 @@ _GEAR = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 63, 1 << 16, dt
 
 def marks(ids: np.ndarray) -> np.ndarray:
     """Positions in a stream of ids where the rolling hash of the WINDOW_IDS ids before has its masked bits 0."""
-    h = _GEAR[ids.astype(np.int64) & 0xFFFF]
-    # sum over the window of gear << age, by doubling: each step joins two halves of the window
-    span = 1
-    while span < WINDOW_IDS:
-        h[span:] += h[:-span] << _U(span)
-        span *= 2
-    return np.flatnonzero((h >> _U(20)) & _U(MASK) == 0) + 1
+    found = [np.empty(0, np.int64)]
+    for lo in range(0, len(ids), BLOCK_IDS):  # in blocks, as temporary arrays of all ids cost more
+        before = min(lo, WINDOW_IDS - 1)
+        h = _GEAR[ids[lo - before : lo + BLOCK_IDS].astype(np.int64) & 0xFFFF]
+        # sum over the window of gear << age, by doubling: each step joins two halves of the window
+        span = 1
+        while span < WINDOW_IDS:
+            h[span:] += h[:-span] << _U(span)
+            span *= 2
+        found.append(np.flatnonzero((h[before:] >> _U(20)) & _U(MASK) == 0) + (lo + 1))
+    return np.concatenate(found)
 
 
 def cut_points(found: list[int], n: int) -> list[int]:

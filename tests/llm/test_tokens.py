@@ -44,6 +44,44 @@ def test_encoder_equals_library(ids):
     assert e.encode([]) == []
 
 
+def test_library_encodes_a_word_once(monkeypatch):
+    """Neither the signs after a word, nor a line end before it, nor a later batch sends it to the library again."""
+    e = tokens.Encoder(tokens.vocabulary_path())
+    words = ["".join(random.Random(k).choices("abdeinoruéñ", k=9)) for k in range(300)]
+    sent = []
+    ids_of = e._ids
+    monkeypatch.setattr(e, "_ids", lambda texts: sent.extend(texts) or ids_of(texts))
+    e.encode(["I " + " ".join(words) + " . x\nx"])
+    assert all("".join(sent).count(w) == 1 for w in words)
+    sent.clear()
+    later = [f"I {w}, {w}. {w}***" for w in words] + [f"I {w}\nx" for w in words]
+    got = e.encode(later)
+    assert not any(w in t for w in words for t in sent)
+    assert [g.tolist() for g in got] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in later]
+
+
+@pytest.mark.parametrize("kept", [0, 40, 1_000_000])
+def test_units_are_cut_where_the_library_cuts(monkeypatch, kept):
+    monkeypatch.setattr(tokens, "KEPT_UNITS", kept)
+    e = tokens.Encoder(tokens.vocabulary_path())
+    r = random.Random(kept)
+    bits = [*"abZ'_×÷éĀſЖ҂µº²٠·\t\r\xa0\u3000\u2028\x1c\x85", "'s", "'ll", " ", " ", " ", "  ", "\n", "\n", "\n\n", "\r\n", ".", ",", "!?", "***", "(", ")", "-", "/", '"', "42", "word", "日本", "🎉", "é", "é.", "<|endoftext|>"]
+    for _ in range(12):
+        batch = ["".join(r.choices(bits, k=r.randrange(30))) for _ in range(200)]
+        assert [g.tolist() for g in e.encode(batch)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in batch]
+        assert len(e.kept) == len(e.begin) == len(e.count) == len(e.batches) <= kept
+
+
+def test_marks_do_not_depend_on_blocks(monkeypatch):
+    ids = np.random.default_rng(3).integers(0, 50_000, 70_000).astype(np.uint16)
+    monkeypatch.setattr(chunk_store, "BLOCK_IDS", len(ids))
+    want = chunk_store.marks(ids).tolist()
+    for block in (1, 15, 16, 17, 4099):
+        monkeypatch.setattr(chunk_store, "BLOCK_IDS", block)
+        assert chunk_store.marks(ids[: 40 * block + 9]).tolist() == [m for m in want if m <= 40 * block + 9]
+    assert chunk_store.marks(ids[:0]).tolist() == []
+
+
 def padding(n):
     return 0 if n & (n - 1) == 0 else packing.LENGTH - n
 
