@@ -44,8 +44,8 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # the workers hold what the stages before have left: smaller batches than by default
-    return packing.pack(docs, batch_bytes=12 << 20)
+    # the workers hold what the stages before have left: smaller batches than by default, and no words kept between them
+    return packing.pack(docs, batch_bytes=12 << 20, kept_units=0)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -129,10 +129,11 @@ def _pack(docs: list[tuple[int, np.ndarray]], length: int, at_sentence: np.ndarr
     return pa.RecordBatch.from_arrays(columns, names), len(cuts) - 1
 
 
-def pack(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, with_ids: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, with_ids: bool = False, batch_bytes: int = BATCH_BYTES, kept_units: int | None = None) -> DataFrame:
     """Returns one row for each piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]).
 
     batch_bytes: text that is encoded at a time; less takes less memory and, as fewer words repeat, more time.
+    kept_units: units a worker keeps for its later batches and tasks, as the encoder has it.
     """
     path = vocabulary or vocabulary_path()
 
@@ -144,7 +145,7 @@ def pack(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str =
         held = 0
         for whole in batches:
             for b in pieces(iter([whole]), batch_bytes, "text"):
-                for k, ids in zip(b.column("doc_id").to_pylist(), e.encode(b.column("text")), strict=True):
+                for k, ids in zip(b.column("doc_id").to_pylist(), e.encode(b.column("text"), kept_units), strict=True):
                     waiting.append((k, np.append(ids, e.dtype.type(END_ID))))
                     held += len(ids) + 1
                     if held >= RUN_TOKENS:

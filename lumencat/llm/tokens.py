@@ -110,7 +110,7 @@ class Encoder:
         begin = np.concatenate([np.zeros(1, np.int64), ends])[: len(ends)]
         return ids, begin, ends - begin - len(between)  # a line end is one id
 
-    def _of_units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _of_units(self, units: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pool, begin, count): the ids of distinct units. Those not kept from an earlier batch are encoded."""
         at = pc.index_in(units, value_set=self.kept)
         new = units.filter(pc.is_null(at))
@@ -132,9 +132,9 @@ class Encoder:
         found = self.pool, self.begin[at].astype(np.int64), self.count[at].astype(np.int64)
         self.batches = np.concatenate([self.batches, np.zeros(len(new), np.uint8)])
         self.batches[at] = np.minimum(self.batches[at], 254) + 1
-        if len(self.kept) > KEPT_UNITS:  # what more than one batch had stays, if it leaves room, or else nothing
+        if len(self.kept) > most:  # what more than one batch had stays, if it leaves room, or else nothing
             often = np.flatnonzero(self.batches > 1)
-            self._keep(often if 4 * len(often) <= 3 * KEPT_UNITS else often[:0])
+            self._keep(often if 4 * len(often) <= 3 * most else often[:0])
         return found
 
     def _keep(self, at: np.ndarray) -> None:
@@ -142,7 +142,7 @@ class Encoder:
         self.kept, self.count, self.batches = self.kept.take(pa.array(at)), self.count[at], np.ones(len(at), np.uint8)
         self.pool, self.begin = pool, (np.cumsum(self.count) - self.count).astype(np.int32)
 
-    def _of_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _of_parts(self, parts: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pool, begin, count): the ids of distinct parts, each with a space before it.
 
         No part is empty or begins or ends in white space.
@@ -176,7 +176,7 @@ class Encoder:
         slots[:, 2] = 1
         slots[last, 2] = 0
         # the first two are the empty unit, without ids, and the line end, one id
-        pool, begin, count = self._of_units(coded.dictionary.slice(2))
+        pool, begin, count = self._of_units(coded.dictionary.slice(2), most)
         begin, count = np.concatenate([[0, len(pool)], begin]), np.concatenate([[0, 1], count])
         pool = np.concatenate([pool, self.line_end])
         n_ids = np.zeros(len(parts), np.int64)
@@ -185,7 +185,9 @@ class Encoder:
         starts[order] = np.cumsum(n) - n
         return gathered(pool, begin, count, slots.ravel()), starts, n_ids
 
-    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array, kept_units: int | None = None) -> list[np.ndarray]:
+        """kept_units: units whose ids stay for later batches, KEPT_UNITS by default."""
+        most = KEPT_UNITS if kept_units is None else kept_units
         column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         if not len(column):
             return []
@@ -203,7 +205,7 @@ class Encoder:
         bare = pc.binary_length(pc.utf8_trim(distinct, _SPACES)).to_numpy()
         whole = (bare > 0) & (bare == pc.binary_length(distinct).to_numpy())
         begin, count = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        pool, begin[whole], count[whole] = self._of_parts(distinct.filter(pa.array(whole)))
+        pool, begin[whole], count[whole] = self._of_parts(distinct.filter(pa.array(whole)), most)
         head_ids = self._ids(heads.dictionary.to_pylist())
         head_count = np.array([len(h) for h in head_ids], np.int64)
         begin = np.concatenate([begin, len(pool) + np.cumsum(head_count) - head_count])
@@ -212,6 +214,8 @@ class Encoder:
         odd[first] = False
         entry[first] = len(distinct) + heads.indices.to_numpy()
         pool = np.concatenate([pool, *head_ids])
+        del table, distinct, heads
+        pa.default_memory_pool().release_unused()  # else a worker holds it while other stages run
         flat = gathered(pool, begin, count, entry)
         bounds = np.concatenate([[0], np.cumsum(count[entry])])[offsets].tolist()
         out = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
