@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lumencat.operators import segments
 from lumencat.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -51,3 +52,10 @@ def test_plans_prune_and_limit_before_sorting(spark):
     assert "LeftSemi" in plan and "LeftAnti" in plan and "CartesianProduct" not in plan
     page = registry.QUERIES["text_search_ranked"](spark, FOLDER)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in page and "BatchEvalPython" not in page
+
+
+def test_merged_segments_still_count_as_written(spark, con, monkeypatch):
+    """As in a queue of over 15 batches, here by a limit of one segment; the other tests have fewer batches than are merged."""
+    monkeypatch.setattr(segments, "MOST_SEGMENTS", 1)
+    rows = entry.queries()["TXT-18"](spark, FOLDER).select("word", "docs", "counted", "segments").collect()
+    assert sorted(map(tuple, rows)) == sorted(con.execute(f"select word, docs, counted, segments from ({registry.SQL['TXT-18']})").fetchall())

@@ -166,3 +166,14 @@ def test_kept_results_follow_the_counters(spark, tmp_path):
         look(spark, query=f"q{k}", size=2)
     assert len(list((tmp_path / "results/results").iterdir())) == 2
     assert look(spark, lambda df: df.limit(0), query="none") == ([], False)
+
+
+def test_a_merge_keeps_how_many_were_written(spark, tmp_path, monkeypatch):
+    r, root = random.Random(11), f"file://{tmp_path}/index"
+    docs = contents(r, range(5))
+    index = segments.build(frame(spark, docs), FIELDS, root)
+    monkeypatch.setattr(segments, "MOST_SEGMENTS", 2)
+    for k in range(2, 6):
+        index = segments.refresh(index, spark.createDataFrame([(1,)], "id long"), frame(spark, docs), FIELDS)
+        assert index.written == segments.SegmentedIndex(spark.newSession(), root).written == k
+    assert len(index.segments) == 1 and segments.branch(index, f"file://{tmp_path}/other").written == 5
