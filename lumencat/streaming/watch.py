@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush, heapreplace
 from typing import Any
 
 import pandas as pd
@@ -42,6 +43,7 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 PLANNED = "source string, at double, kind string, path string, events int"
 _KIND = {"file": "file", "folder": "folder", "absent": "removed"}
 _INPUT = ["at", "what", "path", "observed", "size", "modified"]
+_CHUNK = 4096  # rows in one value of the state
 
 
 class Planner:
@@ -49,7 +51,8 @@ class Planner:
 
     def __init__(self, quiet: float, stable: float, most: int):
         self.quiet, self.stable, self.most = quiet, stable, most
-        self.pending: dict[str, list] = {}  # path: next look, what the last look saw (None: none), events
+        self.pending: dict[str, list] = {}  # path: next look, what the last look saw (None: none), events, the look that counts in looks
+        self.looks: list[tuple[float, str]] = []  # a heap of looks and paths, no later than the paths' next ones
         self.stats: dict[str, tuple] = {}  # of pending paths and of those yet to come: what stands there now
         self.over: float | None = None  # the last event since paths were given up
 
@@ -57,7 +60,17 @@ class Planner:
         """When something is to be done next."""
         if self.over is not None:
             return self.over + self.quiet
-        return min((p[0] for p in self.pending.values()), default=None)
+        while self.looks:
+            at, path = self.looks[0]
+            entry = self.pending.get(path)
+            if entry is None or entry[3] != at:
+                heappop(self.looks)
+            elif entry[0] != at:
+                entry[3] = entry[0]
+                heapreplace(self.looks, (entry[0], path))
+            else:
+                return at
+        return None
 
     def until(self, now: float) -> list[tuple]:
         """What comes to pass before ``now``."""
@@ -67,49 +80,58 @@ class Planner:
                 self.over = None
                 out.append((at, "refresh", None, 0))
                 continue
-            for path in sorted(p for p, entry in self.pending.items() if entry[0] == at):
-                entry = self.pending[path]
-                seen = self.stats.get(path, ("absent", None, None))
-                if entry[1] != seen:
-                    entry[0], entry[1] = at + self.stable, seen
-                    continue
-                del self.pending[path]
-                if seen[0] in _KIND:
-                    out.append((at, _KIND[seen[0]], path, entry[2]))
+            path = self.looks[0][1]
+            entry = self.pending[path]
+            seen = self.stats.get(path, ("absent", None, None))
+            if entry[1] != seen:
+                entry[0], entry[1] = at + self.stable, seen
+                continue
+            del self.pending[path]
+            if seen[0] in _KIND:
+                out.append((at, _KIND[seen[0]], path, entry[2]))
         return out
 
+    def _give_up(self, at: float) -> None:
+        self.pending.clear()
+        self.looks.clear()
+        self.over = at
+
     def take(self, at: float, what: str, path: str | None, stat: tuple) -> None:
         if what == "stat" and path is not None:
             self.stats[path] = stat
             if stat[0] == "absent":
                 del self.stats[path]
         elif what == "lost" or what == "refused" and path is None:
-            self.pending.clear()
-            self.over = at
+            self._give_up(at)
         elif what in ("event", "refused") and path is not None:
             if self.over is not None:
                 self.over = max(at, self.over)
             elif path not in self.pending and len(self.pending) >= self.most:
-                self.pending.clear()
-                self.over = at
+                self._give_up(at)
             else:
-                events = self.pending[path][2] if path in self.pending else 0
-                self.pending[path] = [at + self.quiet, None, events + 1]
-
-    def step(self, row: dict[str, Any]) -> list[tuple]:
-        done = self.until(row["at"])
-        self.take(row["at"], row["what"], row["path"], (row["observed"], row["size"], row["modified"]))
+                look = at + self.quiet
+                _, _, events, counts = self.pending.get(path, (0, None, 0, None))
+                if counts is None or look < counts:  # else the heap has an earlier look, which is put off when it comes
+                    heappush(self.looks, (look, path))
+                    counts = look
+                self.pending[path] = [look, None, events + 1, counts]
+
+    def step(self, at: float, what: str, path: str | None, *stat: Any) -> list[tuple]:
+        done = self.until(at)
+        self.take(at, what, path, stat)
         return done
 
     def saved(self) -> str:
-        return json.dumps([self.pending, self.stats, self.over])
+        return json.dumps([{k: v[:3] for k, v in self.pending.items()}, self.stats, self.over])
 
     @classmethod
     def restored(cls, text: str, *limits) -> Planner:
         p = cls(*limits)
         pending, stats, p.over = json.loads(text)
         p.stats = {k: tuple(v) for k, v in stats.items()}
-        p.pending = {k: [v[0], None if v[1] is None else tuple(v[1]), v[2]] for k, v in pending.items()}
+        p.pending = {k: [v[0], None if v[1] is None else tuple(v[1]), v[2], v[0]] for k, v in pending.items()}
+        p.looks = [(v[0], k) for k, v in pending.items()]
+        heapify(p.looks)
         return p
 
 
@@ -147,7 +169,7 @@ def planned(log: DataFrame, quiet: float = QUIET_SECONDS, stable: float = STABLE
                 if row["source"] != at:
                     out += [(at, *e) for e in planner.until(float("inf"))] if at is not None else []
                     at, planner = row["source"], Planner(quiet, stable, most)
-                out += [(at, *e) for e in planner.step(row)]
+                out += [(at, *e) for e in planner.step(*(row[c] for c in _INPUT))]
             if out:
                 yield told()
         if at is not None:
@@ -166,24 +188,25 @@ class WatchProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("planner", "text string")
-        self.waiting = handle.getListState("waiting", "at double, what string, path string, observed string, size long, modified double")
+        self.waiting = handle.getListState("waiting", "rows string")  # each value holds many rows: a state's row costs more than its contents
 
-    def _forward(self, key: Any, mark: float) -> Iterator[pd.DataFrame]:
+    def _forward(self, key: Any, mark: float, arrived: list[list]) -> Iterator[pd.DataFrame]:
         """Takes what waits at or before the watermark, and sets the next timer."""
         planner = Planner.restored(self.state.get()[0], *self.limits) if self.state.exists() else Planner(*self.limits)
-        rows = [dict(zip(_INPUT, r, strict=True)) for r in self.waiting.get()] if self.waiting.exists() else []
+        rows = [r for text, in self.waiting.get() for r in json.loads(text)] if self.waiting.exists() else []
+        rows += arrived
         text = lambda v: "" if v is None else str(v)
-        rows.sort(key=lambda r: (r["at"], r["what"] != "stat", r["what"], text(r["path"]), text(r["observed"]), r["size"] or 0, r["modified"] or 0))
-        out = [e for r in rows if r["at"] <= mark for e in planner.step(r)]
+        due = sorted((r for r in rows if r[0] <= mark), key=lambda r: (r[0], r[1] != "stat", r[1], text(r[2]), text(r[3]), r[4] or 0, r[5] or 0))
+        later = [r for r in rows if r[0] > mark]
+        out = [e for r in due for e in planner.step(*r)]
         out += planner.until(mark)
-        later = [r for r in rows if r["at"] > mark]
         self.waiting.clear()
         if later:
-            self.waiting.put([tuple(r[c] for c in _INPUT) for r in later])
+            self.waiting.put([(json.dumps(later[k : k + _CHUNK]),) for k in range(0, len(later), _CHUNK)])
         self.state.update((planner.saved(),))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        times = [t for t in (planner.due(), min((r["at"] for r in later), default=None)) if t is not None]
+        times = [t for t in (planner.due(), min((r[0] for r in later), default=None)) if t is not None]
         if times:
             self.handle.registerTimer(int(max(min(times), mark) * 1000) + 1)
         if out:
@@ -191,13 +214,15 @@ class WatchProcessor(StatefulProcessor):
             yield pd.DataFrame({"source": source, "at": [e[0] for e in out], "kind": [e[1] for e in out], "path": [e[2] for e in out], "events": pd.array([e[3] for e in out], "int32")})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        clean = lambda v: None if v is None or v != v else v
+        arrived: list[list] = []
         for part in rows:
-            self.waiting.appendList([(float(r.at), r.what, clean(r.path), clean(r.observed), None if clean(r.size) is None else int(r.size), clean(r.modified)) for r in part[_INPUT].itertuples(index=False)])
-        yield from self._forward(key, timerValues.getCurrentWatermarkInMs() / 1000)
+            columns = [[None if v is None or v != v else v for v in part[c].tolist()] for c in _INPUT]
+            columns[4] = [None if v is None else int(v) for v in columns[4]]  # a column with nulls comes as floats
+            arrived += map(list, zip(*columns, strict=True))
+        yield from self._forward(key, timerValues.getCurrentWatermarkInMs() / 1000, arrived)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._forward(key, timerValues.getCurrentWatermarkInMs() / 1000)
+        yield from self._forward(key, timerValues.getCurrentWatermarkInMs() / 1000, [])
 
     def close(self) -> None:
         pass

@@ -1,10 +1,13 @@
 """The watch planner: timelines with known ends, a second planner written as a plain loop, and the stream against the table form."""
 
 import random
-from datetime import datetime, timezone
+import time
+from datetime import datetime, timedelta, timezone
 
+import duckdb
 import pytest
 
+from lumencat.plans import changes, registry  # noqa: F401  (changes registers its queries)
 from lumencat.streaming import watch
 
 SCHEMA = "source string, at double, what string, path string, observed string, size long"
@@ -132,3 +135,34 @@ def test_the_stream_agrees_with_the_table(spark, tmp_path):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
     got = sorted((x["source"], x["at"], x["kind"], x["path"]) for x in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == want and len(want) > 20
+
+
+def test_a_row_does_not_cost_what_is_pending():
+    """60,000 events of 4,000 paths that stay pending: a look at each of them for each row takes over ten times as long."""
+    planner, began = watch.Planner(50_000.0, 3.0, watch.MOST_PENDING), time.process_time()
+    done = [e for k in range(60_000) for e in planner.step(float(k), "event", str(k % 4000), None, None, None)]
+    assert not done and len(planner.pending) == 4000 and len(planner.looks) == 4000
+    assert time.process_time() - began < 3
+    again = watch.Planner.restored(planner.saved(), 50_000.0, 3.0, watch.MOST_PENDING)
+    ends = planner.until(float("inf"))
+    assert ends == again.until(float("inf")) and [e[:3] for e in ends] == [(56_000.0 + k + 50_003, "removed", str(k)) for k in range(4000)]
+
+
+@pytest.mark.parametrize("users, rows_in_a_file", [(5000, 0), (200, 8)])
+def test_the_stream_query_on_more_paths_and_files(spark, tmp_path, users, rows_in_a_file):
+    """More paths of one source pending at once than a source may have, and more files in a part than a batch took: every path stands by itself, and no row is late."""
+    r, start = random.Random(users), datetime(2024, 1, 1)
+    seconds = [k / users * 3000 for k in range(users)] + [r.randrange(30 * 86_400) for _ in range(4000)]
+    rows = [(k, start + timedelta(seconds=at), 20 * (k % users), "view" if k % 5 == 0 else "click", float(r.randrange(200))) for k, at in enumerate(seconds)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    was = spark.conf.get("spark.sql.files.maxRecordsPerFile")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", rows_in_a_file)
+    try:
+        got = sorted(tuple(x) for x in registry.QUERIES["STR-01-stream"](spark, str(tmp_path)).select("path", "settled_at", "kind").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", was)
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(f"select path, settled_at, kind from ({registry.SQL['STR-01-stream']}) p").fetchall())
+    assert len(want) > 1000 and len(got) == len(want)
+    assert [(p, round(t, 3), k) for p, t, k in got] == [(p, round(t, 3), k) for p, t, k in want]
